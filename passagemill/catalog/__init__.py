@@ -1,0 +1,7 @@
+"""Registered queries with their SQL twins, by area."""
+
+
+def all_queries():
+    from passagemill.catalog import corpus_queries
+
+    return dict(corpus_queries.QUERIES)

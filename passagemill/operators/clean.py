@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +69,6 @@ def front_matter_metadata(docs: DataFrame, nested: bool = False) -> DataFrame:
 
 
 def _yaml_map_udf():
-    import pandas as pd
-
     from passagemill.schemas import STRING_MAP
 
     def shown(value) -> str:

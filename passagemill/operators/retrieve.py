@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -235,8 +236,6 @@ def mmr_rerank(
     ties go to the earlier candidate. Lists of at most k stay as they are. A list
     has the fetch size (3 k in the search strategy), so it is one bounded row.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def pick(scores: pd.Series, vectors: pd.Series) -> pd.Series:
         return pd.Series([_greedy(np.asarray(s, dtype=float), v, k, lam) for s, v in zip(scores, vectors)])
