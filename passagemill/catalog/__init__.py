@@ -2,6 +2,6 @@
 
 
 def all_queries():
-    from passagemill.catalog import corpus_queries
+    from passagemill.catalog import corpus_queries, evaluation_queries, index_queries
 
-    return dict(corpus_queries.QUERIES)
+    return {**corpus_queries.QUERIES, **index_queries.QUERIES, **evaluation_queries.QUERIES}

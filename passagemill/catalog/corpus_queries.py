@@ -329,10 +329,10 @@ add("k1_fixed_without_overlap_tail",
     lambda s, d: chunk.fixed_chunks(structure.parse_plain(fx.corpus(s, d)), 50, 10, drop_overlap_tail=True).select("chunk_id", "chunk_index", "content"),
     q.query(windows_sql(50, 40, 10), "docs"))
 add("k2_overlap_clamp",
-    lambda s, d: chunk.fixed_chunks(structure.parse_plain(fx.corpus(s, d)), 200, 500)
+    lambda s, d: chunk.fixed_chunks(structure.parse_plain(fx.corpus(s, d)), 12, 50)
     .groupBy("document_path").agg(F.count("*").alias("n_chunks"), F.max("token_count").alias("max_tokens")),
     q.query("SELECT regexp_replace(chunk_id, '-chunk-.*$', '') AS document_path, count(*) AS n_chunks, max(strlen(content) // 4) AS max_tokens FROM w GROUP BY 1",
-            "docs", extra={"w": windows_sql(200, 1)}))
+            "docs", extra={"w": windows_sql(12, 1)}))
 
 MAX_WORDS, OVERLAP = 40, 8
 _STEP = MAX_WORDS - OVERLAP

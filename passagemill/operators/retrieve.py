@@ -197,7 +197,7 @@ def _blockwise(points, queries, schema, running, id_col, query_id, block_rows) -
     right = queries.select(
         "*",
         F.pmod(F.xxhash64(query_id), F.lit(query_blocks)).cast("int").alias("_qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(point_blocks - 1))).cast("bigint").alias("_pb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(point_blocks - 1).cast("bigint"))).alias("_pb"),
     )
     names = schema.names
 

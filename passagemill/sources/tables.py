@@ -19,7 +19,8 @@ RESULT_JSON = {
     "expected_paths": T.ArrayType(T.StringType()),
     "retrieved_paths": T.ArrayType(T.StringType()),
     "relevance": T.ArrayType(JUDGMENT),
-    "hit": T.MapType(T.IntegerType(), T.BooleanType()),
+    # JSON object keys are text; decode_results turns them back into k
+    "hit": T.MapType(T.StringType(), T.BooleanType()),
 }
 RESULT_COLUMNS = (
     "run_id", "question_id", "question", "category", "difficulty", "expected_answer", "answer",
@@ -144,9 +145,12 @@ def read_results(spark: SparkSession, path: str, run_id: str) -> DataFrame:
 
 
 def decode_results(stored: DataFrame) -> DataFrame:
-    return stored.select(
+    decoded = stored.select(
         *[F.from_json(c, RESULT_JSON[c]).alias(c) if c in RESULT_JSON else F.col(c) for c in stored.columns]
     )
+    if "hit" not in stored.columns:
+        return decoded
+    return decoded.withColumn("hit", F.transform_keys("hit", lambda k, _: k.cast("int")))
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
