@@ -17,8 +17,13 @@ def add(name, run, sql=None):
     QUERIES[name] = (run, sql)
 
 
+def settled(name):
+    """Six digits; the nudge keeps exact halves, common in averages, from going either way on summation order."""
+    return F.round(F.col(name) + 1e-9, 6)
+
+
 def r6(*names):
-    return [F.round(n, 6).alias(n) for n in names]
+    return [settled(n).alias(n) for n in names]
 
 
 # --- per question --------------------------------------------------------------------
@@ -39,7 +44,7 @@ add("q4_first_relevant_rank",
     q.query("SELECT question_id, rank_first FROM per_question", "per_question"))
 add("q5_graded_ndcg",
     lambda s, d: fx.scored_orders(s, d).select("question_id", *r6("ndcg_graded")),
-    q.query("SELECT 'q-'||o_orderkey AS question_id, round(ndcg_graded, 6) AS ndcg_graded FROM per_k WHERE k = 10", "per_k"))
+    q.query("SELECT 'q-'||o_orderkey AS question_id, round(1e-9 + ndcg_graded, 6) AS ndcg_graded FROM per_k WHERE k = 10", "per_k"))
 add("q6_path_membership",
     lambda s, d: fx.scored_orders(s, d).select("question_id", F.posexplode("relevant").alias("pos", "relevant")),
     q.query("SELECT 'q-'||o_orderkey AS question_id, (rank - 1)::INT AS pos, rel AS relevant FROM graded", "graded"))
@@ -76,12 +81,12 @@ def merged_answers(spark, sf):
 
 add("q8_answer_merge", merged_answers, q.query(
     """SELECT u.conv_id||'/'||(u.turn + 1) AS question_id, coalesce(j.answer, '') AS answer, coalesce(j.answer, '') = '' OR j.judge_score IS NULL AS failed,
-  CASE WHEN coalesce(j.answer, '') <> '' THEN round(coalesce(j.judge_score, 0), 6) ELSE 0 END AS answer_score
+  CASE WHEN coalesce(j.answer, '') <> '' THEN round(1e-9 + coalesce(j.judge_score, 0), 6) ELSE 0 END AS answer_score
 FROM conversations u LEFT JOIN judge j ON j.conv_id = u.conv_id AND j.turn = u.turn + 1 WHERE u.role = 'user'""",
     extra={"replies": _REPLIES, "judge": _JUDGE}))
 add("q9_judge_replies",
     lambda s, d: evaluate.parse_judge(replies(s, d)).select("conv_id", "turn", *r6("judge_score")),
-    q.query("SELECT conv_id, turn, round(judge_score, 6) AS judge_score FROM judge", extra={"replies": _REPLIES, "judge": _JUDGE}))
+    q.query("SELECT conv_id, turn, round(1e-9 + judge_score, 6) AS judge_score FROM judge", extra={"replies": _REPLIES, "judge": _JUDGE}))
 
 
 def evaluation_job(spark, sf):
@@ -104,7 +109,7 @@ def evaluation_job(spark, sf):
         F.coalesce("ideal", F.array().cast("array<int>")).alias("ideal"),
     )
     rows = evaluate.score_ranked(graded, expected, query_id="question_id")
-    return evaluate.aggregate_metrics(rows, fx.KS).withColumn("value", F.round("value", 6))
+    return evaluate.aggregate_metrics(rows, fx.KS).withColumn("value", settled("value"))
 
 
 _JOB_K = """SELECT q.question_id, ks.k, coalesce(a.hit, 0)::DOUBLE AS hit_rate, coalesce(a.found, 0) / ks.k AS precision,
@@ -124,7 +129,7 @@ _GR = """SELECT r.question_id, r.rank, coalesce(j.grade, 0) AS grade, j.grade IS
 
 def long_sql(source: str, keys: str, scalars: str = "") -> str:
     parts = [
-        f"SELECT {keys}, '{m}' AS metric, k::INT AS k, round(avg({m}), 6) AS value FROM {source} GROUP BY ALL"
+        f"SELECT {keys}, '{m}' AS metric, k::INT AS k, round(1e-9 + avg({m}), 6) AS value FROM {source} GROUP BY ALL"
         for m in evaluate.QUESTION_METRICS
     ]
     return "\nUNION ALL ".join(parts) + scalars
@@ -132,7 +137,7 @@ def long_sql(source: str, keys: str, scalars: str = "") -> str:
 
 add("q10_evaluation_job", evaluation_job, q.query(
     long_sql("jk", "'benchmark' AS run_id", """
-UNION ALL SELECT 'benchmark', 'mrr', 0, round(avg(coalesce(1.0 / f.r, 0)), 6) FROM questions LEFT JOIN (SELECT question_id, min(rank) AS r FROM gr WHERE rel GROUP BY 1) f USING (question_id)
+UNION ALL SELECT 'benchmark', 'mrr', 0, round(1e-9 + avg(coalesce(1.0 / f.r, 0)), 6) FROM questions LEFT JOIN (SELECT question_id, min(rank) AS r FROM gr WHERE rel GROUP BY 1) f USING (question_id)
 UNION ALL SELECT 'benchmark', 'n_questions', 0, count(*)::DOUBLE FROM questions"""),
     "retrieved", "judgments", "questions", "ks", extra={"gr": _GR, "jk": _JOB_K}))
 
@@ -143,7 +148,7 @@ def metric(name, *keys, grouping="groupBy"):
     def run(spark, sf):
         long = evaluate.aggregate_metrics(fx.scored_orders(spark, sf), fx.KS, keys or ("run_id",), grouping)
         wanted = long if name is None else long.filter(F.col("metric").isin(*name))
-        return wanted.withColumn("value", F.round("value", 6))
+        return wanted.withColumn("value", settled("value"))
 
     return run
 
@@ -160,13 +165,13 @@ _SCALARS = {
 
 def scalar_sql(keys: str, *names: str) -> str:
     return "\nUNION ALL ".join(
-        f"SELECT {keys}, '{n}' AS metric, 0 AS k, round(({_SCALARS[n]})::DOUBLE, 6) AS value FROM per_question GROUP BY ALL" for n in names
+        f"SELECT {keys}, '{n}' AS metric, 0 AS k, round(1e-9 + ({_SCALARS[n]})::DOUBLE, 6) AS value FROM per_question GROUP BY ALL" for n in names
     )
 
 
 for _id, _m in (("m1_hit_rate", "hit_rate"), ("m3_ndcg", "ndcg"), ("m4_ndcg_graded", "ndcg_graded"),
                 ("m5_precision", "precision"), ("m6_recall", "recall")):
-    add(_id, metric([_m]), q.query(f"SELECT run_id, '{_m}' AS metric, k::INT AS k, round(avg({_m}), 6) AS value FROM per_k GROUP BY ALL", "per_k"))
+    add(_id, metric([_m]), q.query(f"SELECT run_id, '{_m}' AS metric, k::INT AS k, round(1e-9 + avg({_m}), 6) AS value FROM per_k GROUP BY ALL", "per_k"))
 add("m2_mrr", metric(["mrr"]), q.query(scalar_sql("run_id", "mrr"), "per_question"))
 
 
@@ -191,8 +196,8 @@ def wide(spark, sf):
 
 
 add("m10_wide_metrics", wide, q.query(
-    "SELECT k5.*, m.mrr, m.avg_answer_score FROM (SELECT run_id, " + ", ".join(f"round(avg({m}), 6) AS {m}_5" for m in evaluate.QUESTION_METRICS)
-    + " FROM per_k WHERE k = 5 GROUP BY run_id) k5 JOIN (SELECT run_id, round(" + _SCALARS["mrr"] + ", 6) AS mrr, round(" + _SCALARS["avg_answer_score"]
+    "SELECT k5.*, m.mrr, m.avg_answer_score FROM (SELECT run_id, " + ", ".join(f"round(1e-9 + avg({m}), 6) AS {m}_5" for m in evaluate.QUESTION_METRICS)
+    + " FROM per_k WHERE k = 5 GROUP BY run_id) k5 JOIN (SELECT run_id, round(1e-9 + " + _SCALARS["mrr"] + ", 6) AS mrr, round(1e-9 + " + _SCALARS["avg_answer_score"]
     + ", 6) AS avg_answer_score FROM per_question GROUP BY run_id) m USING (run_id)", "per_k", "per_question"))
 add("m11_by_category", metric(None, "run_id", "category", "difficulty"), q.query(
     long_sql("per_k", "run_id, category, difficulty") + "\nUNION ALL " + scalar_sql("run_id, category, difficulty", *_SCALARS), "per_k", "per_question"))
@@ -200,11 +205,11 @@ add("m11_by_category", metric(None, "run_id", "category", "difficulty"), q.query
 
 def rolled_up(spark, sf):
     rows = fx.scored_orders(spark, sf)
-    return evaluate.aggregate_metrics(rows, fx.KS, ("category", "difficulty"), "rollup").filter("metric = 'hit_rate'").withColumn("value", F.round("value", 6))
+    return evaluate.aggregate_metrics(rows, fx.KS, ("category", "difficulty"), "rollup").filter("metric = 'hit_rate'").withColumn("value", settled("value"))
 
 
 add("m11_rollup", rolled_up, q.query(
-    "SELECT category, difficulty, 'hit_rate' AS metric, k::INT AS k, round(avg(hit_rate), 6) AS value FROM per_k GROUP BY k, ROLLUP (category, difficulty)", "per_k"))
+    "SELECT category, difficulty, 'hit_rate' AS metric, k::INT AS k, round(1e-9 + avg(hit_rate), 6) AS value FROM per_k GROUP BY k, ROLLUP (category, difficulty)", "per_k"))
 
 # --- run analytics -------------------------------------------------------------------------
 
@@ -247,7 +252,7 @@ _UP = "metric NOT IN ('avg_latency_ms','avg_prompt_tokens','avg_completion_token
 
 
 def deltas(spark, sf):
-    long = fx.run_metrics(spark, sf).withColumn("value", F.round("value", 6))
+    long = fx.run_metrics(spark, sf).withColumn("value", settled("value"))
     return runs.metric_deltas(long, BASE).withColumn("delta", F.round("delta", 6))
 
 
@@ -258,7 +263,7 @@ FROM (SELECT * FROM rm WHERE {_COMPARED}) m JOIN (SELECT * FROM rm WHERE run_id
 
 
 def best(spark, sf):
-    long = fx.run_metrics(spark, sf).withColumn("value", F.round("value", 6))
+    long = fx.run_metrics(spark, sf).withColumn("value", settled("value"))
     positions = fx.runs(spark, sf).select("run_id", F.substring("run_id", 1, 1).cast("int").alias("position"))
     return runs.best_runs(long, positions)
 
@@ -269,7 +274,7 @@ add("a7_best_runs", best, q.query(
 
 
 def matrix(spark, sf):
-    long = fx.run_metrics(spark, sf).withColumn("value", F.round("value", 6))
+    long = fx.run_metrics(spark, sf).withColumn("value", settled("value"))
     return runs.metric_matrix(long, BASE, OTHERS).withColumn("max_abs_delta", F.round("max_abs_delta", 6))
 
 
@@ -280,7 +285,7 @@ add("a8_metric_matrix", matrix, q.query(
 add("a9_category_breakdown",
     lambda s, d: runs.category_breakdown(fx.scored_orders(s, d)).select("category", "n", *r6("avg_score", "avg_rank")),
     q.query("""SELECT CASE WHEN length(category) > 20 THEN substr(category, 1, 20)||'...' ELSE category END AS category, n, avg_score, avg_rank FROM (
-  SELECT category, count(*) AS n, round(avg(coalesce(answer_score, 0)), 6) AS avg_score, round(avg(rank_first), 6) AS avg_rank FROM per_question GROUP BY category ORDER BY n DESC, category LIMIT 8)""", "per_question"))
+  SELECT category, count(*) AS n, round(1e-9 + avg(coalesce(answer_score, 0)), 6) AS avg_score, round(1e-9 + avg(rank_first), 6) AS avg_rank FROM per_question GROUP BY category ORDER BY n DESC, category LIMIT 8)""", "per_question"))
 add("a10_score_histogram",
     lambda s, d: runs.score_histogram(fx.scored_orders(s, d)),
     q.query("""SELECT b::INT AS bin, b::DOUBLE AS lower, (b + 1)::DOUBLE AS upper, coalesce(n, 0) AS n FROM (SELECT unnest(range(10)) AS b)
@@ -292,7 +297,7 @@ LEFT JOIN (SELECT CASE WHEN latency_ms < 1000 THEN '<1s' WHEN latency_ms < 3000
 
 
 def trend(spark, sf):
-    long = fx.run_metrics(spark, sf).withColumn("value", F.round("value", 6))
+    long = fx.run_metrics(spark, sf).withColumn("value", settled("value"))
     return runs.run_trend(fx.runs(spark, sf), long, last=4).withColumn("hit_rate_change", F.round("hit_rate_change", 6))
 
 

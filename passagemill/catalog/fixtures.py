@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as tx
 from passagemill.operators import chunk, embed, evaluate, structure, vector_table
+from passagemill.sources.corpus import spread
 
 BASE_URL = "https://example.com/handbook"
 CHUNK_SIZE, CHUNK_OVERLAP, DIMS = 128, 16, 64
 TOP_K = 10
 KS = (1, 3, 5, 10)
-SHINGLE_WORDS = 8
+ANCHOR_WORDS = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat("source", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
         F.col("text").alias("content"),
         "doc_id",
@@ -115,7 +116,7 @@ def including(spark, sf_dir) -> DataFrame:
         .when(kind == 6, F.concat(tag(F.lit("docs/none.md")), tag(F.lit("notes.txt"))))
         .otherwise(F.lit(""))
     )
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("docs/doc-"), n.cast("string"), F.lit(".md")).alias("path"),
         F.concat(F.col("text"), suffix, F.lit("end")).alias("content"),
     )
@@ -147,7 +148,7 @@ def pages(spark, sf_dir) -> DataFrame:
         F.lit('"></p>\n<table>\n<tr><th>id</th><th>n</th></tr>\n<tr><td>'), F.col("page_id").cast("string"),
         F.lit("</td><td>1</td></tr></table>"),
     )
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         F.col("page_id"), F.col("url").alias("path"), F.concat("html", extra).alias("content")
     )
 
@@ -191,27 +192,23 @@ def questions(spark, sf_dir) -> DataFrame:
 def passage_judgments(spark, sf_dir) -> DataFrame:
     """Documents that contain a question's passage: ``question_id, document_path, grade``.
 
-    Found by an equi-join on the hash of the passage's first words against the
-    documents' word shingles and checked on the text; well-rated documents grade 3.
+    Found by an equi-join of the hash of the passage's first words with that of every
+    run of as many words in a document, then checked on the text; well-rated documents grade 3.
     """
-    def key(words):
-        return F.xxhash64(F.array_join(words, " "))
+    def key(words, i):
+        return F.xxhash64(*[F.get(words, i + n) for n in range(ANCHOR_WORDS)])
 
     asked = questions(spark, sf_dir).select(
-        "question_id", "question",
-        key(F.slice(tx.words(F.col("question")), 1, SHINGLE_WORDS)).alias("shingle"),
+        "question_id", "question", tx.let(tx.words(F.col("question")), lambda w: key(w, F.lit(0))).alias("anchor")
     )
-    def shingles(w):
-        return F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE_WORDS + 1, F.lit(1))),
-                lambda i: key(F.slice(w, i, F.lit(SHINGLE_WORDS))),
-            )
-        )
-
     docs = documents(spark, sf_dir).select("path", "doc_id", "content")
-    grams = docs.select("path", F.explode(tx.let(tx.words(F.col("content")), shingles)).alias("shingle"))
-    candidates = grams.join(asked, "shingle").select("path", "question_id", "question")
+    anchors = tx.let(tx.words(F.col("content")), lambda w: F.transform(w, lambda _, i: key(w, i)))
+    candidates = (
+        docs.select("path", F.explode(anchors).alias("anchor"))
+        .join(asked, "anchor")
+        .select("path", "question_id", "question")
+        .distinct()
+    )
     rated = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(3).alias("rated"))
     return (
         candidates.join(docs, "path")
@@ -357,7 +354,7 @@ def question_lines(spark, sf_dir) -> DataFrame:
         .when(kind == 4, F.concat(F.lit('{"id":"only-'), n, F.lit('"}')))
         .otherwise(good)
     )
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("set-"), (F.col("doc_id") % 3).cast("string"), F.lit(".jsonl")).alias("dataset"),
         F.col("doc_id").alias("line_no"),
         line.alias("line"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from passagemill.catalog.fixtures import CHUNK_OVERLAP, CHUNK_SIZE, DIMS, SHINGLE_WORDS, TOP_K
+from passagemill.catalog.fixtures import CHUNK_OVERLAP, CHUNK_SIZE, DIMS, TOP_K
 
 _NL = "chr(10)"
 
@@ -20,8 +20,8 @@ def flat_inline(x: str) -> str:
         (r'\[([^\[\]\n]*)\]\(\s*<?([^\s()>]+)>?(?:\s+"[^"\n]*")?\s*\)', r"\1 (\2)"),
         (r"<((?:https?|mailto):[^\s<>]*)>", r"\1"),
         (r"</?[a-zA-Z][^<>]*>", ""),
-        (r"\*\*([^*\n]+)\*\*", r"\1"),
-        (r"\*([^*\s][^*\n]*)\*", r"\1"),
+        (r"\*\*([^*\s](?:[^*\n]*[^*\s])?)\*\*", r"\1"),
+        (r"\*([^*\s](?:[^*\n]*[^*\s])?)\*", r"\1"),
         (r"~~([^~\n]+)~~", r"\1"),
         (r"`+([^`\n]+)`+", r"\1"),
     ]

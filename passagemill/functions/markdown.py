@@ -40,7 +40,7 @@ _ITEM = r" {0,3}(?:[-*+]|\d{1,9}[.)])(?:[ \t][^\n]*)?$"
 _ITEM_IN_TEXT = r" {0,3}(?:[-*+]|1[.)])[ \t]+\S"
 _SETEXT = r" {0,3}(?:=+|-+)[ \t]*$"
 _DELIMITER = r" {0,3}(?=[^\n]*\|)\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*+\|?[ \t]*$"
-_TABLE_START = r"[^\n]*\|[^\n]*\n" + _DELIMITER
+_TABLE_START = r"[^\n|]*+\|[^\n]*+\n" + _DELIMITER
 
 _BREAKS = "|".join([_BLANK, _ATX, _FENCE_OPEN, _RULE, _QUOTE, _HTML, _ITEM_IN_TEXT])
 _LAZY = r"\n(?!" + _BREAKS + r")[^\n]+"
@@ -71,24 +71,54 @@ def blocks(body: Column) -> Column:
     return F.regexp_extract_all(tx.unix_lines(body), F.lit(_BLOCK), F.lit(0))
 
 
-def flatten_inline(text: Column) -> Column:
-    """Links as ``text (url)``, images as ``alt (url)``, autolinks as url; markers and tags dropped."""
+def _flattened(text: Column) -> Column:
     out = F.regexp_replace(text, r'!\[\]\(\s*<?([^\s()>]+)>?[^()\n]*\)', "$1")
     out = F.regexp_replace(out, r'!\[([^\]\n]*)\]\(\s*<?([^\s()>]+)>?[^()\n]*\)', "$1 ($2)")
     out = F.regexp_replace(out, r"\[([^\[\]\n]*)\]\(\s*\)", "$1")
     out = F.regexp_replace(out, r'\[([^\[\]\n]*)\]\(\s*<?([^\s()>]+)>?(?:\s+"[^"\n]*")?\s*\)', "$1 ($2)")
     out = F.regexp_replace(out, r"<((?:https?|mailto):[^\s<>]*)>", "$1")
     out = F.regexp_replace(out, r"</?[a-zA-Z][^<>]*>", "")
-    out = F.regexp_replace(out, r"\*\*([^*\n]+)\*\*", "$1")
-    out = F.regexp_replace(out, r"\*([^*\s][^*\n]*)\*", "$1")
+    out = F.regexp_replace(out, r"\*\*([^*\s](?:[^*\n]*[^*\s])?)\*\*", "$1")
+    out = F.regexp_replace(out, r"\*([^*\s](?:[^*\n]*[^*\s])?)\*", "$1")
+    out = F.regexp_replace(out, r"(?<!\w)__([^_\s](?:[^_\n]*[^_\s])?)__(?!\w)", "$1")
+    out = F.regexp_replace(out, r"(?<!\w)_([^_\s](?:[^_\n]*[^_\s])?)_(?!\w)", "$1")
     out = F.regexp_replace(out, r"~~([^~\n]+)~~", "$1")
-    out = F.regexp_replace(out, r"`+([^`\n]+)`+", "$1")
-    flat = F.when(text.rlike(r"[\[<*~`]"), out).otherwise(text)
-    return tx.trim_ws(flat)
+    return out
+
+
+# Markup characters inside code spans stand aside as private-use characters while the rest is flattened.
+_MARKUP = "[]()<>*_~!"
+_ASIDE = "".join(chr(0xE000 + i) for i in range(len(_MARKUP)))
+
+
+def _with_code_spans(text: Column) -> Column:
+    pieces = F.regexp_extract_all(text, F.lit(r"`+[^`]++`+|[^`]++|`+"), F.lit(0))
+    shielded = F.transform(
+        pieces,
+        lambda p: F.when(
+            p.rlike(r"^`+[^`]"), F.translate(F.btrim(p, F.lit("`")), _MARKUP, _ASIDE)
+        ).otherwise(p),
+    )
+    return F.translate(_flattened(F.array_join(shielded, "")), _ASIDE, _MARKUP)
+
+
+def flatten_inline(text: Column) -> Column:
+    """Links as ``text (url)``, images as ``alt (url)``, autolinks as url; markers and tags dropped."""
+    return tx.let(
+        text,
+        lambda t: tx.trim_ws(
+            F.when(F.contains(t, F.lit("`")), _with_code_spans(t))
+            .when(t.rlike(r"[\[<*~_]"), _flattened(t))
+            .otherwise(t)
+        ),
+    )
 
 
 def _joined_lines(text: Column) -> Column:
-    return F.regexp_replace(tx.trim_ws(text), r"[ \t\\]*\n\s*", " ")
+    return tx.let(
+        tx.trim_ws(text),
+        lambda t: F.when(F.contains(t, F.lit("\n")), F.regexp_replace(t, r"[ \t\\]*+\n\s*+", " ")).otherwise(t),
+    )
 
 
 def _table_text(block: Column) -> Column:
@@ -131,39 +161,38 @@ def _fenced(block: Column) -> Column:
     return _element(CODE, tx.trim_ws(inner), meta=meta)
 
 
-def to_element(block: Column) -> Column:
-    """Typed element of a block; null for blocks that carry no element."""
+def _anchored(pattern: str) -> str:
+    return r"(?d)\A(?:" + pattern.replace("$", r"(?=\n|\z)") + ")"
+
+
+def _marked_element(block: Column) -> Column:
+    """Element of a block that starts with a marker or holds a table or setext underline."""
     dropped = F.lit(None).cast(ELEMENT)
     heading_text = F.regexp_replace(block, r"^ {0,3}#{1,6}[ \t]*", "")
     heading_text = F.regexp_replace(heading_text, r"(?:^|[ \t])#+[ \t]*$", "")
     list_text = F.regexp_replace(block, r"(?m)^[ \t]*(?:[-*+]|\d{1,9}[.)])(?:[ \t]+|$)", "")
     list_text = F.regexp_replace(list_text, r"(?m)^\[[ xX]\][ \t]+", "")
     quote_text = F.regexp_replace(block, r"(?m)^ {0,3}>[ \t]?", "")
-    setext = r"\n" + _SETEXT
     setext_level = F.when(F.regexp_extract(block, r"\n {0,3}([=-])[=-]*[ \t]*\z", 1) == "=", 1).otherwise(2)
     code_text = F.regexp_replace(block, r"(?m)^(?: {4}|\t)", "")
-
-    def anchored(pattern: str) -> Column:
-        return block.rlike(r"(?d)\A(?:" + pattern.replace("$", r"(?=\n|\z)") + ")")
-
     return (
         F.when(block.rlike(r"\A(?: {4}|\t)"), _element(CODE, tx.trim_ws(code_text)))
-        .when(anchored(_FENCE_OPEN), _fenced(block))
+        .when(block.rlike(_anchored(_FENCE_OPEN)), _fenced(block))
         .when(
-            anchored(_ATX),
+            block.rlike(_anchored(_ATX)),
             _element(
                 HEADING,
                 flatten_inline(heading_text),
                 F.length(F.regexp_extract(block, r"^ {0,3}(#{1,6})", 1)),
             ),
         )
-        .when(anchored(_RULE), dropped)
-        .when(anchored(_QUOTE), _element(PARAGRAPH, flatten_inline(_joined_lines(quote_text))))
-        .when(anchored(_ITEM), _element(LIST_ITEM, flatten_inline(_joined_lines(list_text))))
-        .when(anchored(_HTML), dropped)
-        .when(anchored(_TABLE_START), _element(TABLE, _table_text(block)))
+        .when(block.rlike(_anchored(_RULE)), dropped)
+        .when(block.rlike(_anchored(_QUOTE)), _element(PARAGRAPH, flatten_inline(_joined_lines(quote_text))))
+        .when(block.rlike(_anchored(_ITEM)), _element(LIST_ITEM, flatten_inline(_joined_lines(list_text))))
+        .when(block.rlike(_anchored(_HTML)), dropped)
+        .when(block.rlike(_anchored(_TABLE_START)), _element(TABLE, _table_text(block)))
         .when(
-            block.rlike("(?md)" + setext + r"\z"),
+            block.rlike(r"(?d)\n {0,3}(?:=+|-+)[ \t]*\z"),
             _element(
                 HEADING,
                 flatten_inline(_joined_lines(F.regexp_replace(block, r"\n {0,3}[=-]+[ \t]*\z", ""))),
@@ -174,6 +203,18 @@ def to_element(block: Column) -> Column:
     )
 
 
+# A block needs the full test only if it starts with white space, a digit or a
+# marker, or if it runs over several lines and one of them could be an underline or table row.
+_MAYBE_MARKED = r"\A[\s\d#`~>*+_<|-]|\n *[|:=-]"
+
+
+def to_element(block: Column) -> Column:
+    """Typed element of a block; null for blocks that carry no element."""
+    return F.when(block.rlike(_MAYBE_MARKED), _marked_element(block)).otherwise(
+        _element(PARAGRAPH, flatten_inline(_joined_lines(block)))
+    )
+
+
 def elements(body: Column) -> Column:
     """``array<struct<kind,text,level,meta>>`` of a document body without front matter."""
     parsed = F.transform(blocks(body), to_element)

@@ -167,24 +167,42 @@ def html_to_text(content: Column) -> Column:
 
 # --- front matter -----------------------------------------------------------
 
-# A leading "---" block closed by "---" or "...".
-FRONT_MATTER_PATTERN = r"\A[\r\n]*---[\r\n]+(?:(?!---|\.\.\.)([\s\S]*?)\r?\n)?(?:---|\.\.\.)[ \t]*(?:[\r\n]+|\z)([\s\S]*)\z"
+# The opening mark and the two closing marks.
+FRONT_MATTER_OPEN = "---"
+FRONT_MATTER_CLOSE = ("\n---", "\n...")
+_NEWLINES = "\r\n"
 _ENTRY = r"(?m)^[^\s#][^\n]*(?:\n(?:[ \t]|-[ \t])[^\n]*)*+"
 
 
+def _parts(content: Column) -> Column:
+    """``struct<front_matter, body>``, null fields without a closed leading block.
+
+    Plain string searches: a front matter block is found without running a pattern over the text.
+    """
+    lead = F.ltrim(content, F.lit(_NEWLINES))
+
+    def cut(rest: Column) -> Column:
+        at = [F.instr(rest, mark) for mark in FRONT_MATTER_CLOSE]
+        end = F.least(*[F.when(i > 0, i) for i in at])
+        block = F.btrim(F.substr(rest, F.lit(1), end - 1), F.lit(_NEWLINES))
+        below = F.ltrim(F.substr(rest, end + 4), F.lit(_NEWLINES))
+        return F.struct(block.alias("front_matter"), below.alias("body"))
+
+    opened = tx.let(F.ltrim(F.substr(lead, F.lit(4)), F.lit(_NEWLINES)), cut)
+    return F.when(lead.startswith(FRONT_MATTER_OPEN), opened)
+
+
 def has_front_matter(content: Column) -> Column:
-    return content.rlike(FRONT_MATTER_PATTERN)
+    return _parts(content)["front_matter"].isNotNull()
 
 
 def front_matter(content: Column) -> Column:
     """Raw block between the markers, null without one."""
-    return F.when(has_front_matter(content), F.regexp_extract(content, FRONT_MATTER_PATTERN, 1))
+    return _parts(content)["front_matter"]
 
 
 def body(content: Column) -> Column:
-    return F.when(
-        has_front_matter(content), F.regexp_extract(content, FRONT_MATTER_PATTERN, 2)
-    ).otherwise(content)
+    return F.coalesce(_parts(content)["body"], content)
 
 
 def _entries(block: Column) -> Column:
@@ -196,8 +214,7 @@ def _entry_key(entry: Column) -> Column:
     return F.regexp_replace(F.trim(F.substring_index(entry, ":", 1)), r"^[\"']|[\"']$", "")
 
 
-def _well_formed(block: Column) -> Column:
-    return F.forall(_entries(block), lambda e: e.rlike(r"^[^:\n]+:(?:\s|$)"))
+_PAIR = r"^[^:\n]+:(?:\s|$)"
 
 
 def front_matter_map(block: Column) -> Column:
@@ -218,8 +235,12 @@ def front_matter_map(block: Column) -> Column:
             ),
         )
 
-    parsed = tx.let(F.transform(_entries(block), pair), last_per_key)
-    return F.when(block.isNotNull() & _well_formed(block), parsed)
+    return tx.let(
+        _entries(block),
+        lambda entries: F.when(
+            F.forall(entries, lambda e: e.rlike(_PAIR)), tx.let(F.transform(entries, pair), last_per_key)
+        ),
+    )
 
 
 def inject_source_url(content: Column, url: Column) -> Column:
@@ -228,16 +249,22 @@ def inject_source_url(content: Column, url: Column) -> Column:
     Entries are written sorted by key. A malformed block stays in the text below
     a new block. An empty URL leaves the content alone.
     """
-    block = front_matter(content)
-    usable = F.coalesce(block.isNotNull() & _well_formed(block), F.lit(False))
-    kept = F.when(
-        usable, F.filter(_entries(block), lambda e: _entry_key(e) != "source_url")
-    ).otherwise(F.array().cast("array<string>"))
-    entries = F.array_sort(F.concat(kept, F.array(F.concat(F.lit("source_url: "), url))))
-    rest = F.when(usable, body(content)).otherwise(content)
-    rebuilt = F.concat(
-        F.lit("---\n"), F.array_join(entries, "\n"), F.lit("\n---\n"),
-        F.when(rest != "", F.concat(rest, F.lit("\n"))).otherwise(F.lit("")),
+
+    def rebuild(parts: Column, entries: Column) -> Column:
+        usable = F.coalesce(F.forall(entries, lambda e: e.rlike(_PAIR)), F.lit(False))
+        kept = F.when(usable, F.filter(entries, lambda e: _entry_key(e) != "source_url")).otherwise(
+            F.array().cast("array<string>")
+        )
+        lines = F.array_sort(F.concat(kept, F.array(F.concat(F.lit("source_url: "), url))))
+        rest = F.when(usable, parts["body"]).otherwise(content)
+        return F.concat(
+            F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"),
+            F.when(rest != "", F.concat(rest, F.lit("\n"))).otherwise(F.lit("")),
+        )
+
+    rebuilt = tx.let(
+        _parts(content),
+        lambda parts: tx.let(_entries(parts["front_matter"]), lambda entries: rebuild(parts, entries)),
     )
     return F.when(url.isNull() | (url == ""), content).otherwise(rebuilt)
 

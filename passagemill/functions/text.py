@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode-aware whitespace, so no-break spaces separate words too.
-WHITESPACE = r"(?U)\s+"
+# Fixed value: characters with the Unicode White_Space property.
+WHITE = (
+    " \t\n\u000b\u000c\r\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# An explicit class is matched faster than (?U)\s.
+WHITESPACE = "[" + WHITE + "]+"
 
 
 def words(text: Column) -> Column:
     """Whitespace-separated words without empty entries."""
-    return F.filter(F.split(text, WHITESPACE), lambda w: w != "")
+    # After trimming, only an empty text leaves an empty entry.
+    return F.array_remove(F.split(trim_ws(text), WHITESPACE), "")
 
 
 def let(value: Column, body) -> Column:
@@ -24,7 +30,7 @@ def let(value: Column, body) -> Column:
 
 
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def collapse_ws(text: Column) -> Column:

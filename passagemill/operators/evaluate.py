@@ -7,6 +7,7 @@ and all metrics of a question are expressions on that row. Aggregation is one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -55,36 +56,64 @@ def _share(value: Column, ideal: Column) -> Column:
     return F.when(ideal > 0, value / ideal).otherwise(F.lit(0.0))
 
 
-def hit_at(relevant: Column, k) -> Column:
-    k = F.lit(k) if isinstance(k, int) else k
-    return F.exists(F.slice(relevant, F.lit(1), k), lambda r: r)
-
-
 def rank_first(relevant: Column) -> Column:
     """Position of the first relevant result, 0 if none."""
     return F.array_position(relevant, True).cast("int")
 
 
+def _running(values: Column, zero) -> Column:
+    """Prefix sums with a leading zero: entry k is the sum of the first k values."""
+    start = F.array(F.lit(zero))
+    return F.aggregate(
+        values, start, lambda done, v: F.array_append(done, F.element_at(done, -1) + v)
+    )
+
+
+def _gain_terms(gains: Column, kmax: int) -> Column:
+    return F.transform(
+        F.slice(gains, F.lit(1), F.lit(kmax)),
+        lambda g, i: (F.pow(F.lit(2.0), g) - 1) / F.log2((i + 2).cast("double")),
+    )
+
+
+def with_prefixes(questions: DataFrame, kmax: int) -> DataFrame:
+    """Adds prefix sums over positions (``_found, _dcg, _gdcg, _ideal``), so a metric at any k is a lookup."""
+    fresh = F.zip_with("relevant", "first", lambda r, f: (r & f).cast("int"))
+    gains = F.zip_with("grades", "first", lambda g, f: F.when(f, g).otherwise(F.lit(0)))
+    return questions.withColumn("_fresh", F.slice(fresh, F.lit(1), F.lit(kmax))).select(
+        "*",
+        _running(F.col("_fresh"), 0).alias("_found"),
+        _running(_gain_terms(F.col("_fresh"), kmax), 0.0).alias("_dcg"),
+        _running(_gain_terms(gains, kmax), 0.0).alias("_gdcg"),
+        _running(_gain_terms(F.col("ideal"), kmax), 0.0).alias("_ideal"),
+    )
+
+
+def _at(prefix: str, k: int) -> Column:
+    return F.get(prefix, F.least(F.lit(k), F.size(prefix) - 1))
+
+
 def question_metric(name: str, k: int) -> Column:
-    """Metric of one question at k from ``relevant, first, grades, ideal, n_expected``."""
-    relevant, first, grades, ideal = (F.col(c) for c in ("relevant", "first", "grades", "ideal"))
+    """Metric of one question at k, on rows of :func:`with_prefixes`."""
     n_expected = F.col("n_expected")
-    fresh = F.zip_with(relevant, first, lambda r, f: r & f)
-    found = F.size(F.filter(F.slice(fresh, F.lit(1), F.lit(k)), lambda x: x))
+    found = _at("_found", k)
     if name == "hit_rate":
-        return hit_at(relevant, k).cast("double")
+        return (found > 0).cast("double")
     if name == "precision":
         return found / F.lit(float(k))
     if name == "recall":
         return F.when(n_expected > 0, found / n_expected).otherwise(F.lit(0.0))
     if name == "ndcg":
         # the ideal of the binary form is capped by what was retrieved
-        best = F.least(F.lit(k), F.size(relevant), n_expected).cast("int")
-        ones = F.array_repeat(F.lit(1), best)
-        return _share(dcg(F.transform(fresh, lambda r: r.cast("int")), k), dcg(ones, k))
+        best = F.least(F.lit(k), F.size("relevant"), n_expected)
+        ones, total = [0.0], 0.0
+        for position in range(1, k + 1):
+            total += 1 / math.log2(position + 1)
+            ones.append(total)
+        ideal = F.get(F.array(*[F.lit(x) for x in ones]), best)
+        return _share(_at("_dcg", k), ideal)
     if name == "ndcg_graded":
-        gains = F.zip_with(grades, first, lambda g, f: F.when(f, g).otherwise(F.lit(0)))
-        return _share(dcg(gains, k), dcg(ideal, k))
+        return _share(_at("_gdcg", k), _at("_ideal", k))
     raise ValueError(f"unknown metric: {name}")
 
 
@@ -110,22 +139,35 @@ def score_questions(results: DataFrame, top_k: int) -> DataFrame:
     filled = results.withColumn("retrieved_paths", F.coalesce("retrieved_paths", no_paths)).withColumn(
         "relevance", F.coalesce("relevance", no_judgments)
     )
-    expected = filled.withColumn("expected_paths", expected_paths(F.col("relevance")))
-    scored = expected.select(
-        "*",
-        F.transform("retrieved_paths", lambda p: F.array_contains("expected_paths", p)).alias("relevant"),
-        first_seen(F.col("retrieved_paths")).alias("first"),
-        grades_of(F.col("retrieved_paths"), F.col("relevance")).alias("grades"),
-        F.sort_array(F.transform("relevance", lambda j: j["grade"]), asc=False).alias("ideal"),
-        F.size("expected_paths").alias("n_expected"),
-    )
+
+    def judged(row: Column) -> Column:
+        """All per-position arrays; the inputs are bound, so no lambda recomputes them."""
+        retrieved, relevance = row["retrieved"], row["relevance"]
+        return tx.let(
+            expected_paths(relevance),
+            lambda expected: F.struct(
+                expected.alias("expected_paths"),
+                F.transform(retrieved, lambda p: F.array_contains(expected, p)).alias("relevant"),
+                first_seen(retrieved).alias("first"),
+                grades_of(retrieved, relevance).alias("grades"),
+                F.sort_array(F.transform(relevance, lambda j: j["grade"]), asc=False).alias("ideal"),
+                F.size(expected).alias("n_expected"),
+            ),
+        )
+
+    inputs = F.struct(F.col("retrieved_paths").alias("retrieved"), F.col("relevance"))
+    scored = filled.withColumn("_judged", tx.let(inputs, judged)).select("*", "_judged.*").drop("_judged")
     ks = F.sequence(F.lit(1), F.lit(top_k))
-    return scored.select(
+    ranked = with_prefixes(scored, top_k).withColumn("rank_first", rank_first(F.col("relevant")))
+    helpers = ("_fresh", "_found", "_dcg", "_gdcg", "_ideal")
+    return ranked.select(
         "*",
-        F.map_from_arrays(ks, F.transform(ks, lambda k: hit_at(F.col("relevant"), k))).alias("hit"),
-        rank_first(F.col("relevant")).alias("rank_first"),
+        tx.let(
+            F.col("rank_first"),
+            lambda first: F.map_from_arrays(ks, F.transform(ks, lambda k: (first > 0) & (first <= k))),
+        ).alias("hit"),
         question_metric("ndcg_graded", top_k).alias("ndcg_graded"),
-    )
+    ).drop(*helpers)
 
 
 def score_ranked(
@@ -146,7 +188,7 @@ def score_ranked(
         *expected.columns,
         grades.alias("grades"),
         F.transform(grades, lambda g: g > 0).alias("relevant"),
-        first_seen(paths).alias("first"),
+        tx.let(paths, first_seen).alias("first"),
     )
     return rows.withColumn("rank_first", rank_first(F.col("relevant")))
 
@@ -180,6 +222,8 @@ def aggregate_metrics(
     the columns at hand: rank_first → mrr, answer_score, latency and tokens, failed.
     """
     ks = sorted(set(ks))
+    if not ks or ks[0] < 1:
+        raise ValueError("ks must be positive")
     per_question = [
         question_metric(m, k).alias(f"_{m}_{k}") for m in QUESTION_METRICS for k in ks
     ]
@@ -203,7 +247,7 @@ def aggregate_metrics(
     scalars["n_questions"] = F.count("*").cast("double")
 
     needed = [c for c in ("rank_first", "answer_score", "latency_ms", "prompt_tokens", "completion_tokens", "failed") if c in have]
-    rows = questions.select(*keys, *needed, *per_question)
+    rows = with_prefixes(questions, ks[-1]).select(*keys, *needed, *per_question)
     grouped = getattr(rows, grouping)(*keys).agg(
         *[F.avg(f"_{m}_{k}").alias(f"_{m}_{k}") for m in QUESTION_METRICS for k in ks],
         *[expr.alias(f"_{name}") for name, expr in scalars.items()],

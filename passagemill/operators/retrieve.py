@@ -41,11 +41,11 @@ def _matrix(column, dims: int) -> np.ndarray:
     good = lengths == dims
     if good.all():
         values = column.flatten().to_numpy(zero_copy_only=False)
-        return np.nan_to_num(values.astype(np.float64, copy=False)).reshape(-1, dims)
+        return np.nan_to_num(values.astype(np.float64, copy=False)).reshape(len(column), dims)
     out = np.zeros((len(column), dims))
     if good.any():
         picked = column.filter(pa.array(good))
-        out[good] = picked.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        out[good] = picked.flatten().to_numpy(zero_copy_only=False).reshape(-1, max(dims, 1))
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,19 +31,29 @@ def build_session(app: str = "passagemill", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        named = tempfile.mkdtemp(prefix="passagemill-checkpoint-")
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names for checkpoints; a temporary one only on a local master."""
+    named = (
+        spark.conf.get(CHECKPOINT_CONF, None)
+        or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+        or spark.sparkContext.getCheckpointDir()
+    )
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
+    named = tempfile.mkdtemp(prefix="passagemill-checkpoint-")
     spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike executor-local copies."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Unlike executor-local copies the table outlives lost executors, and unlike an
+    RDD checkpoint its rows are computed once.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/passagemill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

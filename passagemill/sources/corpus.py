@@ -18,6 +18,16 @@ def _relative(root: str):
     return F.substr(name, F.locate(marker, name) + len(marker))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out to all cores where it comes in fewer partitions than there are cores.
+
+    For CPU-heavy row work on small or single-file inputs. A large scan has more
+    partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """Every markdown file below ``root``: ``path, content, size``, one row per file."""
     files = (

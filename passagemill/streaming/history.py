@@ -10,14 +10,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 OUTPUT_SCHEMA = "conv_id long, turn long, user_text string, assistant_text string, age int"
 STATE_SCHEMA = "turn long, user_text string, assistant_text string"
-PENDING_SCHEMA = "turn long, text string"
+PENDING_SCHEMA = "turn long, role string, text string"
 
 
 class TurnBuffer(StatefulProcessor):
     """Keeps the newest ``max_turns`` turns per conversation and drops idle conversations.
 
-    A user message waits for the assistant message that follows it, also across
-    micro-batches. Output (update mode) is a conversation's buffer after each
+    A message waits for its counterpart, in either order and across micro-batches; at
+    most ``max_turns`` messages per role wait, so the state of a key is bounded. Output (update mode) is a conversation's buffer after each
     batch that touched it. With ``idle_ms`` an event-time timer clears a
     conversation that saw nothing for that long.
     """
@@ -32,33 +32,34 @@ class TurnBuffer(StatefulProcessor):
         self.open = handle.getListState("open", PENDING_SCHEMA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        asked = {t: text for t, text in self.open.get()} if self.open.exists() else {}
-        replies: dict[int, str] = {}
+        # messages whose counterpart has not come yet, by role and the turn of the user message
+        waiting: dict[str, dict[int, str]] = {"user": {}, "assistant": {}}
+        if self.open.exists():
+            for turn, role, text in self.open.get():
+                waiting[role][turn] = text
         latest = None
         for pdf in rows:
             for row in pdf.itertuples(index=False):
-                if row.role == "user":
-                    asked[int(row.turn)] = row.text
-                elif row.role == "assistant":
-                    replies[int(row.turn) - 1] = row.text
+                if row.role in waiting:
+                    waiting[row.role][int(row.turn) - (row.role == "assistant")] = row.text
             if self.idle_ms is not None and len(pdf):
                 seen = pdf["ts"].max()
                 latest = seen if latest is None else max(latest, seen)
         buffer = {t: (u, a) for t, u, a in self.turns.get()} if self.turns.exists() else {}
-        for turn, reply in replies.items():
-            if turn in asked:
-                buffer[turn] = (asked.pop(turn), reply)
+        for turn in waiting["user"].keys() & waiting["assistant"].keys():
+            buffer[turn] = (waiting["user"].pop(turn), waiting["assistant"].pop(turn))
         kept = sorted(buffer)[-self.max_turns :]
-        self.turns.put([(t, *buffer[t]) for t in kept])
-        if asked:
-            newest = max(asked)
-            self.open.put([(newest, asked[newest])])
-        else:
-            self.open.clear()
+        self._store(self.turns, [(t, *buffer[t]) for t in kept])
+        self._store(
+            self.open,
+            [(t, role, texts[t]) for role, texts in waiting.items() for t in sorted(texts)[-self.max_turns :]],
+        )
         if latest is not None:
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(int(latest.timestamp() * 1000) + self.idle_ms)
+        if not kept:
+            return
         yield pd.DataFrame(
             {
                 "conv_id": [key[0]] * len(kept),
@@ -69,10 +70,17 @@ class TurnBuffer(StatefulProcessor):
             }
         )
 
+    @staticmethod
+    def _store(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.turns.clear()
         self.open.clear()
-        yield pd.DataFrame(columns=["conv_id", "turn", "user_text", "assistant_text", "age"])
+        yield from ()
 
     def close(self) -> None:
         pass
