@@ -255,7 +255,7 @@ def order_results(spark, sf_dir) -> DataFrame:
         F.count("*").alias("completion_tokens"),
     )
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"))
         .join(evaluate.collect_results(ranked, "o_orderkey"), "o_orderkey", "left")
         .join(judged, "o_orderkey", "left")
         .join(signals, "o_orderkey", "left")
@@ -307,7 +307,7 @@ def jobs(spark, sf_dir) -> DataFrame:
         k % 7 + 1,
     )
     final = state.isin("completed", "cancelled", "discarded")
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("id"),
         F.when(F.col("event_type").isin("click", "view"), "eval")
         .when(F.col("event_type") == "purchase", "index")

@@ -172,15 +172,28 @@ def expand_includes(docs: DataFrame, max_depth: int = MAX_INCLUDE_DEPTH) -> Data
     Returns ``(path, content)``. A document already being expanded on the current
     chain yields nothing, a missing or non-markdown target leaves the tag.
 
-    Text travels as ordered segment rows. Each round joins the open include
-    segments to the corpus by path; finished segments are set aside, so a round
-    costs as much as its open segments. Documents without includes never shuffle.
-    Rounds are cut by a reliable checkpoint.
+    Text travels as ordered segment rows. Documents that something includes are
+    picked out once, already cut into segments; each round joins the open include
+    segments to them by path, and AQE splits a target that very many documents
+    include. Finished segments are set aside, so a round costs as much as its open
+    ones, and documents without includes never shuffle. Each round is written to
+    the checkpoint folder once.
     """
     docs = docs.select("path", "content")
     has_include = F.col("content").rlike(mk.INCLUDE_PATTERN)
     plain = docs.filter(~has_include)
-    corpus = docs.select(F.col("path").alias("target"), F.col("content").alias("included"))
+    named = F.regexp_extract_all("content", F.lit(mk.INCLUDE_PATTERN), F.lit(1))
+    targets = (
+        docs.filter(has_include)
+        .select(F.explode(F.transform(named, tx.clean_path)).alias("path"))
+        .filter(tx.is_markdown(F.col("path")))
+        .distinct()
+    )
+    library = cut_lineage(
+        docs.join(targets, "path", "left_semi").select(
+            F.col("path").alias("lookup"), _segments(F.col("content")).alias("included")
+        )
+    )
 
     seg = F.col("seg")
     opened = (
@@ -196,36 +209,36 @@ def expand_includes(docs: DataFrame, max_depth: int = MAX_INCLUDE_DEPTH) -> Data
         )
     )
     finished = [opened.filter("target is null").select("path", "sort_key", "text")]
-    pending = opened.filter("target is not null")
+    pending = cut_lineage(opened.filter("target is not null"))
     for _ in range(max_depth + 1):
-        pending = cut_lineage(pending)
         if pending.isEmpty():
             break
         seen = F.array_contains("visited", F.col("target"))
         lookup = F.when(~seen & tx.is_markdown(F.col("target")), F.col("target"))
-        joined = pending.withColumn("lookup", lookup).join(
-            corpus.withColumnRenamed("target", "lookup"), "lookup", "left"
-        )
+        joined = pending.withColumn("lookup", lookup).join(library, "lookup", "left")
         # a chain that comes back to an open document ends with empty text
-        finished.append(
-            joined.filter(F.col("included").isNull()).select(
-                "path", "sort_key", F.when(seen, F.lit("")).otherwise(F.col("text")).alias("text")
-            )
+        closed = F.struct(
+            F.lit(None).cast("int").alias("at"),
+            F.when(seen, F.lit("")).otherwise(F.col("text")).alias("text"),
+            F.lit(None).cast("string").alias("target"),
         )
-        grown = (
-            joined.filter(F.col("included").isNotNull())
-            .select("path", "sort_key", "target", "visited", F.explode(_segments(F.col("included"))).alias("seg"))
+        rows = F.when(F.col("included").isNull(), F.array(closed)).otherwise(F.col("included"))
+        # the round is written once; its finished and its open rows are both read from there
+        step = cut_lineage(
+            joined.select("path", "sort_key", "target", "visited", F.explode(rows).alias("seg"))
             .filter(seg["text"].isNotNull())
             .select(
                 "path",
-                F.concat("sort_key", F.array(seg["at"])).alias("sort_key"),
+                F.when(seg["at"].isNull(), F.col("sort_key"))
+                .otherwise(F.concat("sort_key", F.array(seg["at"])))
+                .alias("sort_key"),
                 seg["text"].alias("text"),
                 seg["target"].alias("target"),
                 F.concat("visited", F.array("target")).alias("visited"),
             )
         )
-        finished.append(grown.filter("target is null").select("path", "sort_key", "text"))
-        pending = grown.filter("target is not null")
+        finished.append(step.filter("target is null").select("path", "sort_key", "text"))
+        pending = step.filter("target is not null")
     else:
         finished.append(pending.select("path", "sort_key", "text"))
 

@@ -58,13 +58,8 @@ def clear(messages: DataFrame, ids: DataFrame) -> DataFrame:
 def purge_idle(table: DataFrame, key: str, ts: str, threshold: str, now: Column | None = None) -> DataFrame:
     """Rows of keys used within ``threshold`` of ``now`` (default: the newest time in the table)."""
     last = table.groupBy(key).agg(F.max(ts).alias("_last"))
-    if now is None:
-        # one row; the broadcast is a single timestamp
-        clock = last.agg(F.max("_last").alias("_now")).withColumn("_one", F.lit(1))
-        last = last.withColumn("_one", F.lit(1)).join(F.broadcast(clock), "_one").drop("_one")
-    else:
-        last = last.withColumn("_now", now)
-    idle = last.filter(F.col("_last") < F.col("_now") - F.expr(f"interval {threshold}"))
+    clock = table.agg(F.max(ts)).scalar() if now is None else now
+    idle = last.filter(F.col("_last") < clock - F.expr(f"interval {threshold}"))
     return table.join(idle.select(key), key, "left_anti")
 
 

@@ -56,9 +56,8 @@ def list_jobs(jobs: DataFrame, kind: str = "", states: str = "", limit: int = 20
     wanted = [known[s.strip()] for s in states.split(",") if s.strip() in known]
     if wanted:
         chosen = chosen.filter(F.col("state").isin(*wanted))
-    total = chosen.agg(F.count("*").alias("total")).withColumn("_one", F.lit(1))
-    page = chosen.orderBy("id").offset(offset).limit(limit).withColumn("_one", F.lit(1))
-    return page.join(total, "_one").select(
+    page = chosen.orderBy("id").offset(offset).limit(limit)
+    return page.withColumn("total", chosen.agg(F.count("*")).scalar()).select(
         "id",
         "kind",
         shown_state(F.col("state")).alias("state"),

@@ -38,9 +38,8 @@ def list_runs(runs: DataFrame, questions: DataFrame, limit: int = 20, offset: in
 
 
 def _with_total(page: DataFrame, table: DataFrame, name: str) -> DataFrame:
-    """Attach a table's row count; both sides of the join are one page and one row."""
-    total = table.agg(F.count("*").alias(name)).withColumn("_one", F.lit(1))
-    return page.withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+    """Attach a table's row count as a scalar subquery."""
+    return page.withColumn(name, table.agg(F.count("*")).scalar())
 
 
 def run_detail(runs: DataFrame, questions: DataFrame, run_id: str, limit: int = 50, offset: int = 0) -> DataFrame:

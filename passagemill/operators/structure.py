@@ -32,6 +32,10 @@ def parse_plain(docs: DataFrame) -> DataFrame:
 
 def explode_elements(parsed: DataFrame) -> DataFrame:
     """One row per element with its document's metadata: ``path, metadata, pos, kind, text, level, meta``."""
-    return parsed.select(
-        "path", "metadata", F.posexplode("elements").alias("pos", "element")
-    ).select("path", "metadata", "pos", "element.*")
+    # The outer form keeps the optimizer from adding a non-empty test on the array
+    # below the explode, which would parse every document a second time.
+    return (
+        parsed.select("path", "metadata", F.posexplode_outer("elements").alias("pos", "element"))
+        .filter(F.col("pos").isNotNull())
+        .select("path", "metadata", "pos", "element.*")
+    )

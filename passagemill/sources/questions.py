@@ -28,15 +28,8 @@ def parse_questions(lines: DataFrame, skip: int = 0) -> DataFrame:
         & (F.coalesce(q["question"], F.lit("")) != "")
     )
     if skip > 0:
-        last = (
-            valid.select("line_no").orderBy("line_no").limit(skip)
-            .agg(F.max("line_no").alias("_last"))
-            .withColumn("_one", F.lit(1))
-        )
-        # one-row side
-        valid = valid.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").filter(
-            F.col("line_no") > F.col("_last")
-        ).drop("_one", "_last")
+        last = valid.select("line_no").orderBy("line_no").limit(skip).agg(F.max("line_no")).scalar()
+        valid = valid.filter(F.col("line_no") > last)
     return valid.select(*[c for c in lines.columns if c != "line"], "q.*")
 
 
