@@ -11,7 +11,8 @@ from passagemill.functions import text as tx
 from passagemill.operators import chunk, clean, structure, verify
 from passagemill.plans.clean_job import clean_corpus
 from passagemill.plans.registry import CHUNKERS
-from passagemill.sources import corpus, questions
+from passagemill.session import checkpoint_folder
+from passagemill.sources import corpus, questions, tables
 
 QUERIES = {}
 
@@ -421,4 +422,32 @@ def dispatched(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-add("k13_strategy_dispatch", dispatched)
+_DEFAULTS = f"""SELECT document_path, count(*) AS n, 'fixed' AS strategy FROM (SELECT regexp_replace(chunk_id, '-chunk-.*$', '') AS document_path FROM fixed_default) GROUP BY 1
+UNION ALL SELECT path, CASE WHEN len({q.words('content')}) <= 512 THEN 1 ELSE
+  list_sum(list_transform(xs, lambda x: CASE WHEN len({q.words('x')}) <= 512 THEN 1 ELSE 1 + ceil((len({q.words('x')}) - 512) / 410)::BIGINT END))::BIGINT END, 'recursive' FROM (
+  SELECT path, content, list_filter(list_transform(regexp_extract_all(content, '[^.!?\\n]+[.!?]+[\\s\\n]*|[^\\n]+'), lambda x: {_WS('x')}), lambda x: x <> '') AS xs FROM docs) WHERE len({q.words('content')}) > 0"""
+add("k13_strategy_dispatch", dispatched, q.query(_DEFAULTS, "docs", extra={"fixed_default": windows_sql(512, 448)}))
+
+# --- written tables -----------------------------------------------------------------
+
+
+def scratch(spark, name):
+    """A new folder below the shared checkpoint folder."""
+    import uuid
+
+    return f"{checkpoint_folder(spark).rstrip('/')}/passagemill-{name}-{uuid.uuid4().hex}"
+
+
+def written_corpus(spark, sf):
+    """The cleaned corpus written under two tags, one deleted again, the other read back."""
+    path = scratch(spark, "corpus")
+    cleaned = clean_corpus(fx.tagged(spark, sf))
+    tables.write_clean_corpus(cleaned, path, "kept")
+    tables.write_clean_corpus(cleaned.select("path", F.lit("old").alias("content"), "size", "source_url"), path, "gone")
+    tables.delete_artifact(spark, path, "gone")
+    kept = tables.read_clean_corpus(spark, path, "kept")
+    left_over = tables.read_clean_corpus(spark, path, "gone")
+    return kept.unionByName(left_over).select("path", "content")
+
+
+add("w1_w10_written_corpus", written_corpus, q.query("SELECT path, body AS content FROM cleaned", "tagged", extra={"cleaned": _CLEANED}))

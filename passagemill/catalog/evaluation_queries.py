@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from passagemill.catalog import fixtures as fx
 from passagemill.catalog import sql as q
+from passagemill.catalog.corpus_queries import scratch
 from passagemill.operators import evaluate, history, jobs, retrieve, runs
 from passagemill.plans.registry import RETRIEVERS
 from passagemill.sources import tables
@@ -357,6 +358,33 @@ FROM per_question p LEFT JOIN (SELECT o_orderkey, count(*) FILTER (grade > 0) AS
     "per_question", "relevance"))
 
 
+def written_runs(spark, sf):
+    """Runs created, results and metrics written twice, one run deleted, the rest read back."""
+    path = scratch(spark, "runs")
+    rows = fx.scored_orders(spark, sf)
+    for _ in range(2):
+        tables.write_results(rows, f"{path}/results")
+        tables.write_metrics(evaluate.aggregate_metrics(rows, fx.KS), f"{path}/metrics")
+    tables.delete_run(spark, BASE, f"{path}/results", f"{path}/metrics")
+    stored = tables.decode_results(spark.read.parquet(f"{path}/results"))
+    found = stored.groupBy("run_id").agg(
+        F.count("*").alias("questions"), F.sum(F.size("expected_paths")).alias("n_expected")
+    )
+    hits = spark.read.parquet(f"{path}/metrics").filter("metric = 'hit_rate' and k = 5").select("run_id", "value")
+    made = [tables.new_run(spark, "t", {"k": 5}, v).select("run_id") for v in ("a", "a", "b")]
+    n_ids = made[0].union(made[1]).union(made[2]).distinct().agg(F.count("*")).scalar()
+    return found.join(hits, "run_id").select(
+        "run_id", "questions", "n_expected", settled("value").alias("hit_rate_5"), n_ids.alias("run_ids")
+    )
+
+
+add("w6_w8_written_runs", written_runs, q.query(
+    f"""SELECT e.run_id, count(*) AS questions, sum(coalesce(v.n, 0))::BIGINT AS n_expected, any_value(h.value) AS hit_rate_5, 2 AS run_ids
+FROM eval_rows e LEFT JOIN (SELECT o_orderkey, count(*) FILTER (grade > 0) AS n FROM relevance GROUP BY 1) v USING (o_orderkey)
+JOIN (SELECT run_id, round(1e-9 + avg(hit_rate), 6) AS value FROM per_k WHERE k = 5 GROUP BY 1) h ON h.run_id = e.run_id
+WHERE e.run_id <> '{BASE}' GROUP BY e.run_id""", "per_k", "eval_rows", "relevance"))
+
+
 def deleted_run(spark, sf):
     ids = fx.runs(spark, sf).filter(F.substring("run_id", 1, 1).isin("2", "4")).select("run_id")
     left = runs.delete_runs(fx.scored_orders(spark, sf), ids)
@@ -469,6 +497,36 @@ def prompts(spark, sf):
     return history.prompt_rows(talk, by_conversation)
 
 
+
+
+def streamed_turns(spark, sf):
+    """The conversations table read as a stream into bounded per-conversation buffers."""
+    from passagemill.streaming.history import history_stream
+
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    path = scratch(spark, "turns")
+    arriving = spark.readStream.schema(fx.messages(spark, sf).schema).option(
+        "pathGlobFilter", "conversations.parquet"
+    ).parquet(sf)
+
+    def keep(batch, batch_id):
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/out/n={batch_id}")
+
+    (
+        history_stream(arriving, max_turns=2).writeStream.outputMode("update").foreachBatch(keep)
+        .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+    )
+    out = spark.read.parquet(f"{path}/out")
+    newest = out.groupBy("conv_id").agg(F.max("batch").alias("batch"))
+    return out.join(newest, ["conv_id", "batch"]).select("conv_id", "turn", "user_text", "assistant_text", "age")
+
+
+add("h7_streamed_turns", streamed_turns, q.query(
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM turns) WHERE age <= 2", "turns"))
+
 _URL = "CASE WHEN ends_with(document_path, '1.md') THEN 'https://example.com/'||document_path ELSE document_path END"
 add("h6_prompts", prompts, q.query(
     f"""SELECT conv_id, 0 AS section, 0 AS position, 'system' AS role, '{history.SYSTEM_LINE}' AS text FROM conversations GROUP BY conv_id

@@ -10,8 +10,12 @@ from passagemill.functions import ids
 from passagemill.functions import vectors as vx
 from passagemill.operators import embed, retrieve
 from passagemill.operators import vector_table as vt
+from passagemill.catalog.corpus_queries import scratch
 from passagemill.plans.index_job import plan_index
 from passagemill.plans.registry import RETRIEVERS
+from passagemill.sources import tables
+from passagemill.sources.corpus import spread
+from passagemill.streaming.ingest import index_stream
 
 QUERIES = {}
 
@@ -329,3 +333,31 @@ for _style, _lead, _gap in (("evaluation", "chr(10)||'Content:'||chr(10)", "chr(
         lambda s, d, st=_style: retrieve.assemble_context(with_url(retrieved(s, d, ["document_path", "content"])), st, "question_id"),
         q.query(f"""SELECT question_id, string_agg('Document: '||coalesce({_URL}, document_path)||{_lead}||content, {_gap} ORDER BY rank) AS context
 FROM retrieved GROUP BY question_id""", "retrieved"))
+
+
+# --- streaming ------------------------------------------------------------------------
+
+
+def streamed_index(spark, sf):
+    """The documents table read as a stream and indexed batch by batch into a points table."""
+    path = scratch(spark, "index")
+    schema = fx.table(spark, sf, "documents").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+
+    def prepare(batch):
+        return spread(batch).select(
+            F.concat("source", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
+            F.col("text").alias("content"),
+        )
+
+    index_stream(
+        arriving, f"{path}/points", "live", embed.md5_bag_of_words(fx.DIMS), "md5-bag-of-words", f"{path}/progress",
+        prepare=prepare, parser="plain", chunk_config={"size": fx.CHUNK_SIZE, "overlap": fx.CHUNK_OVERLAP},
+    ).awaitTermination()
+    return tables.read_points(spark, f"{path}/points", "live").select(
+        "point_id", "chunk_id", "content", F.size("vector").alias("dims")
+    )
+
+
+add("x7_incremental_index", streamed_index, q.query(
+    f"SELECT {q.uuid5('chunk_id')} AS point_id, chunk_id, content, {fx.DIMS} AS dims FROM chunks", "chunks"))

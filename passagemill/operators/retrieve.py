@@ -22,7 +22,8 @@ from passagemill.functions import vectors as vx
 SCORE_DIGITS = 9
 # Up to this many queries are sent to every task; beyond it both sides are partitioned.
 MAX_BROADCAST_QUERIES = 4096
-POINTS_PER_BLOCK = 100_000
+# Vector values of one point block (64 MB as doubles) and scores of one product.
+_VALUES_PER_BLOCK = 8_000_000
 _CELLS_PER_PRODUCT = 8_000_000
 
 # Rerank settings.
@@ -135,6 +136,7 @@ def top_k(
     query_vector: str = "query_vector",
     carry: Sequence[str] = (),
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+    point_blocks: int | None = None,
 ) -> DataFrame:
     """The k closest points per query: ``query_id, <id>, score, rank`` and the carried columns.
 
@@ -142,6 +144,9 @@ def top_k(
     smaller id. A query block of at most ``max_broadcast_queries`` rows goes to every
     task and points are only scanned; a larger query table is cut into hash blocks,
     points are repeated once per query block, and block pairs are scored by a cogroup.
+    The number of point blocks follows from a count of the points, so that a block
+    fits in memory; give ``point_blocks`` to save the count. Search a written points
+    table rather than a plan that still has to embed.
     """
     distance = vx.distance_name(distance)
     carry = list(carry)
@@ -178,17 +183,20 @@ def top_k(
 
         local = points.mapInArrow(scan, schema)
     else:
-        local = _blockwise(points, queries, schema, running, id_col, query_id, max_broadcast_queries)
+        dims = max((len(v) for v in block.column(query_vector).to_pylist() if v is not None), default=1)
+        if point_blocks is None:
+            point_blocks = -(-points.count() * max(dims, 1) // _VALUES_PER_BLOCK)
+        query_blocks = -(-queries.count() // max_broadcast_queries)
+        local = _blockwise(
+            points, queries, schema, running, id_col, query_id, query_blocks, max(1, point_blocks)
+        )
 
     towards = F.desc("score") if vx.HIGHER_IS_CLOSER[distance] else F.asc("score")
     window = Window.partitionBy(query_id).orderBy(towards, F.asc(id_col))
     return local.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def _blockwise(points, queries, schema, running, id_col, query_id, block_rows) -> DataFrame:
-    n_queries, n_points = queries.count(), points.count()
-    query_blocks = -(-n_queries // block_rows)
-    point_blocks = max(1, -(-n_points // POINTS_PER_BLOCK))
+def _blockwise(points, queries, schema, running, id_col, query_id, query_blocks, point_blocks) -> DataFrame:
     left = points.select(
         "*",
         F.pmod(F.xxhash64(id_col), F.lit(point_blocks)).alias("_pb"),

@@ -56,18 +56,20 @@ def index_candidates(docs: DataFrame, max_bytes: int = MAX_INDEX_BYTES) -> DataF
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files: ``dataset, line_no, line``.
+    """Lines of ``.jsonl`` files: ``dataset, size, modified, line_no, line``.
 
-    A file is one row until the explode, which numbers its lines; question files
-    are small next to the corpus. Tables that already carry line numbers go
-    straight to the operators.
+    Files are split like any text input. ``line_no`` orders the lines of a file: the
+    start of the split a line was read from, then its order within the split.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("dataset"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"),
-        F.posexplode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("line_no", "line"),
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path)
+    return lines.select(
+        F.col("_metadata.file_name").alias("dataset"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")
+        ).alias("line_no"),
+        F.col("value").alias("line"),
     )
 
 

@@ -57,10 +57,18 @@ def validate_datasets(lines: DataFrame) -> DataFrame:
 
 
 def dataset_catalogue(lines: DataFrame) -> DataFrame:
-    """``name, size, question_count`` per dataset; the count is 0 for an invalid dataset."""
-    sizes = lines.groupBy("dataset").agg(
-        F.sum(tx.byte_size(F.col("line")) + 1).alias("size")
-    )
+    """``name, size, question_count`` per dataset; the count is 0 for an invalid dataset.
+
+    Size and modification time (``modified``) are the file's where the lines carry
+    them, else the size is that of the lines with their line ends.
+    """
+    from_file = "size" in lines.columns
+    size = F.max("size") if from_file else F.sum(tx.byte_size(F.col("line")) + 1)
+    extra = [F.max("modified").alias("modified")] if "modified" in lines.columns else []
+    sizes = lines.groupBy("dataset").agg(size.alias("size"), *extra)
     return sizes.join(validate_datasets(lines), "dataset", "left").select(
-        F.col("dataset").alias("name"), "size", F.coalesce("question_count", F.lit(0)).alias("question_count")
+        F.col("dataset").alias("name"),
+        "size",
+        *(["modified"] if extra else []),
+        F.coalesce("question_count", F.lit(0)).alias("question_count"),
     )

@@ -41,8 +41,8 @@ def test_question_files(spark, tmp_path):
     assert [r.id for r in got] == ["2"]
     checked = {r.dataset: (r.question_count, r.bad_line) for r in questions.validate_datasets(lines).collect()}
     assert checked == {"good.jsonl": (3, None), "bad.jsonl": (None, 2)}
-    listed = {r.name: r.question_count for r in questions.dataset_catalogue(lines).collect()}
-    assert listed == {"good.jsonl": 3, "bad.jsonl": 0}
+    listed = {r.name: (r.question_count, r.size) for r in questions.dataset_catalogue(lines).collect()}
+    assert listed == {f"{n}.jsonl": (c, (tmp_path / f"{n}.jsonl").stat().st_size) for n, c in (("good", 3), ("bad", 0))}
 
 
 def test_clean_corpus_table(spark, tmp_path):
