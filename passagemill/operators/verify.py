@@ -57,20 +57,29 @@ def report(source: DataFrame, output: DataFrame) -> DataFrame:
     :func:`path_differences`, since their number is not bounded.
     """
     content = F.col("content")
-    src = _markdown(source).agg(
-        F.count("*").alias("src_n"), F.coalesce(F.sum(tx.byte_size(content)), F.lit(0)).alias("src_bytes")
+    flags = {
+        "n_tags": content.rlike(mk.LEFTOVER_TAG_PATTERN),
+        "n_html": content.rlike(mk.RAW_HTML_PATTERN),
+        "n_small": F.octet_length(content) < MIN_CONTENT_BYTES,
+    }
+    src = _markdown(source).select("path", F.lit(1).alias("src_n"), tx.byte_size(content).alias("src_bytes"))
+    dst = _markdown(output).select(
+        "path",
+        F.lit(1).alias("dst_n"),
+        tx.byte_size(content).alias("dst_bytes"),
+        *[test.cast("int").alias(name) for name, test in flags.items()],
     )
-    dst = _markdown(output).agg(
-        F.count("*").alias("dst_n"),
-        F.coalesce(F.sum(tx.byte_size(content)), F.lit(0)).alias("dst_bytes"),
-        F.count_if(content.rlike(mk.LEFTOVER_TAG_PATTERN)).alias("n_tags"),
-        F.count_if(content.rlike(mk.RAW_HTML_PATTERN)).alias("n_html"),
-        F.count_if(F.octet_length(content) < MIN_CONTENT_BYTES).alias("n_small"),
+    # Each table is read once; only paths and numbers are shuffled.
+    numbers = ["src_n", "src_bytes", "dst_n", "dst_bytes", *flags]
+    by_path = (
+        src.unionByName(dst, allowMissingColumns=True)
+        .groupBy("path")
+        .agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers])
+    )
+    facts = by_path.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers],
+        F.count_if((F.col("src_n") == 0) | (F.col("dst_n") == 0)).alias("n_diff"),
     )
-    diff = path_differences(source, output).agg(F.count("*").alias("n_diff"))
-    # three one-row inputs folded into one row
-    stacked = src.unionByName(dst, allowMissingColumns=True).unionByName(diff, allowMissingColumns=True)
-    facts = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
     ratio = F.col("dst_bytes") / F.nullif(F.col("src_bytes"), F.lit(0))
     sized = F.when(F.col("src_bytes") > 0, ratio.between(*SIZE_RATIO)).otherwise(F.col("dst_bytes") > 0)
