@@ -39,7 +39,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     that agree in doc_id and text count as one place and are treated alike.
 
     Only hashes are shuffled to find repeated windows (sums per hash before the exchange); the
-    texts move once, in the last join, unless the marks are small enough to send around.
+    texts move once, in the last join, by the same plan whatever the number of marks.
     """
     text = F.col("row.text")
     keyed = packed(docs).select(
@@ -89,7 +89,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         ),
     )
     joined = keyed.join(
-        marks, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("k1") == F.col("m_k1")) & (F.col("k2") == F.col("m_k2")), "left"
+        marks.hint("merge"), F.col("id").eqNullSafe(F.col("m_id")) & (F.col("k1") == F.col("m_k1")) & (F.col("k2") == F.col("m_k2")), "left"
     )
     added = ["text", "n_chars", "n_lines", "n_removed"]
     out = joined.select(
