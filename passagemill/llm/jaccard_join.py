@@ -18,7 +18,7 @@ PERCENT = 75
 CHARS_PER_FRAGMENT = 12_000_000
 LEAST_FRAGMENTS = 64
 FLUSH = 1_000_000
-RANGES = 16
+RANGES = 4
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def _linked(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     fragment by fragment and summed per pair, so no document travels in one piece.
     """
     place = F.struct(
-        F.col("s.class").alias("class"), (F.shiftright(F.col("s.key"), 60) + RANGES // 2).cast("int").alias("range")
+        F.col("s.class").alias("class"), F.floor(F.col("s.key") / (2.0**64 / RANGES)).cast("int").alias("range")
     )
     cut = (
         ordered.select("node", "n", F.explode("shared").alias("s"))
@@ -192,25 +192,34 @@ def _leaders(prefixes: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of documents in different components that share a prefix key and may link.
+    """``x, y, keys``: documents in different components that share prefix keys and may link.
 
-    In each key's group the largest component is not paired within itself: documents of the others are
-    paired with the whole group, so a group that has become one component costs nothing.
+    In each key's group the largest component is not paired within itself: documents ``x`` of the others
+    are paired with the whole group, so a group that has become one component costs nothing.
     """
     placed = prefixes.join(labels, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     parts = placed.groupBy("key", "part").count()
     largest = parts.groupBy("key").agg(F.max(F.struct("count", "part")).alias("top"), F.count(F.lit(1)).alias("parts"))
     open_keys = cut_lineage(largest.filter("parts > 1").select("key", F.col("top.part").alias("main")))
     rows = cut_lineage(placed.join(open_keys, "key"))
-    one = rows.filter("part <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "part")])
-    other = rows.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "part")], "main")
-    differ = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-    fits = _may_link(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"), percent)
-    met = one.join(other, "key").filter(differ & fits)
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    one = rows.filter("part <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "pos", "part")])
+    other = rows.select("key", *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "pos", "part")])
+    fits = _may_link(F.col("n_x"), F.col("pos_x"), F.col("n_y"), F.col("pos_y"), percent)
+    met = one.join(other, "key").filter((F.col("part_x") != F.col("part_y")) & fits)
+    return met.groupBy(F.col("node_x").alias("x"), F.col("node_y").alias("y")).agg(F.count(F.lit(1)).alias("keys"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 2) -> DataFrame:
+def _nearest_across(met: DataFrame) -> DataFrame:
+    """For each ``x`` the one ``y`` with which it shares most prefix keys."""
+    top = met.groupBy("x").agg(F.max(F.struct("keys", (-F.col("y")).alias("against"))).alias("top"))
+    return top.select(F.col("x").alias("a"), (-F.col("top.against")).alias("b"))
+
+
+def _either_way(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row.
 
     A document's set is its distinct five-word shingles (fewer words: the whole sequence; none: empty and
@@ -222,9 +231,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 2) ->
     2. All sets are cut by key range; a range counts which keys only one row has, and the counts are
        summed per document. With more than 1 - ``percent`` of its keys its own, a document has no link.
     3. The keys of the others get a global order, rare ones first. Documents are tried against the
-       leader they share most prefix keys with; then against those of other components with which
-       they share any prefix key and may reach the similarity. Overlaps are counted per fragment of
-       the order and summed per pair. Documents of one component need no further pair.
+       leader they share most prefix keys with; then against the nearest one of another component; then
+       against all of other components with which they share any prefix key and may reach the
+       similarity. Overlaps are counted per fragment of the order and summed per pair. Documents of
+       one component need no further pair.
 
     Rows with a null doc_id have their n_shingles and no component; they link to nothing. Rows that share a
     doc_id are one document with all of their shingles. Large groups are summed before every exchange.
@@ -241,8 +251,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, rounds: int = 2) ->
     ordered = cut_lineage(_ordered(sets))
     prefixes = cut_lineage(_prefixes(ordered, percent))
     links = cut_lineage(_linked(_leaders(prefixes, percent), ordered, percent))
-    labels = cut_lineage(components(links).withColumnRenamed("node", "node"))
-    more = cut_lineage(_linked(cut_lineage(_across(prefixes, labels, percent)), ordered, percent))
+    met = cut_lineage(_across(prefixes, cut_lineage(components(links)), percent))
+    links = links.unionByName(cut_lineage(_linked(_nearest_across(met), ordered, percent)))
+    met = cut_lineage(_across(prefixes, cut_lineage(components(links)), percent))
+    more = cut_lineage(_linked(_either_way(met), ordered, percent))
     # A row's doc_id and its class's smallest one are the same document's names.
     same = named.join(classes, "digest").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     final = components(links.unionByName(more).unionByName(same.distinct()))
