@@ -15,9 +15,9 @@ from passagemill.llm.rows import packed
 from passagemill.session import cut_lineage
 
 PERCENT = 75
-CHARS_PER_FRAGMENT = 12_000_000
+CHARS_PER_FRAGMENT = 6_000_000
 LEAST_FRAGMENTS = 64
-FLUSH = 1_000_000
+FLUSH = 400_000
 RANGES = 4
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 WIDTH = 5
-_KNOWN_WORDS = 1_000_000
+_KNOWN_WORDS = 300_000
 _ODD = np.random.default_rng(5).integers(1, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 
 
