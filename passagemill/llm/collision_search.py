@@ -11,6 +11,7 @@ from passagemill.llm import blocks
 PROJECTIONS = 128
 SHARE = 0.7
 VERIFIED = 0.1
+LEAST_VERIFIED = 10
 GROWTH = 1.12
 SEED = 20
 
@@ -30,7 +31,7 @@ def collision_searcher(
         values = rows @ directions[:-1] + np.outer(rest, directions[-1])
         order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
         arrays = np.take_along_axis(values.T, order, axis=1)
-        enough, goal = int(np.ceil(share * projections)), min(len(ids), int(k + 1 + verified * len(ids)))
+        enough, goal = int(np.ceil(share * projections)), min(len(ids), 1 + int(max(LEAST_VERIFIED * k, verified * len(ids))))
 
         def find(query_ids: np.ndarray, queries: np.ndarray):
             centres = (queries * (longest / np.sqrt((queries**2).sum(axis=1, keepdims=True)))) @ directions[:-1]

@@ -52,7 +52,7 @@ def _segments(texts: DataFrame, n_fragments: int) -> DataFrame:
         digests = b"".join(d[2] for d in batch_docs)
         ids = np.array([d[0] for d in batch_docs], dtype=np.int64).tobytes()
         nulls = np.array([d[1] for d in batch_docs], dtype=np.uint8).tobytes()
-        batch = hashlib.md5(digests + ids).hexdigest()
+        batch = hashlib.md5(digests + ids + nulls).hexdigest()
         for f in range(n_fragments):
             a, b = cuts[f], cuts[f + 1]
             if a == b and f:
@@ -92,8 +92,12 @@ def _lonely(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _summed(group: pd.DataFrame) -> pd.DataFrame:
-    """The facts of one run's documents with their lonely keys summed over all ranges."""
-    facts = group[group["ids"].notna()].drop_duplicates("batch").iloc[0]
+    """The facts of one run's documents with their lonely keys summed over all ranges.
+
+    Runs of equal documents share a name; none of their keys is lonely, and each keeps its rows.
+    """
+    runs = group[group["ids"].notna()]
+    facts = runs.iloc[0]
     ids = np.frombuffer(facts["ids"], dtype=np.int64)
     total = np.zeros(len(ids), dtype=np.int64)
     for counts in group["alone"]:
@@ -104,7 +108,7 @@ def _summed(group: pd.DataFrame) -> pd.DataFrame:
         {"doc_id": ids, "digest": names, "n_shingles": np.frombuffer(facts["sizes"], dtype=np.int64), "alone": total}
     )
     frame["doc_id"] = frame["doc_id"].astype("Int64").mask(np.frombuffer(facts["nulls"], dtype=np.uint8) == 1)
-    return frame
+    return pd.concat([frame] * len(runs))
 
 
 def shingle_facts(docs: DataFrame) -> DataFrame:
