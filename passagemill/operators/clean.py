@@ -12,8 +12,6 @@ from passagemill.functions import markup as mk
 from passagemill.functions import text as tx
 from passagemill.session import cut_lineage
 
-MAX_INCLUDE_DEPTH = 100
-
 
 def strip_shortcodes(docs: DataFrame, rules: Mapping[str, str] | None = None) -> DataFrame:
     return docs.withColumn("content", mk.strip_tags(F.col("content"), rules))
@@ -166,11 +164,12 @@ def _segments(content):
     )
 
 
-def expand_includes(docs: DataFrame, max_depth: int = MAX_INCLUDE_DEPTH) -> DataFrame:
+def expand_includes(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Replace include tags by the (expanded) text of the named document.
 
     Returns ``(path, content)``. A document already being expanded on the current
-    chain yields nothing, a missing or non-markdown target leaves the tag.
+    chain yields nothing, a missing or non-markdown target leaves the tag. Chains end by
+    themselves, as none visits a document twice; ``max_depth`` leaves deeper tags as they are.
 
     Text travels as ordered segment rows. Documents that something includes are
     picked out once, already cut into segments; each round joins the open include
@@ -210,9 +209,12 @@ def expand_includes(docs: DataFrame, max_depth: int = MAX_INCLUDE_DEPTH) -> Data
     )
     finished = [opened.filter("target is null").select("path", "sort_key", "text")]
     pending = cut_lineage(opened.filter("target is not null"))
-    for _ in range(max_depth + 1):
-        if pending.isEmpty():
+    depth = 0
+    while not pending.isEmpty():
+        if max_depth is not None and depth > max_depth:
+            finished.append(pending.select("path", "sort_key", "text"))
             break
+        depth += 1
         seen = F.array_contains("visited", F.col("target"))
         lookup = F.when(~seen & tx.is_markdown(F.col("target")), F.col("target"))
         joined = pending.withColumn("lookup", lookup).join(library, "lookup", "left")
@@ -239,8 +241,6 @@ def expand_includes(docs: DataFrame, max_depth: int = MAX_INCLUDE_DEPTH) -> Data
         )
         finished.append(step.filter("target is null").select("path", "sort_key", "text"))
         pending = step.filter("target is not null")
-    else:
-        finished.append(pending.select("path", "sort_key", "text"))
 
     done = finished[0]
     for part in finished[1:]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from passagemill.functions import text as tx
 from passagemill.operators import embed, vector_table
 from passagemill.plans.registry import CHUNKERS, PARSERS
-from passagemill.sources.corpus import MAX_INDEX_BYTES, index_candidates
+from passagemill.sources.corpus import index_candidates
 
 
 @dataclass
@@ -37,7 +37,7 @@ def plan_index(
     chunker: str = "fixed",
     chunk_config: dict | None = None,
     batch_size: int = 256,
-    max_bytes: int = MAX_INDEX_BYTES,
+    max_bytes: int | None = None,
     spread: int | None = None,
 ) -> IndexPlan:
     """Lazy plan of an index job over ``(path, content)``.

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as tx
 
-# Fixed value: larger files are not indexed.
-MAX_INDEX_BYTES = 100 * 1024 * 1024
-
 
 def _relative(root: str):
     """Path below the root of the file a row was read from."""
@@ -42,16 +39,19 @@ def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def index_candidates(docs: DataFrame, max_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
+def index_candidates(docs: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Documents with ``skip_reason`` (null when indexable); rows that are no input at all are dropped.
 
-    Input are ``.md`` paths (exact case) outside dot folders. Expects ``path, size``.
+    Input are ``.md`` paths (exact case) outside dot folders. Expects ``path, size``. Documents of any
+    size are indexable unless ``max_bytes`` is given.
     """
     wanted = F.col("path").endswith(".md") & ~F.col("path").rlike(r"(^|/)\.[^/]+/")
-    reason = F.when(
-        F.col("size") > max_bytes,
-        F.format_string(f"file too large (%d bytes, max {max_bytes})", F.col("size")),
-    )
+    reason = F.lit(None).cast("string")
+    if max_bytes is not None:
+        reason = F.when(
+            F.col("size") > max_bytes,
+            F.format_string(f"file too large (%d bytes, max {max_bytes})", F.col("size")),
+        )
     return docs.filter(wanted).withColumn("skip_reason", reason)
 
 

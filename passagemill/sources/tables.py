@@ -38,18 +38,30 @@ def _overwrite(df: DataFrame, path: str, *partitions: str) -> None:
     )
 
 
+def _folder(spark: SparkSession, path: str, **values: str) -> str:
+    """A partition's folder, with its values escaped as the writer escapes them."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return "/".join([path, *[f"{name}={escape(value)}" for name, value in values.items()]])
+
+
+def _read_partitioned(spark: SparkSession, path: str, *strings: str) -> DataFrame:
+    """A table whose partition columns ``strings`` stay text, so that 007 and 7 are two values."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType() if f.name in strings else f.dataType) for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def write_clean_corpus(docs: DataFrame, path: str, tag: str, kind: str = "preprocessing") -> None:
     """Cleaned documents under ``artifact/tag/section``; the section is the first folder of the path."""
     section = F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise(F.lit("_root"))
-    keyed = docs.select(
-        "*", F.lit(kind).alias("artifact"), F.lit(tag).alias("tag"), section.alias("section")
-    )
-    _overwrite(keyed, path, "artifact", "tag", "section")
+    folder = _folder(docs.sparkSession, path, artifact=kind, tag=tag)
+    # The whole tag is replaced: sections that are gone from the corpus go from the table.
+    docs.withColumn("section", section).write.mode("overwrite").partitionBy("section").parquet(folder)
 
 
 def read_clean_corpus(spark: SparkSession, path: str, tag: str, kind: str = "preprocessing") -> DataFrame:
     return (
-        spark.read.parquet(path)
+        _read_partitioned(spark, path, "artifact", "tag", "section")
         .filter((F.col("artifact") == kind) & (F.col("tag") == tag))
         .drop("artifact", "tag", "section")
     )
@@ -57,18 +69,29 @@ def read_clean_corpus(spark: SparkSession, path: str, tag: str, kind: str = "pre
 
 def delete_artifact(spark: SparkSession, path: str, tag: str, kind: str = "preprocessing") -> None:
     """Drop one artifact's folder (file-system delete, nothing is rewritten)."""
-    _delete_folder(spark, f"{path}/artifact={kind}/tag={tag}")
+    _delete_folder(spark, _folder(spark, path, artifact=kind, tag=tag))
+
+
+#: The version that compaction folds all others into; no batch writes to it.
+BASE = -1
+
+
+def _versions(spark: SparkSession, path: str, collection: str) -> list[int]:
+    folder = _folder(spark, path, collection=collection)
+    return sorted(int(n.split("=")[1]) for n in _children(spark, folder, "seq=")) if _exists(spark, folder) else []
 
 
 def write_points(
-    points: DataFrame, path: str, collection: str, seq: int = 0, declared_size: int | None = None
+    points: DataFrame, path: str, collection: str, seq: int | None = None, declared_size: int | None = None
 ) -> None:
-    """Upsert points into a collection as version ``seq``.
+    """Upsert points into a collection as version ``seq``, by default one above all others.
 
     An upsert appends: only the incoming rows are written, and readers keep the
     highest ``seq`` per point. Writing the same ``seq`` again replaces it, so a
     replayed batch changes nothing. Vectors of another size than declared are refused.
     """
+    if seq is None:
+        seq = max(_versions(points.sparkSession, path, collection), default=BASE) + 1
     incoming = points.withColumn("collection", F.lit(collection)).withColumn("seq", F.lit(seq))
     if declared_size is not None:
         wrong = incoming.filter(F.size("vector") != declared_size)
@@ -82,36 +105,39 @@ def read_points(spark: SparkSession, path: str, collection: str) -> DataFrame |
 
     A collection with a single version needs no look at other versions, so it is a plain scan.
     """
-    folder = f"{path}/collection={collection}"
-    if not _exists(spark, folder):
+    versions = _versions(spark, path, collection)
+    if not versions:
         return None
-    stored = spark.read.parquet(path).filter(F.col("collection") == collection).drop("collection")
-    if len(_children(spark, folder, "seq=")) > 1:
+    stored = _read_partitioned(spark, path, "collection").filter(F.col("collection") == collection).drop("collection")
+    if len(versions) > 1:
         stored = vt.latest(stored, "point_id", F.desc("seq"))
     return stored.drop("seq")
 
 
 def compact_points(spark: SparkSession, path: str, collection: str) -> None:
-    """Fold all versions of a collection into its newest one and drop the older folders."""
-    folder = f"{path}/collection={collection}"
-    versions = sorted(int(name.split("=")[1]) for name in _children(spark, folder, "seq="))
+    """Fold all versions of a collection into its base version and drop the others.
+
+    Later batches lie above the base, so one that is replayed after its folding changes nothing
+    that other batches wrote; a crash before the last delete leaves the same points.
+    """
+    versions = _versions(spark, path, collection)
     if len(versions) < 2:
         return
-    current = read_points(spark, path, collection)
-    # the newest version is read and replaced, so the merged rows are cut loose first
+    # the base may be read and replaced, so the merged rows are cut loose first
     from passagemill.session import cut_lineage
 
-    merged = cut_lineage(current)
+    merged = cut_lineage(read_points(spark, path, collection))
     _overwrite(
-        merged.withColumn("collection", F.lit(collection)).withColumn("seq", F.lit(versions[-1])),
-        path, "collection", "seq",
+        merged.withColumn("collection", F.lit(collection)).withColumn("seq", F.lit(BASE)), path, "collection", "seq"
     )
-    for version in versions[:-1]:
-        _delete_folder(spark, f"{folder}/seq={version}")
+    folder = _folder(spark, path, collection=collection)
+    for version in versions:
+        if version != BASE:
+            _delete_folder(spark, f"{folder}/seq={version}")
 
 
 def delete_collection(spark: SparkSession, path: str, collection: str) -> None:
-    _delete_folder(spark, f"{path}/collection={collection}")
+    _delete_folder(spark, _folder(spark, path, collection=collection))
 
 
 def new_run(spark: SparkSession, tag: str, strategy: dict, version: str = "") -> DataFrame:
@@ -139,7 +165,7 @@ def write_results(results: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     """A run's question rows in creation order with the JSON columns decoded; reads one partition."""
-    return decode_results(spark.read.parquet(path).filter(F.col("run_id") == run_id)).orderBy(
+    return decode_results(_read_partitioned(spark, path, "run_id").filter(F.col("run_id") == run_id)).orderBy(
         "created_at", "question_id"
     )
 
@@ -160,7 +186,7 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
 def delete_run(spark: SparkSession, run_id: str, *paths: str) -> None:
     """Remove a run's partition from the given tables (runs, results, metrics)."""
     for path in paths:
-        _delete_folder(spark, f"{path}/run_id={run_id}")
+        _delete_folder(spark, _folder(spark, path, run_id=run_id))
 
 
 def _filesystem(spark: SparkSession, path: str):

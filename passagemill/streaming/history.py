@@ -16,8 +16,8 @@ PENDING_SCHEMA = "turn long, role string, text string"
 class TurnBuffer(StatefulProcessor):
     """Keeps the newest ``max_turns`` turns per conversation and drops idle conversations.
 
-    A message waits for its counterpart, in either order and across micro-batches; at
-    most ``max_turns`` messages per role wait, so the state of a key is bounded. Output (update mode) is a conversation's buffer after each
+    A message waits for its counterpart, in either order and across micro-batches, for as long
+    as its turn could be among the newest ``max_turns`` complete ones. Output (update mode) is a conversation's buffer after each
     batch that touched it. With ``idle_ms`` an event-time timer clears a
     conversation that saw nothing for that long.
     """
@@ -49,10 +49,11 @@ class TurnBuffer(StatefulProcessor):
         for turn in waiting["user"].keys() & waiting["assistant"].keys():
             buffer[turn] = (waiting["user"].pop(turn), waiting["assistant"].pop(turn))
         kept = sorted(buffer)[-self.max_turns :]
+        oldest = kept[0] if len(kept) == self.max_turns else None
         self._store(self.turns, [(t, *buffer[t]) for t in kept])
         self._store(
             self.open,
-            [(t, role, texts[t]) for role, texts in waiting.items() for t in sorted(texts)[-self.max_turns :]],
+            [(t, role, texts[t]) for role, texts in waiting.items() for t in sorted(texts) if oldest is None or t > oldest],
         )
         if latest is not None:
             for timer in self.handle.listTimers():

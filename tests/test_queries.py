@@ -4,8 +4,10 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from passagemill.catalog import all_queries
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: run for name, (run, _) in all_queries().items()}
+SQL = {name: sql for name, (_, sql) in all_queries().items() if sql is not None}
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +32,4 @@ def test_entry(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())

@@ -118,3 +118,39 @@ def test_wide_metrics(spark):
     rows = [("r", "hit_rate", 1, 0.5), ("r", "hit_rate", 3, 1.0), ("r", "mrr", 0, 0.7)]
     row = evaluate.wide_metrics(spark.createDataFrame(rows, "run_id string, metric string, k int, value double")).first()
     assert row.hit_rate == {1: 0.5, 3: 1.0} and row.mrr == 0.7
+
+
+def _points(spark, *ids):
+    rows = [(f"p{i}", f"c{i}", [1.0, 2.0]) for i in ids]
+    return spark.createDataFrame(rows, "point_id string, chunk_id string, vector array<float>")
+
+
+def _ids(spark, path, name):
+    return sorted(r.point_id for r in tables.read_points(spark, path, name).collect())
+
+
+def test_upserts_without_a_version_add_up_and_replays_after_compaction_lose_nothing(spark, tmp_path):
+    path, name = str(tmp_path / "points"), "model:small 007"
+    tables.write_points(_points(spark, 1, 2, 3), path, name)
+    tables.write_points(_points(spark, 4), path, name)
+    assert _ids(spark, path, name) == ["p1", "p2", "p3", "p4"]
+    tables.compact_points(spark, path, name)
+    tables.write_points(_points(spark, 4), path, name, seq=1)
+    assert _ids(spark, path, name) == ["p1", "p2", "p3", "p4"]
+    tables.delete_collection(spark, path, name)
+    assert tables.read_points(spark, path, name) is None
+
+
+def test_run_ids_stay_text(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = spark.createDataFrame([("007", "q1", "2024-01-01"), ("7", "q2", "2024-01-01")], "run_id string, question_id string, created_at string")
+    tables.write_results(rows, path)
+    assert [r.question_id for r in tables.read_results(spark, path, "007").collect()] == ["q1"]
+    assert [r.question_id for r in tables.read_results(spark, path, "7").collect()] == ["q2"]
+
+
+def test_a_rewritten_corpus_keeps_no_old_sections(spark, tmp_path):
+    path, schema = str(tmp_path / "corpus"), "path string, content string"
+    tables.write_clean_corpus(spark.createDataFrame([("a/x.md", "1"), ("b/y.md", "2")], schema), path, "v:1")
+    tables.write_clean_corpus(spark.createDataFrame([("a/x.md", "3")], schema), path, "v:1")
+    assert [(r.path, r.content) for r in tables.read_clean_corpus(spark, path, "v:1").collect()] == [("a/x.md", "3")]
