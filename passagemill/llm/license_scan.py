@@ -13,6 +13,9 @@ from passagemill.llm.rows import packed, unpacked
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PROBES = 4
 AGREEING = 0.6
+# A notice and a start as one number, so that repeated ones are found by hash; a start may lie before the text.
+NOTICE = 2**40
+SHIFT = 1000
 
 
 @dataclass(frozen=True)
@@ -127,11 +130,15 @@ def _places(tokens: Column, postings: Column, table: Column) -> Column:
             tokens,
             lambda w, i: F.transform(
                 F.filter(postings, lambda p: p["word"] == w),
-                lambda p: F.struct(p["notice"].alias("notice"), (i - p["at"]).alias("start")),
+                lambda p: p["notice"] * F.lit(NOTICE) + i - p["at"] + F.lit(SHIFT),
             ),
         )
     )
 
+    def place(number: Column) -> Column:
+        start = (number % F.lit(NOTICE) - F.lit(SHIFT)).cast("int")
+        return F.struct(F.floor(number / F.lit(NOTICE)).cast("int").alias("notice"), start.alias("start"))
+
     def judged(place: Column) -> Column:
         notice = F.get(table, place["notice"])
         at = place["start"] + notice["key_at"]
@@ -145,7 +152,7 @@ def _places(tokens: Column, postings: Column, table: Column) -> Column:
             stands.alias("stands"),
         )
 
-    return F.filter(F.transform(F.array_distinct(met), judged), lambda p: p["share"] >= AGREEING)
+    return F.filter(F.transform(F.transform(F.array_distinct(met), place), judged), lambda p: p["share"] >= AGREEING)
 
 
 def scan_licenses(docs: DataFrame, notices=NOTICES) -> DataFrame:
