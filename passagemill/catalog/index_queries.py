@@ -70,29 +70,29 @@ add("x4_point_ids",
     q.query(f"SELECT chunk_id, {q.uuid5('chunk_id')} AS point_id FROM chunks", "chunks"))
 
 
-def index_plan(spark, sf):
-    docs = fx.documents(spark, sf).select(
-        "path", F.when(F.col("doc_id") % 13 == 0, F.lit("  \n ")).otherwise(F.col("content")).alias("content")
-    )
+def index_plan(spark, sf, max_bytes=None):
+    """All documents, and a blank page per source that only the ledger gets to see."""
+    docs = fx.documents(spark, sf)
+    blank = docs.select(F.concat("source", F.lit("/blank.md")).alias("path"), F.lit("  \n ").alias("content")).distinct()
     return plan_index(
-        docs, embed.md5_bag_of_words(fx.DIMS), "md5-bag-of-words", "plain", "fixed",
-        {"size": fx.CHUNK_SIZE, "overlap": fx.CHUNK_OVERLAP}, max_bytes=20000,
+        docs.select("path", "content").unionByName(blank), embed.md5_bag_of_words(fx.DIMS), "md5-bag-of-words", "plain", "fixed",
+        {"size": fx.CHUNK_SIZE, "overlap": fx.CHUNK_OVERLAP}, max_bytes=max_bytes,
     )
 
 
-_LEDGER = """SELECT path, CASE WHEN doc_id % 13 = 0 THEN 'empty chunks' ELSE 'file too large ('||strlen(content)||' bytes, max 20000)' END AS skip_reason
-FROM docs WHERE doc_id % 13 = 0 OR strlen(content) > 20000"""
+_BLANK = "SELECT DISTINCT source||'/blank.md' AS path, 'empty chunks' AS skip_reason FROM docs"
+_LEDGER = f"""{_BLANK}
+UNION ALL SELECT path, 'file too large ('||strlen(content)||' bytes, max 20000)' FROM docs WHERE strlen(content) > 20000"""
 add("x5_index_points",
     lambda s, d: rounded(index_plan(s, d).points.select("point_id", "chunk_id", "document_path", "content", "token_count", "chunk_index", "vector")),
     q.query(f"""SELECT {q.uuid5('c.chunk_id')} AS point_id, c.chunk_id, c.document_path, c.content, c.token_count, c.chunk_index,
   (generate_subscripts(v.vector, 1) - 1)::INT AS pos, round(unnest(v.vector)::FLOAT::DOUBLE, 6) AS x
-FROM chunks c JOIN chunk_vectors v USING (chunk_id) WHERE c.document_path NOT IN (SELECT path FROM ledger)""",
-            "chunks", "chunk_vectors", extra={"ledger": _LEDGER}))
-add("x5_skip_ledger", lambda s, d: index_plan(s, d).ledger,
+FROM chunks c JOIN chunk_vectors v USING (chunk_id)""", "chunks", "chunk_vectors"))
+add("x5_skip_ledger", lambda s, d: index_plan(s, d, max_bytes=20000).ledger,
     q.query("SELECT * FROM ledger", "docs", extra={"ledger": _LEDGER}))
 add("x6_index_summary", lambda s, d: index_plan(s, d).summary(),
     q.query("""SELECT count(DISTINCT document_path) AS documents, count(*) AS chunks, (SELECT count(*) FROM ledger) AS skipped
-FROM chunks WHERE document_path NOT IN (SELECT path FROM ledger)""", "chunks", extra={"ledger": _LEDGER}))
+FROM chunks""", "chunks", extra={"ledger": _BLANK}))
 
 # --- vector table -----------------------------------------------------------------
 

@@ -40,6 +40,32 @@ RAW_HTML_PATTERN = r"<[a-z]+[^>]*>"
 _ANY_TAG = r"\{\{(?:<\s*/?[\w-]+[\s\S]*?>|%\s*/?[\w-]+[\s\S]*?%|/[\w-]+[\s\S]*?[>%])\}\}"
 
 
+def _before_last(content: Column, closer: str, change) -> Column:
+    """``change`` applied up to the end of the last match of ``closer``; the rest stays.
+
+    For patterns that end in ``closer``: what begins after the last one cannot match, and
+    looking for its end from every start would cost the square of the text's length.
+    """
+    return tx.let(
+        content,
+        lambda c: tx.let(
+            F.regexp_extract(c, r"^[\s\S]*" + closer, 0),
+            lambda head: F.concat(change(head), F.substr(c, F.length(head) + 1)),
+        ),
+    )
+
+
+def _after_last(content: Column, closer: str, change) -> Column:
+    """``change`` applied behind the last match of ``closer``."""
+    return tx.let(
+        content,
+        lambda c: tx.let(
+            F.regexp_extract(c, r"^[\s\S]*" + closer, 0),
+            lambda head: F.concat(head, change(F.substr(c, F.length(head) + 1))),
+        ),
+    )
+
+
 def strip_tags(content: Column, rules: Mapping[str, str] | None = None) -> Column:
     """Drop template tags. Names with the remove action lose their enclosed text too.
 
@@ -54,12 +80,18 @@ def strip_tags(content: Column, rules: Mapping[str, str] | None = None) -> Colum
         names = "|".join(removed)
         for mark in ("<", "%"):
             end = {"<": r">\}\}", "%": r"%\}\}"}[mark]
+            for name in map(re.escape, (n for n, action in rules.items() if action == REMOVE)):
+                # Behind the last closing tag of its name a tag has no partner.
+                closing = r"\{\{(?:" + mark + r" ?)?/" + name + r"(?![\w-])"
+                lone = r"\{\{" + mark + r"\s*" + name + r"(?![\w-])[\s\S]*?" + end
+                out = _after_last(out, closing, lambda rest, lone=lone, end=end: _before_last(
+                    rest, end, lambda r: F.regexp_replace(r, lone, "")))
             pattern = (
                 r"\{\{" + mark + r"\s*(" + names + r")(?![\w-])[\s\S]*?" + end
                 + r"(?:[\s\S]*?\{\{(?:" + mark + r" ?)?/\1(?![\w-])[\s\S]*?[>%]\}\})?"
             )
             out = F.regexp_replace(out, pattern, "")
-    cleaned = F.regexp_replace(out, _ANY_TAG, "")
+    cleaned = _before_last(out, r"\}\}", lambda head: F.regexp_replace(head, _ANY_TAG, ""))
     return F.when(content.contains("{{"), cleaned).otherwise(content)
 
 
@@ -140,17 +172,36 @@ def html_to_text(content: Column) -> Column:
     ``text [href]`` (or its href), an image its alt text, a table one line; other
     tags are dropped and their text kept. ``<https://…>`` autolinks stay.
     """
-    out = F.regexp_replace(content, r"<!--[\s\S]*?-->", "")
+    # Every pattern ends in ">": what follows the last one is plain text.
+    out = _before_last(content, ">", _html_head)
+    return F.when(content.rlike("[<&]"), decode_entities(out)).otherwise(content)
+
+
+def _html_head(content: Column) -> Column:
+    out = _before_last(content, "-->", lambda c: F.regexp_replace(c, r"<!--[\s\S]*?-->", ""))
     out = F.regexp_replace(out, r"(?i)<!doctype[^>]*>", "")
+    for name in ("script", "style", "iframe"):
+        # Behind the last closing tag of its name a tag has no body to drop.
+        lone = rf"(?i)<{name}(?:\s[^>]*)?(?<!/)>"
+        out = _after_last(out, rf"(?i:</{name}\s*>)", lambda rest, lone=lone: F.regexp_replace(rest, lone, ""))
     out = F.regexp_replace(out, r"(?i)<(script|style|iframe)(?:\s[^>]*)?(?<!/)>[\s\S]*?</\1\s*>", "")
     out = F.regexp_replace(out, r'(?i)<img\s(?:[^>]*?\s)?alt="([^"]*)"[^>]*>', "$1")
     out = F.regexp_replace(out, r"(?i)<img(?:\s[^>]*)?>", "")
+    out = _before_last(out, r"(?i:</a\s*>)", _anchors)
+    out = tx.let(out, lambda c: F.when(c.rlike(r"(?i)<table[\s>]"), _flat_tables(c)).otherwise(c))
+    return F.regexp_replace(out, r"</?(?!https?:|mailto:)[a-zA-Z][^>]*>", "")
+
+
+def _anchors(content: Column) -> Column:
     href = r'(?i)<a\s(?:[^>]*?\s)?href="([^"]*)"[^>]*>'
-    out = F.regexp_replace(out, href + r"\s*</a\s*>", "$1")
-    out = F.regexp_replace(out, href + r"\s*([\s\S]*?)\s*</a\s*>", "$2 [$1]")
-    flat = F.regexp_replace(out, r"(?i)<table(?=[\s>])", _CELL_MARK + "<table")
+    out = F.regexp_replace(content, href + r"\s*</a\s*>", "$1")
+    return F.regexp_replace(out, href + r"\s*([\s\S]*?)\s*</a\s*>", "$2 [$1]")
+
+
+def _flat_tables(content: Column) -> Column:
+    flat = F.regexp_replace(content, r"(?i)<table(?=[\s>])", _CELL_MARK + "<table")
     flat = F.regexp_replace(flat, r"(?i)</table\s*>", "</table>" + _CELL_MARK)
-    flat = F.array_join(
+    return F.array_join(
         F.transform(
             F.split(flat, _CELL_MARK),
             lambda part: F.when(
@@ -160,9 +211,6 @@ def html_to_text(content: Column) -> Column:
         ),
         "",
     )
-    out = F.when(out.rlike(r"(?i)<table[\s>]"), flat).otherwise(out)
-    out = F.regexp_replace(out, r"</?(?!https?:|mailto:)[a-zA-Z][^>]*>", "")
-    return F.when(content.rlike("[<&]"), decode_entities(out)).otherwise(content)
 
 
 # --- front matter -----------------------------------------------------------

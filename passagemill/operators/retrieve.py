@@ -20,8 +20,9 @@ from passagemill.functions import vectors as vx
 
 # Scores are rounded before ranking so equal vectors tie exactly, whatever the block shape.
 SCORE_DIGITS = 9
-# Up to this many queries are sent to every task; beyond it both sides are partitioned.
+# Up to this many queries and bytes are sent to every task; beyond it both sides are partitioned.
 MAX_BROADCAST_QUERIES = 4096
+MAX_BROADCAST_BYTES = 64 << 20
 # Vector values of one point block (64 MB as doubles) and scores of one product.
 _VALUES_PER_BLOCK = 8_000_000
 _CELLS_PER_PRODUCT = 8_000_000
@@ -40,13 +41,28 @@ def _matrix(column, dims: int) -> np.ndarray:
         column = column.combine_chunks()
     lengths = np.asarray(pc.fill_null(pc.list_value_length(column), -1))
     good = lengths == dims
+    if dims == 0:
+        return np.zeros((len(column), 0))
     if good.all():
         values = column.flatten().to_numpy(zero_copy_only=False)
         return np.nan_to_num(values.astype(np.float64, copy=False)).reshape(len(column), dims)
     out = np.zeros((len(column), dims))
     if good.any():
         picked = column.filter(pa.array(good))
-        out[good] = picked.flatten().to_numpy(zero_copy_only=False).reshape(-1, max(dims, 1))
+        out[good] = picked.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    return out
+
+
+def _by_width(vectors) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``(places, matrix)`` of the vectors of each length; null vectors count as empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0))
+    out = []
+    for width in np.unique(lengths):
+        places = np.flatnonzero(lengths == width)
+        out.append((places, _matrix(vectors.take(pa.array(places)), int(width))))
     return out
 
 
@@ -79,8 +95,9 @@ def _first_k(keys: np.ndarray, k: int) -> np.ndarray:
 class _RunningTopK:
     """Best k points per query over a stream of Arrow batches."""
 
-    def __init__(self, query_ids, query_matrix, k, distance, id_col, vector_col, carry):
-        self.query_ids, self.queries, self.k = query_ids, query_matrix, k
+    def __init__(self, query_ids, queries, k, distance, id_col, vector_col, carry):
+        self.query_ids, self.k = query_ids, k
+        self.queries = _by_width(queries)
         self.distance, self.id_col, self.vector_col, self.carry = distance, id_col, vector_col, carry
         self.best = None
 
@@ -90,17 +107,17 @@ class _RunningTopK:
         table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
         # id order makes "leftmost wins" the id tie-break
         table = table.sort_by(self.id_col)
-        points = _matrix(table.column(self.vector_col), self.queries.shape[1])
         payload = table.select([self.id_col, *self.carry])
-        rows = max(1, _CELLS_PER_PRODUCT // max(len(points), 1))
+        rows = max(1, _CELLS_PER_PRODUCT // max(len(table), 1))
         found = []
-        for start in range(0, len(self.queries), rows):
-            scores = np.round(_closeness(points, self.queries[start : start + rows], self.distance), SCORE_DIGITS)
-            keys = -scores if vx.HIGHER_IS_CLOSER[self.distance] else scores
-            q, p = np.nonzero(_first_k(keys, self.k))
-            part = payload.take(pa.array(p))
-            part = part.append_column("_q", pa.array(q + start)).append_column("_score", pa.array(scores[q, p]))
-            found.append(part)
+        for places, queries in self.queries:
+            points = _matrix(table.column(self.vector_col), queries.shape[1])
+            for start in range(0, len(queries), rows):
+                scores = np.round(_closeness(points, queries[start : start + rows], self.distance), SCORE_DIGITS)
+                keys = -scores if vx.HIGHER_IS_CLOSER[self.distance] else scores
+                q, p = np.nonzero(_first_k(keys, self.k))
+                part = payload.take(pa.array(p)).append_column("_q", pa.array(places[start + q]))
+                found.append(part.append_column("_score", pa.array(scores[q, p])))
         self._merge(pa.concat_tables(found))
 
     def _merge(self, found) -> None:
@@ -141,9 +158,11 @@ def top_k(
     """The k closest points per query: ``query_id, <id>, score, rank`` and the carried columns.
 
     Cosine and Dot rank high scores first, the distances low ones; ties go to the
-    smaller id. A query block of at most ``max_broadcast_queries`` rows goes to every
-    task and points are only scanned; a larger query table is cut into hash blocks,
-    points are repeated once per query block, and block pairs are scored by a cogroup.
+    smaller id. Every query meets the points at its own length; points of another length
+    count as zero vectors, a null query as an empty one. A query block of at most
+    ``max_broadcast_queries`` rows and ``MAX_BROADCAST_BYTES`` goes to every task and points
+    are only scanned; a larger query table is cut into hash blocks, points are repeated
+    once per query block, and block pairs are scored by a cogroup. Both give the same rows.
     The number of point blocks follows from a count of the points, so that a block
     fits in memory; give ``point_blocks`` to save the count. Search a written points
     table rather than a plan that still has to embed.
@@ -166,18 +185,16 @@ def top_k(
     def running(query_table):
         ids = query_table.column(query_id).combine_chunks()
         vectors = query_table.column(query_vector).combine_chunks()
-        lengths = [len(v) for v in vectors.to_pylist() if v is not None]
-        dims = max(lengths, default=0)
-        return _RunningTopK(ids, _matrix(vectors, dims), k, distance, id_col, vector_col, carry)
+        return _RunningTopK(ids, vectors, k, distance, id_col, vector_col, carry)
 
     block = queries.limit(max_broadcast_queries + 1).toArrow()
-    if len(block) <= max_broadcast_queries:
+    if len(block) <= max_broadcast_queries and block.nbytes <= MAX_BROADCAST_BYTES:
         shared = points.sparkSession.sparkContext.broadcast(block)
 
         def scan(batches: Iterator) -> Iterator:
             state = running(shared.value)
             for batch in batches:
-                if len(batch) and len(state.queries):
+                if len(batch) and state.queries:
                     state.add(batch)
             yield from state.result(names)
 
@@ -186,7 +203,8 @@ def top_k(
         dims = max((len(v) for v in block.column(query_vector).to_pylist() if v is not None), default=1)
         if point_blocks is None:
             point_blocks = -(-points.count() * max(dims, 1) // _VALUES_PER_BLOCK)
-        query_blocks = -(-queries.count() // max_broadcast_queries)
+        per_block = min(max_broadcast_queries, max(1, MAX_BROADCAST_BYTES // (8 * max(dims, 1))))
+        query_blocks = -(-queries.count() // per_block)
         local = _blockwise(
             points, queries, schema, running, id_col, query_id, query_blocks, max(1, point_blocks)
         )

@@ -151,3 +151,30 @@ def test_report_on_empty_output(spark):
     source = spark.createDataFrame([("a.md", "x" * 60)], "path string, content string")
     rows = {r.check_name: r.passed for r in verify.report(source, source.filter("false")).collect()}
     assert not rows["file_count_match"] and not rows["directory_structure"] and not rows["total_size"]
+
+
+def test_unclosed_marks_take_linear_time(spark):
+    """Texts that only open tags: looking for an end from every start took a minute and more."""
+    import time
+
+    tags = '{{< youtube "x" >}} word ' * 20_000
+    page = "<!-- note <script> a <a href=\"u\">b " * 20_000
+    start = time.time()
+    row = spark.createDataFrame([(tags, page)], "tags string, page string").select(
+        mk.strip_tags(F.col("tags")).alias("tags"), mk.html_to_text(F.col("page")).alias("page")
+    ).first()
+    assert row.tags == " word " * 20_000
+    assert "<script" not in row.page and row.page.count("<!-- note") == 20_000
+    assert time.time() - start < 30
+
+
+def test_tags_behind_the_last_closing_tag(spark):
+    texts = [
+        ("{{< youtube >}}a{{< /youtube >}}b{{< youtube >}}c", "bc"),
+        ("{{% youtube %}}a{{% /youtube %}}b{{% youtube %}}c{{< x", "bc{{< x"),
+        ("<script>a</script>b<script>c<!-- d", "bc<!-- d"),
+        ('<a href="u">x</a> <a href="v">y', "x [u] y"),
+        ("a < b", "a < b"),
+    ]
+    got = spark.createDataFrame(texts, "t string, want string").select(mk.html_to_text(mk.strip_tags(F.col("t"))), "want").collect()
+    assert [r[0] for r in got] == [r[1] for r in got]

@@ -149,3 +149,13 @@ def test_context_labels(spark):
         "Document: https://example.com/a/\nContent:\nA\n\n---\n\nDocument: b.md\nContent:\nB"
     )
     assert retrieve.assemble_context(ranked, "chat").first().context == "Document: https://example.com/a/\nA\n\nDocument: b.md\nB"
+
+
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_queries_of_several_lengths(spark, limit):
+    """Each query is compared at its own length, whatever else is asked and however it is planned."""
+    points = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0, 0.0])], "chunk_id string, vector array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0]), (3, None), (4, [2.0, 0.0, 0.0])], "query_id int, query_vector array<double>")
+    rows = retrieve.top_k(points, asked, 2, max_broadcast_queries=limit).collect()
+    got = {(r.query_id, r.chunk_id): r.score for r in rows}
+    assert got == {(1, "a"): 1, (1, "b"): 0, (2, "a"): 0, (2, "b"): 1, (3, "a"): 0, (3, "b"): 0, (4, "a"): 1, (4, "b"): 0}
