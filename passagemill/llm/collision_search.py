@@ -29,32 +29,47 @@ def collision_searcher(
         directions = np.random.default_rng(SEED).standard_normal((rows.shape[1] + 1, projections))
         rest = np.sqrt(np.maximum(0.0, longest**2 - (rows**2).sum(axis=1)))
         values = rows @ directions[:-1] + np.outer(rest, directions[-1])
-        order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
+        order = np.argsort(values, axis=0, kind="stable").T
         arrays = np.take_along_axis(values.T, order, axis=1)
+        place = np.uint16 if len(ids) < 65_536 else np.uint32
+        ranks = np.empty(order.shape, dtype=place)
+        np.put_along_axis(ranks, order, np.arange(len(ids), dtype=place)[None, :], axis=1)
+        shifted, inside = np.empty_like(ranks), np.empty(ranks.shape, dtype=bool)
+        tally = np.uint8 if projections < 256 else np.uint32
         enough, goal = int(np.ceil(share * projections)), min(len(ids), 1 + int(max(LEAST_VERIFIED * k, verified * len(ids))))
 
         def find(query_ids: np.ndarray, queries: np.ndarray):
             centres = (queries * (longest / np.sqrt((queries**2).sum(axis=1, keepdims=True)))) @ directions[:-1]
-            low = np.stack([np.searchsorted(a, c) for a, c in zip(arrays, centres.T)], axis=1)
-            high, half = low.copy(), longest / 16
-            counts = np.zeros((len(queries), len(ids)), dtype=np.uint16)
-            done: dict[int, np.ndarray] = {}
-            while len(done) < len(queries):
-                # Virtual rehashing: the same arrays serve every radius; the windows only widen.
-                first = np.stack([np.searchsorted(a, c - half) for a, c in zip(arrays, centres.T)], axis=1)
-                last = np.stack([np.searchsorted(a, c + half, side="right") for a, c in zip(arrays, centres.T)], axis=1)
-                for i in range(len(queries)):
-                    if i in done:
-                        continue
-                    rings = [order[j, first[i, j] : low[i, j]] for j in range(projections)]
-                    rings += [order[j, high[i, j] : last[i, j]] for j in range(projections)]
-                    counts[i] += np.bincount(np.concatenate(rings), minlength=len(ids)).astype(np.uint16)
-                    close = np.flatnonzero(counts[i] >= enough)
-                    if len(close) >= goal or counts[i].min() == projections:
-                        done[i] = close
-                low, high, half = np.minimum(first, low), np.maximum(last, high), half * growth
+            half, windows = longest / 16, []
+
+            def window(level: int):
+                """Where the windows of a radius begin in each sorted array, and how many rows they hold."""
+                nonlocal half
+                while len(windows) <= level:
+                    first = np.stack([np.searchsorted(a, c - half) for a, c in zip(arrays, centres.T)], axis=1)
+                    last = np.stack([np.searchsorted(a, c + half, side="right") for a, c in zip(arrays, centres.T)], axis=1)
+                    windows.append((first, last - first))
+                    half *= growth
+                return windows[level]
+
+            def colliding(i: int, level: int) -> np.ndarray:
+                """Rows whose places lie in enough of the windows; places before a window wrap around."""
+                first, width = window(level)
+                np.subtract(ranks, first[i].astype(place)[:, None], out=shifted)
+                np.less(shifted, width[i][:, None].astype(place), out=inside)
+                return np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=tally) >= enough)
+
+            level = 0
             for i, query_id in enumerate(query_ids):
-                close = done[i][ids[done[i]] != query_id]
+                # Virtual rehashing: the same arrays serve every radius. The smallest one that meets the
+                # goal is near the one of the query before.
+                close = colliding(i, level)
+                while len(close) < goal:
+                    level += 1
+                    close = colliding(i, level)
+                while level and len(narrower := colliding(i, level - 1)) >= goal:
+                    level, close = level - 1, narrower
+                close = close[ids[close] != query_id]
                 yield close, (rows[close] * queries[i]).sum(axis=1)
 
         return find
