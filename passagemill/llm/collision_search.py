@@ -30,7 +30,7 @@ def collision_searcher(
         rest = np.sqrt(np.maximum(0.0, longest**2 - (rows**2).sum(axis=1)))
         values = rows @ directions[:-1] + np.outer(rest, directions[-1])
         order = np.argsort(values, axis=0, kind="stable").T
-        arrays = np.take_along_axis(values.T, order, axis=1)
+        arrays = np.ascontiguousarray(np.take_along_axis(values.T, order, axis=1))
         place = np.uint16 if len(ids) < 65_536 else np.uint32
         ranks = np.empty(order.shape, dtype=place)
         np.put_along_axis(ranks, order, np.arange(len(ids), dtype=place)[None, :], axis=1)
