@@ -59,7 +59,7 @@ def index_scan(spark, sf):
 
 add("s3_index_scan", index_scan, q.query(
     """SELECT path, strlen(content)::BIGINT AS size, CASE WHEN strlen(content) > 5000
-  THEN 'file too large ('||strlen(content)||' bytes, max 5000)' END AS skip_reason
+  THEN strlen(content)||' bytes exceed the limit of 5000' END AS skip_reason
 FROM docs WHERE doc_id % 11 NOT IN (0, 1)""", "docs"))
 
 
@@ -240,10 +240,10 @@ add("v1_v7_report",
     q.query("""SELECT check_name, passed, detail, bool_and(passed) OVER () AS all_passed FROM (
 SELECT unnest(['file_count_match','directory_structure','no_shortcodes','no_raw_html','minimum_content','total_size']) AS check_name,
  unnest([sn = dn, nd = 0, tags = 0, html = 0, small = 0, CASE WHEN sb > 0 THEN db / sb BETWEEN 0.5 AND 2.0 ELSE db > 0 END]) AS passed,
- unnest(['src: '||sn||' markdown files, dst: '||dn||' markdown files',
-   CASE WHEN nd = 0 THEN 'directory structure preserved' ELSE 'mismatched files: '||nd END,
-   'files with shortcodes: '||tags, 'files with HTML tags: '||html, 'files below 50 bytes: '||small,
-   'src size: '||sb||' bytes, dst size: '||db||' bytes']) AS detail
+ unnest([sn||' source pages, '||dn||' output pages',
+   CASE WHEN nd = 0 THEN 'same paths on both sides' ELSE nd||' paths on one side only' END,
+   tags||' pages with template tags', html||' pages with HTML', small||' pages under 50 bytes',
+   sb||' bytes before, '||db||' after']) AS detail
 FROM (SELECT count(*) AS sn, sum(strlen(content))::BIGINT AS sb FROM tagged),
  (SELECT count(*) AS dn, sum(strlen(content))::BIGINT AS db, count(*) FILTER (regexp_matches(content, '\\{\\{(?:%|<)')) AS tags,
    count(*) FILTER (regexp_matches(content, '<[a-z]+[^>]*>')) AS html, count(*) FILTER (strlen(content) < 50) AS small FROM out),

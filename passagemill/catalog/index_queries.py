@@ -80,9 +80,9 @@ def index_plan(spark, sf, max_bytes=None):
     )
 
 
-_BLANK = "SELECT DISTINCT source||'/blank.md' AS path, 'empty chunks' AS skip_reason FROM docs"
+_BLANK = "SELECT DISTINCT source||'/blank.md' AS path, 'no chunks' AS skip_reason FROM docs"
 _LEDGER = f"""{_BLANK}
-UNION ALL SELECT path, 'file too large ('||strlen(content)||' bytes, max 20000)' FROM docs WHERE strlen(content) > 20000"""
+UNION ALL SELECT path, strlen(content)||' bytes exceed the limit of 20000' FROM docs WHERE strlen(content) > 20000"""
 add("x5_index_points",
     lambda s, d: rounded(index_plan(s, d).points.select("point_id", "chunk_id", "document_path", "content", "token_count", "chunk_index", "vector")),
     q.query(f"""SELECT {q.uuid5('c.chunk_id')} AS point_id, c.chunk_id, c.document_path, c.content, c.token_count, c.chunk_index,

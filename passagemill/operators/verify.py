@@ -92,23 +92,23 @@ def report(source: DataFrame, output: DataFrame) -> DataFrame:
     rows = F.array(
         row(
             CHECKS[0], F.col("src_n") == F.col("dst_n"),
-            "src: %d markdown files, dst: %d markdown files", F.col("src_n"), F.col("dst_n"),
+            "%d source pages, %d output pages", F.col("src_n"), F.col("dst_n"),
         ),
         F.struct(
             F.lit(CHECKS[1]).alias("check_name"),
             (F.col("n_diff") == 0).alias("passed"),
-            F.when(F.col("n_diff") == 0, F.lit("directory structure preserved"))
-            .otherwise(F.format_string("mismatched files: %d", F.col("n_diff")))
+            F.when(F.col("n_diff") == 0, F.lit("same paths on both sides"))
+            .otherwise(F.format_string("%d paths on one side only", F.col("n_diff")))
             .alias("detail"),
         ),
-        row(CHECKS[2], F.col("n_tags") == 0, "files with shortcodes: %d", F.col("n_tags")),
-        row(CHECKS[3], F.col("n_html") == 0, "files with HTML tags: %d", F.col("n_html")),
+        row(CHECKS[2], F.col("n_tags") == 0, "%d pages with template tags", F.col("n_tags")),
+        row(CHECKS[3], F.col("n_html") == 0, "%d pages with HTML", F.col("n_html")),
         row(
             CHECKS[4], F.col("n_small") == 0,
-            f"files below {MIN_CONTENT_BYTES} bytes: %d", F.col("n_small"),
+            f"%d pages under {MIN_CONTENT_BYTES} bytes", F.col("n_small"),
         ),
         row(
-            CHECKS[5], sized, "src size: %d bytes, dst size: %d bytes", F.col("src_bytes"), F.col("dst_bytes")
+            CHECKS[5], sized, "%d bytes before, %d after", F.col("src_bytes"), F.col("dst_bytes")
         ),
     )
     return facts.select(rows.alias("rows")).select(

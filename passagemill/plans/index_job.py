@@ -55,5 +55,5 @@ def plan_index(
     too_large = scanned.filter("skip_reason is not null").select("path", "skip_reason")
     # chunk 0 stands for its document, so the lookup side has one row per document
     chunked = chunks.filter("chunk_index = 0").select(F.col("document_path").alias("path"))
-    empty = usable.select("path").join(chunked, "path", "left_anti").withColumn("skip_reason", F.lit("empty chunks"))
+    empty = usable.select("path").join(chunked, "path", "left_anti").withColumn("skip_reason", F.lit("no chunks"))
     return IndexPlan(chunks, points, too_large.unionByName(empty))

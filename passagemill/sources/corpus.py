@@ -50,7 +50,7 @@ def index_candidates(docs: DataFrame, max_bytes: int | None = None) -> DataFrame
     if max_bytes is not None:
         reason = F.when(
             F.col("size") > max_bytes,
-            F.format_string(f"file too large (%d bytes, max {max_bytes})", F.col("size")),
+            F.format_string(f"%d bytes exceed the limit of {max_bytes}", F.col("size")),
         )
     return docs.filter(wanted).withColumn("skip_reason", reason)
 

@@ -29,7 +29,7 @@ def test_read_corpus(spark, tmp_path):
     assert {"a/x.md", "a/deep dir/y.MARKDOWN"} <= set(rows) and "z.txt" not in rows
     assert rows["a/x.md"].content == "text é" and rows["a/x.md"].size == 7
     kept = corpus.index_candidates(corpus.read_corpus(spark, str(tmp_path)), max_bytes=6).collect()
-    assert [(r.path, r.skip_reason) for r in kept] == [("a/x.md", "file too large (7 bytes, max 6)")]
+    assert [(r.path, r.skip_reason) for r in kept] == [("a/x.md", "7 bytes exceed the limit of 6")]
 
 
 def test_question_files(spark, tmp_path):
@@ -81,7 +81,7 @@ def test_points_table(spark, tmp_path):
 
 def test_index_plan(spark):
     plan = indexed(spark)
-    assert {(r.path, r.skip_reason) for r in plan.ledger.collect()} == {("b/empty.md", "empty chunks")}
+    assert {(r.path, r.skip_reason) for r in plan.ledger.collect()} == {("b/empty.md", "no chunks")}
     assert tuple(plan.summary().first()) == (3, 3, 1)
 
 
