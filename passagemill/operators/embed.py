@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.functions import text as tx
+
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
 VECTOR_FIELDS = (
@@ -26,8 +27,11 @@ def embed_with(
     """Append ``vector, model, dimensions`` computed by ``embedder`` on batches of texts.
 
     Rows stay with their vectors inside one Arrow batch, so no join by position is
-    needed. A wrong number of vectors fails the task.
+    needed. A wrong number of vectors fails the task. A model that works on columns
+    (``append_to``) is asked for them instead and starts no Python worker.
     """
+    if hasattr(embedder, "append_to"):
+        return embedder.append_to(chunks, model, text_col)
     schema = T.StructType([*chunks.schema.fields, *VECTOR_FIELDS])
 
     def run(batches: Iterator) -> Iterator:
@@ -58,40 +62,60 @@ def embed_with(
     return chunks.mapInArrow(run, schema)
 
 
-def md5_bag_of_words(dims: int = 64) -> Embedder:
-    """Deterministic stand-in model: word counts in md5 buckets, scaled to unit length."""
+class WordBuckets:
+    """Deterministic stand-in model: word counts in md5 buckets, scaled to unit length.
+
+    Tables get their vectors by expressions and Spark's own feature transformers, without Python
+    workers; a call with a list of texts gives the same numbers for a few texts at hand.
+    """
+
+    def __init__(self, dims: int):
+        self.dims = dims
+
+    def append_to(self, texts: DataFrame, model: str, text_col: str) -> DataFrame:
+        from pyspark.ml.feature import CountVectorizerModel
 
-    def embed(texts: Sequence[str]) -> np.ndarray:
-        bucket = lru_cache(maxsize=1 << 16)(
-            lambda word: int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims
-        )
-        out = np.zeros((len(texts), dims))
+        def bucket(word):
+            return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % self.dims).cast("string")
+
+        numbers = [str(i) for i in range(self.dims)]
+        count = CountVectorizerModel.from_vocabulary(numbers, inputCol="_words", outputCol="_counts")
+        words = F.transform(tx.words(F.coalesce(F.col(text_col), F.lit(""))), bucket)
+        return _unit_vectors(count.transform(texts.withColumn("_words", words)), texts.columns, model, self.dims)
+
+    def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dims))
         for row, text in enumerate(texts):
-            hits = [bucket(word) for word in text.split()]
-            if hits:
-                out[row] = np.bincount(hits, minlength=dims)
+            for word in text.split():
+                out[row, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dims] += 1
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1.0, norms)
 
-    return embed
 
+def md5_bag_of_words(dims: int = 64) -> WordBuckets:
+    return WordBuckets(dims)
 
-def hashed_vectors(chunks: DataFrame, dims: int = 256, text_col: str = "content") -> DataFrame:
-    """Hashed bag-of-words vectors by Spark's own feature transformers (no Python workers)."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
 
-    from passagemill.functions import text as tx
+def _unit_vectors(counted: DataFrame, columns: Sequence[str], model: str, dims: int) -> DataFrame:
+    """``_counts`` at unit length as ``vector``, with the model's name and size."""
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import vector_to_array
 
-    counted = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_counts").transform(
-        chunks.withColumn("_words", tx.words(F.coalesce(F.col(text_col), F.lit(""))))
-    )
     scaled = Normalizer(p=2.0, inputCol="_counts", outputCol="_unit").transform(counted)
-    return scaled.withColumn("vector", vector_to_array("_unit")).select(
-        *chunks.columns, "vector", F.lit("hashing-tf").alias("model"), F.lit(dims).alias("dimensions")
+    return scaled.select(
+        *columns, vector_to_array("_unit").alias("vector"), F.lit(model).alias("model"), F.lit(dims).alias("dimensions")
     )
 
 
+def hashed_vectors(chunks: DataFrame, dims: int = 256, text_col: str = "content") -> DataFrame:
+    """Hashed bag-of-words vectors by Spark's own feature transformers (no Python workers)."""
+    from pyspark.ml.feature import HashingTF
+
+    words = tx.words(F.coalesce(F.col(text_col), F.lit("")))
+    counted = HashingTF(numFeatures=dims, inputCol="_words", outputCol="_counts").transform(chunks.withColumn("_words", words))
+    return _unit_vectors(counted, chunks.columns, "hashing-tf", dims)
+
+
 def dimension_check(vectors: DataFrame, vector_col: str = "vector") -> DataFrame:
     """``n, min_dims, max_dims, consistent`` of a vector table."""
     size = F.size(vector_col)
