@@ -146,9 +146,8 @@ UNION ALL SELECT 'benchmark', 'n_questions', 0, count(*)::DOUBLE FROM questions"
 
 def metric(name, *keys, grouping="groupBy"):
     def run(spark, sf):
-        long = evaluate.aggregate_metrics(fx.scored_orders(spark, sf), fx.KS, keys or ("run_id",), grouping)
-        wanted = long if name is None else long.filter(F.col("metric").isin(*name))
-        return wanted.withColumn("value", settled("value"))
+        long = evaluate.aggregate_metrics(fx.scored_orders(spark, sf), fx.KS, keys or ("run_id",), grouping, name)
+        return long.withColumn("value", settled("value"))
 
     return run
 
@@ -203,13 +202,12 @@ add("m11_by_category", metric(None, "run_id", "category", "difficulty"), q.query
     long_sql("per_k", "run_id, category, difficulty") + "\nUNION ALL " + scalar_sql("run_id, category, difficulty", *_SCALARS), "per_k", "per_question"))
 
 
-def rolled_up(spark, sf):
-    rows = fx.scored_orders(spark, sf)
-    return evaluate.aggregate_metrics(rows, fx.KS, ("category", "difficulty"), "rollup").filter("metric = 'hit_rate'").withColumn("value", settled("value"))
-
-
-add("m11_rollup", rolled_up, q.query(
-    "SELECT category, difficulty, 'hit_rate' AS metric, k::INT AS k, round(1e-9 + avg(hit_rate), 6) AS value FROM per_k GROUP BY k, ROLLUP (category, difficulty)", "per_k"))
+_LEVELS = "SELECT category, difficulty, grouping(category, difficulty)::BIGINT AS grouping_id, "
+add("m11_rollup", metric(None, "category", "difficulty", grouping="rollup"), q.query(
+    "\nUNION ALL ".join(
+        [f"{_LEVELS}'{m}' AS metric, k::INT AS k, round(1e-9 + avg({m}), 6) AS value FROM per_k GROUP BY k, ROLLUP (category, difficulty)" for m in evaluate.QUESTION_METRICS]
+        + [f"{_LEVELS}'{n}' AS metric, 0 AS k, round(1e-9 + ({_SCALARS[n]})::DOUBLE, 6) AS value FROM per_question GROUP BY ROLLUP (category, difficulty)" for n in _SCALARS]
+    ), "per_k", "per_question"))
 
 # --- run analytics -------------------------------------------------------------------------
 

@@ -214,56 +214,66 @@ def ideal_grades(judgments: DataFrame, kmax: int, query_id: str = "query_id") ->
 
 
 def aggregate_metrics(
-    questions: DataFrame, ks: Sequence[int], keys: Sequence[str] = ("run_id",), grouping: str = "groupBy"
+    questions: DataFrame,
+    ks: Sequence[int],
+    keys: Sequence[str] = ("run_id",),
+    grouping: str = "groupBy",
+    metrics: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All metrics at all k: ``keys, metric, k, value`` (k is 0 for metrics without one).
+    """All metrics, or those named, at all k: ``keys, metric, k, value`` (k is 0 for metrics without one).
 
     Failed and unanswered questions stay in every denominator. Scalars appear for
     the columns at hand: rank_first → mrr, answer_score, latency and tokens, failed.
+    Questions are summed once per key; ``rollup`` and ``cube`` expand these sums and add
+    ``grouping_id``, which tells a subtotal from a key that is null.
     """
     ks = sorted(set(ks))
     if not ks or ks[0] < 1:
         raise ValueError("ks must be positive")
-    per_question = [
-        question_metric(m, k).alias(f"_{m}_{k}") for m in QUESTION_METRICS for k in ks
-    ]
-    scalars = {}
+    n = F.col("_n")
+    sums, scalars = {"_n": F.count("*")}, {}
     have = set(questions.columns)
+
+    def asked(name: str) -> bool:
+        return metrics is None or name in metrics
+
+    def scalar(name: str, column: str, summed: Column, value: Column) -> None:
+        if asked(name):
+            sums[column], scalars[name] = F.sum(summed), value
+
+    by_k = [m for m in QUESTION_METRICS if asked(m)]
+    for m in by_k:
+        sums.update({f"_{m}_{k}": F.sum(question_metric(m, k)) for k in ks})
     if "rank_first" in have:
-        scalars["mrr"] = F.avg(F.when(F.col("rank_first") > 0, 1 / F.col("rank_first")).otherwise(F.lit(0.0)))
+        reciprocal = F.when(F.col("rank_first") > 0, 1 / F.col("rank_first")).otherwise(F.lit(0.0))
+        scalar("mrr", "_mrr", reciprocal, F.col("_mrr") / F.nullif(n, F.lit(0)))
     if "answer_score" in have:
-        scalars["avg_answer_score"] = F.coalesce(F.avg(F.coalesce("answer_score", F.lit(0.0))), F.lit(0.0))
-    for column, label in (
-        ("latency_ms", "latency_ms"),
-        ("prompt_tokens", "prompt_tokens"),
-        ("completion_tokens", "completion_tokens"),
-    ):
+        mean = F.coalesce(F.col("_answer") / F.nullif(n, F.lit(0)), F.lit(0.0))
+        scalar("avg_answer_score", "_answer", F.coalesce("answer_score", F.lit(0.0)), mean)
+    for column in ("latency_ms", "prompt_tokens", "completion_tokens"):
         if column in have:
-            value = F.coalesce(F.col(column), F.lit(0))
-            scalars[f"avg_{label}"] = F.sum(value) / F.greatest(F.count("*"), F.lit(1))
-            scalars[f"total_{label}"] = F.sum(value).cast("double")
+            summed, total = F.coalesce(F.col(column), F.lit(0)), F.col(f"_{column}")
+            scalar(f"avg_{column}", f"_{column}", summed, total / F.greatest(n, F.lit(1)))
+            scalar(f"total_{column}", f"_{column}", summed, total)
     if "failed" in have:
-        scalars["n_failed"] = F.count_if(F.col("failed")).cast("double")
-    scalars["n_questions"] = F.count("*").cast("double")
-
-    needed = [c for c in ("rank_first", "answer_score", "latency_ms", "prompt_tokens", "completion_tokens", "failed") if c in have]
-    rows = with_prefixes(questions, ks[-1]).select(*keys, *needed, *per_question)
-    grouped = getattr(rows, grouping)(*keys).agg(
-        *[F.avg(f"_{m}_{k}").alias(f"_{m}_{k}") for m in QUESTION_METRICS for k in ks],
-        *[expr.alias(f"_{name}") for name, expr in scalars.items()],
-    )
-    long = F.array(
-        *[
-            F.struct(F.lit(m).alias("metric"), F.lit(k).alias("k"), F.col(f"_{m}_{k}").alias("value"))
-            for m in QUESTION_METRICS
-            for k in ks
-        ],
-        *[
-            F.struct(F.lit(n).alias("metric"), F.lit(0).alias("k"), F.col(f"_{n}").cast("double").alias("value"))
-            for n in scalars
-        ],
-    )
-    return grouped.select(*keys, F.inline(long))
+        scalar("n_failed", "_failed", F.coalesce("failed", F.lit(False)).cast("int"), F.coalesce("_failed", F.lit(0)))
+    if asked("n_questions"):
+        scalars["n_questions"] = n
+
+    grouped = with_prefixes(questions, ks[-1]).groupBy(*keys).agg(*[total.alias(c) for c, total in sums.items()])
+    level = []
+    if grouping != "groupBy":
+        level = ["grouping_id"]
+        grouped = getattr(grouped, grouping)(*keys).agg(
+            F.grouping_id().alias("grouping_id"), *[F.sum(c).alias(c) for c in sums]
+        )
+
+    def entry(name: str, k: int, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("metric"), F.lit(k).alias("k"), value.cast("double").alias("value"))
+
+    long = [entry(m, k, F.col(f"_{m}_{k}") / F.nullif(n, F.lit(0))) for m in by_k for k in ks]
+    long += [entry(name, 0, value) for name, value in scalars.items()]
+    return grouped.select(*keys, *level, F.inline(F.array(*long)))
 
 
 def wide_metrics(long: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
