@@ -190,6 +190,23 @@ _FM_KEYS = q.query("""SELECT path, unnest(CASE doc_id % 3 WHEN 0 THEN ['title',
 add("c8_front_matter_map", front_matter_keys, _FM_KEYS)
 add("c8_front_matter_yaml", lambda s, d: front_matter_keys(s, d, nested=True), _FM_KEYS)
 
+
+def nested_front_matter(spark, sf):
+    """Parsed markdown whose front matter holds a list, a map, values in brackets and an empty one."""
+    n = F.col("doc_id").cast("string")
+    head = F.concat(
+        F.lit("---\ntags:\n  - "), F.col("lang"), F.lit("\n  - "), n, F.lit("\nowner:\n  team: "), F.col("source"),
+        F.lit("\n  active: True\nids: ["), n, F.lit(', "x y"]\nlimits: {b: 2, a: '), n, F.lit("}\nempty:\n---\n"),
+    )
+    docs = fx.documents(spark, sf).select("path", F.concat(head, "content").alias("content"))
+    return structure.parse_markdown(docs).select("path", F.explode("metadata").alias("key", "value"))
+
+
+add("c8_nested_front_matter", nested_front_matter, q.query(
+    """SELECT path, unnest(['tags', 'owner', 'ids', 'limits', 'empty']) AS key,
+  unnest(['['||lang||' '||doc_id||']', 'map[active:true team:'||source||']', '['||doc_id||' x y]', 'map[a:'||doc_id||' b:2]', '<nil>']) AS value FROM docs""",
+    "docs"))
+
 add("c9_inject_source_url",
     lambda s, d: clean.inject_source_url(fx.fronted(s, d)).select("path", "content"),
     q.query("""SELECT path, CASE doc_id % 3

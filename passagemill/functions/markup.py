@@ -265,14 +265,93 @@ def _entry_key(entry: Column) -> Column:
 _PAIR = r"^[^:\n]+:(?:\s|$)"
 
 
-def front_matter_map(block: Column) -> Column:
-    """Flat ``key: value`` lines as a string map (last entry of a key wins); malformed → null."""
+def _head_value(entry: Column) -> Column:
+    """What stands behind the colon."""
+    return tx.trim_ws(F.regexp_replace(entry, r"^[^:\n]+:", ""))
+
+
+def _unquoted(raw: Column) -> Column:
+    """A quoted value's inside; of other values what stands before a comment."""
+    plain = F.regexp_replace(raw, r"(?:^|\s+)#[^\n]*$", "")
+    return F.when(raw.rlike(r"^([\"'])[^\n]*\1$"), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(plain)
+
+
+# How null, lists and maps are shown.
+_NULL, _LIST, _MAP = "<nil>", ("[", "]"), ("map[", "]")
+_FLOW_ITEM = r"\"[^\"]*+\"|'[^']*+'|[^,\s\"'][^,]*+"
+
+
+def _scalar(raw: Column) -> Column:
+    value = _unquoted(raw)
+    quoted = raw.rlike(r"^[\"']")
+    return (
+        F.when(~quoted & value.isin("", "~", "null", "Null", "NULL"), F.lit(_NULL))
+        .when(~quoted & value.isin("True", "TRUE", "False", "FALSE"), F.lower(value))
+        .otherwise(value)
+    )
+
+
+def _shown_list(items: Column) -> Column:
+    return F.concat(F.lit(_LIST[0]), F.array_join(F.transform(items, _scalar), " "), F.lit(_LIST[1]))
+
+
+def _shown_map(items: Column) -> Column:
+    """Entries by key, the last one of a key."""
+    pairs = F.transform(items, lambda e: F.struct(_entry_key(e).alias("key"), _scalar(_head_value(e)).alias("value")))
+    last = F.filter(
+        pairs, lambda p, i: F.forall(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] != p["key"])
+    )
+    shown = F.transform(F.array_sort(last), lambda p: F.concat(p["key"], F.lit(":"), p["value"]))
+    return F.concat(F.lit(_MAP[0]), F.array_join(shown, " "), F.lit(_MAP[1]))
+
+
+def _nested_value(entry: Column) -> Column:
+    """A scalar, or a list or map of scalars as blocks or in brackets; deeper or folded values stay raw."""
+    lines = F.filter(
+        F.slice(F.split(entry, "\n"), F.lit(2), F.size(F.split(entry, "\n"))), lambda line: ~line.rlike(r"^\s*(?:#|$)")
+    )
+    level = F.size(F.array_distinct(F.transform(lines, lambda line: F.regexp_extract(line, r"^[ \t]*", 0)))) <= 1
+
+    def shown(parts: Column) -> Column:
+        head, items = parts["head"], parts["items"]
+        bare = F.transform(items, lambda i: tx.trim_ws(F.substr(i, F.lit(2), F.length(i))))
+        inside = F.regexp_extract_all(F.substr(head, F.lit(2), F.length(head) - 2), F.lit(_FLOW_ITEM), F.lit(0))
+        flow = F.transform(inside, tx.trim_ws)
+        # An item is a scalar unless it opens another list or map.
+        scalars = F.forall(bare, lambda i: ~i.rlike(r"^(?:[\[{|>]|-\s)|^[^\"'][^:]*:(?:\s|$)"))
+        values = F.forall(items, lambda i: i.rlike(_PAIR) & ~i.rlike(r"^-\s") & ~_head_value(i).rlike(r"^[\[{|>]"))
+        flat = ~F.substr(head, F.lit(2), F.length(head) - 2).rlike(r"[\[\]{}]")
+        block = (head == "") & parts["level"]
+        return (
+            F.when(F.size(items) == 0, F.when(head.rlike(r"^\[[\s\S]*\]$") & flat, _shown_list(flow))
+                   .when(head.rlike(r"^\{[\s\S]*\}$") & flat & F.forall(flow, lambda i: i.rlike(_PAIR)), _shown_map(flow))
+                   .otherwise(_scalar(head)))
+            .when(block & F.forall(items, lambda i: i.rlike(r"^-(?:\s|$)")) & scalars, _shown_list(bare))
+            .when(block & values, _shown_map(items))
+            .otherwise(_unquoted(parts["raw"]))
+        )
+
+    head = _head_value(F.substring_index(entry, "\n", 1))
+    return tx.let(
+        F.struct(
+            F.regexp_replace(head, r"^#.*$|(?<=[\]}])\s+#.*$", "").alias("head"),
+            F.transform(lines, tx.trim_ws).alias("items"),
+            level.alias("level"),
+            _head_value(entry).alias("raw"),
+        ),
+        shown,
+    )
+
+
+def front_matter_map(block: Column, nested: bool = False) -> Column:
+    """``key: value`` entries as a string map (last entry of a key wins); malformed → null.
+
+    Flat values are taken as they stand; ``nested`` reads lists and maps of scalars too.
+    """
+    value = _nested_value if nested else lambda entry: _unquoted(_head_value(entry))
 
     def pair(entry: Column) -> Column:
-        raw = tx.trim_ws(F.regexp_replace(entry, r"^[^:\n]+:", ""))
-        plain = F.regexp_replace(raw, r"\s+#[^\n]*$", "")
-        value = F.when(raw.rlike(r"^([\"'])[^\n]*\1$"), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(plain)
-        return F.struct(_entry_key(entry).alias("key"), value.alias("value"))
+        return F.struct(_entry_key(entry).alias("key"), value(entry).alias("value"))
 
     def last_per_key(pairs: Column) -> Column:
         keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))

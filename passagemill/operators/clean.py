@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,50 +55,8 @@ def split_front_matter(docs: DataFrame) -> DataFrame:
 
 
 def front_matter_metadata(docs: DataFrame, nested: bool = False) -> DataFrame:
-    """Adds ``metadata``, the front matter as a string map.
-
-    Flat entries are parsed by expressions. ``nested`` sends the blocks through a
-    YAML reader in Arrow batches instead, for corpora that nest values.
-    """
-    if nested:
-        return docs.withColumn("metadata", _yaml_map_udf()(mk.front_matter(F.col("content"))))
-    return docs.withColumn("metadata", mk.front_matter_map(mk.front_matter(F.col("content"))))
-
-
-def _yaml_map_udf():
-    from passagemill.schemas import STRING_MAP
-
-    def shown(value) -> str:
-        if value is None:
-            return "<nil>"
-        if isinstance(value, bool):
-            return str(value).lower()
-        if isinstance(value, (list, tuple)):
-            return "[" + " ".join(shown(v) for v in value) + "]"
-        if isinstance(value, dict):
-            return "map[" + " ".join(f"{k}:{shown(value[k])}" for k in sorted(value, key=str)) + "]"
-        return str(value)
-
-    def parse(block):
-        import yaml
-
-        if block is None:
-            return None
-        try:
-            loaded = yaml.safe_load(block)
-        except yaml.YAMLError:
-            return None
-        if loaded is None:
-            return {}
-        if not isinstance(loaded, dict):
-            return None
-        return {str(k): shown(v) for k, v in loaded.items()}
-
-    @F.pandas_udf(STRING_MAP)
-    def yaml_map(blocks: pd.Series) -> pd.Series:
-        return blocks.map(parse, na_action=None)
-
-    return yaml_map
+    """Adds ``metadata``, the front matter as a string map; ``nested`` reads lists and maps of scalars."""
+    return docs.withColumn("metadata", mk.front_matter_map(mk.front_matter(F.col("content")), nested))
 
 
 def inject_source_url(docs: DataFrame) -> DataFrame:

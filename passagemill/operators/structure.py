@@ -12,7 +12,7 @@ from passagemill.operators.clean import front_matter_metadata
 
 def parse_markdown(docs: DataFrame) -> DataFrame:
     """``(path, content)`` to ``(path, metadata, elements)``; one row per document, no shuffle."""
-    return front_matter_metadata(docs).select(
+    return front_matter_metadata(docs, nested=True).select(
         "path", "metadata", md.elements(mk.body(F.col("content"))).alias("elements")
     )
 

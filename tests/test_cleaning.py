@@ -113,6 +113,21 @@ def test_nested_front_matter(spark):
     assert clean.front_matter_metadata(docs, nested=True).first().metadata == {"a": "[x 2]", "b": "map[c:true]"}
 
 
+def test_nested_front_matter_forms(spark):
+    head = (
+        "---\nunindented:\n- 'a: b'\n- # nothing\n- null\nmap:\n  z: \"q\"\n  y: 1 # note\n  z: last\n"
+        "flow: [a, 'b, c', ~] # end\nnone: []\nempty:\nquoted: \"null\"\nyes: TRUE\ndeep:\n  a:\n    - b\n"
+        "maps:\n  - k: v\ncommented: # words\n  - x\ntitle: a [b] # c\n---\n"
+    )
+    docs = spark.createDataFrame([(head,), ("---\n---\n",), (None,)], "content string")
+    first, blank, missing = [r.metadata for r in clean.front_matter_metadata(docs, nested=True).collect()]
+    assert first == {
+        "unindented": "[a: b <nil> <nil>]", "map": "map[y:1 z:last]", "flow": "[a b, c <nil>]", "none": "[]", "empty": "<nil>",
+        "quoted": "null", "yes": "true", "deep": "a:\n    - b", "maps": "- k: v", "commented": "[x]", "title": "a [b]",
+    }
+    assert not blank and missing is None
+
+
 def test_inject_source_url(spark):
     url = F.lit("https://example.com/p/")
     texts = ["---\nz: 1\nsource_url: old\na:\n  - q\n---\nbody", "plain", "---\nbad\n---\nx"]
