@@ -198,7 +198,7 @@ add("r1_top_k_cosine", dense_search, q.query(
 def blockwise_search(spark, sf):
     """The partitioned form, used beyond the broadcast bound."""
     found = retrieve.top_k(
-        fx.vectors(spark, sf), fx.label_queries(spark, sf), fx.TOP_K, max_broadcast_queries=3, **_VEC
+        fx.vectors(spark, sf), fx.label_queries(spark, sf), fx.TOP_K, max_broadcast_queries=3, queries_per_block=3, point_blocks=4, **_VEC
     )
     return rounded_score(found).select("query_id", "rank", "vec_id", "score")
 
@@ -207,6 +207,19 @@ add("r1_top_k_partitioned", blockwise_search, q.query(
     f"SELECT query_id, rank, vec_id, round(score, 6) AS score FROM ranked WHERE rank <= {fx.TOP_K}", "ranked"))
 
 
+def self_search(spark, sf):
+    """Every vector as a query against all vectors, past the broadcast bound."""
+    asked = fx.vectors(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = retrieve.top_k(fx.vectors(spark, sf), asked, fx.TOP_K, max_broadcast_queries=100, queries_per_block=200, **_VEC)
+    return rounded_score(found).select("query_id", "rank", "vec_id", "score")
+
+
+add("r1_top_k_many_queries", self_search, f"""SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
+    FROM embeddings a, embeddings b)) WHERE rank <= {fx.TOP_K}""")
+
+
 def distances(spark, sf):
     out = None
     for name in ("Dot", "Euclid", "Manhattan", "no such name"):

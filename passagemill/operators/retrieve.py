@@ -20,7 +20,8 @@ from passagemill.functions import vectors as vx
 
 # Scores are rounded before ranking so equal vectors tie exactly, whatever the block shape.
 SCORE_DIGITS = 9
-# Up to this many queries and bytes are sent to every task; beyond it both sides are partitioned.
+# Up to this many queries and bytes are sent to every task; beyond it both sides are partitioned,
+# and a block of queries holds as many bytes.
 MAX_BROADCAST_QUERIES = 4096
 MAX_BROADCAST_BYTES = 64 << 20
 # Vector values of one point block (64 MB as doubles) and scores of one product.
@@ -153,6 +154,7 @@ def top_k(
     query_vector: str = "query_vector",
     carry: Sequence[str] = (),
     max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+    queries_per_block: int | None = None,
     point_blocks: int | None = None,
 ) -> DataFrame:
     """The k closest points per query: ``query_id, <id>, score, rank`` and the carried columns.
@@ -161,8 +163,9 @@ def top_k(
     smaller id. Every query meets the points at its own length; points of another length
     count as zero vectors, a null query as an empty one. A query block of at most
     ``max_broadcast_queries`` rows and ``MAX_BROADCAST_BYTES`` goes to every task and points
-    are only scanned; a larger query table is cut into hash blocks, points are repeated
-    once per query block, and block pairs are scored by a cogroup. Both give the same rows.
+    are only scanned; a larger query table is cut into hash blocks of ``queries_per_block`` (by default
+    as many as fill ``MAX_BROADCAST_BYTES``), points are repeated once per query block, and block
+    pairs are scored by a cogroup. Both give the same rows.
     The number of point blocks follows from a count of the points, so that a block
     fits in memory; give ``point_blocks`` to save the count. Search a written points
     table rather than a plan that still has to embed.
@@ -203,7 +206,7 @@ def top_k(
         dims = max((len(v) for v in block.column(query_vector).to_pylist() if v is not None), default=1)
         if point_blocks is None:
             point_blocks = -(-points.count() * max(dims, 1) // _VALUES_PER_BLOCK)
-        per_block = min(max_broadcast_queries, max(1, MAX_BROADCAST_BYTES // (8 * max(dims, 1))))
+        per_block = queries_per_block or max(1, MAX_BROADCAST_BYTES // (8 * max(dims, 1)))
         query_blocks = -(-queries.count() // per_block)
         local = _blockwise(
             points, queries, schema, running, id_col, query_id, query_blocks, max(1, point_blocks)
