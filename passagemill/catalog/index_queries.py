@@ -140,6 +140,29 @@ add("w2_replace_documents", replaced, q.query(
   SELECT document_path, content FROM big UNION ALL
   SELECT c.document_path, c.content FROM chunks c JOIN docs d ON d.path = c.document_path WHERE d.lang <> 'en') GROUP BY 1""",
     "docs", "chunks", extra={"big": _FULL}))
+
+
+def stored_replacement(spark, sf):
+    """All documents stored, a third re-indexed as one word, a third emptied, compacted and the second write replayed."""
+    path = scratch(spark, "replaced")
+    docs = fx.documents(spark, sf)
+    kind = F.col("doc_id") % 3
+    redone = docs.filter(kind < 2).select("path", F.when(kind == 0, F.col("lang")).otherwise(F.lit("")).alias("content"))
+
+    def indexed(pages):
+        return plan_index(pages, embed.md5_bag_of_words(fx.DIMS), "md5-bag-of-words", "plain", "fixed",
+                          {"size": fx.CHUNK_SIZE, "overlap": fx.CHUNK_OVERLAP}).points
+
+    tables.write_points(indexed(docs.select("path", "content")), path, "all:pages")
+    for _ in range(2):
+        tables.write_points(indexed(redone), path, "all:pages", 1, replaces=redone.select(F.col("path").alias("document_path")))
+        tables.compact_points(spark, path, "all:pages")
+    return tables.read_points(spark, path, "all:pages").select("point_id", "chunk_id", "content")
+
+
+add("w2_stored_replacement", stored_replacement, q.query(
+    f"""SELECT {q.uuid5('c.chunk_id')} AS point_id, c.chunk_id, c.content FROM chunks c JOIN docs d ON d.path = c.document_path WHERE d.doc_id % 3 = 2
+UNION ALL SELECT {q.uuid5("path||'-chunk-0000'")}, path||'-chunk-0000', lang FROM docs WHERE doc_id % 3 = 0""", "docs", "chunks"))
 add("w3_collection_check",
     lambda s, d: vt.collection_check(vector_points(s, d), 64),
     "SELECT label AS collection, count(*) AS vector_count, min(len(embedding))::INT AS min_size, max(len(embedding))::INT AS max_size, 64 AS declared_size, min(len(embedding)) = 64 AND max(len(embedding)) = 64 AS consistent FROM embeddings GROUP BY label")

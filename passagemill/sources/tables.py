@@ -82,22 +82,47 @@ def _versions(spark: SparkSession, path: str, collection: str) -> list[int]:
 
 
 def write_points(
-    points: DataFrame, path: str, collection: str, seq: int | None = None, declared_size: int | None = None
+    points: DataFrame,
+    path: str,
+    collection: str,
+    seq: int | None = None,
+    declared_size: int | None = None,
+    replaces: DataFrame | None = None,
 ) -> None:
     """Upsert points into a collection as version ``seq``, by default one above all others.
 
     An upsert appends: only the incoming rows are written, and readers keep the
     highest ``seq`` per point. Writing the same ``seq`` again replaces it, so a
     replayed batch changes nothing. Vectors of another size than declared are refused.
+    All points that lower versions have of the documents in ``replaces`` (``document_path``) go, whether
+    or not the document has points now: a row without point id marks each of them in this version.
     """
     if seq is None:
-        seq = max(_versions(points.sparkSession, path, collection), default=BASE) + 1
+        seq = _next_version(points.sparkSession, path, collection)
     incoming = points.withColumn("collection", F.lit(collection)).withColumn("seq", F.lit(seq))
     if declared_size is not None:
         wrong = incoming.filter(F.size("vector") != declared_size)
         if not wrong.isEmpty():
             raise ValueError(f"collection {collection}: vector size differs from {declared_size}")
-    _overwrite(vt.latest(incoming, "point_id", F.col("chunk_id")), path, "collection", "seq")
+    incoming = vt.latest(incoming.filter("point_id is not null"), "point_id", F.col("chunk_id"))
+    if replaces is not None:
+        marks = replaces.select("document_path").distinct()
+        marks = marks.withColumn("collection", F.lit(collection)).withColumn("seq", F.lit(seq))
+        incoming = incoming.unionByName(marks, allowMissingColumns=True)
+    _overwrite(incoming, path, "collection", "seq")
+
+
+def _next_version(spark: SparkSession, path: str, collection: str) -> int:
+    return max(_versions(spark, path, collection), default=BASE) + 1
+
+
+def batch_version(spark: SparkSession, path: str, collection: str, ledger: str, batch_id: int) -> int:
+    """The version a stream's batch writes: above all others when it first asks, noted in ``ledger`` for a replay."""
+    noted = f"{ledger.rstrip('/')}/batch={batch_id}"
+    if not _exists(spark, f"{noted}/_SUCCESS"):
+        version = F.lit(_next_version(spark, path, collection)).cast("int")
+        spark.range(1, numPartitions=1).select(version.alias("version")).write.mode("overwrite").parquet(noted)
+    return spark.read.parquet(noted).first()["version"]
 
 
 def read_points(spark: SparkSession, path: str, collection: str) -> DataFrame | None:
@@ -109,9 +134,13 @@ def read_points(spark: SparkSession, path: str, collection: str) -> DataFrame |
     if not versions:
         return None
     stored = _read_partitioned(spark, path, "collection").filter(F.col("collection") == collection).drop("collection")
+    points = stored.filter("point_id is not null")
     if len(versions) > 1:
-        stored = vt.latest(stored, "point_id", F.desc("seq"))
-    return stored.drop("seq")
+        if "document_path" in stored.columns:
+            marks = stored.filter("point_id is null").groupBy("document_path").agg(F.max("seq").alias("_since"))
+            points = points.join(marks, "document_path", "left").filter("_since is null or seq >= _since")
+        points = vt.latest(points.select(stored.columns), "point_id", F.desc("seq"))
+    return points.drop("seq")
 
 
 def compact_points(spark: SparkSession, path: str, collection: str) -> None:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passagemill.operators import embed
 from passagemill.plans.index_job import plan_index
-from passagemill.sources.tables import write_points
+from passagemill.sources.tables import batch_version, write_points
 
 
 def index_stream(
@@ -23,17 +24,19 @@ def index_stream(
     trigger: dict | None = None,
     **index_options,
 ) -> StreamingQuery:
-    """Index each micro-batch of ``(path, content)`` documents and upsert its points.
+    """Index each micro-batch of ``(path, content)`` documents and replace their points.
 
-    The batch id is the version of the written points. A batch replayed after a
-    failure writes the same ids under the same version and changes nothing, and a
-    batch costs what it brings, not what the collection holds.
+    A batch writes a version of its own, above all that the collection has by then, and notes it in the
+    checkpoint: replayed after a failure it writes the same version again and changes nothing, and
+    neither bulk writes nor a stream with another checkpoint take its place. Chunks that a
+    document no longer has go. A batch costs what it brings, not what the collection holds.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         docs = prepare(batch) if prepare else batch
         plan = plan_index(docs, embedder, model, **index_options)
-        write_points(plan.points, table, collection, seq=batch_id)
+        version = batch_version(batch.sparkSession, table, collection, f"{checkpoint.rstrip('/')}/versions", batch_id)
+        write_points(plan.points, table, collection, version, replaces=docs.select(F.col("path").alias("document_path")))
 
     return (
         documents.writeStream.foreachBatch(handle)

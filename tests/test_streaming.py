@@ -24,6 +24,32 @@ def test_incremental_index_equals_batch(spark, sf_dir, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+def test_stream_replaces_documents_and_respects_other_writers(spark, tmp_path):
+    path, options = str(tmp_path / "points"), {"parser": "plain", "chunk_config": {"size": 2, "overlap": 0}}
+    model = embed.md5_bag_of_words(4)
+
+    def arrive(name, rows, checkpoint):
+        spark.createDataFrame(rows, "path string, content string").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema("path string, content string").parquet(str(tmp_path / name))
+        query = index_stream(stream, path, "live", model, "m", str(tmp_path / checkpoint), **options)
+        query.awaitTermination(120)
+        assert query.exception() is None
+
+    def held():
+        return sorted(r.content for r in tables.read_points(spark, path, "live").collect())
+
+    arrive("one", [("a.md", "a b c d e f"), ("b.md", "p q r")], "ck1")
+    assert held() == ["a b", "c d", "e f", "p q", "r"]
+    tables.write_points(plan_index(spark.createDataFrame([("c.md", "bulk")], "path string, content string"), model, "m", **options).points, path, "live")
+    arrive("one", [("a.md", "z"), ("b.md", "  ")], "ck1")
+    assert held() == ["bulk", "z"]
+    arrive("two", [("d.md", "new")], "ck2")
+    assert held() == ["bulk", "new", "z"]
+    tables.compact_points(spark, path, "live")
+    arrive("two", [("c.md", "")], "ck2")
+    assert held() == ["new", "z"]
+
+
 def run_memory(df, name, mode="update"):
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
     query.processAllAvailable()
