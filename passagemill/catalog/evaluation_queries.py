@@ -9,6 +9,7 @@ from passagemill.catalog import sql as q
 from passagemill.catalog.corpus_queries import scratch
 from passagemill.catalog.index_queries import retrieved, with_url
 from passagemill.operators import evaluate, history, jobs, retrieve, runs
+from passagemill.session import cut_lineage
 from passagemill.sources import tables
 from passagemill.streaming.history import history_stream
 
@@ -97,7 +98,8 @@ def evaluation_job(spark, sf):
     Judgments stay in long form: a passage may stand in any number of documents.
     """
     asked = fx.questions(spark, sf)
-    judged = fx.passage_judgments(spark, sf)
+    # grades, expected counts and ideal lists all read the judgments, which are found once
+    judged = cut_lineage(fx.passage_judgments(spark, sf))
     ranked = retrieved(spark, sf, ["document_path"])
     graded = ranked.join(judged, ["question_id", "document_path"], "left").withColumn(
         "grade", F.coalesce("grade", F.lit(0))
