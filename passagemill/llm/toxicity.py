@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -26,13 +27,14 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
-EDGE = ".,;:?\"'()[]{}<>«»„“”…¿!"
-BETWEEN = "._-*~"
-_SUSPECT = re.compile(r"(?=.*[^\W\d_])(?:.*[0-9@$!|+(€£¡].*|.*(.)\1\1.*|[^\W\d_](?:[._*~-][^\W\d_]){2,}.*)", re.S)
-_SPACED = re.compile(r"(?<!\S)[^\W_](?: [^\W_]){2,}(?!\S)")
-_SINGLE_RUN = re.compile(r"[^\W\d_](?:[._*~-][^\W\d_])+")
+# Marks that set words or letters apart, and those among them that never stand for a letter.
+MARKS = ".,;:?\"'()[]{}<>«»„“”…¿!_-*~"
+EDGE = "".join(ch for ch in MARKS if ch not in LEET)
+_SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
+_CHOICE = re.compile(f"{_SIGN.pattern}|[{re.escape(MARKS)}]|(.)\\1", re.S)
 
 
+@functools.lru_cache(maxsize=65_536)
 def symbol(ch: str) -> int:
     """One of 64 classes: 0 edge or space, 1-26 a-z, 27 digits, 28 signs, the others shared by further letters."""
     code = ord(ch)
@@ -91,42 +93,89 @@ class CharacterModel:
         table = np.zeros(SYMBOLS**3)
         table[codes] = counts
         table = table.reshape(SYMBOLS * SYMBOLS, SYMBOLS)
+        # A token by itself begins like the words behind any border.
+        table[0] = table[::SYMBOLS].sum(axis=0)
         single = table.sum(axis=0) + 1.0
         single /= single.sum()
         table = np.log((table + smoothing * SYMBOLS * single) / (table.sum(axis=1, keepdims=True) + smoothing * SYMBOLS))
         return cls(table.astype(np.float32))
 
+    @functools.cached_property
+    def listed(self) -> list[float]:
+        return self.logp.ravel().tolist()
+
     def __getstate__(self):
         return {"logp": self.logp, "cache": {}}
 
 
-def lattice(token: str) -> list[list[tuple[int, str, float]]]:
-    """Edges (end, output, cost) from each position: signs as themselves or as letters, runs as one, two or all."""
+@functools.lru_cache(maxsize=65_536)
+def separates(ch: str) -> bool:
+    return ch in MARKS or ch.isspace()
+
+
+def omission(ch: str) -> float:
+    """What it costs to leave a separator out: words are seldom cut by white space."""
+    return 3.0 if ch.isspace() else 1.5
+
+
+def lattice(token: str, disguised: bool = False) -> list[list[tuple[int, str, float]]]:
+    """Edges (end, output, cost) from each position.
+
+    Signs stand for themselves or for letters, runs of a letter for one, two or all, also where
+    separators are between them. A separator is a word border (a space for white space, a tab for a mark) or
+    nothing. ``disguised`` leaves only the readings of signs as letters and of separators as nothing.
+    """
     n = len(token)
-    edges: list[list[tuple[int, str, float]]] = []
-    i = 0
+    edges: list[list[tuple[int, str, float]]] = [[] for _ in range(n)]
+    last, i = "", 0
     while i < n:
         ch, j = token[i], i
         while j < n and token[j] == ch:
             j += 1
         run = j - i
-        outputs = [(ch, 0.0)] + [(letter, 1.5) for letter in LEET.get(ch, "")]
-        here = []
-        for out, cost in outputs:
-            here.append((j, out * min(run, 8), cost))
-            if run >= 3:
-                here += [(j, out, cost + 1.0), (j, out * 2, cost + 1.0)]
-        edges.append(here)
-        edges += [[] for _ in range(run - 1)]
+        if separates(ch):
+            for at in range(i, j):
+                if not disguised or ch not in LEET:
+                    edges[at].append((at + 1, "", 0.0 if disguised else omission(ch)))
+                if not disguised:
+                    edges[at].append((at + 1, " " if ch.isspace() else "\t", 0.0))
+        elif not disguised or ch not in LEET:
+            edges[i].append((j, ch * min(run, 8), 0.0))
+        letters = [(letter, 1.5) for letter in LEET.get(ch, "")] + [(ch, 0.0)] * ch.isalpha()
+        end, dropped = j, 0.0
+        if letters and ch != last and j < n and separates(token[j]):
+            at, left_out = j, 0.0
+            while at < n and (token[at] == ch or separates(token[at])):
+                if token[at] == ch:
+                    end, dropped = at + 1, left_out
+                elif not disguised:
+                    left_out += omission(token[at])
+                at += 1
+        for out, cost in letters:
+            if out != ch:
+                edges[i].append((j, out * min(run, 8), cost))
+            if run > 2 or run == 2 and not (disguised and out != ch):
+                edges[i].append((j, out, cost + 1.0))
+            if run > 2:
+                edges[i].append((j, out * 2, cost + 1.0))
+            if end > j:
+                cost += 1.0 + dropped
+                edges[i] += [(end, out, cost), (end, out * 2, cost)]
+        if not separates(ch) or ch in LEET:
+            last = ch
         i = j
     return edges
 
 
-def decode(token: str, model: CharacterModel, beam: int = 64) -> str:
-    """The Viterbi path of a token's lattice under the character model; states are the last two classes."""
-    edges = lattice(token)
+def decode(token: str, model: CharacterModel, beam: int = 64, disguised: bool = False) -> str:
+    """The Viterbi path of a token's lattice under the character model; states are the last two classes.
+
+    Borders come out as spaces and tabs; one after another counts once.
+    """
+    edges = lattice(token, disguised)
     states: list[dict] = [{} for _ in range(len(token) + 1)]
     states[0][(0, 0)] = (0.0, None, "")
+    logp = model.listed
     for i, here in enumerate(edges):
         if not here or not states[i]:
             continue
@@ -137,14 +186,15 @@ def decode(token: str, model: CharacterModel, beam: int = 64) -> str:
                 total, x, y = node[0] + cost, a, b
                 for ch in out:
                     z = symbol(ch)
-                    total -= float(model.logp[x * SYMBOLS + y, z])
-                    x, y = y, z
+                    if z or y:
+                        total -= logp[(x * SYMBOLS + y) * SYMBOLS + z]
+                        x, y = y, z
                 known = states[end].get((x, y))
                 if known is None or total < known[0]:
                     states[end][(x, y)] = (total, node, out)
     if not states[-1]:
         return token
-    ends = ((node[0] - float(model.logp[a * SYMBOLS + b, 0]), node) for (a, b), node in states[-1].items())
+    ends = ((node[0] - (logp[(a * SYMBOLS + b) * SYMBOLS] if b else 0.0), node) for (a, b), node in states[-1].items())
     _, node = min(ends, key=lambda e: e[0])
     parts = []
     while node is not None:
@@ -153,33 +203,107 @@ def decode(token: str, model: CharacterModel, beam: int = 64) -> str:
     return "".join(reversed(parts))
 
 
-def restore(token: str, model: CharacterModel) -> str:
-    """A token without its outer punctuation; decoded if it could stand for another word.
+def remembered(model: CharacterModel, key, value):
+    if len(model.cache) >= CACHE:
+        model.cache.clear()
+    model.cache[key] = value
+    return value
+
 
-    Plain tokens have a one-path lattice and are returned as they are.
+def readings(token: str, model: CharacterModel) -> tuple[str, tuple[str, ...]]:
+    """The most likely reading of a token, and all its words: also those with every sign a letter and no separators.
+
+    Tokens without signs, inner marks or repetitions have a one-path lattice and are returned as they are.
+    A sign in front, as in brackets, or a number is mostly no letter: so both readings count.
     """
     known = model.cache.get(token)
     if known is not None:
         return known
     core = token.strip(EDGE)
-    if core and not (core.isalpha() and len(core) < 3) and _SUSPECT.match(core):
-        # A leading or trailing sign may stand for a letter; sentence marks at the end do not.
-        core = token.lstrip(EDGE.replace("!", "").replace("(", "")).rstrip(EDGE)
-        if _SINGLE_RUN.fullmatch(core):
-            core = "".join(c for c in core if c not in BETWEEN)
-        core = decode(core, model)
-    if len(model.cache) >= CACHE:
-        model.cache.clear()
-    model.cache[token] = core
-    return core
+    if not _CHOICE.search(core):
+        return remembered(model, token, (core, (core,) if core else ()))
+    best = " ".join(decode(core, model).split())
+    words = best.split()
+    if _SIGN.search(core) or any(separates(ch) for ch in core):
+        words += decode(core, model, disguised=True).split()
+    return remembered(model, token, (best, tuple(dict.fromkeys(words))))
+
+
+def restore(token: str, model: CharacterModel) -> str:
+    """The most likely reading of a token, without its outer punctuation."""
+    return readings(token, model)[0]
+
+
+def borders(token: str) -> tuple[str, str] | None:
+    """What a token adds to the choice at the space behind and before it; None if no part of it is certain.
+
+    Two different letters that are no part of a run have one reading, so the two classes after them are known
+    and the path before them does not change the path behind them.
+    """
+    certain = [
+        i
+        for i in range(len(token) - 1)
+        if token[i].isalpha() and token[i + 1].isalpha() and len(set(token[i : i + 2])) == 2
+        and token[i - 1 : i] != token[i] and token[i + 2 : i + 3] != token[i + 1]
+    ]
+    return (token[certain[-1] :], token[: certain[0] + 2]) if certain else None
+
+
+def crossed(text: str, model: CharacterModel) -> bool:
+    """Whether the Viterbi path of a text leaves out a space."""
+    a, b, c, d = text[0], text[1:2], text[-2:-1], text[-1]
+    if len(text) > 4 and (a + b + c + d).isalpha() and a != b and b != c and c != d and all(map(separates, text[2:-2])):
+        # Two certain letters on both sides: the path has one choice, all separators or none.
+        (a, b, c, d), logp = map(symbol, a + b + c + d), model.listed
+        through = logp[(a * SYMBOLS + b) * SYMBOLS + c] + logp[(b * SYMBOLS + c) * SYMBOLS + d] - sum(map(omission, text[2:-2]))
+        apart = logp[(a * SYMBOLS + b) * SYMBOLS] + logp[b * SYMBOLS * SYMBOLS + c] + logp[c * SYMBOLS + d]
+        if not _SIGN.search(text):
+            return through > apart
+    return decode(text, model).count(" ") < text.count(" ")
+
+
+def joined(tokens: list[str], model: CharacterModel) -> Iterator[str]:
+    """Stretches of tokens in which the Viterbi path of the whole text leaves out a space.
+
+    A space is decided between the certain letters on both sides of it.
+    """
+    cache, begin, until, since, tail, stretch = model.cache, 0, -1, 0, "", []
+    for i, token in enumerate(tokens):
+        ends = cache.get((0, token), 0)
+        if ends == 0:
+            ends = remembered(model, (0, token), borders(token))
+        if ends is None and i + 1 < len(tokens):
+            stretch.append(token)
+            continue
+        if i:
+            key = (tail, *stretch, ends[1] if ends else token) if stretch else (tail, ends[1] if ends else token)
+            drops = cache.get(key)
+            if drops is None:
+                text = " ".join(key).strip()
+                drops = crossed(text, model)
+                if len(text) < 100:
+                    remembered(model, key, drops)
+            if drops:
+                if until < since:
+                    if until >= 0:
+                        yield " ".join(tokens[begin : until + 1])
+                    begin = since
+                until = i
+        tail, since, stretch = (ends[0] if ends else token), i, []
+    if until >= 0:
+        yield " ".join(tokens[begin : until + 1])
 
 
 def restored_words(text: str, model: CharacterModel) -> set[str]:
-    """Distinct words of the restored text; letters set apart by spaces are read as words too."""
-    text = text.lower()
-    words = {restore(token, model) for token in set(text.split())}
-    for spaced in _SPACED.findall(text):
-        words.add(decode(spaced.replace(" ", ""), model))
+    """Distinct words of the restored text; letters and pieces set apart by spaces are read as words too."""
+    tokens = text.lower().split()
+    words = {word for token in set(tokens) for word in readings(token, model)[1]}
+    for stretch in joined(tokens, model):
+        words.update(decode(stretch, model).split())
+    single = [len(token.strip(EDGE)) == 1 for token in tokens]
+    for alone, run in itertools.groupby(zip(single, tokens), key=lambda s: s[0]):
+        if alone and len(run := [token for _, token in run]) > 2:
+            words.add(decode("".join(run), model, disguised=True))
     words.discard("")
     return words
 
@@ -288,8 +412,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_features:
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``toxic_predicted`` (score of at least one half).
 
-    Every token whose signs, repetitions or separated letters allow another reading is decoded by
-    Viterbi over its character lattice, under trigram counts of the whole corpus; the restored words are
+    Signs, repetitions and separators (marks and white space) that allow another reading are decoded by
+    Viterbi over a character lattice, under trigram counts of the whole corpus; the restored words are
     scored by a logistic model learnt from labelled rows that are not held out. Null and empty texts
     get the score of a text without words. Ids, languages and sources are never looked at. Both passes
     over the texts are narrow; what is sent to the tasks is the trigram table (64**3 numbers at most)

@@ -245,6 +245,22 @@ def test_spaced_letters_and_long_tokens(characters):
     assert len(toxicity.restore("a1" * 20000, characters)) > 0 and toxicity.restored_words("", characters) == set()
 
 
+@pytest.mark.parametrize(
+    "text", ["!diot", "the (!diot)", "i.d.1.o.t", "1-d-1-0-t", "iddiot", "the 1 d 1 0 t", "an id iot is here", "i  d\ni.o t", "i d d d i o t"]
+)
+def test_signs_separators_and_runs_are_read_together(characters, text):
+    assert "idiot" in toxicity.restored_words(text, characters)
+
+
+def test_numbers_are_read_as_letters_too(characters):
+    assert "ass" in toxicity.restored_words("455", characters) and toxicity.restored_words("(house)", characters) >= {"house", "chouse"}
+
+
+def test_spaces_are_decided_like_the_whole_path(characters):
+    for text in ("id. iot", "he re", "is he", "loser the", "sa id"):
+        assert toxicity.crossed(text, characters) == (toxicity.decode(text, characters).count(" ") < text.count(" "))
+
+
 def test_toxicity_is_learnt_from_rows_that_are_not_held_out(spark, tmp_path, documents):
     rng = np.random.default_rng(7)
     rows = []
