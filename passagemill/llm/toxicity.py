@@ -21,6 +21,8 @@ SYMBOLS = 64
 SAMPLE = 12_000
 MAX_FEATURES = 20_000
 CACHE = 400_000
+#: Words of so many letters are taken for text without spaces.
+LONG = 64
 
 # Letters that signs commonly stand for.
 LEET = {
@@ -28,7 +30,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 # Marks that set words or letters apart, and those among them that never stand for a letter.
-MARKS = ".,;:?\"'()[]{}<>«»„“”…¿!_-*~"
+MARKS = ".,;:?\"'()[]{}<>«»„“”‘’…¿!_-–—*~/\\|+&=#%^`·、。，"
 EDGE = "".join(ch for ch in MARKS if ch not in LEET)
 _SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
 _CHOICE = re.compile(f"{_SIGN.pattern}|[{re.escape(MARKS)}]|(.)\\1", re.S)
@@ -309,13 +311,14 @@ def restored_words(text: str, model: CharacterModel) -> set[str]:
 
 
 def features(text: str, model: CharacterModel) -> set[str]:
-    """Restored words and their beginnings of four and five letters."""
+    """Restored words and their beginnings of four and five letters; in ``LONG`` words these count at every place."""
     out = set()
     for word in restored_words(text, model):
-        out.add(word[:64])
+        out.add(word)
         if len(word) > 4:
-            out.add("^" + word[:4])
-            out.add("^" + word[:5])
+            for i in range(len(word) - 3 if len(word) >= LONG else 1):
+                out.add("^" + word[i : i + 4])
+                out.add("^" + word[i : i + 5])
     return out
 
 

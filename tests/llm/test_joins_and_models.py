@@ -261,6 +261,12 @@ def test_spaces_are_decided_like_the_whole_path(characters):
         assert toxicity.crossed(text, characters) == (toxicity.decode(text, characters).count(" ") < text.count(" "))
 
 
+def test_words_inside_long_runs_count(characters):
+    assert {"idiot", "loser"} <= toxicity.features("you/idiot,house|loser", characters)
+    run = "thesaidhouse" * 10 + "idiot"
+    assert {run, "^idio", "^idiot"} <= toxicity.features(run, characters)
+
+
 def test_toxicity_is_learnt_from_rows_that_are_not_held_out(spark, tmp_path, documents):
     rng = np.random.default_rng(7)
     rows = []
