@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from passagemill.llm import (
     collision_search,
+    conversation_repair,
+    hard_negatives,
     jaccard_join,
+    language_id,
     license_scan,
     line_dedup,
     mixing,
@@ -166,3 +169,71 @@ def op10(spark, sf_dir):
 
 
 add("op10_toxicity", op10)
+
+
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"), F.col("embedding").alias("v")
+    )
+    return hard_negatives.mine_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+add(
+    "op11_hard_negatives",
+    op11,
+    """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings),
+scored AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS score
+  FROM v AS a JOIN v ON v.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id))::INT AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3""",
+)
+
+
+def op12(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = language_id.identify_languages(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+add("op12_language_id", op12)
+
+
+def damaged(conversations):
+    """Rows dropped, emptied, robbed of their marks, doubled or given another role, by a checksum of conversation and turn."""
+    rows = conversations.select(
+        "conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")],
+        (F.crc32(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]).cast("binary")) % 20).alias("kind"),
+    )
+    kind = F.col("kind")
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    return rows.filter(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.when(kind == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    ).drop("copy")
+
+
+def op13(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    edits, summary = conversation_repair.repair(damaged(conversations))
+    hashes = conversation_repair.repaired_digests(edits)
+    every = conversations.select("conv_id").distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+
+    def matched(left, right, name):
+        right = right.withColumnRenamed("conv_id", name)
+        return left.join(right, F.col("conv_id").eqNullSafe(F.col(name)), "left").drop(name)
+
+    return matched(matched(every, summary, "_s"), hashes, "_h").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+add("op13_conversation_repair", op13)

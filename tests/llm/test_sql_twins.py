@@ -13,4 +13,4 @@ def test_twin(spark, sf_dir, name):
 
 
 def test_numbers():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
