@@ -8,11 +8,12 @@ from passagemill.catalog import fixtures as fx
 from passagemill.catalog import sql as q
 from passagemill.functions import ids
 from passagemill.functions import vectors as vx
-from passagemill.operators import embed, retrieve
+from passagemill.operators import embed, keyword, retrieve
 from passagemill.operators import vector_table as vt
 from passagemill.catalog.corpus_queries import scratch
 from passagemill.plans.index_job import plan_index
 from passagemill.plans.registry import RETRIEVERS
+from passagemill.session import cut_lineage
 from passagemill.sources import tables
 from passagemill.sources.corpus import spread
 from passagemill.streaming.ingest import index_stream
@@ -371,6 +372,49 @@ for _style, _lead, _gap in (("evaluation", "chr(10)||'Content:'||chr(10)", "chr(
 FROM retrieved GROUP BY question_id""", "retrieved"))
 
 
+def keyword_hits(spark, sf):
+    """Every benchmark question against the stored index of all chunks."""
+    path = scratch(spark, "keywords")
+    keyword.build_index(fx.chunks(spark, sf)).write(path)
+    index = keyword.read_index(spark, path)
+    return rounded_score(keyword.keyword_search(index, fx.questions(spark, sf), fx.TOP_K, query_id="question_id"))
+
+
+_KEYWORDS = {
+    "kw_words": "SELECT chunk_id, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS ws FROM chunks",
+    "kw_mean": "SELECT count(*) AS n, avg(len(ws)) AS mean FROM kw_words",
+    "kw_postings": "SELECT chunk_id, len(ws) AS length, unnest(ws) AS term FROM kw_words",
+    "kw_counts": "SELECT chunk_id, length, term, count(*) AS tf FROM kw_postings GROUP BY ALL",
+    "kw_terms": "SELECT term, count(*) AS df FROM kw_counts GROUP BY term",
+    "kw_asked": "SELECT DISTINCT question_id, unnest(regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+')) AS term FROM questions",
+    "kw_ranked": """SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY worth DESC, chunk_id) AS rank FROM (
+  SELECT question_id, chunk_id, sum(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) * 1000000000)::BIGINT) AS worth
+  FROM kw_asked JOIN kw_terms USING (term) JOIN kw_counts USING (term), kw_mean GROUP BY ALL)""",
+}
+add("r11_keyword_search", keyword_hits, q.query(
+    f"SELECT question_id, chunk_id, round(worth / 1000000000, 6) AS score, rank FROM kw_ranked WHERE rank <= {fx.TOP_K}",
+    "chunks", "questions", extra=_KEYWORDS))
+
+
+def hybrid_hits(spark, sf):
+    asked = embed.embed_with(fx.questions(spark, sf), embed.md5_bag_of_words(fx.DIMS), "md5-bag-of-words", text_col="question")
+    config = {"k": fx.TOP_K, "query_id": "question_id", "query_vector": "vector", "carry": ["document_path", "chunk_index"]}
+    return rounded_score(RETRIEVERS.run("hybrid", cut_lineage(fx.points(spark, sf)), asked, config=config))
+
+
+add("r11_hybrid_search", hybrid_hits, q.query(
+    f"""SELECT question_id, chunk_id, round(score, 6) AS score, document_path, chunk_index, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT coalesce(d.question_id, w.question_id) AS question_id, coalesce(d.chunk_id, w.chunk_id) AS chunk_id,
+      coalesce(1 / (60 + d.rank), 0) + coalesce(1 / (60 + w.rank), 0) AS score
+    FROM dense d FULL OUTER JOIN (SELECT * FROM kw_ranked WHERE rank <= {3 * fx.TOP_K}) w ON w.question_id = d.question_id AND w.chunk_id = d.chunk_id))
+JOIN chunks USING (chunk_id) WHERE rank <= {fx.TOP_K}""",
+    "chunks", "questions", "chunk_vectors", "question_vectors", extra={**_KEYWORDS, "dense": f"""SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT q.question_id, v.chunk_id, round(list_cosine_similarity(v.vector::FLOAT[]::DOUBLE[], q.vector), 9) AS score
+    FROM question_vectors q, chunk_vectors v)) WHERE rank <= {3 * fx.TOP_K}"""}))
+
+
 # --- streaming ------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from passagemill.operators import chunk, retrieve, structure
+from passagemill.operators import chunk, keyword, retrieve, structure
 
 
 class Registry:
@@ -39,3 +39,4 @@ CHUNKERS.register("recursive", chunk.recursive_chunks)
 RETRIEVERS = Registry("retrieval strategy")
 RETRIEVERS.register("naive-search", retrieve.top_k)
 RETRIEVERS.register("mmr-rerank", retrieve.mmr_search)
+RETRIEVERS.register("hybrid", keyword.hybrid_search)
