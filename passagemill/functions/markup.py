@@ -37,62 +37,126 @@ REF_PATTERN = r'\{\{<\s*(ref|relref)\s+"([^"]+)"\s*>\}\}'
 LEFTOVER_TAG_PATTERN = r"\{\{(?:%|<)"
 RAW_HTML_PATTERN = r"<[a-z]+[^>]*>"
 
-_ANY_TAG = r"\{\{(?:<\s*/?[\w-]+[\s\S]*?>|%\s*/?[\w-]+[\s\S]*?%|/[\w-]+[\s\S]*?[>%])\}\}"
+# Zero-width: before an opening mark and behind a closing one.
+_TAG_EDGES = r"(?=\{\{[<%/])|(?<=[>%]\}\})"
+_TAG_HEAD = r"^\{\{(?:[<%]\s*/?|/)[\w-]+"
+# Kinds of opening marks, and of the closing marks that end a tag; a bare "{{/" ends at either.
+_ANGLE, _PERCENT, _BARE = 1, 2, 3
+_BLOCK = 256
 
 
-def _before_last(content: Column, closer: str, change) -> Column:
-    """``change`` applied up to the end of the last match of ``closer``; the rest stays.
+def strip_tags(content: Column, rules: Mapping[str, str] | None = None) -> Column:
+    """Drop template tags. Names with the remove action lose their enclosed text too.
+
+    One scan from left to right. A tag runs from its opening mark to the next closing mark of its kind; an
+    opening mark without one is text. A removed tag takes all text up to the first closing tag of its name with
+    it, if there is one behind it. Every other tag, known or not, is dropped alone, which keeps the text
+    between a pair and also clears nested and stray tags.
 
-    For patterns that end in ``closer``: what begins after the last one cannot match, and
-    looking for its end from every start would cost the square of the text's length.
+    The text is split once at its marks and the pieces are folded with the open tag as state, so the
+    cost grows with the text, whatever is left open.
     """
-    return tx.let(
-        content,
-        lambda c: tx.let(
-            F.regexp_extract(c, r"^[\s\S]*" + closer, 0),
-            lambda head: F.concat(change(head), F.substr(c, F.length(head) + 1)),
-        ),
-    )
+    rules = DEFAULT_TAG_RULES if rules is None else rules
+    removed = [name for name, action in rules.items() if action == REMOVE]
+    return tx.let(content, lambda c: F.when(c.contains("{{"), _without_tags(c, removed)).otherwise(c))
 
 
-def _after_last(content: Column, closer: str, change) -> Column:
-    """``change`` applied behind the last match of ``closer``."""
-    return tx.let(
-        content,
-        lambda c: tx.let(
-            F.regexp_extract(c, r"^[\s\S]*" + closer, 0),
-            lambda head: F.concat(head, change(F.substr(c, F.length(head) + 1))),
-        ),
-    )
+def _without_tags(content: Column, removed: list[str]) -> Column:
+    names = F.array(*[F.lit(n) for n in removed]).cast("array<string>")
 
+    def kind(piece: Column, i: Column) -> Column:
+        def of(head: Column) -> Column:
+            lead = (
+                F.when(head == "", 0)
+                .when(head.startswith("{{<"), _ANGLE)
+                .when(head.startswith("{{%"), _PERCENT)
+                .otherwise(_BARE)
+            )
+            number = F.array_position(names, F.regexp_extract(head, r"[\w-]+$", 0)).cast("int")
+            return F.struct(
+                i.alias("at"),
+                lead.alias("lead"),
+                F.when(head.contains("/"), 0).otherwise(number).alias("opens"),
+                F.when(head.rlike(r"^\{\{(?:[<%] ?)?/"), number).otherwise(0).alias("shuts"),
+                F.when(piece.endswith(">}}"), _ANGLE).when(piece.endswith("%}}"), _PERCENT).otherwise(0).alias("ends"),
+            )
 
-def strip_tags(content: Column, rules: Mapping[str, str] | None = None) -> Column:
-    """Drop template tags. Names with the remove action lose their enclosed text too.
+        return tx.let(F.regexp_extract(piece, _TAG_HEAD, 0), of)
+
+    def last(kinds: Column, test) -> Column:
+        return F.coalesce(F.array_max(F.transform(F.filter(kinds, test), lambda k: k["at"])), F.lit(-1))
+
+    def closing(number: int, mark: int):
+        return lambda k: (k["shuts"] == number + 1) & k["lead"].isin(mark, _BARE)
+
+    def scanned(pieces: Column, kinds: Column) -> Column:
+        ends = F.array(
+            last(kinds, lambda k: k["ends"] == _ANGLE), last(kinds, lambda k: k["ends"] == _PERCENT), last(kinds, lambda k: k["ends"] > 0)
+        )
+        return tx.let(
+            ends,
+            lambda e: tx.let(
+                F.filter(kinds, lambda k: (k["shuts"] > 0) & (k["at"] <= F.get(e, F.lit(2)))),
+                lambda shuts: tx.let(
+                    # Place of the last closing tag, by removed name and kind of mark.
+                    F.array(*[last(shuts, closing(n, m)) for n in range(len(removed)) for m in (_ANGLE, _PERCENT)]).cast("array<int>"),
+                    lambda shut: _kept(pieces, kinds, e, shut),
+                ),
+            ),
+        )
 
-    A removed pair runs to the first closing tag of the same name. Every other
-    tag, known or not, is dropped alone, which keeps the text between a pair and
-    also clears nested and stray tags.
+    return tx.let(F.split(content, _TAG_EDGES), lambda pieces: tx.let(F.transform(pieces, kind), lambda kinds: scanned(pieces, kinds)))
+
+
+def _kept(pieces: Column, kinds: Column, ends: Column, shut: Column) -> Column:
+    """The pieces outside of tags and removed text.
+
+    State of the fold: ``tag`` the kind of mark that ends the open tag, ``then`` and ``mode`` the removed name (and its
+    kind of mark) that tag opened, ``skip`` the removed name whose closing tag is awaited. Flags are
+    gathered per block of pieces, so that none is copied more than a few times.
     """
-    rules = DEFAULT_TAG_RULES if rules is None else rules
-    removed = [re.escape(name) for name, action in rules.items() if action == REMOVE]
-    out = content
-    if removed:
-        names = "|".join(removed)
-        for mark in ("<", "%"):
-            end = {"<": r">\}\}", "%": r"%\}\}"}[mark]
-            for name in map(re.escape, (n for n, action in rules.items() if action == REMOVE)):
-                # Behind the last closing tag of its name a tag has no partner.
-                closing = r"\{\{(?:" + mark + r" ?)?/" + name + r"(?![\w-])"
-                lone = r"\{\{" + mark + r"\s*" + name + r"(?![\w-])[\s\S]*?" + end
-                out = _after_last(out, closing, lambda rest, lone=lone, end=end: _before_last(
-                    rest, end, lambda r: F.regexp_replace(r, lone, "")))
-            pattern = (
-                r"\{\{" + mark + r"\s*(" + names + r")(?![\w-])[\s\S]*?" + end
-                + r"(?:[\s\S]*?\{\{(?:" + mark + r" ?)?/\1(?![\w-])[\s\S]*?[>%]\}\})?"
+
+    def step(state: Column, k: Column) -> Column:
+        free = (state["tag"] == 0) & (state["skip"] == 0)
+        starts = free & (k["lead"] > 0) & (k["at"] <= F.get(ends, k["lead"] - 1))
+        closes = (state["skip"] > 0) & (k["shuts"] == state["skip"]) & ((k["lead"] == state["mode"]) | (k["lead"] == _BARE))
+        now = F.struct(
+            F.when(starts, k["lead"]).when(closes, _BARE).otherwise(state["tag"]).alias("tag"),
+            F.when(starts, k["opens"]).when(closes, 0).otherwise(state["then"]).alias("then"),
+            F.when(starts, k["lead"]).otherwise(state["mode"]).alias("mode"),
+            F.when(closes, 0).otherwise(state["skip"]).alias("skip"),
+        )
+
+        def moved(n: Column) -> Column:
+            done = (n["tag"] > 0) & (k["ends"] > 0) & ((n["tag"] == _BARE) | (n["tag"] == k["ends"]))
+            pair = done & (n["then"] > 0) & (k["at"] < F.coalesce(F.get(shut, 2 * n["then"] + n["mode"] - 3), F.lit(-1)))
+            return F.struct(
+                F.when(done, 0).otherwise(n["tag"]).alias("tag"),
+                F.when(done, 0).otherwise(n["then"]).alias("then"),
+                n["mode"].alias("mode"),
+                F.when(pair, n["then"]).otherwise(n["skip"]).alias("skip"),
+                F.concat(state["flags"], F.when(free & ~starts, "1").otherwise("0")).alias("flags"),
             )
-            out = F.regexp_replace(out, pattern, "")
-    cleaned = _before_last(out, r"\}\}", lambda head: F.regexp_replace(head, _ANY_TAG, ""))
-    return F.when(content.contains("{{"), cleaned).otherwise(content)
+
+        return tx.let(now, moved)
+
+    def begun(state: Column | None) -> Column:
+        fields = [(F.lit(0) if state is None else state[n]).alias(n) for n in ("tag", "then", "mode", "skip")]
+        return F.struct(*fields, F.lit("").alias("flags"))
+
+    def block(state: Column, part: Column) -> Column:
+        def joined(inner: Column) -> Column:
+            fields = [inner[n].alias(n) for n in ("tag", "then", "mode", "skip")]
+            return F.struct(*fields, F.concat(state["flags"], inner["flags"]).alias("flags"))
+
+        return tx.let(F.aggregate(part, begun(state), step), joined)
+
+    parts = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(kinds) - 1) / _BLOCK).cast("int")),
+        lambda b: F.slice(kinds, b * _BLOCK + 1, F.lit(_BLOCK)),
+    )
+    flags = F.split(F.aggregate(parts, begun(None), block)["flags"], "")
+    return F.array_join(F.zip_with(pieces, flags, lambda p, flag: F.when(flag == "1", p).otherwise("")), "")
 
 
 def resolve_refs(content: Column) -> Column:
@@ -122,9 +186,6 @@ def ref_targets(content: Column, path: Column) -> Column:
 # Character references by name, from the standard library's HTML 4 table.
 _ENTITIES = {name: chr(point) for name, point in html.entities.name2codepoint.items()}
 _ENTITIES["apos"] = "'"
-_CELL_MARK = "\u0001"
-
-
 def _entity_map() -> Column:
     return F.create_map(*[F.lit(v) for pair in _ENTITIES.items() for v in pair])
 
@@ -154,63 +215,152 @@ def decode_entities(content: Column) -> Column:
             )
         )
 
-    pieces = F.split(content, "&")
-    decoded = tx.let(
-        pieces,
-        lambda p: F.concat(
-            F.element_at(p, 1),
-            F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), decode), ""),
-        ),
-    )
-    return F.when(content.contains("&"), decoded).otherwise(content)
+    def decoded(c: Column) -> Column:
+        return tx.let(
+            F.split(c, "&"),
+            lambda p: F.concat(
+                F.element_at(p, 1), F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), decode), "")
+            ),
+        )
+
+    return tx.let(content, lambda c: F.when(c.contains("&"), decoded(c)).otherwise(c))
+
+
+# Noncharacters that mark places in a text while it is worked on; a text's own ones are replaced first.
+_HREF, _HREF_END, _ANCHOR_END, _TABLE, _TABLE_END, _TAG, _OFF = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5\ufdd6"
+_MARKS = _HREF + _HREF_END + _ANCHOR_END + _TABLE + _TABLE_END + _TAG + _OFF
+# Elements whose body is not text.
+RAW_ELEMENTS = ("script", "style", "iframe")
+_RAW_OPEN = r"(?i)<({names})(?=[\s>/])[^>]*+(?<!/)>"
+_MARKUP = r"<(?!https?:|mailto:)(?:/?[a-zA-Z]|!(?!--)|\?)[^>]*+>"
 
 
 def html_to_text(content: Column) -> Column:
     """Text of an HTML or mixed markdown page.
 
-    Comments, doctype and script, style and iframe bodies go; an anchor becomes
-    ``text [href]`` (or its href), an image its alt text, a table one line; other
-    tags are dropped and their text kept. ``<https://…>`` autolinks stay.
+    Comments, doctype, instructions and script, style and iframe bodies go; an anchor becomes
+    ``text [href]`` (or its href if it has no text), an image its alt text, a table one line; other
+    tags are dropped and their text kept. ``<https://…>`` autolinks stay. An anchor, table, comment or body that
+    is never closed loses its tag alone (a comment not even that). An anchor inside another one is a dropped tag.
+
+    Tags are cut out once and replaced by marks; pairs of marks are then joined in front of the
+    last closing mark only, where each search ends at the next one, so all steps are linear.
+    """
+
+    def cleaned(c: Column) -> Column:
+        own = F.when(c.rlike(f"[{_MARKS}]"), F.translate(c, _MARKS, "\ufffd" * len(_MARKS))).otherwise(c)
+        return decode_entities(F.when(c.contains(">"), _markup_to_text(_without_raw(own))).otherwise(c))
+
+    return tx.let(content, lambda c: F.when(c.rlike("[<&]"), cleaned(c)).otherwise(c))
+
+
+def _up_to_last(content: Column, mark: str, change) -> Column:
+    """``change`` applied up to the last ``mark``; the rest stays."""
+
+    def parts(c: Column) -> Column:
+        return tx.let(
+            F.length(c) - F.length(F.substring_index(c, mark, -1)),
+            lambda n: F.concat(change(F.left(c, n)), F.substr(c, n + 1)),
+        )
+
+    return tx.let(content, lambda c: F.when(c.contains(mark), parts(c)).otherwise(c))
+
+
+def _bound(change, *settings):
+    return lambda c: change(c, *settings)
+
+
+def _without_raw(content: Column) -> Column:
+    """Comments and the bodies of raw elements out, whichever begins first.
+
+    Openings behind the last end of their kind are disarmed by a mark, so that no search runs to the end of the text.
     """
-    # Every pattern ends in ">": what follows the last one is plain text.
-    out = _before_last(content, ">", _html_head)
-    return F.when(content.rlike("[<&]"), decode_entities(out)).otherwise(content)
-
-
-def _html_head(content: Column) -> Column:
-    out = _before_last(content, "-->", lambda c: F.regexp_replace(c, r"<!--[\s\S]*?-->", ""))
-    out = F.regexp_replace(out, r"(?i)<!doctype[^>]*>", "")
-    for name in ("script", "style", "iframe"):
-        # Behind the last closing tag of its name a tag has no body to drop.
-        lone = rf"(?i)<{name}(?:\s[^>]*)?(?<!/)>"
-        out = _after_last(out, rf"(?i:</{name}\s*>)", lambda rest, lone=lone: F.regexp_replace(rest, lone, ""))
-    out = F.regexp_replace(out, r"(?i)<(script|style|iframe)(?:\s[^>]*)?(?<!/)>[\s\S]*?</\1\s*>", "")
-    out = F.regexp_replace(out, r'(?i)<img\s(?:[^>]*?\s)?alt="([^"]*)"[^>]*>', "$1")
-    out = F.regexp_replace(out, r"(?i)<img(?:\s[^>]*)?>", "")
-    out = _before_last(out, r"(?i:</a\s*>)", _anchors)
-    out = tx.let(out, lambda c: F.when(c.rlike(r"(?i)<table[\s>]"), _flat_tables(c)).otherwise(c))
-    return F.regexp_replace(out, r"</?(?!https?:|mailto:)[a-zA-Z][^>]*>", "")
+
+    def disarmed(c: Column, opening: str, start: str, end: str, instead: str) -> Column:
+        head = F.regexp_extract(c, r"^[\s\S]*" + end, 0)
+        rest = tx.let(head, lambda h: F.concat(h, F.regexp_replace(F.substr(c, F.length(h) + 1), start, instead)))
+        return F.when(F.lower(c).contains(opening), rest).otherwise(c)
+
+    out = tx.let(content, lambda c: disarmed(c, "<!--", "<!--", "-->", f"<{_OFF}!--"))
+    for name in RAW_ELEMENTS:
+        start, end = rf"(?i)<(?={name}[\s>/])", rf"(?i:</{name}\s*>)"
+        out = tx.let(out, _bound(disarmed, f"<{name}", start, end, f"<{_OFF}"))
+    pattern = r"<!--[\s\S]*?-->|" + _RAW_OPEN.format(names="|".join(RAW_ELEMENTS)) + r"[\s\S]*?</\1\s*>"
+    return tx.let(
+        out, lambda c: F.when(c.rlike(r"(?i)<(?:!--|script|style|iframe)"), F.regexp_replace(c, pattern, "")).otherwise(c)
+    )
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute: in double or single quotes, or bare; null if it is absent."""
+    start = rf"(?i)^[^>]*?[\s\"']{name}\s*=\s*"
+    value = F.regexp_extract(tag, start + r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", 0)
+    inner = F.regexp_replace(value, start, "")
+    return F.when(value != "", F.when(inner.rlike("^[\"']"), F.substr(inner, F.lit(2), F.length(inner) - 2)).otherwise(inner))
+
+
+def _marked(tag: Column) -> Column:
+    """What stands for a tag: marks of anchors and tables, an image's text, or the mark of a dropped tag."""
+
+    def of(name: Column) -> Column:
+        anchor = tx.let(_attribute(tag, "href"), lambda href: F.coalesce(F.concat(F.lit(_HREF), href, F.lit(_HREF_END)), F.lit(_TAG)))
+        return (
+            F.when(name == "a", anchor)
+            .when(name == "/a", _ANCHOR_END)
+            .when(name == "img", F.coalesce(_attribute(tag, "alt"), F.lit("")))
+            .when(name == "table", _TABLE)
+            .when(name == "/table", _TABLE_END)
+            .otherwise(_TAG)
+        )
+
+    return tx.let(F.lower(F.regexp_extract(tag, "^<" + _OFF + r"?(/?[a-zA-Z][^\s/>]*)", 1)), of)
+
+
+def _markup_to_text(content: Column) -> Column:
+    markup = _MARKUP.replace("<", f"<{_OFF}?", 1)
+
+    def of(c: Column) -> Column:
+        texts = F.split(c, markup)
+        tags = F.transform(F.regexp_extract_all(c, F.lit(markup), F.lit(0)), _marked)
+        return F.array_join(F.flatten(F.zip_with(texts, tags, lambda t, m: F.array(t, F.coalesce(m, F.lit(""))))), "")
+
+    out = _up_to_last(content, ">", of)
+    out = _up_to_last(out, _ANCHOR_END, _anchors)
+    # What is left of anchors has no partner.
+    out = tx.let(
+        out,
+        lambda c: F.when(
+            c.rlike(f"[{_HREF}{_ANCHOR_END}]"), F.regexp_replace(c, f"{_HREF}[^{_HREF_END}]*+{_HREF_END}|{_ANCHOR_END}", _TAG)
+        ).otherwise(c),
+    )
+    out = _up_to_last(out, _TABLE_END, _flat_tables)
+    return F.translate(out, _MARKS, "")
 
 
 def _anchors(content: Column) -> Column:
-    href = r'(?i)<a\s(?:[^>]*?\s)?href="([^"]*)"[^>]*>'
-    out = F.regexp_replace(content, href + r"\s*</a\s*>", "$1")
-    return F.regexp_replace(out, href + r"\s*([\s\S]*?)\s*</a\s*>", "$2 [$1]")
+    """Every opening mark with the next closing one; whitespace around the text goes."""
+    href = f"{_HREF}([^{_HREF_END}]*+){_HREF_END}"
+    dropped = rf"[\s{_TAG}]"
+    empty = F.regexp_replace(content, f"{href}{dropped}*+{_ANCHOR_END}", "$1")
+    full = f"{href}([^{_ANCHOR_END}]*+){_ANCHOR_END}"
+    joined = F.regexp_replace(empty, full, f"{_HREF}{_HREF_END}$2{_ANCHOR_END} [$1]")
+    # Marks without an address show where the text begins and ends.
+    joined = F.regexp_replace(joined, f"{_HREF}{_HREF_END}\\s*+", "")
+    return F.regexp_replace(joined, f"(?<!\\s)\\s*+{_ANCHOR_END}(?= \\[)", "")
 
 
 def _flat_tables(content: Column) -> Column:
-    flat = F.regexp_replace(content, r"(?i)<table(?=[\s>])", _CELL_MARK + "<table")
-    flat = F.regexp_replace(flat, r"(?i)</table\s*>", "</table>" + _CELL_MARK)
-    return F.array_join(
-        F.transform(
-            F.split(flat, _CELL_MARK),
-            lambda part: F.when(
-                part.rlike(r"(?i)^<table[\s>]"),
-                tx.collapse_ws(F.regexp_replace(part, r"</?[a-zA-Z][^>]*>", " ")),
-            ).otherwise(part),
-        ),
-        "",
-    )
+    """Text between table marks as one line in which tags are spaces."""
+
+    def flat(part: Column) -> Column:
+        def of(at: Column) -> Column:
+            inside = F.translate(F.substr(part, at + 1), _MARKS, " " * len(_MARKS))
+            return F.when(at > 0, F.concat(F.left(part, at - 1), tx.collapse_ws(inside))).otherwise(part)
+
+        return tx.let(F.instr(part, _TABLE), of)
+
+    # What stands behind the last mark is empty here.
+    return F.array_join(F.transform(F.split(content, _TABLE_END), flat), "")
 
 
 # --- front matter -----------------------------------------------------------

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +196,75 @@ def test_tags_behind_the_last_closing_tag(spark):
     ]
     got = spark.createDataFrame(texts, "t string, want string").select(mk.html_to_text(mk.strip_tags(F.col("t"))), "want").collect()
     assert [r[0] for r in got] == [r[1] for r in got]
+
+
+def scan_tags(text, removed):
+    """The tag rules as one scan over positions."""
+    out, at = [], 0
+    while at < len(text):
+        head = re.compile(r"\{\{(?:([<%])\s*/?|/)[\w-]+", re.ASCII).match(text, at)
+        ends = {"<": r">\}\}", "%": r"%\}\}", None: r"[>%]\}\}"}[head.group(1)] if head else ""
+        end = head and re.compile(ends).search(text, head.end())
+        if not end:
+            out.append(text[at])
+            at += 1
+            continue
+        at = end.end()
+        name = re.search(r"[\w-]+$", head.group(), re.ASCII).group()
+        if name in removed and "/" not in head.group():
+            shut = re.compile(r"\{\{(?:" + head.group(1) + r" ?)?/" + name + r"(?![\w-])[\s\S]*?[>%]\}\}", re.ASCII).search(text, at)
+            at = shut.end() if shut else at
+    return "".join(out)
+
+
+def test_tags_match_a_scan(spark):
+    rng = random.Random(5)
+    bits = ["{{< gone >}}", "{{< /gone >}}", "{{% gone a=1 %}}", "{{% /gone %}}", "{{/gone>}}", "{{< off", "{{</off >}}", "{{%off%}}", "{{< kept >}}",
+            "{{</kept>}}", " >}}", "%}}", "{{", "{{< ", "{{%", " x ", "\n", "{{< gone-by >}}", "é😀", "{{/ >}}"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 14))) for _ in range(3000)]
+    texts += ["".join(rng.choices(bits, k=2000)) for _ in range(3)]
+    got = apply(spark, lambda c: mk.strip_tags(c, {"gone": mk.REMOVE, "off": mk.REMOVE, "kept": mk.STRIP}), *texts)
+    for text, found in zip(texts, got):
+        assert found == scan_tags(text, {"gone", "off"}), text
+
+
+def test_html_cases(spark):
+    cases = {
+        "a<!-- <script> -->b<script>'<!--'</script>c": "abc",
+        "<STYLE>p</Style >x<iframe src='u'/>y<script src=u></script>z": "xyz",
+        "<a href='u'>x</a> <a href=v >y</a> <a name=q>z</a>": "x [u] y [v] z",
+        '<a class="b" href="/p" id="l"> <b>Go</b>\n</a>.': "Go [/p].",
+        '<a href="u"> <b></b> </a><a href="w"><img alt="pic"></a>': "upic [w]",
+        '<a href="u">x<a href="v">y</a> z': "xy [u] z",
+        '</a>x<a href="u">y': "xy",
+        '<a href="u">see <table><tr><td>a</td></tr></table></a>': "see a [u]",
+        '<table><tr><td><a href="u">t</a></td>\n<td>&lt;b&gt;</td></tr></table> <table>open <td>x': "t [u] <b> open x",
+        "<table>a<table><tr><td> b </td></tr></table> c </table>d": "a b c d",
+        '<img src=x alt=\'it\' /><img alt=one><img data-alt="no">': "itone",
+        "<!doctype html><?xml a?><![if]>x</ y><": "x</ y><",
+        "<scripts>x</scripts><script>lone": "xlone",
+        "﷐<b>﷓</b>": "��",
+        "a <https://e.com/?a=1&amp;b> <mailto:x@y.z> &copy;": "a <https://e.com/?a=1&b> <mailto:x@y.z> ©",
+    }
+    got = apply(spark, mk.html_to_text, *cases)
+    for (text, want), found in zip(cases.items(), got):
+        assert found == want, text
+    assert apply(spark, lambda c: mk.html_to_text(mk.strip_tags(c)), None, "") == [None, ""]
+
+
+@pytest.mark.parametrize("bit", ['{{< youtube "x" >}} w ', "{{< youtube >}}{{< /details >}}", "{{< x {{% y ", '<a href="x">', "<a href='u'>b</a>", "<!-- ", "<img alt='x'>",
+                                 "<script>", "<table><td>x", "<table></table>", "<!--> ", "< < "])
+def test_doubled_marks_double_the_time(spark, bit):
+    import time
+
+    def seconds(n):
+        docs = spark.createDataFrame([(bit * n + "</a></table>",)] * 8, "t string").repartition(8)
+        times = []
+        for _ in range(2):
+            start = time.time()
+            docs.select(F.sum(F.length(mk.html_to_text(mk.strip_tags(F.col("t")))))).collect()
+            times.append(time.time() - start)
+        return min(times)
+
+    # Eight times the text in at most 16 times the time, half a second of planning aside.
+    assert seconds(40_000) < 16 * seconds(5_000) + 0.5
