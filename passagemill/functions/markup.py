@@ -6,8 +6,9 @@ class, so the Java matcher iterates instead of recursing on long texts.
 
 from __future__ import annotations
 
+import functools
 import html.entities
-import re
+import operator
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -86,21 +87,27 @@ def _without_tags(content: Column, removed: list[str]) -> Column:
     def last(kinds: Column, test) -> Column:
         return F.coalesce(F.array_max(F.transform(F.filter(kinds, test), lambda k: k["at"])), F.lit(-1))
 
-    def closing(number: int, mark: int):
-        return lambda k: (k["shuts"] == number + 1) & k["lead"].isin(mark, _BARE)
+    def last_end(kinds: Column, mark: Column) -> Column:
+        return last(kinds, lambda k: (k["ends"] == mark) | ((mark == _BARE) & (k["ends"] > 0)))
+
+    def last_shut(shuts: Column, number: Column) -> Column:
+        """Place of the last closing tag; numbers run over removed names and, for each, both kinds of marks."""
+
+        def test(k: Column) -> Column:
+            lead = k["lead"]
+            return (k["shuts"] * 2 == number + number % 2) & ((lead == _BARE) | (lead % 2 == number % 2))
+
+        return last(shuts, test)
 
     def scanned(pieces: Column, kinds: Column) -> Column:
-        ends = F.array(
-            last(kinds, lambda k: k["ends"] == _ANGLE), last(kinds, lambda k: k["ends"] == _PERCENT), last(kinds, lambda k: k["ends"] > 0)
-        )
+        ends = F.transform(F.array(F.lit(_ANGLE), F.lit(_PERCENT), F.lit(_BARE)), lambda mark: last_end(kinds, mark))
+        numbers = F.sequence(F.lit(1), F.lit(2 * len(removed))) if removed else F.array().cast("array<int>")
         return tx.let(
             ends,
             lambda e: tx.let(
                 F.filter(kinds, lambda k: (k["shuts"] > 0) & (k["at"] <= F.get(e, F.lit(2)))),
                 lambda shuts: tx.let(
-                    # Place of the last closing tag, by removed name and kind of mark.
-                    F.array(*[last(shuts, closing(n, m)) for n in range(len(removed)) for m in (_ANGLE, _PERCENT)]).cast("array<int>"),
-                    lambda shut: _kept(pieces, kinds, e, shut),
+                    F.transform(numbers, lambda number: last_shut(shuts, number)), lambda shut: _kept(pieces, kinds, e, shut)
                 ),
             ),
         )
@@ -117,25 +124,29 @@ def _kept(pieces: Column, kinds: Column, ends: Column, shut: Column) -> Column:
     """
 
     def step(state: Column, k: Column) -> Column:
-        free = (state["tag"] == 0) & (state["skip"] == 0)
-        starts = free & (k["lead"] > 0) & (k["at"] <= F.get(ends, k["lead"] - 1))
-        closes = (state["skip"] > 0) & (k["shuts"] == state["skip"]) & ((k["lead"] == state["mode"]) | (k["lead"] == _BARE))
+        tag, then, mode, skip = (state[n] for n in ("tag", "then", "mode", "skip"))
+        at, lead, shuts, end = (k[n] for n in ("at", "lead", "shuts", "ends"))
+        free = (tag == 0) & (skip == 0)
+        starts = free & (lead > 0) & (at <= F.get(ends, lead - 1))
+        closes = (skip > 0) & (shuts == skip) & ((lead == mode) | (lead == _BARE))
         now = F.struct(
-            F.when(starts, k["lead"]).when(closes, _BARE).otherwise(state["tag"]).alias("tag"),
-            F.when(starts, k["opens"]).when(closes, 0).otherwise(state["then"]).alias("then"),
-            F.when(starts, k["lead"]).otherwise(state["mode"]).alias("mode"),
-            F.when(closes, 0).otherwise(state["skip"]).alias("skip"),
+            starts.alias("starts"),
+            F.when(starts, lead).when(closes, _BARE).otherwise(tag).alias("tag"),
+            F.when(starts, k["opens"]).when(closes, 0).otherwise(then).alias("then"),
+            F.when(starts, lead).otherwise(mode).alias("mode"),
+            F.when(closes, 0).otherwise(skip).alias("skip"),
         )
 
         def moved(n: Column) -> Column:
-            done = (n["tag"] > 0) & (k["ends"] > 0) & ((n["tag"] == _BARE) | (n["tag"] == k["ends"]))
-            pair = done & (n["then"] > 0) & (k["at"] < F.coalesce(F.get(shut, 2 * n["then"] + n["mode"] - 3), F.lit(-1)))
+            tag, then, mode = (n[name] for name in ("tag", "then", "mode"))
+            done = (tag > 0) & (end > 0) & ((tag == _BARE) | (tag == end))
+            pair = done & (then > 0) & (at < F.get(shut, 2 * then + mode - 3))
             return F.struct(
-                F.when(done, 0).otherwise(n["tag"]).alias("tag"),
-                F.when(done, 0).otherwise(n["then"]).alias("then"),
-                n["mode"].alias("mode"),
-                F.when(pair, n["then"]).otherwise(n["skip"]).alias("skip"),
-                F.concat(state["flags"], F.when(free & ~starts, "1").otherwise("0")).alias("flags"),
+                F.when(done, 0).otherwise(tag).alias("tag"),
+                F.when(done, 0).otherwise(then).alias("then"),
+                mode.alias("mode"),
+                F.when(pair, then).otherwise(n["skip"]).alias("skip"),
+                F.concat(state["flags"], F.when(free & ~n["starts"], "1").otherwise("0")).alias("flags"),
             )
 
         return tx.let(now, moved)
@@ -187,7 +198,8 @@ def ref_targets(content: Column, path: Column) -> Column:
 _ENTITIES = {name: chr(point) for name, point in html.entities.name2codepoint.items()}
 _ENTITIES["apos"] = "'"
 def _entity_map() -> Column:
-    return F.create_map(*[F.lit(v) for pair in _ENTITIES.items() for v in pair])
+    """A constant: no reference contains the separators."""
+    return F.str_to_map(F.lit("\n".join(f"{name}\t{char}" for name, char in _ENTITIES.items())), F.lit("\n"), F.lit("\t"))
 
 
 def decode_entities(content: Column) -> Column:
@@ -227,8 +239,8 @@ def decode_entities(content: Column) -> Column:
 
 
 # Noncharacters that mark places in a text while it is worked on; a text's own ones are replaced first.
-_HREF, _HREF_END, _ANCHOR_END, _TABLE, _TABLE_END, _TAG, _OFF = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5\ufdd6"
-_MARKS = _HREF + _HREF_END + _ANCHOR_END + _TABLE + _TABLE_END + _TAG + _OFF
+_MARKS = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5\ufdd6\ufdd7\ufdd8"
+_HREF, _HREF_END, _TEXT, _ANCHOR_END, _ADDRESS_END, _TABLE, _TABLE_END, _TAG, _OFF = _MARKS
 # Elements whose body is not text.
 RAW_ELEMENTS = ("script", "style", "iframe")
 _RAW_OPEN = r"(?i)<({names})(?=[\s>/])[^>]*+(?<!/)>"
@@ -248,7 +260,9 @@ def html_to_text(content: Column) -> Column:
     """
 
     def cleaned(c: Column) -> Column:
-        own = F.when(c.rlike(f"[{_MARKS}]"), F.translate(c, _MARKS, "\ufffd" * len(_MARKS))).otherwise(c)
+        # Plain searches cost a fraction of a pattern's.
+        marked = functools.reduce(operator.or_, [c.contains(mark) for mark in _MARKS])
+        own = F.when(marked, F.translate(c, _MARKS, "\ufffd" * len(_MARKS))).otherwise(c)
         return decode_entities(F.when(c.contains(">"), _markup_to_text(_without_raw(own))).otherwise(c))
 
     return tx.let(content, lambda c: F.when(c.rlike("[<&]"), cleaned(c)).otherwise(c))
@@ -287,7 +301,7 @@ def _without_raw(content: Column) -> Column:
         out = tx.let(out, _bound(disarmed, f"<{name}", start, end, f"<{_OFF}"))
     pattern = r"<!--[\s\S]*?-->|" + _RAW_OPEN.format(names="|".join(RAW_ELEMENTS)) + r"[\s\S]*?</\1\s*>"
     return tx.let(
-        out, lambda c: F.when(c.rlike(r"(?i)<(?:!--|script|style|iframe)"), F.regexp_replace(c, pattern, "")).otherwise(c)
+        out, lambda c: F.when(c.contains("<!--") | c.rlike(r"(?i)<(?:script|style|iframe)"), F.regexp_replace(c, pattern, "")).otherwise(c)
     )
 
 
@@ -330,23 +344,26 @@ def _markup_to_text(content: Column) -> Column:
     out = tx.let(
         out,
         lambda c: F.when(
-            c.rlike(f"[{_HREF}{_ANCHOR_END}]"), F.regexp_replace(c, f"{_HREF}[^{_HREF_END}]*+{_HREF_END}|{_ANCHOR_END}", _TAG)
+            c.contains(_HREF) | c.contains(_ANCHOR_END), F.regexp_replace(c, f"{_HREF}[^{_HREF_END}]*+{_HREF_END}|{_ANCHOR_END}", _TAG)
         ).otherwise(c),
     )
     out = _up_to_last(out, _TABLE_END, _flat_tables)
-    return F.translate(out, _MARKS, "")
+    for mark in (_TAG, _OFF, _TABLE, _TABLE_END):
+        out = F.replace(out, F.lit(mark), F.lit(""))
+    return out
 
 
 def _anchors(content: Column) -> Column:
     """Every opening mark with the next closing one; whitespace around the text goes."""
-    href = f"{_HREF}([^{_HREF_END}]*+){_HREF_END}"
-    dropped = rf"[\s{_TAG}]"
-    empty = F.regexp_replace(content, f"{href}{dropped}*+{_ANCHOR_END}", "$1")
-    full = f"{href}([^{_ANCHOR_END}]*+){_ANCHOR_END}"
-    joined = F.regexp_replace(empty, full, f"{_HREF}{_HREF_END}$2{_ANCHOR_END} [$1]")
-    # Marks without an address show where the text begins and ends.
-    joined = F.regexp_replace(joined, f"{_HREF}{_HREF_END}\\s*+", "")
-    return F.regexp_replace(joined, f"(?<!\\s)\\s*+{_ANCHOR_END}(?= \\[)", "")
+    opening = f"{_HREF}[^{_HREF_END}]*+{_HREF_END}"
+    pair = f"{_HREF}([^{_HREF_END}]*+){_HREF_END}([^{_ANCHOR_END}]*+){_ANCHOR_END}"
+    out = F.regexp_replace(content, pair, f"{_TEXT}$2{_ANCHOR_END}$1{_ADDRESS_END}")
+    # Openings that are left stand inside an anchor.
+    out = F.regexp_replace(out, opening, _TAG)
+    gap, address = rf"[\s{_TAG}]*+", f"{_ANCHOR_END}([^{_ADDRESS_END}]*+){_ADDRESS_END}"
+    out = F.regexp_replace(out, f"{_TEXT}{gap}{address}", "$1")
+    out = F.regexp_replace(out, f"{_TEXT}{gap}", "")
+    return F.regexp_replace(out, rf"(?<![\s{_TAG}]){gap}{address}", " [$1]")
 
 
 def _flat_tables(content: Column) -> Column:
