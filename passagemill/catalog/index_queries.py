@@ -164,6 +164,29 @@ def stored_replacement(spark, sf):
 add("w2_stored_replacement", stored_replacement, q.query(
     f"""SELECT {q.uuid5('c.chunk_id')} AS point_id, c.chunk_id, c.content FROM chunks c JOIN docs d ON d.path = c.document_path WHERE d.doc_id % 3 = 2
 UNION ALL SELECT {q.uuid5("path||'-chunk-0000'")}, path||'-chunk-0000', lang FROM docs WHERE doc_id % 3 = 0""", "docs", "chunks"))
+def committed_versions(spark, sf):
+    """Batches, bulk writes, compaction and replays: a replayed batch neither takes a place nor comes back."""
+    path = scratch(spark, "commits")
+    points = vector_points(spark, sf)
+
+    def write(name, rows, **batch):
+        tables.write_points(rows.select("point_id", F.col("vec_id").cast("string").alias("chunk_id"), F.lit(name).alias("content")), path, "all", **batch)
+
+    write("stream", points, writer="stream", seq=0)
+    write("bulk", points.filter("vec_id % 2 = 0"))
+    tables.compact_points(spark, path, "all")
+    write("late", points.filter("vec_id % 3 = 0"))
+    write("stream", points, writer="stream", seq=0)
+    write("next", points.filter("vec_id % 5 = 0"), writer="stream", seq=1)
+    write("other", points.filter("vec_id % 7 = 0"), writer="other", seq=0)
+    tables.compact_points(spark, path, "all")
+    write("next", points, writer="stream", seq=1)
+    return tables.read_points(spark, path, "all").select("point_id", "chunk_id", "content")
+
+
+add("w2_commit_replay", committed_versions, f"""SELECT {q.uuid5("'vec-'||vec_id")} AS point_id, vec_id::VARCHAR AS chunk_id,
+  CASE WHEN vec_id % 7 = 0 THEN 'other' WHEN vec_id % 5 = 0 THEN 'next' WHEN vec_id % 3 = 0 THEN 'late' WHEN vec_id % 2 = 0 THEN 'bulk' ELSE 'stream' END AS content
+FROM embeddings""")
 add("w3_collection_check",
     lambda s, d: vt.collection_check(vector_points(s, d), 64),
     "SELECT label AS collection, count(*) AS vector_count, min(len(embedding))::INT AS min_size, max(len(embedding))::INT AS max_size, 64 AS declared_size, min(len(embedding)) = 64 AND max(len(embedding)) = 64 AS consistent FROM embeddings GROUP BY label")
@@ -441,3 +464,35 @@ def streamed_index(spark, sf):
 
 add("x7_incremental_index", streamed_index, q.query(
     f"SELECT {q.uuid5('chunk_id')} AS point_id, chunk_id, content, {fx.DIMS} AS dims FROM chunks", "chunks"))
+
+
+def changed_documents(spark, sf):
+    """The corpus twice: the second time a third of the documents has more words and a third is cut to its first line."""
+    docs = fx.documents(spark, sf)
+    kind = F.col("doc_id") % 3
+    again = F.when(kind == 0, F.concat("content", F.lit(" some more words"))).when(kind == 1, F.substring_index("content", "\n", 1)).otherwise(F.col("content"))
+    return docs.select("path", "content"), docs.select("path", again.alias("content"))
+
+
+def reindexed_stream(spark, sf):
+    """A stream of two batches: the second embeds and writes its new and changed chunks only."""
+    path = scratch(spark, "reindex")
+    for n, batch in enumerate(changed_documents(spark, sf)):
+        batch.write.parquet(f"{path}/in/batch={n}")
+        arriving = spark.readStream.schema("path string, content string").parquet(f"{path}/in/batch=*")
+        index_stream(
+            arriving, f"{path}/points", "live", embed.md5_bag_of_words(fx.DIMS), "md5-bag-of-words", f"{path}/progress", changed_only=True,
+            parser="plain", chunk_config={"size": fx.CHUNK_SIZE, "overlap": fx.CHUNK_OVERLAP},
+        ).awaitTermination()
+    found = tables.read_points(spark, f"{path}/points", "live", with_version=True)
+    return found.select("point_id", "chunk_id", "content", F.col("version").alias("batch"))
+
+
+_CHUNKS_OF = q.CTES["chunks"][1].replace("FROM docs", "FROM {0}")
+add("x7_changed_chunks", reindexed_stream, q.query(
+    f"""SELECT {q.uuid5('chunk_id')} AS point_id, chunk_id, a.content, CASE WHEN c.content = a.content THEN 0 ELSE 1 END AS batch
+FROM again a LEFT JOIN chunks c USING (chunk_id)""",
+    "chunks", extra={
+        "redone": "SELECT path, CASE doc_id % 3 WHEN 0 THEN content||' some more words' WHEN 1 THEN string_split(content, chr(10))[1] ELSE content END AS content FROM docs",
+        "again": _CHUNKS_OF.format("redone"),
+    }))

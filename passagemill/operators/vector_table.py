@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagemill.functions import ids
@@ -66,6 +66,37 @@ def replace_documents(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.join(redone, "document_path", "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
+def payload_digest(table: DataFrame) -> Column:
+    """Digest of what a point is made of: its text and payload, not its vector."""
+    names = [c for c in ("content", "token_count", "chunk_index", "model") if c in table.columns]
+    parts = [F.col(c) for c in names]
+    if "metadata" in table.columns:
+        parts.append(F.array_sort(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>")))).alias("metadata"))
+    return F.sha2(F.to_json(F.struct(*parts)), 256)
+
+
+def chunk_changes(arriving: DataFrame, stored: DataFrame | None, model: str) -> DataFrame:
+    """``chunk_id, point_id, change`` of all chunks that arrive or are stored for the arriving documents.
+
+    ``change`` is new, changed, same or gone. ``stored`` holds the points of the documents that arrive;
+    only digests and ids are joined, texts stay where they are.
+    """
+    named = arriving.withColumn("model", F.lit(model))
+    now = named.select("chunk_id", payload_digest(named).alias("_now"))
+    if stored is None:
+        return now.select("chunk_id", ids.uuid5_dns(F.col("chunk_id")).alias("point_id"), F.lit("new").alias("change"))
+    before = stored.select(F.col("chunk_id").alias("_id"), payload_digest(stored).alias("_before"))
+    change = (
+        F.when(F.col("_id").isNull(), "new")
+        .when(F.col("chunk_id").isNull(), "gone")
+        .when(F.col("_now") == F.col("_before"), "same")
+        .otherwise("changed")
+    )
+    both = now.join(before, F.col("chunk_id") == F.col("_id"), "full_outer")
+    chunk_id = F.coalesce("chunk_id", "_id")
+    return both.select(chunk_id.alias("chunk_id"), ids.uuid5_dns(chunk_id).alias("point_id"), change.alias("change"))
+
+
 def collection_check(points: DataFrame, declared_size: int, key: str = "collection") -> DataFrame:
     """Per collection: vector count, sizes seen, whether all equal the declared size."""
     size = F.size("vector")

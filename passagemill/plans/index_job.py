@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -39,18 +40,20 @@ def plan_index(
     batch_size: int = 256,
     max_bytes: int | None = None,
     spread: int | None = None,
+    only: Callable[[DataFrame], DataFrame] | None = None,
 ) -> IndexPlan:
     """Lazy plan of an index job over ``(path, content)``.
 
     ``spread`` repartitions chunks before embedding, for corpora where a few huge
-    documents would otherwise feed the embedder from a few tasks.
+    documents would otherwise feed the embedder from a few tasks. ``only`` picks the chunks to embed.
     """
     sized = docs if "size" in docs.columns else docs.withColumn("size", tx.byte_size(F.col("content")))
     scanned = index_candidates(sized, max_bytes)
     usable = scanned.filter("skip_reason is null")
     parsed = PARSERS.get(parser)(usable)
     chunks = CHUNKERS.run(chunker, parsed, config={} if chunk_config is None else chunk_config)
-    source = chunks.repartition(spread) if spread else chunks
+    wanted = only(chunks) if only else chunks
+    source = wanted.repartition(spread) if spread else wanted
     points = vector_table.to_points(embed.embed_with(source, embedder, model, batch_size))
     too_large = scanned.filter("skip_reason is not null").select("path", "skip_reason")
     # chunk 0 stands for its document, so the lookup side has one row per document

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from passagemill.operators import vector_table as vt
 from passagemill.schemas import JUDGMENT
+from passagemill.sources.commits import CommitTable
 
 RESULT_JSON = {
     "expected_paths": T.ArrayType(T.StringType()),
@@ -72,13 +73,12 @@ def delete_artifact(spark: SparkSession, path: str, tag: str, kind: str = "prepr
     _delete_folder(spark, _folder(spark, path, artifact=kind, tag=tag))
 
 
-#: The version that compaction folds all others into; no batch writes to it.
-BASE = -1
+#: Columns of the stored points besides the points' own.
+INTERNAL = ("version", "gone")
 
 
-def _versions(spark: SparkSession, path: str, collection: str) -> list[int]:
-    folder = _folder(spark, path, collection=collection)
-    return sorted(int(n.split("=")[1]) for n in _children(spark, folder, "seq=")) if _exists(spark, folder) else []
+def _commits(spark: SparkSession, path: str, collection: str) -> CommitTable:
+    return CommitTable(spark, _folder(spark, f"{path.rstrip('/')}/_commits", collection=collection))
 
 
 def write_points(
@@ -88,85 +88,112 @@ def write_points(
     seq: int | None = None,
     declared_size: int | None = None,
     replaces: DataFrame | None = None,
-) -> None:
-    """Upsert points into a collection as version ``seq``, by default one above all others.
-
-    An upsert appends: only the incoming rows are written, and readers keep the
-    highest ``seq`` per point. Writing the same ``seq`` again replaces it, so a
-    replayed batch changes nothing. Vectors of another size than declared are refused.
+    writer: str | None = None,
+    removed: DataFrame | None = None,
+) -> int | None:
+    """Upsert points into a collection and return the version written, None for a batch that was written before.
+
+    An upsert appends: only the incoming rows are written, into a version above all that were ever claimed, and
+    readers keep the highest version per point. It shows once it is committed, so a failed write leaves nothing. With
+    ``seq``, the number of a batch of ``writer``, a batch that has been committed is not written again, not even after
+    compaction; one that failed on the way writes to its own version again. Vectors of another size than declared fail the write.
     All points that lower versions have of the documents in ``replaces`` (``document_path``) go, whether
-    or not the document has points now: a row without point id marks each of them in this version.
+    or not the document has points now; so do the points in ``removed`` (``point_id``). Rows that mark them are written with the version.
     """
-    if seq is None:
-        seq = _next_version(points.sparkSession, path, collection)
-    incoming = points.withColumn("collection", F.lit(collection)).withColumn("seq", F.lit(seq))
+    spark = points.sparkSession
+    log = _commits(spark, path, collection)
+    writer = None if seq is None else writer or ""
+    version = None
+    if seq is not None:
+        known = log.read()
+        if known.has(writer, seq):
+            return None
+        version = known.open_claim(writer, seq)
+    if version is None:
+        version = log.claim(writer, seq)
+    incoming = vt.latest(points.filter("point_id is not null"), "point_id", F.col("chunk_id"))
     if declared_size is not None:
-        wrong = incoming.filter(F.size("vector") != declared_size)
-        if not wrong.isEmpty():
-            raise ValueError(f"collection {collection}: vector size differs from {declared_size}")
-    incoming = vt.latest(incoming.filter("point_id is not null"), "point_id", F.col("chunk_id"))
-    if replaces is not None:
-        marks = replaces.select("document_path").distinct()
-        marks = marks.withColumn("collection", F.lit(collection)).withColumn("seq", F.lit(seq))
-        incoming = incoming.unionByName(marks, allowMissingColumns=True)
-    _overwrite(incoming, path, "collection", "seq")
-
-
-def _next_version(spark: SparkSession, path: str, collection: str) -> int:
-    return max(_versions(spark, path, collection), default=BASE) + 1
-
-
-def batch_version(spark: SparkSession, path: str, collection: str, ledger: str, batch_id: int) -> int:
-    """The version a stream's batch writes: above all others when it first asks, noted in ``ledger`` for a replay."""
-    noted = f"{ledger.rstrip('/')}/batch={batch_id}"
-    if not _exists(spark, f"{noted}/_SUCCESS"):
-        version = F.lit(_next_version(spark, path, collection)).cast("int")
-        spark.range(1, numPartitions=1).select(version.alias("version")).write.mode("overwrite").parquet(noted)
-    return spark.read.parquet(noted).first()["version"]
+        # Checked as the rows are written: the plan runs once.
+        wrong = F.raise_error(F.lit(_WRONG_SIZE))
+        incoming = incoming.withColumn("vector", F.when(F.size("vector") == declared_size, F.col("vector")).otherwise(wrong))
+    incoming = incoming.withColumn("gone", F.lit(False))
+    for marks, key in ((replaces, "document_path"), (removed, "point_id")):
+        if marks is not None:
+            incoming = incoming.unionByName(marks.select(key).distinct().withColumn("gone", F.lit(True)), allowMissingColumns=True)
+    stored = incoming.withColumn("version", F.lit(version).cast("bigint"))
+    try:
+        stored.write.mode("overwrite").parquet(_folder(spark, path, collection=collection, seq=str(version)))
+    except Exception as error:
+        if _WRONG_SIZE in str(error):
+            raise ValueError(f"collection {collection}: vector size differs from {declared_size}") from error
+        raise
+    log.commit(version, writer, seq)
+    return version
+
+
+_WRONG_SIZE = "vector of a size that the collection does not have"
+
+
+def _stored(spark: SparkSession, path: str, collection: str, versions: list[int]) -> DataFrame:
+    folders = [_folder(spark, path, collection=collection, seq=str(v)) for v in versions]
+    return spark.read.option("mergeSchema", "true").parquet(*folders)
+
+
+def _resolved(stored: DataFrame) -> DataFrame:
+    """The newest row of every point that neither a later mark of it nor one of its document takes away."""
+    points = stored.filter("point_id is not null")
+    if "document_path" in stored.columns:
+        marks = stored.filter("point_id is null").groupBy("document_path").agg(F.max("version").alias("_since"))
+        points = points.join(marks, "document_path", "left").filter("gone or _since is null or version >= _since")
+    return vt.latest(points.select(stored.columns), "point_id", F.desc("version"), F.desc("gone"))
 
 
-def read_points(spark: SparkSession, path: str, collection: str) -> DataFrame | None:
-    """Current points of a collection, None if it does not exist.
+def read_points(spark: SparkSession, path: str, collection: str, with_version: bool = False) -> DataFrame | None:
+    """Current points of a collection, None if nothing was committed to it; ``with_version`` adds ``version``.
 
-    A collection with a single version needs no look at other versions, so it is a plain scan.
+    Versions are taken from the commit table. A collection with a single version needs no look at
+    other versions, so it is a plain scan.
     """
-    versions = _versions(spark, path, collection)
-    if not versions:
+    live = _commits(spark, path, collection).read().live
+    if not live:
         return None
-    stored = _read_partitioned(spark, path, "collection").filter(F.col("collection") == collection).drop("collection")
-    points = stored.filter("point_id is not null")
-    if len(versions) > 1:
-        if "document_path" in stored.columns:
-            marks = stored.filter("point_id is null").groupBy("document_path").agg(F.max("seq").alias("_since"))
-            points = points.join(marks, "document_path", "left").filter("_since is null or seq >= _since")
-        points = vt.latest(points.select(stored.columns), "point_id", F.desc("seq"))
-    return points.drop("seq")
+    stored = _stored(spark, path, collection, live)
+    points = _resolved(stored) if len(live) > 1 else stored.filter("point_id is not null")
+    return points.filter("not gone").drop(*[c for c in INTERNAL if c != "version" or not with_version])
 
 
 def compact_points(spark: SparkSession, path: str, collection: str) -> None:
-    """Fold all versions of a collection into its base version and drop the others.
+    """Fold the committed versions of a collection into one and drop them.
 
-    Later batches lie above the base, so one that is replayed after its folding changes nothing
-    that other batches wrote; a crash before the last delete leaves the same points.
+    Points keep the version they were written with and marks stay, so a batch that was claimed before and is committed
+    after the fold takes its place in the order. Batches that were folded are remembered: replayed, they change
+    nothing. A crash at any point leaves the same points: before the commit the fold is not read, after it the others are not.
     """
-    versions = _versions(spark, path, collection)
-    if len(versions) < 2:
-        return
-    # the base may be read and replaced, so the merged rows are cut loose first
-    from passagemill.session import cut_lineage
-
-    merged = cut_lineage(read_points(spark, path, collection))
-    _overwrite(
-        merged.withColumn("collection", F.lit(collection)).withColumn("seq", F.lit(BASE)), path, "collection", "seq"
-    )
-    folder = _folder(spark, path, collection=collection)
-    for version in versions:
-        if version != BASE:
-            _delete_folder(spark, f"{folder}/seq={version}")
+    log = _commits(spark, path, collection)
+    known = log.read()
+    live = known.live
+    if len(live) >= 2:
+        stored = _stored(spark, path, collection, live)
+        kept = _resolved(stored)
+        if "document_path" in stored.columns:
+            last = stored.filter("point_id is null").groupBy("document_path").agg(F.max("version").alias("version"))
+            kept = kept.unionByName(last.withColumn("gone", F.lit(True)), allowMissingColumns=True)
+        version = log.claim()
+        kept.write.mode("overwrite").parquet(_folder(spark, path, collection=collection, seq=str(version)))
+        log.commit(version, folds=known.done, written=known.written)
+    known = log.read()
+    folded = known.folded & known.done
+    for version in folded:
+        folder = _folder(spark, path, collection=collection, seq=str(version))
+        if _exists(spark, folder):
+            _delete_folder(spark, folder)
+    log.forget(folded)
 
 
 def delete_collection(spark: SparkSession, path: str, collection: str) -> None:
+    """Points and commits; a collection of that name starts anew."""
     _delete_folder(spark, _folder(spark, path, collection=collection))
+    _delete_folder(spark, _commits(spark, path, collection).folder)
 
 
 def new_run(spark: SparkSession, tag: str, strategy: dict, version: str = "") -> DataFrame:
@@ -228,12 +255,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
-    fs, target = _filesystem(spark, path)
-    names = [status.getPath().getName() for status in fs.listStatus(target)]
-    return [name for name in names if name.startswith(prefix)]
-
-
 def _delete_folder(spark: SparkSession, path: str) -> None:
     if ".." in path.split("/"):
         raise ValueError(f"invalid path: {path}")

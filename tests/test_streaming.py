@@ -50,6 +50,26 @@ def test_stream_replaces_documents_and_respects_other_writers(spark, tmp_path):
     assert held() == ["new", "z"]
 
 
+def test_only_changed_chunks_are_embedded(spark, tmp_path):
+    path, options = str(tmp_path / "points"), {"parser": "plain", "chunk_config": {"size": 2, "overlap": 0}}
+    model = embed.md5_bag_of_words(4)
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "path string, content string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("path string, content string").parquet(str(tmp_path / "in"))
+        query = index_stream(stream, path, "live", model, "m", str(tmp_path / "ck"), changed_only=True, **options)
+        query.awaitTermination(120)
+        assert query.exception() is None
+        return {(r.document_path, r.content, r.version) for r in tables.read_points(spark, path, "live", with_version=True).collect()}
+
+    assert arrive([("a.md", "a b c d e f"), ("b.md", "p q"), ("c.md", "x")]) == {
+        ("a.md", "a b", 0), ("a.md", "c d", 0), ("a.md", "e f", 0), ("b.md", "p q", 0), ("c.md", "x", 0)}
+    second = {("a.md", "a b", 0), ("a.md", "c z", 1), ("b.md", "p q", 0), ("b.md", "r", 1), ("d.md", "n", 1), ("c.md", "x", 0)}
+    assert arrive([("a.md", "a b c z"), ("b.md", "p q r"), ("d.md", "n")]) == second
+    tables.compact_points(spark, path, "live")
+    assert arrive([("b.md", ""), ("d.md", "n")]) == {r for r in second if r[0] != "b.md"}
+
+
 def run_memory(df, name, mode="update"):
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
     query.processAllAvailable()

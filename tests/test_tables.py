@@ -141,6 +141,71 @@ def test_upserts_without_a_version_add_up_and_replays_after_compaction_lose_noth
     assert tables.read_points(spark, path, name) is None
 
 
+def _texts(spark, path, name):
+    return {r.point_id: r.content for r in tables.read_points(spark, path, name).collect()}
+
+
+def _said(spark, text, *ids):
+    return _points(spark, *ids).withColumn("content", F.lit(text)).withColumn("document_path", F.concat(F.lit("d-"), "point_id"))
+
+
+def test_replays_and_compaction_lose_nothing(spark, tmp_path):
+    path = str(tmp_path / "points")
+    batch = {"writer": "stream", "seq": 0}
+    assert tables.write_points(_said(spark, "stream", 1, 2, 3), path, "c", **batch) == 0
+    assert tables.write_points(_said(spark, "bulk", 2, 3), path, "c") == 1
+    tables.compact_points(spark, path, "c")
+    assert tables.write_points(_said(spark, "b", 3, 4), path, "c") == 3
+    # replayed after its version was folded, the batch neither takes b's place nor brings old texts back
+    assert tables.write_points(_said(spark, "stream", 1, 2, 3), path, "c", **batch) is None
+    want = {"p1": "stream", "p2": "bulk", "p3": "b", "p4": "b"}
+    assert _texts(spark, path, "c") == want
+    for _ in range(2):
+        tables.compact_points(spark, path, "c")
+        assert _texts(spark, path, "c") == want
+    assert tables.write_points(_said(spark, "other", 1), path, "c", writer="other", seq=0) == 5
+    assert _texts(spark, path, "c") == {**want, "p1": "other"}
+
+
+def test_a_failed_batch_shows_nothing_and_writes_its_version_again(spark, tmp_path):
+    path, batch = str(tmp_path / "points"), {"writer": "s", "seq": 7}
+    tables.write_points(_said(spark, "old", 1, 2), path, "c")
+    with pytest.raises(ValueError):
+        tables.write_points(_said(spark, "bad", 1), path, "c", declared_size=9, **batch)
+    tables.write_points(_said(spark, "later", 2), path, "c")
+    tables.compact_points(spark, path, "c")
+    assert _texts(spark, path, "c") == {"p1": "old", "p2": "later"}
+    # the batch was claimed before the later write, so that one stays, folded or not
+    assert tables.write_points(_said(spark, "batch", 1, 2), path, "c", **batch) == 1
+    for _ in range(2):
+        assert _texts(spark, path, "c") == {"p1": "batch", "p2": "later"}
+        tables.compact_points(spark, path, "c")
+
+
+def test_two_writers_never_share_a_version(spark, tmp_path):
+    from passagemill.sources.commits import CommitTable
+
+    log = CommitTable(spark, str(tmp_path / "log"))
+    first, second = log.claim("a", 0), log.claim("b", 0)
+    assert (first, second) == (0, 1) and log.read().open_claim("a", 0) == 0 and log.read().live == []
+    log.commit(second, "b", 0)
+    log.commit(first, "a", 0)
+    assert log.read().live == [0, 1] and log.read().has("a", 0) and not log.read().has("a", 1)
+    log.commit(log.claim(), folds=[0, 1], written={"a": [(0, 0)], "b": [(0, 3)]})
+    log.forget([0, 1])
+    assert log.read().live == [2] and log.read().written == {"a": [(0, 0)], "b": [(0, 3)]} and log.claim() == 3
+
+
+def test_marks_take_points_away_until_they_come_again(spark, tmp_path):
+    path = str(tmp_path / "points")
+    tables.write_points(_said(spark, "one", 1, 2, 3), path, "c")
+    tables.write_points(_said(spark, "two", 9), path, "c", removed=_points(spark, 1), replaces=_said(spark, "", 2).select("document_path"))
+    assert _texts(spark, path, "c") == {"p3": "one", "p9": "two"}
+    tables.compact_points(spark, path, "c")
+    tables.write_points(_said(spark, "back", 1), path, "c")
+    assert _texts(spark, path, "c") == {"p1": "back", "p3": "one", "p9": "two"}
+
+
 def test_run_ids_stay_text(spark, tmp_path):
     path = str(tmp_path / "results")
     rows = spark.createDataFrame([("007", "q1", "2024-01-01"), ("7", "q2", "2024-01-01")], "run_id string, question_id string, created_at string")
