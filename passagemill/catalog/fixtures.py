@@ -9,15 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagemill.functions import text as tx
-from passagemill.operators import chunk, embed, evaluate, structure, vector_table
+from passagemill.operators import chunk, embed, evaluate, passages, structure, vector_table
 from passagemill.sources.corpus import spread
 
 BASE_URL = "https://example.com/handbook"
 CHUNK_SIZE, CHUNK_OVERLAP, DIMS = 128, 16, 64
 TOP_K = 10
 KS = (1, 3, 5, 10)
-ANCHOR_WORDS = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,29 +188,13 @@ def questions(spark, sf_dir) -> DataFrame:
 
 
 def passage_judgments(spark, sf_dir) -> DataFrame:
-    """Documents that contain a question's passage: ``question_id, document_path, grade``.
-
-    Found by an equi-join of the hash of a passage's first inner words with that of every run of as
-    many words in a document, then checked on the text; well-rated documents grade 3. The first and
-    the last word of a passage may be part of longer words in a document, the inner ones are whole. Passages
-    with too few inner words are broadcast and looked for in every document.
-    """
-    def key(words, i):
-        return F.xxhash64(*[F.get(words, i + n) for n in range(ANCHOR_WORDS)])
-
-    asked = questions(spark, sf_dir).select("question_id", "question", tx.words(F.col("question")).alias("w"))
-    long = F.size("w") >= ANCHOR_WORDS + 2
-    anchored = asked.filter(long).select("question_id", "question", key(F.col("w"), F.lit(1)).alias("anchor"))
-    short = asked.filter(~long).select("question_id", "question")
-    docs = documents(spark, sf_dir).select("path", "doc_id", "content")
-    anchors = tx.let(tx.words(F.col("content")), lambda w: F.transform(w, lambda _, i: key(w, i)))
-    met = docs.select("path", F.explode(anchors).alias("anchor")).join(anchored, "anchor")
-    tried = docs.join(F.broadcast(short), F.contains("content", "question"))
-    candidates = met.select("path", "question_id", "question").union(tried.select("path", "question_id", "question")).distinct()
+    """Documents that contain a question's passage: ``question_id, document_path, grade``; well-rated documents grade 3."""
+    docs = documents(spark, sf_dir)
+    asked = questions(spark, sf_dir).select(F.col("question_id").alias("id"), F.col("question").alias("text"))
+    found = passages.find_passages(docs, asked).select(F.col("id").alias("question_id"), "path")
     rated = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", F.lit(3).alias("rated"))
     return (
-        candidates.join(docs, "path")
-        .filter(F.contains("content", F.col("question")))
+        found.join(docs.select("path", "doc_id"), "path")
         .join(rated, "doc_id", "left")
         .select("question_id", F.col("path").alias("document_path"), F.coalesce("rated", F.lit(2)).alias("grade"))
     )

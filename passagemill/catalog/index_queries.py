@@ -243,9 +243,9 @@ add("r1_top_k_cosine", dense_search, q.query(
 
 
 def blockwise_search(spark, sf):
-    """The partitioned form, used beyond the broadcast bound."""
+    """Many blocks on both sides."""
     found = retrieve.top_k(
-        fx.vectors(spark, sf), fx.label_queries(spark, sf), fx.TOP_K, max_broadcast_queries=3, queries_per_block=3, point_blocks=4, **_VEC
+        fx.vectors(spark, sf), fx.label_queries(spark, sf), fx.TOP_K, queries_per_block=3, point_bytes=10_000, **_VEC
     )
     return rounded_score(found).select("query_id", "rank", "vec_id", "score")
 
@@ -255,9 +255,9 @@ add("r1_top_k_partitioned", blockwise_search, q.query(
 
 
 def self_search(spark, sf):
-    """Every vector as a query against all vectors, past the broadcast bound."""
+    """Every vector as a query against all vectors."""
     asked = fx.vectors(spark, sf).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query_vector"))
-    found = retrieve.top_k(fx.vectors(spark, sf), asked, fx.TOP_K, max_broadcast_queries=100, queries_per_block=200, **_VEC)
+    found = retrieve.top_k(fx.vectors(spark, sf), asked, fx.TOP_K, queries_per_block=200, **_VEC)
     return rounded_score(found).select("query_id", "rank", "vec_id", "score")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import markup as mk
 from passagemill.functions import text as tx
+from passagemill.operators.passages import sieve
 from passagemill.session import cut_lineage
 
 
@@ -145,8 +146,9 @@ def expand_includes(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
         .filter(tx.is_markdown(F.col("path")))
         .distinct()
     )
+    # Most texts that nothing includes stay where they are, however many targets there are.
     library = cut_lineage(
-        docs.join(targets, "path", "left_semi").select(
+        sieve(docs, "path", targets).join(targets, "path").select(
             F.col("path").alias("lookup"), _segments(F.col("content")).alias("included")
         )
     )

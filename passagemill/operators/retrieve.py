@@ -1,9 +1,8 @@
 """Exact top-K retrieval and reranking.
 
 Search compares every query with every point, but no pair of rows is ever
-formed: each task scores Arrow batches of points against a block of queries as
-one matrix product and keeps a running top K, so only ``tasks × queries × K``
-rows reach the shuffle.
+formed: each task scores blocks of points against blocks of queries as
+matrix products and keeps the best k, so only those reach the shuffle.
 """
 
 from __future__ import annotations
@@ -17,15 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.functions import vectors as vx
+from passagemill.sources.blocks import read_blocks, write_blocks
 
 # Scores are rounded before ranking so equal vectors tie exactly, whatever the block shape.
 SCORE_DIGITS = 9
-# Up to this many queries and bytes are sent to every task; beyond it both sides are partitioned,
-# and a block of queries holds as many bytes.
-MAX_BROADCAST_QUERIES = 4096
-MAX_BROADCAST_BYTES = 64 << 20
-# Vector values of one point block (64 MB as doubles) and scores of one product.
-_VALUES_PER_BLOCK = 8_000_000
+# Queries read at a time, bytes of points held at a time and scores of one product.
+QUERIES_PER_BLOCK = 4096
+POINT_BYTES = 64 << 20
 _CELLS_PER_PRODUCT = 8_000_000
 
 # Rerank settings.
@@ -153,22 +150,19 @@ def top_k(
     query_id: str = "query_id",
     query_vector: str = "query_vector",
     carry: Sequence[str] = (),
-    max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-    queries_per_block: int | None = None,
-    point_blocks: int | None = None,
+    queries_per_block: int = QUERIES_PER_BLOCK,
+    point_bytes: int = POINT_BYTES,
 ) -> DataFrame:
     """The k closest points per query: ``query_id, <id>, score, rank`` and the carried columns.
 
     Cosine and Dot rank high scores first, the distances low ones; ties go to the
     smaller id. Every query meets the points at its own length; points of another length
-    count as zero vectors, a null query as an empty one. A query block of at most
-    ``max_broadcast_queries`` rows and ``MAX_BROADCAST_BYTES`` goes to every task and points
-    are only scanned; a larger query table is cut into hash blocks of ``queries_per_block`` (by default
-    as many as fill ``MAX_BROADCAST_BYTES``), points are repeated once per query block, and block
-    pairs are scored by a cogroup. Both give the same rows.
-    The number of point blocks follows from a count of the points, so that a block
-    fits in memory; give ``point_blocks`` to save the count. Search a written points
-    table rather than a plan that still has to embed.
+    count as zero vectors, a null query as an empty one.
+
+    One plan for every size: the queries are written to the shared folder once, and each task
+    streams them past the points it has read, ``queries_per_block`` against ``point_bytes`` at a time, so
+    neither side is sent, shuffled or counted. Of each pair of blocks only the k best per query go on.
+    Search a written points table rather than a plan that still has to embed.
     """
     distance = vx.distance_name(distance)
     carry = list(carry)
@@ -184,72 +178,36 @@ def top_k(
         ]
     )
     names = schema.names
+    address = write_blocks(queries)
 
-    def running(query_table):
-        ids = query_table.column(query_id).combine_chunks()
-        vectors = query_table.column(query_vector).combine_chunks()
-        return _RunningTopK(ids, vectors, k, distance, id_col, vector_col, carry)
-
-    block = queries.limit(max_broadcast_queries + 1).toArrow()
-    if len(block) <= max_broadcast_queries and block.nbytes <= MAX_BROADCAST_BYTES:
-        shared = points.sparkSession.sparkContext.broadcast(block)
+    def best(held: list) -> Iterator:
+        import pyarrow as pa
 
-        def scan(batches: Iterator) -> Iterator:
-            state = running(shared.value)
-            for batch in batches:
-                if len(batch) and state.queries:
-                    state.add(batch)
+        table = pa.Table.from_batches(held)
+        for block in read_blocks(address, queries_per_block):
+            ids, vectors = (block.column(c).combine_chunks() for c in (query_id, query_vector))
+            state = _RunningTopK(ids, vectors, k, distance, id_col, vector_col, carry)
+            state.add(table)
             yield from state.result(names)
 
-        local = points.mapInArrow(scan, schema)
-    else:
-        dims = max((len(v) for v in block.column(query_vector).to_pylist() if v is not None), default=1)
-        if point_blocks is None:
-            point_blocks = -(-points.count() * max(dims, 1) // _VALUES_PER_BLOCK)
-        per_block = queries_per_block or max(1, MAX_BROADCAST_BYTES // (8 * max(dims, 1)))
-        query_blocks = -(-queries.count() // per_block)
-        local = _blockwise(
-            points, queries, schema, running, id_col, query_id, query_blocks, max(1, point_blocks)
-        )
-
+    def scan(batches: Iterator) -> Iterator:
+        held, size = [], 0
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                size += batch.nbytes
+            if size >= point_bytes:
+                yield from best(held)
+                held, size = [], 0
+        if held:
+            yield from best(held)
+
+    local = points.mapInArrow(scan, schema)
     towards = F.desc("score") if vx.HIGHER_IS_CLOSER[distance] else F.asc("score")
     window = Window.partitionBy(query_id).orderBy(towards, F.asc(id_col))
     return local.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def _blockwise(points, queries, schema, running, id_col, query_id, query_blocks, point_blocks) -> DataFrame:
-    left = points.select(
-        "*",
-        F.pmod(F.xxhash64(id_col), F.lit(point_blocks)).alias("_pb"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("_qb"),
-    )
-    right = queries.select(
-        "*",
-        F.pmod(F.xxhash64(query_id), F.lit(query_blocks)).cast("int").alias("_qb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(point_blocks - 1).cast("bigint"))).alias("_pb"),
-    )
-    names = schema.names
-
-    def score(point_table, query_table):
-        import pyarrow as pa
-
-        state = running(query_table)
-        if len(point_table) and len(query_table):
-            state.add(point_table)
-        done = list(state.result(names))
-        if not done:
-            return pa.table({n: pa.array([], f.type) for n, f in zip(names, _arrow_fields(schema))})
-        return pa.Table.from_batches(done)
-
-    return left.groupBy("_qb", "_pb").cogroup(right.groupBy("_qb", "_pb")).applyInArrow(score, schema)
-
-
-def _arrow_fields(schema):
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def mmr_rerank(
     ranked: DataFrame,
     k: int,

@@ -47,13 +47,24 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named
 
 
+def intermediate_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables go, below the shared folder."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/passagemill-{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that were not written or collected by then are lost."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(intermediate_folder(spark))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Unlike executor-local copies the table outlives lost executors, and unlike an
-    RDD checkpoint its rows are computed once.
+    RDD checkpoint its rows are computed once. :func:`drop_intermediates` removes it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/passagemill-{uuid.uuid4().hex}"
+    path = f"{intermediate_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

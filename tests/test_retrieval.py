@@ -39,7 +39,7 @@ def brute(matrix, queries, k, distance):
 @pytest.mark.parametrize("limit", [4096, 4])
 def test_top_k_is_exact(spark, distance, limit):
     matrix, queries, points, asked = tables(spark)
-    rows = retrieve.top_k(points, asked, 120, distance, max_broadcast_queries=limit, queries_per_block=limit).collect()
+    rows = retrieve.top_k(points, asked, 120, distance, queries_per_block=limit, point_bytes=limit * 100).collect()
     got = {}
     for r in sorted(rows, key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
@@ -71,6 +71,8 @@ def test_search_plan(spark):
     plan = retrieve.top_k(points, asked, 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+    # what is shuffled are the best k of each block, nothing of the points or the queries
+    assert plan.count("hashpartitioning") == 1 and "hashpartitioning(query_id" in plan
 
 
 def greedy(scores, vectors, k, lam):
@@ -156,6 +158,6 @@ def test_queries_of_several_lengths(spark, limit):
     """Each query is compared at its own length, whatever else is asked and however it is planned."""
     points = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.0, 1.0, 0.0, 0.0])], "chunk_id string, vector array<float>")
     asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0, 0.0]), (3, None), (4, [2.0, 0.0, 0.0])], "query_id int, query_vector array<double>")
-    rows = retrieve.top_k(points, asked, 2, max_broadcast_queries=limit, queries_per_block=limit).collect()
+    rows = retrieve.top_k(points, asked, 2, queries_per_block=limit, point_bytes=limit).collect()
     got = {(r.query_id, r.chunk_id): r.score for r in rows}
     assert got == {(1, "a"): 1, (1, "b"): 0, (2, "a"): 0, (2, "b"): 1, (3, "a"): 0, (3, "b"): 0, (4, "a"): 1, (4, "b"): 0}
