@@ -50,13 +50,21 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def encoder(name: str):
     """The tokenizer, made once per worker. Its file is one that every worker has."""
     import base64
+    import json
+    import os
 
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(name), "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    # The full tokenizer file beside the ranks names the added tokens, which stand for themselves in any text.
+    full = public_tokenizers.path(name.replace(".tiktoken", ".json"))
+    added = {}
+    if os.path.exists(full):
+        with open(full, encoding="utf-8") as file:
+            added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def _pieces_of(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int, int]]:
@@ -71,11 +79,10 @@ def tokenize_and_cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY)
 
     def run(batches):
         encode = encoder(tokenizer).encode_to_numpy
-        nothing = frozenset()
         for batch in batches:
             out = []
             for doc_id, null_id, text in zip(batch["doc_id"], batch["null_id"], batch["text"]):
-                ids = np.append(encode(text, disallowed_special=nothing), np.uint32(SEPARATOR)) if text else np.zeros(1, np.uint32)
+                ids = np.append(encode(text, allowed_special="all"), np.uint32(SEPARATOR)) if text else np.zeros(1, np.uint32)
                 owner = None if null_id else doc_id
                 out += [(owner, at, n, k, crc, len(ids)) for at, n, k, crc in _pieces_of(ids, capacity)]
             frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "k", "ids_crc32", "doc_tokens"])

@@ -13,7 +13,7 @@ import corpus_pipeline
 from passagemill.llm import blocks, collision_search, jaccard_join, packing, queries, secrets, shingles, toxicity, va_search
 from passagemill.llm.components import components
 
-TEXTS = [None, "", "a", "one two three four", "ONE two\tthree  four", "w " * 3000, "é😀 <|endoftext|> x", "a" * 5000]
+TEXTS = [None, "", "a", "one two three four", "ONE two\tthree  four", "w " * 3000, "é😀 <|endoftext|> x", "<|endoftext|><|endoftext|>\n<|endoftext|", "a" * 5000]
 
 
 # --- packing -------------------------------------------------------------------
@@ -24,7 +24,6 @@ def check_packing(rows, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = collections.Counter()
     for doc_id, text in texts:
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], dtype="<u4")
