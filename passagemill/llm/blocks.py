@@ -24,7 +24,9 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, equal ones by smaller id."""
+    """Places of the k largest scores, equal ones by smaller id. Scores may be Python's whole numbers."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
     if len(scores) > 4 * k:
         bound = np.partition(scores, len(scores) - k)[len(scores) - k]
         at = np.flatnonzero(scores >= bound)
@@ -32,6 +34,13 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def distinct(table: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Rows without their repetitions, and how often each occurs."""
+    keys = pd.DataFrame({"id": table["vec_id"].to_numpy(), "v": [x.tobytes() for x in table["v"]]})
+    copies = np.bincount(keys.groupby(["id", "v"], sort=False).ngroup(), minlength=0)
+    return table.loc[~keys.duplicated().to_numpy()], copies
+
+
 def search_blocks(
     vectors: DataFrame,
     is_query: Column,
@@ -47,6 +56,7 @@ def search_blocks(
     queries into blocks of ``queries_per_block``, and each pair of blocks is one group: its size is
     fixed, whatever the input. ``searcher(ids, matrix)`` prepares a block and returns a function
     (query ids, query matrix) that yields (places, scores) per query. Vectors of different lengths never meet.
+    Equal rows are searched once and stand in the result once per copy; equal queries answer once.
     """
     queries = vectors.filter(is_query)
     n_blocks = max(1, -(-vectors.count() // rows_per_block))
@@ -69,13 +79,14 @@ def search_blocks(
         columns = ["query_id", "vec_id", "score"]
         if rows.empty or asked.empty:
             return pd.DataFrame({c: [] for c in columns})
-        rows, asked = (f.loc[~pd.DataFrame({"i": f.vec_id, "v": [bytes(x.tobytes()) for x in f.v]}).duplicated()] for f in (rows, asked))
+        (rows, copies), (asked, _) = distinct(rows), distinct(asked)
         ids = rows["vec_id"].to_numpy()
         find = searcher(ids, matrix(rows["v"]))
         out = []
         query_ids = asked["vec_id"].to_numpy()
         for query_id, (at, scores) in zip(query_ids, find(query_ids, matrix(asked["v"]))):
             keep = best(ids[at], scores, k)
+            keep = np.repeat(keep, np.minimum(copies[at][keep], k))[:k]
             out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at][keep], "score": scores[keep]}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in columns})
 

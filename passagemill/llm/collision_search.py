@@ -84,8 +84,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, **options) -> Dat
     per projection. A query opens a window around its own value in each array and widens all of them
     until enough rows lie in ``SHARE`` of the windows; exactly those are compared, in double precision.
     Rows with a null id or a vector that is null, empty, zero or holds null or non-finite components take
-    no part. Rows with the query's id are its own. Equal scores go by the smaller id. A block with
-    fewer rows than asked for is compared whole.
+    no part. Rows with the query's id are its own. Equal scores go by the smaller id, and equal rows count once
+    per copy. A block with fewer rows than asked for is compared whole. An empty table gives nothing; other
+    columns are not read.
     """
     given = vectors.select("vec_id", F.col("embedding").alias("v")).filter(F.col("vec_id").isNotNull())
     given = given.filter(blocks.usable(F.col("v"), float("inf")) & F.exists("v", lambda x: x != 0))

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -148,10 +150,27 @@ def test_approximations_are_exact(vectors):
     zeros = 1020 % 50 == 0
     assert set(got) == set(range(0, 400, 50)) | ({1020} if zeros else set())
     for q in range(0, 400, 50):
-        scores = [(int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q] + [(0, 1020)]
+        scores = [(int(s), i) for i, s in enumerate(whole @ whole[q]) if i != q] + [(0, 1020)] + [(int(whole[3] @ whole[q]), 3)]
         assert got[q] == [(i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:5]]
 
 
+def test_scores_of_any_size_and_copies(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.standard_normal(5) * 10.0 ** rng.integers(0, 8)]) for i in range(300)]
+    rows[0] = (0, [0.5, -0.5, 0.25, 1.0, 2.0])
+    rows += [rows[7]] * 4 + [rows[0], (400, [2.0**36, 0.0, 0.0, 0.0, 0.0]), (401, [0.0, 1.0, 0.0, 0.0, 0.0]), (450, []), (451, []), (451, [])]
+    whole = [(i, [int(math.floor(Fraction(x) * 256)) for x in v]) for i, v in rows]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in va_search.top_k(frame, F.col("vec_id").isin(0, 401, 450)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in (0, 401, 450):
+        own = next(v for i, v in whole if i == q)
+        scores = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q and len(v) == len(own))[:5]
+        assert got[q] == [(i, -s) for s, i in scores]
+    assert got[0][0] == (400, 2**44 * 128)
+
+
 def test_collisions_find_most_neighbours(vectors):
     frame, values = vectors
     got = collections.defaultdict(list)
