@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passagemill.functions import text as tx
 from passagemill.operators import retrieve
 from passagemill.session import cut_lineage
 
@@ -34,6 +35,22 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _counts(words: Column) -> Column:
+    """``array<struct<term, n>>``: runs of equal words in sorted order, counted inside the row."""
+
+    def of(w: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        return tx.let(
+            first,
+            lambda f: F.transform(
+                f, lambda i, j: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(f, j + 1), F.size(w)) - i).alias("n"))
+            ),
+        )
+
+    none = F.array().cast("array<struct<term:string,n:int>>")
+    return F.when(F.size(words) > 0, tx.let(F.array_sort(words), of)).otherwise(none)
+
+
 @dataclass
 class KeywordIndex:
     """``postings (bucket, term, id, weight)`` and ``terms (term, frequency, idf, largest)``."""
@@ -57,12 +74,12 @@ def read_index(spark: SparkSession, path: str) -> KeywordIndex:
 def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> KeywordIndex:
     """Index of a chunk table; chunks without words count in the averages and have no postings.
 
-    Tokens are summed per chunk and term before the shuffle. The postings are written to the
+    Words are counted inside their row, so making postings shuffles nothing; they are written to the
     checkpoint folder once, as terms and every search read them again.
     """
     read = chunks.select(F.col(id_col).alias("id"), terms_of(F.col(text_col)).alias("words"))
     read = read.select("id", "words", F.size("words").alias("length"))
-    counted = read.select("id", "length", F.explode("words").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("n"))
+    counted = read.select("id", "length", F.inline(_counts(F.col("words"))))
     mean = read.agg(F.avg("length")).scalar()
     weight = F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / mean))
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
