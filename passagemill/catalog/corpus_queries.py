@@ -221,6 +221,15 @@ add("c10_clean_job",
     q.query(f"""SELECT path, {_WITH_URL} AS content, strlen({_WITH_URL})::BIGINT AS size, '{fx.BASE_URL}/'||page||'/' AS source_url FROM cleaned""",
             "tagged", extra={"cleaned": _CLEANED}))
 
+_EXPANDED = """SELECT path, string_agg(CASE WHEN target IS NULL THEN txt WHEN list_contains(visited, target) THEN '' ELSE txt END, '' ORDER BY k) AS content
+FROM grown WHERE target IS NULL OR list_contains(visited, target) OR target NOT IN (SELECT path FROM inc) GROUP BY path"""
+_CLEANED_INCLUDES = "SELECT path, replace(path, '.md', '') AS page, " + q.html_text(q.strip_tags("content")) + " AS body FROM expanded"
+add("c10_clean_job_includes",
+    lambda s, d: clean_corpus(fx.including(s, d), base_url=fx.BASE_URL),
+    q.query(f"""SELECT path, {_WITH_URL} AS content, strlen({_WITH_URL})::BIGINT AS size, '{fx.BASE_URL}/'||page||'/' AS source_url FROM cleaned""",
+            extra={"inc": _INCLUDING, "seg": _SEGMENTS, "pieces": _PIECES, "grown": _GROWN, "expanded": _EXPANDED, "cleaned": _CLEANED_INCLUDES},
+            recursive=True))
+
 add("c11_document_size",
     lambda s, d: clean.add_size(fx.corpus(s, d)).select("path", "size"),
     q.query("SELECT path, strlen(content)::BIGINT AS size FROM docs", "docs"))

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from passagemill.catalog import fixtures as fx
 from passagemill.catalog import sql as q
-from passagemill.catalog.corpus_queries import scratch
+from passagemill.catalog.corpus_queries import _RECURSIVE, MAX_WORDS, OVERLAP, scratch
 from passagemill.catalog.index_queries import retrieved, with_url
-from passagemill.operators import evaluate, history, jobs, retrieve, runs
+from passagemill.operators import embed, evaluate, history, jobs, retrieve, runs
+from passagemill.plans.eval_job import plan_evaluation
+from passagemill.plans.index_job import plan_index
 from passagemill.session import cut_lineage
 from passagemill.sources import tables
 from passagemill.streaming.history import history_stream
@@ -143,6 +145,70 @@ UNION ALL SELECT 'benchmark', 'mrr', 0, round(1e-9 + avg(coalesce(1.0 / f.r, 0))
 UNION ALL SELECT 'benchmark', 'n_questions', 0, count(*)::DOUBLE FROM questions"""),
     "retrieved", "judgments", "questions", "ks", extra={"gr": _GR, "jk": _JOB_K}))
 
+def stored_runs(spark, sf):
+    """The whole way: markdown to elements, recursive chunks, vectors, stored points; each strategy's run with its rows and metrics stored."""
+    path, model, ks = scratch(spark, "runs"), embed.md5_bag_of_words(fx.DIMS), (1, 3, 5)
+    plan = plan_index(fx.markdown(spark, sf), model, "md5-bag-of-words", "markdown", "recursive", {"max_size": MAX_WORDS, "overlap": OVERLAP})
+    tables.write_points(plan.points, f"{path}/points", "handbook", declared_size=fx.DIMS)
+    points = tables.read_points(spark, f"{path}/points", "handbook")
+    judged = cut_lineage(fx.passage_judgments(spark, sf))
+    found = None
+    for strategy in ("naive-search", "mmr-rerank"):
+        run_id = tables.new_run(spark, "handbook", {"strategy": strategy}).first()["run_id"]
+        run = plan_evaluation(run_id, points, fx.questions(spark, sf), model, "md5-bag-of-words", ks, strategy, judgments=judged)
+        rows = cut_lineage(run.questions)
+        tables.write_results(rows.withColumn("created_at", F.current_timestamp()), f"{path}/results")
+        tables.write_metrics(evaluate.aggregate_metrics(rows, ks), f"{path}/metrics")
+        stored = spark.read.parquet(f"{path}/metrics").filter(F.col("run_id") == run_id)
+        kept = tables.read_results(spark, f"{path}/results", run_id).agg(
+            F.lit("n_rows").alias("metric"), F.lit(0).alias("k"), F.count("*").cast("double").alias("value")
+        )
+        part = stored.select("metric", "k", settled("value").alias("value")).unionByName(kept).withColumn("strategy", F.lit(strategy))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+_CHAIN = {
+    **_RECURSIVE,
+    "rec_chunks": "SELECT path||'-chunk-'||lpad(idx::VARCHAR, 4, '0') AS chunk_id, path AS document_path, content FROM rec",
+    "rec_vectors": q._embedded("rec_vectors", "rec_chunks", "chunk_id", "content")[1],
+    "near": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
+  SELECT q.question_id, v.chunk_id, v.vector::FLOAT[]::DOUBLE[] AS vector, round(list_cosine_similarity(v.vector::FLOAT[]::DOUBLE[], q.vector), 9) AS score
+  FROM question_vectors q, rec_vectors v)) WHERE rank <= 15""",
+    "near_kept": "SELECT question_id, chunk_id, vector, score, rank FROM near",
+    "mmr": """SELECT question_id, 0 AS step, []::VARCHAR[] AS picked FROM question_vectors
+UNION ALL
+SELECT p.question_id, p.step + 1, list_append(p.picked, (
+  SELECT r.chunk_id FROM near_kept r WHERE r.question_id = p.question_id AND NOT list_contains(p.picked, r.chunk_id)
+  ORDER BY round(0.7 * r.score - 0.3 * greatest(0, coalesce((SELECT max(list_cosine_similarity(r.vector, o.vector)) FROM near_kept o
+    WHERE o.question_id = r.question_id AND list_contains(p.picked, o.chunk_id)), 0)), 12) DESC, r.rank LIMIT 1))
+FROM mmr p WHERE p.step < 5""",
+    "hits": """SELECT 'naive-search' AS strategy, question_id, chunk_id, rank FROM near WHERE rank <= 5
+UNION ALL SELECT 'mmr-rerank', question_id, unnest(picked), generate_subscripts(picked, 1) FROM mmr WHERE step = 5""",
+    "gr": """SELECT h.strategy, h.question_id, h.rank, coalesce(j.grade, 0) AS grade, j.grade IS NOT NULL AS rel,
+  row_number() OVER (PARTITION BY h.strategy, h.question_id, c.document_path ORDER BY h.rank) = 1 AS first
+FROM hits h JOIN rec_chunks c USING (chunk_id) LEFT JOIN judgments j ON j.question_id = h.question_id AND j.document_path = c.document_path""",
+    "asked": "SELECT strategy, question_id, k FROM (SELECT unnest(['naive-search', 'mmr-rerank']) AS strategy), questions, (SELECT unnest([1, 3, 5]) AS k)",
+    "jk": """SELECT s.strategy, s.question_id, s.k, coalesce(a.hit, 0)::DOUBLE AS hit_rate, coalesce(a.found, 0) / s.k AS precision,
+  CASE WHEN coalesce(x.n_exp, 0) > 0 THEN coalesce(a.found, 0) / x.n_exp ELSE 0 END AS recall,
+  CASE WHEN coalesce(b.best, 0) > 0 THEN coalesce(a.dcg, 0) / b.best ELSE 0 END AS ndcg,
+  CASE WHEN coalesce(i.best, 0) > 0 THEN coalesce(a.gdcg, 0) / i.best ELSE 0 END AS ndcg_graded
+FROM asked s
+LEFT JOIN (SELECT question_id, count(*) AS n_exp FROM judgments GROUP BY 1) x USING (question_id)
+LEFT JOIN (SELECT strategy, question_id, k, max(rel::INT) AS hit, count(*) FILTER (rel AND first) AS found, count(*) AS n_ret,
+   sum(CASE WHEN rel AND first THEN 1.0/log2(rank+1) ELSE 0 END) AS dcg, sum(CASE WHEN first THEN (power(2, grade)-1)/log2(rank+1) ELSE 0 END) AS gdcg
+   FROM gr JOIN (SELECT unnest([1, 3, 5]) AS k) ks ON rank <= k GROUP BY ALL) a ON a.strategy = s.strategy AND a.question_id = s.question_id AND a.k = s.k
+LEFT JOIN (SELECT question_id, k, sum((power(2, grade)-1)/log2(n+1)) AS best FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY grade DESC, document_path) AS n FROM judgments)
+   JOIN (SELECT unnest([1, 3, 5]) AS k) ks ON n <= k GROUP BY ALL) i ON i.question_id = s.question_id AND i.k = s.k
+LEFT JOIN (SELECT m, sum(1.0/log2(j+1)) AS best FROM (SELECT unnest(range(1, 11)) AS m) t, (SELECT unnest(range(1, 11)) AS j) u WHERE j <= m GROUP BY m) b ON b.m = least(s.k, coalesce(a.n_ret, 0), coalesce(x.n_exp, 0))""",
+}
+add("q10_stored_runs", stored_runs, q.query(
+    long_sql("jk", "strategy", """
+UNION ALL SELECT s.strategy, 'mrr', 0, round(1e-9 + avg(coalesce(1.0 / f.r, 0)), 6) FROM (SELECT DISTINCT strategy, question_id FROM asked) s
+  LEFT JOIN (SELECT strategy, question_id, min(rank) AS r FROM gr WHERE rel GROUP BY ALL) f USING (strategy, question_id) GROUP BY 1
+UNION ALL SELECT strategy, unnest(['n_questions', 'n_rows']), 0, count(*)::DOUBLE FROM (SELECT DISTINCT strategy, question_id FROM asked) GROUP BY 1"""),
+    "elements", "judgments", "questions", "question_vectors", extra=_CHAIN, recursive=True))
+
 # --- metrics ----------------------------------------------------------------------------
 
 

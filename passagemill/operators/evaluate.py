@@ -186,6 +186,7 @@ def score_ranked(
     grades = F.coalesce(F.col("_r.grade"), F.array().cast("array<int>"))
     rows = joined.select(
         *expected.columns,
+        paths.alias("retrieved_paths"),
         grades.alias("grades"),
         F.transform(grades, lambda g: g > 0).alias("relevant"),
         tx.let(paths, first_seen).alias("first"),

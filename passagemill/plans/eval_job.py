@@ -46,16 +46,26 @@ def plan_evaluation(
     ks: Sequence[int] = (1, 3, 5),
     strategy: str = "naive-search",
     answers: DataFrame | None = None,
+    judgments: DataFrame | None = None,
 ) -> EvalPlan:
     """Lazy plan of an evaluation run over ``question_id, question, relevance, …``.
 
     Retrieves max(ks) chunks per question. Questions without results stay, with
-    empty lists, in every denominator.
+    empty lists, in every denominator. ``judgments`` (``question_id, document_path, grade``), where given, stand
+    for the relevance lists: a question may then have any number of them.
     """
     top = max(ks)
     ranked = retrieve_questions(points, questions, embedder, model, top, strategy)
-    results = questions.join(evaluate.collect_results(ranked, "question_id"), "question_id", "left")
-    scored = evaluate.score_questions(results, top).withColumn("run_id", F.lit(run_id))
+    if judgments is None:
+        results = questions.join(evaluate.collect_results(ranked, "question_id"), "question_id", "left")
+        scored = evaluate.score_questions(results, top)
+    else:
+        graded = ranked.join(judgments, ["question_id", "document_path"], "left").withColumn("grade", F.coalesce("grade", F.lit(0)))
+        expected = questions.join(evaluate.ideal_grades(judgments, top, "question_id"), "question_id", "left").withColumns({
+            "n_expected": F.coalesce("n_expected", F.lit(0)), "ideal": F.coalesce("ideal", F.array().cast("array<int>")),
+        })
+        scored = evaluate.score_ranked(graded, expected, query_id="question_id")
+    scored = scored.withColumn("run_id", F.lit(run_id))
     if answers is not None:
         scored = evaluate.merge_answers(scored, answers)
     return EvalPlan(ranked, scored, ks)
