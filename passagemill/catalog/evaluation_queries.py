@@ -521,6 +521,13 @@ add("h3_purge_idle", purged, """SELECT event_id, user_id FROM events WHERE user_
   SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 DAY)""")
 
 
+add("h3_sessions",
+    lambda s, d: history.sessions(fx.table(s, d, "events"), "user_id", "ts", "2 hours"),
+    """SELECT user_id, n AS session, min(ts) AS started, max(ts) AS ended, count(*) AS n_rows FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL""")
+
+
 def asked(spark, sf):
     talk = fx.messages(spark, sf)
     explicit = talk.groupBy("conv_id").agg(
@@ -558,29 +565,62 @@ def prompts(spark, sf):
 
 
 
-def streamed_turns(spark, sf):
-    """The conversations table read as a stream into bounded per-conversation buffers."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+def _buffers(spark, batches, idle_ms=None):
+    """Newest buffer of every conversation when the batches arrive one after the other, each in a run of its own over the same state."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
     path = scratch(spark, "turns")
-    arriving = spark.readStream.schema(fx.messages(spark, sf).schema).option(
-        "pathGlobFilter", "conversations.parquet"
-    ).parquet(sf)
 
     def keep(batch, batch_id):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/out/n={batch_id}")
 
-    (
-        history_stream(arriving, max_turns=2).writeStream.outputMode("update").foreachBatch(keep)
-        .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
-    )
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for n, rows in enumerate(batches):
+            rows.write.parquet(f"{path}/in/part={n}")
+            arriving = spark.readStream.schema(rows.schema).parquet(f"{path}/in/part=*")
+            if idle_ms is not None:
+                arriving = arriving.withWatermark("ts", "1 minute")
+            (
+                history_stream(arriving, max_turns=2, idle_ms=idle_ms).writeStream.outputMode("update").foreachBatch(keep)
+                .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+            )
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
     out = spark.read.parquet(f"{path}/out")
     newest = out.groupBy("conv_id").agg(F.max("batch").alias("batch"))
     return out.join(newest, ["conv_id", "batch"]).select("conv_id", "turn", "user_text", "assistant_text", "age")
 
 
+def streamed_turns(spark, sf):
+    """The conversations in three batches that cut through them, into bounded per-conversation buffers."""
+    talk = fx.messages(spark, sf)
+    part = F.least(F.floor((F.col("turn") + F.col("conv_id") % 2) / 3), F.lit(2))
+    return _buffers(spark, [talk.filter(part == n) for n in range(3)])
+
+
+def evicted_turns(spark, sf):
+    """Turns from the fourth on come a day later: what a conversation had before has gone by then."""
+    talk = fx.messages(spark, sf).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    later = talk.filter("turn >= 4").withColumn("ts", F.lit("2024-01-02 00:00:00").cast("timestamp"))
+    # one message in between moves the clock
+    clock = talk.filter("turn = 0").agg(
+        F.lit(-1).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"), F.lit("user").alias("role"),
+        F.lit("tick").alias("text"), F.lit("2024-01-01 12:00:00").cast("timestamp").alias("ts"),
+    )
+    return _buffers(spark, [talk.filter("turn < 4"), clock, later], idle_ms=3_600_000)
+
+
+add("h7_evicted_turns", evicted_turns, q.query(
+    """SELECT conv_id, turn, user_text, assistant_text, age FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM (
+    SELECT *, max((turn >= 4)::INT) OVER (PARTITION BY conv_id) AS has_later FROM turns WHERE turn <> 3) WHERE (turn >= 4)::INT = has_later)
+WHERE age <= 2""", "turns"))
+
+
 add("h7_streamed_turns", streamed_turns, q.query(
     "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM turns) WHERE age <= 2", "turns"))
 

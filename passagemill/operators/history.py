@@ -63,6 +63,18 @@ def purge_idle(table: DataFrame, key: str, ts: str, threshold: str, now: Column
     return table.join(idle.select(key), key, "left_anti")
 
 
+def sessions(table: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
+    """Stretches of use without a pause longer than ``gap``: ``<key>, session, started, ended, n_rows``, numbered from 1.
+
+    A key's rows meet in one task in order of time; with ``spark.sql.sessionWindow.merge.sessions.in.local.partition``
+    every task first merges its own, which is worth it where keys have very many rows.
+    """
+    merged = table.filter(F.col(ts).isNotNull()).groupBy(key, F.session_window(ts, gap).alias("_window"))
+    found = merged.agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n_rows"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("started"))
+    return found.select(key, number.cast("bigint").alias("session"), "started", "ended", "n_rows")
+
+
 def query_text(messages: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
     """Per conversation the explicit query, else the last non-empty user message."""
     usable = (F.col("role") == "user") & (F.coalesce(F.col("text"), F.lit("")) != "")
