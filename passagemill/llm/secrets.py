@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 import re
 import uuid
 from dataclasses import dataclass
@@ -11,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm.rows import packed
-from passagemill.session import checkpoint_folder, cut_lineage
+from passagemill.operators.passages import sieve
+from passagemill.session import cut_lineage, intermediate_folder
 
 
 @dataclass(frozen=True)
@@ -38,11 +41,16 @@ RULES = (
     Rule("hex", r"[0-9a-f]{32,}", 32, 0, False, True),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0, False, False, "gh"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, False, False, "xox"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0, False, False, "eyJ"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0, False, False, "eyJ"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 0, False, False, "-----BEGIN "),
 )
-VERSION = "1"
-FINDING = "blob string, rules string, kind int, start long, end long"
+FINDING = "blob string, rules string, kind string, start long, end long"
+VERSION = "doc_id long, blob string"
+
+
+def rules_version(rules=RULES) -> str:
+    """A name that changes with any rule, so findings of one rule list never stand for another's."""
+    return hashlib.sha256(repr([dataclasses.astuple(r) for r in rules]).encode()).hexdigest()[:16]
 
 
 def find(text: str, rules=RULES) -> list[tuple[int, int, int]]:
@@ -61,88 +69,90 @@ def find(text: str, rules=RULES) -> list[tuple[int, int, int]]:
 class Ledger:
     """Tables below a shared folder: versions (path to blob), scanned (blob, rules), findings.
 
-    Every scan appends one batch folder to each; a batch is read only once its ``scanned`` part,
-    written last, is complete, so a scan that dies halfway is done again.
+    Every scan appends one batch folder to each. A batch counts only once its ``scanned`` part, written
+    last, is complete, so of a scan that dies halfway nothing is read and its blobs are scanned again.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        target = path(f"{self.folder}/scanned")
         files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(target):
-            return self.spark.createDataFrame([], schema)
-        batches = [s.getPath().toString() for s in files.listStatus(target)]
-        done = [b for b in batches if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{b}/_SUCCESS"))]
-        return self.spark.read.schema(schema).parquet(*done) if done else self.spark.createDataFrame([], schema)
+        batches = [s.getPath().getName() for s in files.listStatus(target)] if files.exists(target) else []
+        done = [b for b in batches if files.exists(path(f"{self.folder}/scanned/{b}/_SUCCESS"))]
+        folders = [f"{self.folder}/{name}/{b}" for b in done]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
     def scanned(self) -> DataFrame:
         return self._read("scanned", "blob string, rules string")
 
+    def versions(self) -> DataFrame:
+        """Every blob that every path ever held."""
+        return self._read("versions", VERSION).distinct()
+
     def findings(self) -> DataFrame:
-        """Findings of completed scans; a blob scanned twice after a failure is listed once."""
+        """Findings of completed scans; what two scans at one time both found is listed once."""
         return self._read("findings", FINDING).distinct()
 
+    def findings_by_path(self, rules=RULES) -> DataFrame:
+        """``doc_id, blob, kind, start, end``: the findings in every version of every path, whenever it was seen."""
+        found = self.findings().filter(F.col("rules") == rules_version(rules)).drop("rules")
+        return self.versions().join(found, "blob").select("doc_id", "blob", "kind", "start", "end")
+
     def append(self, name: str, rows: DataFrame, batch: str) -> None:
         rows.write.parquet(f"{self.folder}/{name}/{batch}")
 
 
-def scan_unseen(docs: DataFrame, ledger: Ledger, rules=RULES, version: str = VERSION) -> DataFrame:
-    """Scan every blob of ``docs`` that the ledger has not seen under this rule version; returns the versions.
+def scan_unseen(docs: DataFrame, ledger: Ledger, rules=RULES) -> DataFrame:
+    """Scan every blob of ``docs`` that the ledger has not seen under these rules; returns the versions.
 
-    Each text is addressed by its SHA-256. Copies meet in one row per task before the exchange, so a
-    text's thousand versions cost one scan and one shuffled copy per task. The result has ``doc_id``
-    and ``blob`` for every row of ``docs``, also for those seen before.
+    Each text is addressed by its SHA-256. Hashes alone say what is new; then the texts of new blobs are picked out
+    where they are, by a sieve of fixed size, and shuffled, one copy per task and blob. Texts that the ledger knows
+    never move. The result has ``doc_id`` and ``blob`` for every row of ``docs``, also for those seen before.
     """
-    batch = uuid.uuid4().hex
+    batch, version = uuid.uuid4().hex, rules_version(rules)
     addressed = packed(docs).select(
-        F.col("row.doc_id").alias("doc_id"),
+        F.col("row.doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("row.text"), F.lit("")).alias("text"),
     ).withColumn("blob", F.sha2("text", 256))
     versions = cut_lineage(addressed.select("doc_id", "blob"))
-    blobs = addressed.groupBy("blob").agg(F.first("text").alias("text"))
-    seen = ledger.scanned().filter(F.col("rules") == version).select("blob").distinct()
-    unseen = blobs.join(seen, "blob", "left_anti")
+    seen = ledger.scanned().filter(F.col("rules") == version).select("blob")
+    unseen = cut_lineage(versions.select("blob").distinct().join(seen, "blob", "left_anti"))
+    blobs = sieve(addressed.select("blob", "text"), "blob", unseen).groupBy("blob").agg(F.first("text").alias("text")).join(unseen, "blob")
 
     def run(batches):
         for frame in batches:
-            rows = []
-            for blob, text in zip(frame["blob"], frame["text"]):
-                rows.append((blob, version, -1, 0, 0))
-                rows += [(blob, version, *hit) for hit in find(text, rules)]
+            rows = [(blob, version, rules[n].kind, start, end) for blob, text in zip(frame["blob"], frame["text"]) for n, start, end in find(text, rules)]
             yield pd.DataFrame(rows, columns=["blob", "rules", "kind", "start", "end"])
 
-    # One row of kind -1 per blob says that it was scanned, whatever was found.
-    results = cut_lineage(unseen.mapInPandas(run, FINDING))
-    ledger.append("findings", results.filter("kind >= 0"), batch)
-    ledger.append("scanned", results.filter("kind < 0").select("blob", "rules"), batch)
+    ledger.append("findings", blobs.mapInPandas(run, FINDING), batch)
+    known = ledger.versions().withColumnsRenamed({"doc_id": "_path", "blob": "_blob"})
+    new = versions.distinct().join(known, F.col("doc_id").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob")), "left_anti")
+    ledger.append("versions", new, batch)
+    ledger.append("scanned", unseen.withColumn("rules", F.lit(version)), batch)
     return versions
 
 
-def scan_secrets(docs: DataFrame, ledger: Ledger | None = None, rules=RULES, version: str = VERSION) -> DataFrame:
+def scan_secrets(docs: DataFrame, ledger: Ledger | None = None, rules=RULES) -> DataFrame:
     """``doc_id, blob, secrets`` for every row: findings of its text as structs ``kind, start, end, base``.
 
-    Only blobs that the ledger lacks for this rule version are scanned; findings are then joined back
-    to every path that ever held the blob. Null and empty texts are one blob without findings; rows
-    with one doc_id are versions of their own. Without a ledger a new one is made in the shared folder.
+    Only blobs that the ledger lacks for these rules are scanned; findings are then joined back
+    to the rows. ``Ledger.findings_by_path`` has them for all paths ever seen. Null and empty texts are one blob without
+    findings; rows with one doc_id are versions of their own, equal rows count once each; patterns are linear in a text's
+    length; an empty table gives nothing; other columns are not read. Without a ledger a new one is made in the shared folder.
     """
     spark = docs.sparkSession
-    ledger = ledger or Ledger(spark, f"{checkpoint_folder(spark).rstrip('/')}/secrets-{uuid.uuid4().hex}")
-    versions = scan_unseen(docs, ledger, rules, version)
-    names = F.array(*[F.lit(r.kind) for r in rules])
+    ledger = ledger or Ledger(spark, f"{intermediate_folder(spark)}/secrets-{uuid.uuid4().hex}")
+    versions = scan_unseen(docs, ledger, rules)
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
     base = F.array(*[F.lit(r.base) for r in rules])
-    entry = F.struct(
-        "start",
-        F.col("kind").alias("order"),
-        "end",
-        F.get(names, F.col("kind")).alias("kind"),
-        F.get(base, F.col("kind")).alias("base"),
-    )
-    per_blob = (
-        ledger.findings().filter(F.col("rules") == version).groupBy("blob").agg(F.array_sort(F.collect_list(entry)).alias("secrets"))
-    )
-    per_blob = cut_lineage(per_blob)
+    order = F.array_position(kinds, F.col("kind")).cast("int")
+    entry = F.struct("start", order.alias("order"), "end", "kind", F.get(base, order - 1).alias("base"))
+    found = ledger.findings().filter(F.col("rules") == rules_version(rules))
+    # A blob's findings are spans of its one text.
+    per_blob = cut_lineage(found.groupBy("blob").agg(F.array_sort(F.collect_list(entry)).alias("secrets")))
     none = F.array().cast(per_blob.schema["secrets"].dataType)
     return versions.join(per_blob, "blob", "left").select("doc_id", "blob", F.coalesce("secrets", none).alias("secrets"))
 
