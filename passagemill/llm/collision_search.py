@@ -17,60 +17,65 @@ SEED = 20
 
 
 def collision_searcher(
-    longest: float, k: int, projections: int = PROJECTIONS, share: float = SHARE, verified: float = VERIFIED, growth: float = GROWTH
+    scale: float, longest: float, k: int, projections: int = PROJECTIONS, share: float = SHARE, verified: float = VERIFIED, growth: float = GROWTH
 ):
     """A block's sorted projections and the search over them.
 
-    Rows get one more component, sqrt(longest**2 - |x|**2), and queries are scaled to ``longest``:
+    Vectors are divided by ``scale``, so that squares of any finite components are finite. Rows get one more
+    component, sqrt(longest**2 - |x|**2), and queries are scaled to ``longest``:
     the Euclidean order of the lifted vectors is then the order of inner products.
     """
 
     def prepare(ids: np.ndarray, rows: np.ndarray):
         directions = np.random.default_rng(SEED).standard_normal((rows.shape[1] + 1, projections))
-        rest = np.sqrt(np.maximum(0.0, longest**2 - (rows**2).sum(axis=1)))
-        values = rows @ directions[:-1] + np.outer(rest, directions[-1])
-        order = np.argsort(values, axis=0, kind="stable").T
-        arrays = np.ascontiguousarray(np.take_along_axis(values.T, order, axis=1))
-        place = np.uint16 if len(ids) < 65_536 else np.uint32
-        ranks = np.empty(order.shape, dtype=place)
-        np.put_along_axis(ranks, order, np.arange(len(ids), dtype=place)[None, :], axis=1)
-        shifted, inside = np.empty_like(ranks), np.empty(ranks.shape, dtype=bool)
-        tally = np.uint8 if projections < 256 else np.uint32
+        scaled = rows / scale
+        rest = np.sqrt(np.maximum(0.0, longest**2 - (scaled**2).sum(axis=1)))
+        values = scaled @ directions[:-1] + np.outer(rest, directions[-1])
+        order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
+        arrays = np.take_along_axis(values.T, order, axis=1)
         enough, goal = int(np.ceil(share * projections)), min(len(ids), 1 + int(max(LEAST_VERIFIED * k, verified * len(ids))))
 
         def find(query_ids: np.ndarray, queries: np.ndarray):
-            centres = (queries * (longest / np.sqrt((queries**2).sum(axis=1, keepdims=True)))) @ directions[:-1]
+            unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+            centres = (unit * (longest / np.sqrt((unit**2).sum(axis=1, keepdims=True)))) @ directions[:-1]
             half, windows = longest / 16, []
 
             def window(level: int):
-                """Where the windows of a radius begin in each sorted array, and how many rows they hold."""
+                """Where the windows of a radius begin and end in each sorted array, for every query."""
                 nonlocal half
                 while len(windows) <= level:
                     first = np.stack([np.searchsorted(a, c - half) for a, c in zip(arrays, centres.T)], axis=1)
                     last = np.stack([np.searchsorted(a, c + half, side="right") for a, c in zip(arrays, centres.T)], axis=1)
-                    windows.append((first, last - first))
+                    windows.append((first, last))
                     half *= growth
                 return windows[level]
 
-            def colliding(i: int, level: int) -> np.ndarray:
-                """Rows whose places lie in enough of the windows; places before a window wrap around."""
-                first, width = window(level)
-                np.subtract(ranks, first[i].astype(place)[:, None], out=shifted)
-                np.less(shifted, width[i][:, None].astype(place), out=inside)
-                return np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=tally) >= enough)
-
-            level = 0
+            def widened(i: int, counts: np.ndarray, level: int, before: int | None) -> np.ndarray:
+                """Collisions after the windows have grown: only rows that enter them are counted."""
+                first, last = (edge[i].tolist() for edge in window(level))
+                if before is None:
+                    entering = [o[f:l] for o, f, l in zip(order, first, last)]
+                else:
+                    first_before, last_before = (edge[i].tolist() for edge in window(before))
+                    entering = [o[f:g] for o, f, g in zip(order, first, first_before)]
+                    entering += [o[m:l] for o, m, l in zip(order, last_before, last)]
+                return counts + np.bincount(np.concatenate(entering), minlength=len(ids))
+
+            start = 0
             for i, query_id in enumerate(query_ids):
                 # Virtual rehashing: the same arrays serve every radius. The smallest one that meets the
-                # goal is near the one of the query before.
-                close = colliding(i, level)
-                while len(close) < goal:
-                    level += 1
-                    close = colliding(i, level)
-                while level and len(narrower := colliding(i, level - 1)) >= goal:
-                    level, close = level - 1, narrower
+                # goal is near the one of the query before, so windows open a little below that.
+                none = np.zeros(len(ids), dtype=np.int64)
+                level, counts = start, widened(i, none, start, None)
+                while level and np.count_nonzero(counts >= enough) >= goal:
+                    level = max(0, level - 4)
+                    counts = widened(i, none, level, None)
+                while np.count_nonzero(counts >= enough) < goal:
+                    level, counts = level + 1, widened(i, counts, level + 1, level)
+                start = max(0, level - 2)
+                close = np.flatnonzero(counts >= enough)
                 close = close[ids[close] != query_id]
-                yield close, (rows[close] * queries[i]).sum(axis=1)
+                yield close, np.einsum("ij,j->i", rows[close], queries[i])
 
         return find
 
@@ -90,6 +95,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, **options) -> Dat
     """
     given = vectors.select("vec_id", F.col("embedding").alias("v")).filter(F.col("vec_id").isNotNull())
     given = given.filter(blocks.usable(F.col("v"), float("inf")) & F.exists("v", lambda x: x != 0))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    # Divided by the largest component, squares of any finite number are finite.
+    scale = given.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).first()[0] or 1.0
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x.cast("double") / scale) * (x.cast("double") / scale)))
     longest = given.agg(F.max(norm)).first()[0] or 1.0
-    return blocks.search_blocks(given, is_query, k, collision_searcher(longest, k, **options), "double")
+    return blocks.search_blocks(given, is_query, k, collision_searcher(scale, longest, k, **options), "double")

@@ -193,6 +193,17 @@ def test_collision_recall_on_the_table(spark, sf_dir):
     assert sum(len(want[q] & got[q]) for q in want) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_collisions_take_any_finite_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(200)] + [(1000, [1e200] + [0.0] * 5), (1001, [-1e6] * 6), (1002, [1e-200] * 6)]
+    got = collections.defaultdict(list)
+    for r in collision_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 20, 5).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    values = {i: np.array(v) for i, v in rows}
+    want = sorted((i for i in values if i != 20), key=lambda i: (-(values[i] * values[20]).sum(), i))[:5]
+    assert len({i for _, i in got[20]} & set(want)) >= 4
+
+
 def test_searches_take_empty_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert va_search.top_k(empty, F.col("vec_id") % 50 == 0).count() == 0
