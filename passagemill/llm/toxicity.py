@@ -59,6 +59,11 @@ def codes(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     table = _classes()
     s = table[np.minimum(points, len(table) - 1)]
+    beyond = np.flatnonzero(points >= len(table))
+    if len(beyond):
+        # The same classes as in decoding, also for scripts behind the table.
+        found, place = np.unique(points[beyond], return_inverse=True)
+        s[beyond] = np.array([symbol(chr(c).lower()[:1]) for c in found.tolist()], dtype=np.int64)[place]
     s = np.concatenate([[0, 0], s, [0]])
     return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
 
@@ -142,7 +147,7 @@ def lattice(token: str, disguised: bool = False) -> list[list[tuple[int, str, fl
                 if not disguised:
                     edges[at].append((at + 1, " " if ch.isspace() else "\t", 0.0))
         elif not disguised or ch not in LEET:
-            edges[i].append((j, ch * min(run, 8), 0.0))
+            edges[i].append((j, ch * run, 0.0))
         letters = [(letter, 1.5) for letter in LEET.get(ch, "")] + [(ch, 0.0)] * ch.isalpha()
         end, dropped = j, 0.0
         if letters and ch != last and j < n and separates(token[j]):
@@ -155,7 +160,7 @@ def lattice(token: str, disguised: bool = False) -> list[list[tuple[int, str, fl
                 at += 1
         for out, cost in letters:
             if out != ch:
-                edges[i].append((j, out * min(run, 8), cost))
+                edges[i].append((j, out * run, cost))
             if run > 2 or run == 2 and not (disguised and out != ch):
                 edges[i].append((j, out, cost + 1.0))
             if run > 2:
@@ -169,8 +174,8 @@ def lattice(token: str, disguised: bool = False) -> list[list[tuple[int, str, fl
     return edges
 
 
-def decode(token: str, model: CharacterModel, beam: int = 64, disguised: bool = False) -> str:
-    """The Viterbi path of a token's lattice under the character model; states are the last two classes.
+def decode(token: str, model: CharacterModel, disguised: bool = False) -> str:
+    """The Viterbi path of a token's lattice under the character model; states are the last two classes, all of them kept.
 
     Borders come out as spaces and tabs; one after another counts once.
     """
@@ -181,8 +186,6 @@ def decode(token: str, model: CharacterModel, beam: int = 64, disguised: bool =
     for i, here in enumerate(edges):
         if not here or not states[i]:
             continue
-        if len(states[i]) > beam:
-            states[i] = dict(sorted(states[i].items(), key=lambda s: s[1][0])[:beam])
         for (a, b), node in states[i].items():
             for end, out, cost in here:
                 total, x, y = node[0] + cost, a, b
@@ -420,7 +423,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     scored by a logistic model learnt from labelled rows that are not held out. Null and empty texts
     get the score of a text without words. Ids, languages and sources are never looked at. Both passes
     over the texts are narrow; what is sent to the tasks is the trigram table (64**3 numbers at most)
-    and the weights (``MAX_FEATURES`` at most).
+    and the weights (``MAX_FEATURES`` at most). Rows are scored on their own, so repeated rows and ties change
+    nothing; long texts are scored whole; an empty table stays empty; of columns named like the results the results stay.
     """
     scorer = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 

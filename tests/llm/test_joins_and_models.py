@@ -47,6 +47,62 @@ def check_packing(rows, texts):
     return sum(r.length for r in rows) / (1024 * max(1, len(sequences)))
 
 
+def best_path(token, model, disguised=False):
+    """Every path of a token's lattice, scored on its own."""
+    edges = toxicity.lattice(token, disguised)
+    paths = [(0, 0.0, "")]
+    done = []
+    while paths:
+        at, cost, text = paths.pop()
+        if at == len(token):
+            done.append((cost, text))
+        else:
+            paths += [(end, cost + more, text + out) for end, out, more in edges[at]]
+
+    def worth(cost, text):
+        total, x, y = cost, 0, 0
+        for ch in text:
+            z = toxicity.symbol(ch)
+            if z or y:
+                total -= model.listed[(x * toxicity.SYMBOLS + y) * toxicity.SYMBOLS + z]
+                x, y = y, z
+        return total - (model.listed[(x * toxicity.SYMBOLS + y) * toxicity.SYMBOLS] if y else 0.0)
+
+    return min(worth(c, t) for c, t in done), worth
+
+
+def test_decoding_finds_the_best_of_all_paths():
+    rng = np.random.default_rng(12)
+    counts = np.zeros(toxicity.SYMBOLS**3, dtype=np.int64)
+    for text in ("you are an idiot and a moron", "hello there stupid clown", "日本語 текст", "aaa bbb 1984"):
+        np.add.at(counts, toxicity.codes(text), 5)
+    model = toxicity.CharacterModel(counts)
+    alphabet = list("aidot01!.$ -lm") + ["日"]
+    for _ in range(400):
+        token = "".join(rng.choice(alphabet, rng.integers(1, 9)))
+        for disguised in (False, True):
+            if not all(toxicity.lattice(token, disguised)[:1]):
+                continue
+            got = toxicity.decode(token, model, disguised=disguised)
+            least, worth = best_path(token, model, disguised)
+            # the path's own cost is not returned: some path of the least worth has this text
+            edges = toxicity.lattice(token, disguised)
+            costs = {0: {"": 0.0}}
+            for at in range(len(token)):
+                for text, cost in costs.get(at, {}).items():
+                    for end, out, more in edges[at]:
+                        into = costs.setdefault(end, {})
+                        into[text + out] = min(into.get(text + out, 1e9), cost + more)
+            assert worth(costs[len(token)][got], got) == pytest.approx(least)
+
+
+def test_classes_agree_in_counting_and_decoding():
+    for ch in "日本한🙂éя\u3042a1!":
+        middle = int(toxicity.codes(ch)[0]) % toxicity.SYMBOLS
+        assert middle == toxicity.symbol(ch)
+    assert toxicity.lattice("a" * 50)[0][0] == (50, "a" * 50, 0.0)
+
+
 def test_packing_edges(documents):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(5, "w " * 3000), (None, "no id")]
     check_packing(packing.pack(documents(rows, extra=True)).collect(), rows)
