@@ -241,7 +241,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
        one component need no further pair.
 
     Rows with a null doc_id have their n_shingles and no component; they link to nothing. Rows that share a
-    doc_id are one document with all of their shingles. Large groups are summed before every exchange.
+    doc_id are one document with all of their shingles. An empty table gives no rows; other columns are not read. The keys
+    of a long text are cut by range as all others are. Open: the count of lonely keys has all entries of a key in one
+    task, and documents of one key's group that are in different components are paired, so a passage in very many
+    documents that are no near duplicates costs the square of their number.
     """
     facts = shingle_facts(docs)
     named = facts.filter("n_shingles > 0 and doc_id is not null")

@@ -166,7 +166,8 @@ def scan_licenses(docs: DataFrame, notices=NOTICES) -> DataFrame:
     the rarest words is left after one lookup; in the others their positions are joined with the
     notices' postings, starts on which enough words agree are kept, and the key phrase is verified
     there. Any place of a key phrase holds all of its probes, so none is missed. Null and empty texts
-    have no words. Everything is narrow but the count of a few dozen words.
+    have no words. Everything is narrow but the count of a few dozen words, so repeated rows get the same result;
+    long texts are read whole, in time that grows faster than their length; an empty table stays empty; of columns named like the results the results stay.
     """
     wide = packed(docs)
     frequencies = document_frequencies(wide.select(F.col("row.text").alias("text")), notices)

@@ -36,7 +36,8 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``n_removed`` are added. No row is dropped: a full copy keeps its row with an empty text.
 
     Null texts stay null with no lines; texts of fewer than ``window`` lines stay as they are. Rows
-    that agree in doc_id and text count as one place and are treated alike.
+    that agree in doc_id and text count as one place and are treated alike. An empty table stays
+    empty; of columns named like the results the results stay. A long text is one array of lines in its row.
 
     Only hashes are shuffled to find repeated windows (sums per hash before the exchange); the
     texts move once, in the last join, by the same plan whatever the number of marks.

@@ -75,8 +75,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seeds: int = SEEDS)
     summed in one pass, so reruns agree and small sources are hit well too.
 
     Null texts and texts without words have size 0 and a source of size 0 gets rate 0. Null sources
-    are a source of their own, the last. Rows with one doc_id share their draw; a null id draws as
-    an empty one. Only narrow rows (id, source, size) are aggregated; the per-source figures are one
+    are a source of their own, the last. Rows with one doc_id share their draw, so equal rows are taken equally often;
+    a null id draws as an empty one. An empty table stays empty; of columns named like the results the results stay. Of a
+    text only its number of words goes on. Only narrow rows (id, source, size) are aggregated; the per-source figures are one
     row per source, and hot sources are summed before the exchange.
     """
     wide = packed(docs)

@@ -128,7 +128,8 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", capacity: in
     fewer pieces than the class counts add up to, is packed by first fit.
 
     Null and empty texts are one separator. Rows with one doc_id are documents of their own; null ids
-    stay null. The pieces carry checksums, so ids are made once and never shuffled.
+    stay null. Equal rows are packed each. A long text is many pieces, which are dealt on their own. An empty table
+    gives no rows; other columns are not read. The pieces carry checksums, so ids are made once and never shuffled.
     """
     pieces = cut_lineage(tokenize_and_cut(docs, tokenizer, capacity))
     n_buckets = max(LEAST_BUCKETS, pieces.count() // ROWS_PER_BUCKET)

@@ -238,7 +238,9 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     An entry is ``kind, start, end, base, probability``; positions are code points, the end is
     exclusive. Base spans always stay; others stay where the classifier gives ``threshold`` or more
-    and no base span of their kind overlaps them. Null and empty texts have none.
+    and no base span of their kind overlaps them. Null and empty texts have none. Rows are read on their
+    own, so repeated rows get the same spans; long texts are read whole, in time that grows faster than their length; an empty table stays empty; a column of
+    the table named ``pii`` gives way to the result.
 
     Votes are counted over all texts (one small aggregate), their reliabilities and the classifier
     come from those counts, and the second pass is narrow.

@@ -188,3 +188,4 @@ def test_mix_is_stable_and_near_its_targets(spark, documents):
     copies = mixing.emit(mixed, docs.columns)
     assert copies.count() == mixed.agg(F.sum("copies")).first()[0] and copies.columns == docs.columns
     assert mixing.mix(documents([])).count() == 0
+
