@@ -161,6 +161,16 @@ add("c5_dangling_references",
 FROM tagged WHERE doc_id % 7 IN (3, 4)) t WHERE NOT EXISTS (SELECT 1 FROM docs d WHERE d.path = t.target)""", "docs", "tagged"))
 
 
+def strict_references(spark, sf):
+    """All references resolved against a catalogue that has the pages that are not written yet as well."""
+    docs = fx.tagged(spark, sf)
+    known = docs.select("path").union(clean.dangling_refs(docs).select("target")).distinct()
+    return clean.resolve_refs(docs.select("path", "content"), strict=True, paths=known)
+
+
+add("c5_strict_references", strict_references, q.query(f"SELECT path, {_REF} AS content FROM tagged", "tagged"))
+
+
 def source_urls(spark, sf):
     page = F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit("/_index.md"))).when(
         F.col("doc_id") % 5 == 1, F.concat("source", F.lit("/index.md"))

@@ -21,7 +21,13 @@ def html_to_text(docs: DataFrame) -> DataFrame:
     return docs.withColumn("content", mk.html_to_text(F.col("content")))
 
 
-def resolve_refs(docs: DataFrame) -> DataFrame:
+def resolve_refs(docs: DataFrame, strict: bool = False, paths: DataFrame | None = None) -> DataFrame:
+    """References as links. ``strict`` fails the job, as its rows are computed, at a reference to none of ``paths`` (default: the pages)."""
+    if strict:
+        missing = dangling_refs(docs, paths).groupBy("path").agg(F.min("target").alias("_missing"))
+        wrong = F.raise_error(F.concat(F.lit("reference to a page that does not exist: "), F.col("path"), F.lit(" -> "), F.col("_missing")))
+        checked = F.when(F.col("_missing").isNull(), F.col("content")).otherwise(wrong)
+        docs = docs.join(missing, "path", "left").withColumn("content", checked).select(*docs.columns)
     return docs.withColumn("content", mk.resolve_refs(F.col("content")))
 
 

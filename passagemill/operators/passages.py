@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from passagemill.functions import text as tx
 from passagemill.session import cut_lineage
 
-#: Bits of a sieve: 2 MB whatever it holds, so it is always small enough to send.
+#: Bits of a sieve, whatever it holds: at most 262,144 rows of 64, some 20 MB as the hash table that is sent.
 SIEVE_BITS = 1 << 24
 #: Words of a run, and characters of a gram.
 RUN = 4

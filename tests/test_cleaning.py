@@ -57,6 +57,15 @@ def test_refs(spark):
     assert apply(spark, mk.resolve_refs, *cases) == list(cases.values())
 
 
+def test_strict_refs(spark):
+    docs = spark.createDataFrame([("a/x.md", '{{< relref "y" >}} {{< ref "a/z" >}}'), ("a/y.md", "none")], "path string, content string")
+    with pytest.raises(Exception, match="a/x.md -> a/z.md"):
+        clean.resolve_refs(docs, strict=True).collect()
+    known = spark.createDataFrame([("a/y.md",), ("a/z.md",)], "path string")
+    got = {r.path: r.content for r in clean.resolve_refs(docs, strict=True, paths=known).collect()}
+    assert got == {"a/x.md": "[y](y.md) [a/z](a/z.md)", "a/y.md": "none"}
+
+
 def test_dangling_refs(spark):
     docs = spark.createDataFrame(
         [("a/x.md", '{{< relref "y" >}} {{< ref "a/z#q" >}} {{< relref "../b/w.md" >}}'), ("a/y.md", ""), ("b/w.md", "")],
