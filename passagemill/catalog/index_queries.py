@@ -445,7 +445,8 @@ def streamed_index(spark, sf):
     """The documents table read as a stream and indexed batch by batch into a points table."""
     path = scratch(spark, "index")
     schema = fx.table(spark, sf, "documents").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # A pattern that only the table matches: a stream takes a folder of files by its name, but one file only by a pattern.
+    arriving = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]")
 
     def prepare(batch):
         return spread(batch).select(

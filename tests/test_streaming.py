@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from passagemill.catalog import index_queries
 from passagemill.operators import embed, history
 from passagemill.plans.index_job import plan_index
 from passagemill.sources import tables
@@ -24,6 +26,19 @@ def test_incremental_index_equals_batch(spark, sf_dir, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
+@pytest.mark.parametrize("layout", ["file", "folder"])
+def test_streamed_query_reads_a_table_of_one_file_or_of_many(spark, tmp_path, layout):
+    docs = spark.createDataFrame([(i, f"word{i} text", "en", "s", 1) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet" if layout == "folder" else tmp_path / "made"))
+    if layout == "file":
+        import pyarrow.parquet as pq
+
+        pq.write_table(pq.read_table(str(tmp_path / "made")), str(tmp_path / "documents.parquet"))
+    (tmp_path / "labels.parquet").mkdir()
+    found = index_queries.QUERIES["x7_incremental_index"][0](spark, str(tmp_path)).select("content").collect()
+    assert sorted(r.content for r in found) == [f"word{i} text" for i in range(6)]
+
+
 def test_stream_replaces_documents_and_respects_other_writers(spark, tmp_path):
     path, options = str(tmp_path / "points"), {"parser": "plain", "chunk_config": {"size": 2, "overlap": 0}}
     model = embed.md5_bag_of_words(4)
