@@ -398,8 +398,7 @@ FROM retrieved GROUP BY question_id""", "retrieved"))
 def keyword_hits(spark, sf):
     """Every benchmark question against the stored index of all chunks."""
     path = scratch(spark, "keywords")
-    keyword.build_index(fx.chunks(spark, sf)).write(path)
-    index = keyword.read_index(spark, path)
+    index = keyword.build_index(fx.chunks(spark, sf), path=path)
     return rounded_score(keyword.keyword_search(index, fx.questions(spark, sf), fx.TOP_K, query_id="question_id"))
 
 

@@ -1,24 +1,25 @@
 """Keyword search over an inverted index, and its fusion with vector search.
 
-The index is two tables: postings (term, chunk, weight), where the weight is BM25's share of term
-frequency and text length, and terms (document frequency, inverse document frequency, largest weight).
-Search is exact without reading the postings of common words in full: terms whose largest
-contributions together stay below a score that k chunks are known to reach cannot bring a chunk
-into the top k alone, so only chunks of the other terms are candidates, and the common
-terms are looked up for these.
+The index is made of segments of some thousand chunks and a table of terms. A segment is one row: the
+chunks' ids and lengths, the segment's terms, and per term the places of the chunks that hold it with their counts.
+Terms have their document and inverse document frequency over all segments. A search goes through the
+segments where they lie: each is scored against all queries in whole, so only a query's best k chunks of a segment
+leave its task, and neither postings nor scored pairs are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from passagemill.functions import text as tx
 from passagemill.operators import retrieve
 from passagemill.session import cut_lineage
+from passagemill.sources.blocks import read_blocks, write_blocks
 
 # BM25's saturation and length norm, and the constant of rank fusion.
 K1, B = 1.2, 0.75
@@ -26,8 +27,10 @@ RRF_K = 60
 FETCH_FACTOR = 3
 #: Contributions are whole billionths, so that sums do not depend on their order.
 _UNIT = 1_000_000_000
-#: Folders of the stored postings.
-BUCKETS = 64
+#: Chunks and words of a segment, at most (one chunk may have more words), queries read and postings scored at a time.
+SEGMENT_CHUNKS, SEGMENT_WORDS = 2048, 1 << 20
+QUERIES_PER_BLOCK = 512
+_POSTINGS_PER_STEP = 1 << 20
 
 
 def terms_of(text: Column) -> Column:
@@ -35,63 +38,136 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def _counts(words: Column) -> Column:
-    """``array<struct<term, n>>``: runs of equal words in sorted order, counted inside the row."""
+def _cuts(lengths: np.ndarray, chunks: int, words: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows within both limits, of one row at least."""
+    ends = np.cumsum(lengths)
+    start = 0
+    while start < len(lengths):
+        within = np.searchsorted(ends, ends[start] - lengths[start] + words, side="right")
+        end = max(start + 1, min(start + chunks, int(within)))
+        yield start, end
+        start = end
 
-    def of(w: Column) -> Column:
-        first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
-        return tx.let(
-            first,
-            lambda f: F.transform(
-                f, lambda i, j: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(f, j + 1), F.size(w)) - i).alias("n"))
-            ),
-        )
 
-    none = F.array().cast("array<struct<term:string,n:int>>")
-    return F.when(F.size(words) > 0, tx.let(F.array_sort(words), of)).otherwise(none)
+def _segment(rows) -> list:
+    """Columns of one segment of ``id, many, words`` rows: its chunks in id order, its postings term by term."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = rows.take(pc.sort_indices(rows, sort_keys=[("id", "ascending")], null_placement="at_start"))
+    ids, many, words = (rows.column(c).combine_chunks() for c in ("id", "many", "words"))
+    lengths = np.asarray(pc.list_value_length(words))
+    coded = words.flatten().dictionary_encode()
+    postings = coded.indices.to_numpy().astype(np.int64) * len(rows) + np.repeat(np.arange(len(rows)), lengths)
+    postings, counts = np.unique(postings, return_counts=True)
+    term, place = np.divmod(postings, len(rows))
+    sizes = np.bincount(term, minlength=len(coded.dictionary))
+    return [ids, many, *(pa.array(v.astype(np.int32)) for v in (lengths, sizes, place, counts)), coded.dictionary]
+
+
+def _segments(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    names = ["ids", "many", "lengths", "sizes", "places", "counts", "terms"]
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for start, end in _cuts(np.asarray(pc.list_value_length(batch.column("words"))), SEGMENT_CHUNKS, SEGMENT_WORDS):
+            lists = [pa.ListArray.from_arrays([0, len(c)], c) for c in _segment(table.slice(start, end - start))]
+            yield pa.RecordBatch.from_arrays(lists, names=names)
 
 
 @dataclass
 class KeywordIndex:
-    """``postings (bucket, term, id, weight)`` and ``terms (term, frequency, idf, largest)``."""
+    """``segments (ids, many, lengths, sizes, places, counts, terms)`` and ``terms (term, frequency, idf, mean)``.
+
+    ``many`` marks ids that several chunks have, ``mean`` is the mean length of all chunks.
+    """
 
-    postings: DataFrame
+    segments: DataFrame
     terms: DataFrame
 
     def write(self, path: str) -> None:
-        """Postings by term bucket, so that a search reads the folders of its terms."""
         folder = path.rstrip("/")
-        dealt = self.postings.repartition("bucket").sortWithinPartitions("bucket", "term")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        self.segments.write.mode("overwrite").parquet(f"{folder}/segments")
         self.terms.write.mode("overwrite").parquet(f"{folder}/terms")
 
 
 def read_index(spark: SparkSession, path: str) -> KeywordIndex:
     folder = path.rstrip("/")
-    return KeywordIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms"))
+    return KeywordIndex(spark.read.parquet(f"{folder}/segments"), spark.read.parquet(f"{folder}/terms"))
 
 
-def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> KeywordIndex:
+def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content", path: str | None = None) -> KeywordIndex:
     """Index of a chunk table; chunks without words count in the averages and have no postings.
 
-    Words are counted inside their row, so making postings shuffles nothing; they are written to the
-    checkpoint folder once, as terms and every search read them again.
+    Words are counted where the chunks lie, so making postings shuffles nothing but the chunks' ids, of which
+    those are looked for that several chunks have. The segments are written once, to ``path`` where it is given,
+    else to the checkpoint folder.
     """
-    read = chunks.select(F.col(id_col).alias("id"), terms_of(F.col(text_col)).alias("words"))
-    read = read.select("id", "words", F.size("words").alias("length"))
-    counted = read.select("id", "length", F.inline(_counts(F.col("words"))))
-    mean = read.agg(F.avg("length")).scalar()
-    weight = F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / mean))
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    postings = cut_lineage(counted.select(bucket.alias("bucket"), "term", "id", weight.alias("weight")))
-    total = chunks.agg(F.count("*")).scalar()
-    seen = postings.groupBy("term").agg(F.count("*").alias("frequency"), F.max("weight").alias("largest"))
-    idf = F.log(1 + (total - F.col("frequency") + 0.5) / (F.col("frequency") + 0.5))
-    return KeywordIndex(postings, seen.select("term", "frequency", idf.alias("idf"), "largest"))
-
-
-def _worth(idf: Column, weight: Column) -> Column:
-    return F.round(idf * weight * _UNIT).cast("bigint")
+    spark = chunks.sparkSession
+    repeated = cut_lineage(chunks.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_id", F.lit(True).alias("_many")))
+    read = chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")).join(repeated, F.col("id").eqNullSafe(F.col("_id")), "left")
+    read = read.select("id", F.coalesce("_many", F.lit(False)).alias("many"), terms_of(F.col("_text")).alias("words"))
+    whole = ("lengths", "sizes", "places", "counts")
+    schema = T.StructType(
+        [T.StructField("ids", T.ArrayType(read.schema["id"].dataType)), T.StructField("many", T.ArrayType(T.BooleanType()))]
+        + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in whole]
+        + [T.StructField("terms", T.ArrayType(T.StringType()))]
+    )
+    made = read.mapInArrow(_segments, schema)
+    if path is None:
+        segments = cut_lineage(made)
+    else:
+        made.write.mode("overwrite").parquet(f"{path.rstrip('/')}/segments")
+        segments = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/segments")
+    words = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda n, x: n + x)
+    sized = segments.agg(F.sum(F.size("lengths")).alias("total"), (F.sum(words) / F.sum(F.size("lengths"))).alias("mean"))
+    seen = segments.select(F.inline(F.arrays_zip("terms", "sizes"))).groupBy(F.col("terms").alias("term")).agg(F.sum("sizes").alias("frequency"))
+    idf = F.log(1 + (F.col("total") - F.col("frequency") + 0.5) / (F.col("frequency") + 0.5))
+    index = KeywordIndex(segments, seen.crossJoin(F.broadcast(sized)).select("term", "frequency", idf.alias("idf"), "mean"))
+    if path is None:
+        return index
+    index.terms.write.mode("overwrite").parquet(f"{path.rstrip('/')}/terms")
+    return read_index(spark, path)
+
+
+class _Scorer:
+    """One segment, ready to be scored."""
+
+    def __init__(self, row, mean: float):
+        self.ids, self.terms = row["ids"], row["terms"]
+        self.many = np.asarray(row["many"]).astype(bool)
+        lengths, self.sizes, self.places, n = (np.asarray(row[c]) for c in ("lengths", "sizes", "places", "counts"))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.weight = n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[self.places] / mean))
+
+    def asked(self, terms, idf: np.ndarray, query: np.ndarray, n: int) -> Iterator[tuple]:
+        """The asked terms that the segment holds, for as many of the ``n`` queries at a time as have few enough postings."""
+        import pyarrow.compute as pc
+
+        at = pc.fill_null(pc.index_in(terms, value_set=self.terms), -1).to_numpy(zero_copy_only=False)
+        held = at >= 0
+        at, idf, query = at[held], idf[held], query[held]
+        postings = np.bincount(query, weights=self.sizes[at], minlength=n).astype(np.int64)
+        for first, last in _cuts(postings, n, _POSTINGS_PER_STEP):
+            here = slice(*np.searchsorted(query, [first, last]))
+            yield first, last, at[here], idf[here], query[here] - first
+
+    def best(self, at: np.ndarray, idf: np.ndarray, query: np.ndarray, k: int, floor: np.ndarray) -> tuple:
+        """``query, place, worth`` of the best k chunks per query and of all chunks whose ids others have; raises ``floor`` to the k-th best."""
+        n, shape = self.sizes[at], (len(floor), len(self.ids))
+        posting = np.arange(n.sum()) + np.repeat(self.starts[at] - (np.cumsum(n) - n), n)
+        cell = np.repeat(query, n) * shape[1] + self.places[posting]
+        worth = np.floor(np.repeat(idf, n) * self.weight[posting] * _UNIT + 0.5)
+        scores = np.bincount(cell, weights=worth, minlength=shape[0] * shape[1]).reshape(shape)
+        hit = np.bincount(cell, minlength=shape[0] * shape[1]).reshape(shape) > 0
+        keys = np.where(hit & ~self.many, -scores, np.inf)
+        taken = retrieve.first_k(keys, k) & np.isfinite(keys) & (-keys >= floor[:, None])
+        if shape[1] >= k:
+            np.maximum(floor, -np.partition(keys, k - 1, axis=1)[:, k - 1], out=floor)
+        query, place = np.nonzero(taken | (hit & self.many))
+        return query, place, scores[query, place]
 
 
 def keyword_search(
@@ -99,40 +175,39 @@ def keyword_search(
 ) -> DataFrame:
     """The k best chunks per query by BM25: ``query_id, <id>, score, rank``; ties go to the smaller id.
 
-    Only chunks that hold a term of the query are found, and a term counts once however often a query names it.
+    Only chunks that hold a term of the query are found, and a term counts once however often a query names it. Chunks
+    of one id are one chunk with the sum of their scores, rows of one query id likewise; queries without an id find nothing.
     """
     asked = queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(terms_of(F.col(query_text)))).alias("term"))
-    asked = cut_lineage(asked.join(index.terms, "term"))
-    # A term's k-th largest weight is a score that k chunks reach. The limit applies per task before the shuffle.
-    lists = index.postings.join(asked.select(F.col("term")).distinct(), "term", "left_semi")
-    falling = Window.partitionBy("term").orderBy(F.desc("weight"))
-    best = lists.withColumn("n", F.row_number().over(falling)).filter(F.col("n") <= k)
-    reached = best.groupBy("term").agg(F.count("*").alias("n"), F.min("weight").alias("reached")).filter(F.col("n") == k)
-    per_query = Window.partitionBy("q")
-    rising = per_query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    planned = (
-        asked.join(reached.select("term", "reached"), "term", "left")
-        .withColumn("most", _worth(F.col("idf"), F.col("largest")) + 1)
-        .withColumn("bound", F.coalesce(F.max(_worth(F.col("idf"), F.col("reached"))).over(per_query), F.lit(0)))
-        .withColumn("common", F.sum("most").over(rising) < F.col("bound"))
-    )
-    planned = cut_lineage(planned.select("q", "term", "idf", "most", "bound", "common"))
-    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
-
-    leading = planned.filter("not common").select("q", bucket, "term", "idf")
-    found = leading.join(index.postings, ["bucket", "term"]).select("q", "id", _worth(F.col("idf"), F.col("weight")).alias("worth"))
-    scored = found.groupBy("q", "id").agg(F.sum("worth").alias("worth"))
-    spare = planned.groupBy(F.col("q").alias("p")).agg(F.max("bound").alias("bound"), F.sum(F.when(F.col("common"), F.col("most")).otherwise(0)).alias("spare"))
-    candidates = cut_lineage(
-        scored.join(spare, F.col("q") == F.col("p")).filter(F.col("worth") + F.col("spare") >= F.col("bound")).select("q", "id", "worth", "spare")
-    )
-    common = planned.filter("common").select(F.col("q").alias("p"), bucket, "term", "idf")
-    looked_up = (
-        candidates.filter("spare > 0").join(common, F.col("q") == F.col("p")).select("q", "id", "bucket", "term", "idf")
-        .join(index.postings, ["bucket", "term", "id"])
-        .select("q", "id", _worth(F.col("idf"), F.col("weight")).alias("worth"))
-    )
-    total = candidates.select("q", "id", "worth").unionByName(looked_up).groupBy("q", "id").agg(F.sum("worth").alias("worth"))
+    asked = asked.filter("q is not null").join(index.terms, "term").groupBy("q")
+    address = write_blocks(asked.agg(F.max("mean").alias("mean"), F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs")))
+    schema = T.StructType([
+        T.StructField("q", queries.schema[query_id].dataType), T.StructField("id", index.segments.schema["ids"].dataType.elementType),
+        T.StructField("worth", T.LongType()), T.StructField("many", T.BooleanType()),
+    ])
+
+    def scan(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        floors: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lists = {c: batch.column(c)[row].values for c in batch.schema.names}
+                scorer = None
+                for number, block in enumerate(read_blocks(address, QUERIES_PER_BLOCK)):
+                    ids, terms, idfs = (block.column(c).combine_chunks() for c in ("q", "terms", "idfs"))
+                    scorer = scorer or _Scorer(lists, block.column("mean")[0].as_py())
+                    floor = floors.setdefault(number, np.full(len(ids), -np.inf))
+                    query = np.repeat(np.arange(len(ids)), np.asarray(pc.list_value_length(terms)))
+                    for first, last, *part in scorer.asked(terms.flatten(), idfs.flatten().to_numpy(), query, len(ids)):
+                        q, place, worth = scorer.best(*part, k, floor[first:last])
+                        found = [ids.take(pa.array(first + q)), scorer.ids.take(pa.array(place)), pa.array(worth.astype(np.int64)), pa.array(scorer.many[place])]
+                        yield pa.RecordBatch.from_arrays(found, names=schema.names)
+
+    found = cut_lineage(index.segments.mapInArrow(scan, schema))
+    summed = found.filter("many").groupBy("q", "id").agg(F.sum("worth").alias("worth"))
+    total = found.filter("not many").select("q", "id", "worth").unionByName(summed)
     order = Window.partitionBy("q").orderBy(F.desc("worth"), F.asc("id"))
     ranked = total.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), F.col("id").alias(id_col), (F.col("worth") / _UNIT).alias("score"), "rank")

@@ -79,7 +79,7 @@ def _closeness(points: np.ndarray, queries: np.ndarray, distance: str) -> np.nda
     return out
 
 
-def _first_k(keys: np.ndarray, k: int) -> np.ndarray:
+def first_k(keys: np.ndarray, k: int) -> np.ndarray:
     """Mask of the k smallest keys per row; among equal keys the leftmost win."""
     if keys.shape[1] <= k:
         return np.ones(keys.shape, dtype=bool)
@@ -113,7 +113,7 @@ class _RunningTopK:
             for start in range(0, len(queries), rows):
                 scores = np.round(_closeness(points, queries[start : start + rows], self.distance), SCORE_DIGITS)
                 keys = -scores if vx.HIGHER_IS_CLOSER[self.distance] else scores
-                q, p = np.nonzero(_first_k(keys, self.k))
+                q, p = np.nonzero(first_k(keys, self.k))
                 part = payload.take(pa.array(p)).append_column("_q", pa.array(places[start + q]))
                 found.append(part.append_column("_score", pa.array(scores[q, p])))
         self._merge(pa.concat_tables(found))

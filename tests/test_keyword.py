@@ -9,6 +9,7 @@ import pytest
 
 from passagemill.operators import keyword, retrieve
 from passagemill.plans.registry import RETRIEVERS
+from passagemill.session import cut_lineage
 
 
 def words(text):
@@ -95,3 +96,35 @@ def test_hybrid_strategy_carries_columns(spark, corpus):
     sparse = [i for i, _ in bm25(rows, [("q", "twin text")], 12)["q"]]
     score = {i: sum(1 / (61 + ranks.index(i)) for ranks in (dense, sparse) if i in ranks) for i in {*dense, *sparse}}
     assert [r.chunk_id for r in found.orderBy("rank").collect()] == sorted(score, key=lambda i: (-score[i], i))[:4]
+
+
+def test_nothing_but_the_best_of_a_segment_leaves_its_task(spark, tmp_path, monkeypatch):
+    """Segments of a few chunks, with few postings at a time: every chunk shares words with every query, k per segment are kept."""
+    kept = []
+    monkeypatch.setattr(keyword, "cut_lineage", lambda df: kept.append(cut_lineage(df)) or kept[-1])
+    monkeypatch.setattr(keyword, "_POSTINGS_PER_STEP", 50)
+    monkeypatch.setattr(keyword, "SEGMENT_WORDS", 400)
+    rows = [(f"c{i:04}", " ".join(["the"] * (i % 5 + 1) + [f"w{i % 7}", f"v{i}"])) for i in range(1500)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string").coalesce(2)
+    queries = [(f"q{i}", f"the w{i} w{i + 1}") for i in range(5)]
+    index = keyword.build_index(chunks, path=str(tmp_path))
+    found = keyword.keyword_search(index, spark.createDataFrame(queries, "query_id string, question string"), 3)
+    got = collections.defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.chunk_id, round(r.score * 1e9)))
+    assert got == bm25(rows, queries, 3)
+    assert kept[-1].count() <= 3 * len(queries) * index.segments.count() < len(rows) * len(queries)
+
+
+def test_chunks_of_one_id_and_rows_of_one_query_add_up(spark):
+    rows = [("a", "x y"), ("b", "x"), ("a", "x z z"), (None, "y"), (None, "y x"), ("c", "q")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, content string").repartition(6)
+    asked = [("p", "x y"), ("p", "x"), (None, "x")]
+    found = keyword.keyword_search(keyword.build_index(chunks), spark.createDataFrame(asked, "query_id string, question string"), 5)
+    single = bm25([(n, text) for n, (_, text) in enumerate(rows)], [("xy", "x y"), ("x", "x")], 9)
+    want = collections.Counter()
+    for hits in single.values():
+        for n, worth in hits:
+            want[rows[n][0]] += worth
+    assert {r.chunk_id: round(r.score * 1e9) for r in found.collect()} == want
+    assert {r.query_id for r in found.collect()} == {"p"}
