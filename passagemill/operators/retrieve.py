@@ -20,10 +20,11 @@ from passagemill.sources.blocks import read_blocks, write_blocks
 
 # Scores are rounded before ranking so equal vectors tie exactly, whatever the block shape.
 SCORE_DIGITS = 9
-# Queries read at a time, bytes of points held at a time and scores of one product.
-QUERIES_PER_BLOCK = 4096
-POINT_BYTES = 64 << 20
-_CELLS_PER_PRODUCT = 8_000_000
+# Queries read at a time, bytes of points held at a time, points of one product and scores held at once.
+QUERIES_PER_BLOCK = 1024
+POINT_BYTES = 32 << 20
+POINTS_PER_PRODUCT = 4096
+_CELLS_PER_PRODUCT = 1_000_000
 
 # Rerank settings.
 MMR_LAMBDA = 0.7
@@ -90,53 +91,95 @@ def first_k(keys: np.ndarray, k: int) -> np.ndarray:
     return below | (level & (np.cumsum(level, axis=1) <= room))
 
 
-class _RunningTopK:
-    """Best k points per query over a stream of Arrow batches."""
+class _Held:
+    """A block of points in id order, so that the leftmost of equal scores has the smallest id."""
 
-    def __init__(self, query_ids, queries, k, distance, id_col, vector_col, carry):
-        self.query_ids, self.k = query_ids, k
-        self.queries = _by_width(queries)
-        self.distance, self.id_col, self.vector_col, self.carry = distance, id_col, vector_col, carry
-        self.best = None
+    def __init__(self, table, id_col: str, vector_col: str):
+        import pyarrow.compute as pc
 
-    def add(self, batch) -> None:
-        import pyarrow as pa
+        self.order = pc.sort_indices(table, sort_keys=[(id_col, "ascending")]).to_numpy()
+        self.table, self.vectors = table, table.column(vector_col)
+        self.width = None
 
-        table = pa.Table.from_batches([batch]) if isinstance(batch, pa.RecordBatch) else batch
-        # id order makes "leftmost wins" the id tie-break
-        table = table.sort_by(self.id_col)
-        payload = table.select([self.id_col, *self.carry])
-        rows = max(1, _CELLS_PER_PRODUCT // max(len(table), 1))
-        found = []
-        for places, queries in self.queries:
-            points = _matrix(table.column(self.vector_col), queries.shape[1])
-            for start in range(0, len(queries), rows):
-                scores = np.round(_closeness(points, queries[start : start + rows], self.distance), SCORE_DIGITS)
-                keys = -scores if vx.HIGHER_IS_CLOSER[self.distance] else scores
-                q, p = np.nonzero(first_k(keys, self.k))
-                part = payload.take(pa.array(p)).append_column("_q", pa.array(places[start + q]))
-                found.append(part.append_column("_score", pa.array(scores[q, p])))
-        self._merge(pa.concat_tables(found))
-
-    def _merge(self, found) -> None:
-        import pyarrow as pa
+    def of_width(self, width: int) -> None:
+        """Reads the vectors at this width: as they are, their norms and, in single precision, at unit length."""
+        if width != self.width:
+            self.points = _matrix(self.vectors, width)[self.order]
+            self.norms = np.linalg.norm(self.points, axis=1)
+            self.unit = _unit(self.points, self.norms)
+            self.width = width
 
-        merged = found if self.best is None else pa.concat_tables([self.best, found])
-        order = "descending" if vx.HIGHER_IS_CLOSER[self.distance] else "ascending"
-        merged = merged.sort_by([("_q", "ascending"), ("_score", order), (self.id_col, "ascending")])
-        q = merged.column("_q").to_numpy()
-        first = np.searchsorted(q, q, side="left")
-        self.best = merged.filter(pa.array(np.arange(len(q)) - first < self.k))
-
-    def result(self, names: Sequence[str]) -> Iterator:
-        if self.best is None or len(self.best) == 0:
-            return
-        table = self.best
-        ids = self.query_ids.take(table.column("_q"))
-        columns = [ids, table.column(self.id_col), table.column("_score"), *(table.column(c) for c in self.carry)]
+    def take(self, column: str, places: np.ndarray):
         import pyarrow as pa
 
-        yield from pa.Table.from_arrays(columns, names=list(names)).combine_chunks().to_batches()
+        return self.table.column(column).take(pa.array(self.order[places])).combine_chunks()
+
+
+def _unit(vectors: np.ndarray, norms: np.ndarray) -> np.ndarray | None:
+    """Unit vectors in single precision; None where a norm is too large or small for them."""
+    if not ((norms == 0) | ((norms > 1e-100) & (norms < 1e100))).all():
+        return None
+    out = np.empty(vectors.shape, dtype=np.float32)
+    return np.divide(vectors, np.where(norms == 0, 1.0, norms)[:, None], out=out, casting="same_kind")
+
+
+def _all_scores(queries: np.ndarray, points: np.ndarray, distance: str, k: int) -> tuple:
+    """``query, place, score`` of the k closest points per query, from the scores of all pairs, some at a time."""
+    found = []
+    rows = max(1, _CELLS_PER_PRODUCT // max(len(points), 1))
+    for start in range(0, len(queries), rows):
+        scores = np.round(_closeness(points, queries[start : start + rows], distance), SCORE_DIGITS)
+        q, p = np.nonzero(first_k(-scores if vx.HIGHER_IS_CLOSER[distance] else scores, k))
+        found.append((q + start, p, scores[q, p]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _near(queries, norms, unit, held: _Held, start: int, end: int, low: np.ndarray, k: int) -> tuple | None:
+    """Exact scores of all points from ``start`` to ``end`` that may be among a query's k most similar ones and above ``low``.
+
+    Products in single precision pick the points; None where these are too many to be scored one by one.
+    """
+    rough = unit @ held.unit[start:end].T
+    margin = (held.width + 4) * 1.2e-7 + 10.0**-SCORE_DIGITS
+    low = low - margin
+    fresh = np.flatnonzero(np.isneginf(low))
+    if len(fresh) and end - start > k:
+        low[fresh] = np.partition(rough[fresh], -k, axis=1)[:, -k] - 2 * margin
+    wanted = rough >= low.astype(np.float32)[:, None] - np.float32(1e-7)
+    if np.count_nonzero(wanted) > len(queries) * k * 8 + 10_000:
+        return None
+    q, p = np.nonzero(wanted)
+    p += start
+    scale = norms[q] * held.norms[p]
+    raw = np.einsum("ij,ij->i", queries[q], held.points[p])
+    return q, p, np.round(np.divide(raw, scale, out=np.zeros_like(raw), where=scale > 0), SCORE_DIGITS)
+
+
+def _best(held: _Held, queries: np.ndarray, distance: str, k: int, floor: np.ndarray) -> tuple:
+    """``query, place, score`` of the k closest points of a block per query.
+
+    For Cosine, scores below ``floor`` are left out, and it is raised to the k-th best score of each query.
+    """
+    held.of_width(queries.shape[1])
+    norms = np.linalg.norm(queries, axis=1)
+    unit = _unit(queries, norms) if distance == "Cosine" and held.unit is not None else None
+    sign = -1 if vx.HIGHER_IS_CLOSER[distance] else 1
+    best = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+    for start in range(0, len(held.points), POINTS_PER_PRODUCT):
+        end = min(start + POINTS_PER_PRODUCT, len(held.points))
+        found = None if unit is None else _near(queries, norms, unit, held, start, end, floor, k)
+        if found is None:
+            q, p, score = _all_scores(queries, held.points[start:end], distance, k)
+            found = q, p + start, score
+        q, p, score = (np.concatenate(c) for c in zip(best, found))
+        order = np.lexsort((p, sign * score, q))
+        q, p, score = q[order], p[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        best = tuple(c[rank < k] for c in (q, p, score))
+        if distance == "Cosine":
+            last = rank == k - 1
+            floor[q[last]] = np.fmax(floor[q[last]], score[last])
+    return best
 
 
 def top_k(
@@ -161,7 +204,8 @@ def top_k(
 
     One plan for every size: the queries are written to the shared folder once, and each task
     streams them past the points it has read, ``queries_per_block`` against ``point_bytes`` at a time, so
-    neither side is sent, shuffled or counted. Of each pair of blocks only the k best per query go on.
+    neither side is sent, shuffled or counted. Of each pair of blocks only the k best per query go on. For Cosine
+    products in single precision find the points whose exact scores are worth computing.
     Search a written points table rather than a plan that still has to embed.
     """
     distance = vx.distance_name(distance)
@@ -180,27 +224,31 @@ def top_k(
     names = schema.names
     address = write_blocks(queries)
 
-    def best(held: list) -> Iterator:
+    def best(held: list, floors: dict) -> Iterator:
         import pyarrow as pa
 
-        table = pa.Table.from_batches(held)
-        for block in read_blocks(address, queries_per_block):
-            ids, vectors = (block.column(c).combine_chunks() for c in (query_id, query_vector))
-            state = _RunningTopK(ids, vectors, k, distance, id_col, vector_col, carry)
-            state.add(table)
-            yield from state.result(names)
+        block = _Held(pa.Table.from_batches(held), id_col, vector_col)
+        for number, asked in enumerate(read_blocks(address, queries_per_block)):
+            ids, vectors = (asked.column(c).combine_chunks() for c in (query_id, query_vector))
+            floor = floors.setdefault(number, np.full(len(ids), -np.inf))
+            for places, matrix in _by_width(vectors):
+                raised = floor[places]
+                q, p, score = _best(block, matrix, distance, k, raised)
+                floor[places] = raised
+                taken = [ids.take(pa.array(places[q])), block.take(id_col, p), pa.array(score), *(block.take(c, p) for c in carry)]
+                yield from pa.Table.from_arrays(taken, names=names).to_batches()
 
     def scan(batches: Iterator) -> Iterator:
-        held, size = [], 0
+        held, size, floors = [], 0, {}
         for batch in batches:
             if len(batch):
                 held.append(batch)
                 size += batch.nbytes
             if size >= point_bytes:
-                yield from best(held)
+                yield from best(held, floors)
                 held, size = [], 0
         if held:
-            yield from best(held)
+            yield from best(held, floors)
 
     local = points.mapInArrow(scan, schema)
     towards = F.desc("score") if vx.HIGHER_IS_CLOSER[distance] else F.asc("score")

@@ -161,3 +161,44 @@ def test_queries_of_several_lengths(spark, limit):
     rows = retrieve.top_k(points, asked, 2, queries_per_block=limit, point_bytes=limit).collect()
     got = {(r.query_id, r.chunk_id): r.score for r in rows}
     assert got == {(1, "a"): 1, (1, "b"): 0, (2, "a"): 0, (2, "b"): 1, (3, "a"): 0, (3, "b"): 0, (4, "a"): 1, (4, "b"): 0}
+
+
+def test_a_block_of_scores_is_bounded_and_ties_go_to_the_smaller_id():
+    """Many points, many of them equal: all pairs are never held at once, and the best are those of plain scoring."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(12_000, 16)).astype(np.float32)
+    points[3000:9000] = points[0]
+    points[17] = 0
+    queries = np.vstack([points[:200], rng.normal(size=(824, 16))]).astype(np.float64)
+    ids = rng.permutation(len(points))
+    held = retrieve._Held(pa.table({"id": ids, "v": pa.array(list(points), pa.list_(pa.float32()))}), "id", "v")
+    floor = np.full(len(queries), -np.inf)
+    tracemalloc.start()
+    q, p, score = retrieve._best(held, queries, "Cosine", 5, floor)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 << 20 < len(points) * len(queries) * 8
+    wide = points.astype(np.float64)
+    norms = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(wide, axis=1)
+    every = np.round(np.divide(queries @ wide.T, norms, out=np.zeros_like(norms), where=norms > 0), 9)
+    best = [np.lexsort((ids, -row))[:5] for row in every]
+    assert held.take("id", p).to_pylist() == [i for b in best for i in ids[b]]
+    assert score.tolist() == [s for row, b in zip(every, best) for s in row[b]] and (floor == score[4::5]).all()
+    # a second block brings only what reaches the first one's scores
+    worse = retrieve._Held(pa.table({"id": ids[:5000], "v": pa.array(list(-points[:5000]), pa.list_(pa.float32()))}), "id", "v")
+    assert len(retrieve._best(worse, queries[17:18], "Cosine", 5, floor[17:18])[0]) == 5 and (floor[17] == 0).all()
+
+
+def test_every_vector_as_a_query_is_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    from passagemill.catalog import index_queries
+
+    rows = [(i, [float(i), 1.0], i % 3) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen, search = [], retrieve.top_k
+    monkeypatch.setattr(retrieve, "top_k", lambda points, *a, **kw: seen.append(points.rdd.getNumPartitions()) or search(points, *a, **kw))
+    assert index_queries.QUERIES["r1_top_k_many_queries"][0](spark, str(tmp_path)).count() == 400
+    assert seen == [spark.sparkContext.defaultParallelism]
