@@ -75,17 +75,21 @@ def payload_digest(table: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*parts)), 256)
 
 
-def chunk_changes(arriving: DataFrame, stored: DataFrame | None, model: str) -> DataFrame:
+def chunk_changes(arriving: DataFrame, stored: DataFrame | None, model: str, paths: DataFrame | None = None) -> DataFrame:
     """``chunk_id, point_id, change`` of all chunks that arrive or are stored for the arriving documents.
 
-    ``change`` is new, changed, same or gone. ``stored`` holds the points of the documents that arrive;
-    only digests and ids are joined, texts stay where they are.
+    ``change`` is new, changed, same or gone. ``stored`` holds the points of the documents that arrive, or, where
+    their ``paths`` (``document_path``) are given, of any documents; only digests and ids are joined, texts stay where they are.
     """
     named = arriving.withColumn("model", F.lit(model))
-    now = named.select("chunk_id", payload_digest(named).alias("_now"))
+    now = named.select("chunk_id", F.unhex(payload_digest(named)).alias("_now"))
     if stored is None:
         return now.select("chunk_id", ids.uuid5_dns(F.col("chunk_id")).alias("point_id"), F.lit("new").alias("change"))
-    before = stored.select(F.col("chunk_id").alias("_id"), payload_digest(stored).alias("_before"))
+    held = stored.select(F.col("chunk_id").alias("_id"), F.unhex(payload_digest(stored)).alias("_before"), "document_path")
+    if paths is not None:
+        # An inner join: a semi join would be moved below the digests, to the texts.
+        held = held.join(paths.distinct(), "document_path")
+    before = held.select("_id", "_before")
     change = (
         F.when(F.col("_id").isNull(), "new")
         .when(F.col("chunk_id").isNull(), "gone")

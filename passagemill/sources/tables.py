@@ -90,6 +90,7 @@ def write_points(
     replaces: DataFrame | None = None,
     writer: str | None = None,
     removed: DataFrame | None = None,
+    unique: bool = False,
 ) -> int | None:
     """Upsert points into a collection and return the version written, None for a batch that was written before.
 
@@ -99,6 +100,7 @@ def write_points(
     compaction; one that failed on the way writes to its own version again. Vectors of another size than declared fail the write.
     All points that lower versions have of the documents in ``replaces`` (``document_path``) go, whether
     or not the document has points now; so do the points in ``removed`` (``point_id``). Rows that mark them are written with the version.
+    ``unique`` says that no two of the points share an id: they are written where they are made.
     """
     spark = points.sparkSession
     log = _commits(spark, path, collection)
@@ -111,7 +113,9 @@ def write_points(
         version = known.open_claim(writer, seq)
     if version is None:
         version = log.claim(writer, seq)
-    incoming = vt.latest(points.filter("point_id is not null"), "point_id", F.col("chunk_id"))
+    incoming = points.filter("point_id is not null")
+    if not unique:
+        incoming = vt.latest(incoming, "point_id", F.col("chunk_id"))
     if declared_size is not None:
         # Checked as the rows are written: the plan runs once.
         wrong = F.raise_error(F.lit(_WRONG_SIZE))
@@ -140,12 +144,19 @@ def _stored(spark: SparkSession, path: str, collection: str, versions: list[int]
 
 
 def _resolved(stored: DataFrame) -> DataFrame:
-    """The newest row of every point that neither a later mark of it nor one of its document takes away."""
+    """The newest row of every point that neither a later mark of it nor one of its document takes away.
+
+    It is found by ids and versions alone, so texts and vectors move once at most. A version has one row of a point,
+    and perhaps one that marks it.
+    """
+    key = ["point_id", "version", "gone"]
     points = stored.filter("point_id is not null")
+    newest = points.select(*key, *[c for c in stored.columns if c == "document_path"])
     if "document_path" in stored.columns:
         marks = stored.filter("point_id is null").groupBy("document_path").agg(F.max("version").alias("_since"))
-        points = points.join(marks, "document_path", "left").filter("gone or _since is null or version >= _since")
-    return vt.latest(points.select(stored.columns), "point_id", F.desc("version"), F.desc("gone"))
+        newest = newest.join(marks, "document_path", "left").filter("gone or _since is null or version >= _since")
+    newest = vt.latest(newest.select(key), "point_id", F.desc("version"), F.desc("gone"))
+    return points.join(newest, key, "left_semi")
 
 
 def read_points(spark: SparkSession, path: str, collection: str, with_version: bool = False) -> DataFrame | None:

@@ -40,18 +40,16 @@ def index_stream(
         spark = batch.sparkSession
         docs = prepare(batch) if prepare else batch
         paths = docs.select(F.col("path").alias("document_path"))
-        known = {"writer": _stream_id(spark, checkpoint), "seq": batch_id}
+        known = {"writer": _stream_id(spark, checkpoint), "seq": batch_id, "unique": _unique(docs, index_options.get("chunker", "fixed"))}
         if not changed_only:
             plan = plan_index(docs, embedder, model, **index_options)
             write_points(plan.points, table, collection, replaces=paths, **known)
             return
         stored = read_points(spark, table, collection)
-        if stored is not None:
-            stored = stored.join(paths.distinct(), "document_path", "left_semi")
         changes = {}
 
         def differing(chunks: DataFrame) -> DataFrame:
-            changes["all"] = cut_lineage(vt.chunk_changes(chunks, stored, model).filter("change <> 'same'"))
+            changes["all"] = cut_lineage(vt.chunk_changes(chunks, stored, model, paths).filter("change <> 'same'"))
             return chunks.join(changes["all"].filter("change <> 'gone'").select("chunk_id"), "chunk_id", "left_semi")
 
         plan = plan_index(docs, embedder, model, only=differing, **index_options)
@@ -65,6 +63,11 @@ def index_stream(
     )
 
 
+def _unique(docs: DataFrame, chunker: str) -> bool:
+    """Whether all chunks get ids of their own: paths do not repeat, and the chunker numbers a path's chunks."""
+    return chunker in ("fixed", "recursive") and docs.groupBy("path").count().filter("count > 1").isEmpty()
+
+
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     """A stream's own id, which stays with its checkpoint and is new with a new one."""
     return spark.read.schema("id string").json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]

@@ -85,6 +85,29 @@ def test_only_changed_chunks_are_embedded(spark, tmp_path):
     assert arrive([("b.md", ""), ("d.md", "n")]) == {r for r in second if r[0] != "b.md"}
 
 
+@pytest.mark.parametrize("changed_only", [False, True])
+def test_paths_that_repeat_in_a_batch_give_a_chunk_once(spark, tmp_path, changed_only, monkeypatch):
+    from passagemill.operators import vector_table as vt
+
+    sent, latest = [], vt.latest
+    monkeypatch.setattr(vt, "latest", lambda rows, *a: sent.append(rows.columns) or latest(rows, *a))
+    options = {"parser": "plain", "chunk_config": {"size": 2, "overlap": 0}, "changed_only": changed_only}
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "path string, content string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("path string, content string").parquet(str(tmp_path / "in"))
+        index_stream(stream, str(tmp_path / "points"), "live", embed.md5_bag_of_words(4), "m", str(tmp_path / "ck"), **options).awaitTermination(120)
+        return sorted(r.chunk_id for r in tables.read_points(spark, str(tmp_path / "points"), "live").collect())
+
+    first = ["a.md-chunk-0000", "a.md-chunk-0001"]
+    assert arrive([("a.md", "a b c"), (None, "x")]) == first and not sent  # ids of their own: no text is shuffled
+    assert arrive([("b.md", "p"), ("b.md", "p"), (None, "y"), ("c.md", "")]) == sorted([*first, "b.md-chunk-0000"])
+    assert any("content" in columns for columns in sent)
+    sent.clear()
+    tables.read_points(spark, str(tmp_path / "points"), "live")
+    assert sent == [["point_id", "version", "gone"]]  # versions are resolved by ids, not by moving texts
+
+
 def run_memory(df, name, mode="update"):
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
     query.processAllAvailable()
