@@ -219,3 +219,12 @@ def test_a_rewritten_corpus_keeps_no_old_sections(spark, tmp_path):
     tables.write_clean_corpus(spark.createDataFrame([("a/x.md", "1"), ("b/y.md", "2")], schema), path, "v:1")
     tables.write_clean_corpus(spark.createDataFrame([("a/x.md", "3")], schema), path, "v:1")
     assert [(r.path, r.content) for r in tables.read_clean_corpus(spark, path, "v:1").collect()] == [("a/x.md", "3")]
+
+
+def test_written_runs_score_their_rows_once(spark, sf_dir, monkeypatch):
+    from passagemill.catalog import evaluation_queries
+
+    plans, write = [], tables.write_results
+    monkeypatch.setattr(tables, "write_results", lambda rows, path: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or write(rows, path))
+    assert evaluation_queries.QUERIES["w6_w8_written_runs"][0](spark, sf_dir).count() > 0
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
