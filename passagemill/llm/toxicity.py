@@ -33,6 +33,9 @@ LEET = {
 MARKS = ".,;:?\"'()[]{}<>«»„“”‘’…¿!_-–—*~/\\|+&=#%^`·、。，"
 EDGE = "".join(ch for ch in MARKS if ch not in LEET)
 _SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
+_APART = re.compile(f"[{re.escape(MARKS)}]|\\s")
+_PLAIN = re.compile(r"(?:([^\W\d_])(?!\1)){1,4}")
+_START = re.compile(rf"({_PLAIN.pattern.replace('1', '2', 1)})[^{re.escape(MARKS)}\s]*[{re.escape(EDGE)}]*\Z")
 _CHOICE = re.compile(f"{_SIGN.pattern}|[{re.escape(MARKS)}]|(.)\\1", re.S)
 
 
@@ -111,6 +114,10 @@ class CharacterModel:
     def listed(self) -> list[float]:
         return self.logp.ravel().tolist()
 
+    @functools.cached_property
+    def doubles(self) -> np.ndarray:
+        return self.logp.ravel().astype(np.float64)
+
     def __getstate__(self):
         return {"logp": self.logp, "cache": {}}
 
@@ -315,8 +322,12 @@ def restored_words(text: str, model: CharacterModel) -> set[str]:
 
 def features(text: str, model: CharacterModel) -> set[str]:
     """Restored words and their beginnings of four and five letters; in ``LONG`` words these count at every place."""
+    return _word_features(restored_words(text, model))
+
+
+def _word_features(words) -> set[str]:
     out = set()
-    for word in restored_words(text, model):
+    for word in words:
         out.add(word)
         if len(word) > 4:
             for i in range(len(word) - 3 if len(word) >= LONG else 1):
@@ -344,17 +355,285 @@ def fit_weights(rows: list[tuple[list[int], int]], n_features: int, steps: int =
     return w
 
 
+@functools.lru_cache(maxsize=1)
+def _letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the table's characters: which are letters, their classes as they stand, and which are marks that are no signs."""
+    every = [chr(c) for c in range(len(_classes()))]
+    classes = np.array([symbol(ch) for ch in every], dtype=np.int64)
+    return np.array([ch.isalpha() for ch in every]), classes, np.array([ch in EDGE for ch in every])
+
+
+def kept_apart(tokens: list[str], model: CharacterModel) -> tuple[np.ndarray, np.ndarray]:
+    """Places before, between and behind the tokens; and for each space between them 1 if the Viterbi path leaves it out, 0 if not, -1 where more than four letters decide.
+
+    The sums are those of :func:`crossed` for two certain letters on both sides of a space, with at most one mark before it,
+    and those of the one run that the inner letters make if they are equal.
+    """
+    points = np.frombuffer(f"    {' '.join(tokens)}   ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    at = np.flatnonzero(points == 32)[4:-3]
+    letters, classes, edges = _letters()
+    beyond = len(letters)
+    marked = edges[np.minimum(points[at - 1], beyond - 1)]
+    last = at - 1 - marked
+    before, a, b, c, d, behind = (points[x] for x in (last - 2, last - 1, last, at + 1, at + 2, at + 3))
+    simple = (before != a) & (a != b) & (c != d) & (d != behind)
+    for x in (a, b, c, d):
+        simple &= (x < beyond) & letters[np.minimum(x, beyond - 1)]
+    a, b, c, d = (classes[x[simple]] for x in (a, b, c, d))
+    logp = model.doubles
+    omitted = np.where(marked[simple], omission(".") + omission(" "), omission(" "))
+    through = logp[(a * SYMBOLS + b) * SYMBOLS + c] + logp[(b * SYMBOLS + c) * SYMBOLS + d] - omitted
+    apart = logp[(a * SYMBOLS + b) * SYMBOLS] + logp[b * SYMBOLS * SYMBOLS + c] + logp[c * SYMBOLS + d]
+    # A letter on both sides may also be one run, which costs 1.
+    run = np.where(b == c, logp[(a * SYMBOLS + b) * SYMBOLS + d] - omitted - 1.0, -np.inf)
+    out = np.full(len(at), -1, dtype=np.int8)
+    out[simple] = np.maximum(through, run) > apart
+    return np.concatenate([[3], at, [len(points) - 3]]), out
+
+
+class Stretches:
+    """The stretches of :func:`joined`, found one by one from the tokens inside them."""
+
+    def __init__(self, tokens: list[str], model: CharacterModel):
+        self.tokens, self.model = tokens, model
+        self.places, self.apart = kept_apart(tokens, model)
+        self.known: dict[int, tuple[int, int, bool]] = {}
+
+    def ends(self, i: int):
+        ends = self.model.cache.get((0, self.tokens[i]), 0)
+        return remembered(self.model, (0, self.tokens[i]), borders(self.tokens[i])) if ends == 0 else ends
+
+    def segment(self, i: int) -> tuple[int, int, bool]:
+        """Around the space behind token ``i``: the certain tokens before and behind it, and whether a space between them is left out."""
+        if self.apart[i] >= 0:
+            return i, i + 1, bool(self.apart[i])
+        if i in self.known:
+            return self.known[i]
+        tokens, last = self.tokens, len(self.tokens) - 1
+        first, behind = i, i + 1
+        while first >= 0 and self.ends(first) is None:
+            first -= 1
+        while behind < last and self.ends(behind) is None:
+            behind += 1
+        tail = self.ends(first)[0] if first >= 0 else ""
+        ends = self.ends(behind)
+        key = (tail, *tokens[first + 1 : behind], ends[1] if ends else tokens[behind])
+        drops = self.model.cache.get(key)
+        if drops is None:
+            text = " ".join(key).strip()
+            drops = crossed(text, self.model)
+            if len(text) < 100:
+                remembered(self.model, key, drops)
+        found = (max(first, 0), behind, drops)
+        for at in range(found[0], behind):
+            self.known[at] = found
+        return found
+
+    def around(self, i: int) -> tuple[int, int]:
+        """First and last token of the stretch that holds token ``i``, the token itself if no space beside it is left out."""
+        low = high = i
+        while high < len(self.tokens) - 1:
+            a, b, drops = self.segment(high)
+            if not drops:
+                break
+            low, high = min(low, a), b
+        while low > 0:
+            a, b, drops = self.segment(low - 1)
+            if not drops:
+                break
+            low, high = a, max(high, b)
+        return low, high
+
+    def long(self) -> Iterator[int]:
+        """A token of each stretch of at least ``LONG`` characters, and of some others."""
+        places = self.places
+        bounds = np.concatenate([[0], np.flatnonzero(self.apart == 0) + 1, [len(self.tokens)]])
+        wide = np.flatnonzero(np.diff(places[bounds]) > LONG)
+        todo = [(int(bounds[i]), int(bounds[i + 1]) - 1) for i in wide]
+        while todo:
+            a, b = todo.pop()
+            if a >= b or places[b + 1] - places[a] <= LONG:
+                continue
+            middle = (a + b) // 2
+            low, high, drops = self.segment(middle)
+            if drops:
+                low, high = self.around(middle)
+                yield low
+            todo += [(a, low), (high, b)]
+
+
 @dataclass
 class Scorer:
+    """A logistic model over the features that have a weight.
+
+    Which of these a text holds is found without decoding all of it: a token whose lattice can neither spell the
+    beginning of a weighted feature nor end within one adds nothing, alone or joined with others.
+    """
+
     characters: CharacterModel
     weights: dict[str, float]
     intercept: float
+    dull: set = field(default_factory=set, repr=False)
+    noted: dict = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return {"characters": self.characters, "weights": self.weights, "intercept": self.intercept, "dull": set(), "noted": {}}
+
+    @functools.cached_property
+    def spelled(self) -> tuple[set[str], set[str]]:
+        """The weighted words and beginnings, and what these begin with."""
+        whole = {f.removeprefix("^") for f in self.weights} | self.weights.keys()
+        return whole, {f[:i] for f in whole for i in range(len(f))}
+
+    def walk(self, text: str) -> tuple[bool, set[str]]:
+        """Whether any path of a text's lattice spells a weighted feature behind a border; else within which it may end.
+
+        Paths are those of both lattices and some more: edges do not depend on what is before them.
+        """
+        whole, open_ = self.spelled
+        core = text.strip(EDGE)
+        if not _APART.search(core):
+            # Up to the first choice there is one path.
+            choice = _CHOICE.search(core)
+            for i in range(1, (choice.start() if choice else len(core)) + 1):
+                if core[:i] in whole:
+                    return True, set()
+                if core[:i] not in open_:
+                    return False, set()
+            if not choice:
+                return False, {core} - {""}
+        n = len(text)
+        todo = [(0, "")] + [(found.end(), "") for found in _APART.finditer(text)]
+        seen, pending = set(todo), set()
+        while todo:
+            i, said = todo.pop()
+            if i == n:
+                pending.add(said)
+                continue
+            ch, j = text[i], i
+            while j < n and text[j] == ch:
+                j += 1
+            run, mark = j - i, separates(ch)
+            steps = [(i + 1, "")] if mark else [(j, ch * run)]
+            letters = LEET.get(ch, "") + (ch if ch.isalpha() else "")
+            if letters:
+                end, at = j, j
+                while at < n and (text[at] == ch or separates(text[at])):
+                    if text[at] == ch:
+                        end = at + 1
+                    at += 1
+                for out in letters:
+                    steps += [(j, out * run), (j, out)] + [(j, out * 2)] * (run > 2)
+                    if end > j:
+                        steps += [(end, out), (end, out * 2)]
+            for end, out in steps:
+                now = said
+                for letter in out:
+                    now += letter
+                    if now in whole:
+                        return True, set()
+                    if now not in open_:
+                        break
+                else:
+                    if (end, now) not in seen:
+                        seen.add((end, now))
+                        todo.append((end, now))
+        return False, pending - {""}
+
+    def goes_on(self, token: str, pending: set[str], behind: str) -> bool:
+        """Whether what a token begins may go on in the one behind it, by the first letters of that."""
+        plain = _PLAIN.match(behind)
+        if not plain:
+            return True
+        whole, open_ = self.spelled
+        letters = plain[0]
+        # A letter that stands on both sides of a space may be one run.
+        for rest in (letters, letters[1:]) if letters[0] == token.rstrip(MARKS)[-1:] else (letters,):
+            for said in pending:
+                for letter in rest:
+                    said += letter
+                    if said in whole:
+                        return True
+                    if said not in open_:
+                        break
+                else:
+                    return True
+        return False
+
+    def held(self, words) -> list[str]:
+        """Those of the words' features that have a weight."""
+        return [f for f in _word_features(words) if f in self.weights]
+
+    def forget(self, token: str) -> None:
+        if len(self.dull) >= CACHE:
+            self.dull.clear()
+        self.dull.add(token)
+
+    def note(self, token: str) -> tuple | None:
+        """(features, whether it may spell one, whether it may begin one, whether it is one letter); None without any of these."""
+        if len(token) >= LONG:
+            spells, pending = True, set()
+        else:
+            spells, pending = self.walk(token)
+        single = len(token.strip(EDGE)) == 1
+        if not (spells or pending or single):
+            return self.forget(token)
+        if len(self.noted) >= CACHE:
+            self.noted.clear()
+        found = tuple(self.held(readings(token, self.characters)[1])) if spells else ()
+        self.noted[token] = value = (found, spells, pending, single)
+        return value
+
+    def hits(self, text: str) -> set[str]:
+        """The features of a text that have a weight."""
+        tokens = text.lower().split()
+        if not tokens or not self.weights:
+            return set()
+        here = {}
+        whole, open_ = self.spelled
+        for token in set(tokens) - self.dull:
+            known = self.noted.get(token)
+            if known is None:
+                start = _START.match(token)
+                if start and 1 < len(letters := start[1]) and len(token) < LONG and letters not in open_:
+                    # Mostly the first letters begin nothing and no mark begins another word.
+                    if not any(letters[:i] in whole for i in range(1, len(letters) + 1)):
+                        self.forget(token)
+                        continue
+                known = self.note(token)
+            if known:
+                here[token] = known
+        found = {f for known in here.values() for f in known[0]}
+        stretches, behind = Stretches(tokens, self.characters), -1
+        marked = [i for i, token in enumerate(tokens) if token in here]
+        apart, last = stretches.apart.tolist(), len(tokens) - 1
+        asked = set(stretches.long())
+        for i in marked:
+            _, spells, pending, _ = here[tokens[i]]
+            # What a token begins goes on behind it only where the space is left out.
+            if spells:
+                if i < last and apart[i] or i and apart[i - 1]:
+                    asked.add(i)
+            elif pending and i < last and apart[i] and self.goes_on(tokens[i], pending, tokens[i + 1]) and stretches.segment(i)[2]:
+                asked.add(i)
+        for i in sorted(asked):
+            if i < behind:
+                continue
+            low, high = stretches.around(i)
+            if high > low:
+                behind = high
+                stretch = " ".join(tokens[low : high + 1])
+                if len(stretch) >= LONG or self.walk(stretch)[0]:
+                    found.update(self.held(decode(stretch, self.characters).split()))
+        single = [i for i in marked if here[tokens[i]][3]]
+        for _, run in itertools.groupby(enumerate(single), key=lambda s: s[1] - s[0]):
+            run = [tokens[i] for _, i in run]
+            if len(run) > 2 and (sum(map(len, run)) >= LONG or any(any(here[token][1:3]) for token in run)):
+                found.update(self.held([decode("".join(run), self.characters, disguised=True)]))
+        return found
 
     def score(self, text: str) -> float:
-        z = self.intercept
-        known = self.weights
-        for f in features(text, self.characters):
-            z += known.get(f, 0.0)
+        z = self.intercept + math.fsum(self.weights[f] for f in self.hits(text))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 

@@ -369,6 +369,43 @@ def test_words_inside_long_runs_count(characters):
     assert {run, "^idio", "^idiot"} <= toxicity.features(run, characters)
 
 
+def test_scoring_finds_the_features_of_the_whole_text(characters):
+    rng = np.random.default_rng(11)
+    weights = {"idiot": 1.0, "^idio": 0.5, "^idiot": 0.5, "^lose": 0.5, "loser": 1.0, "^stup": 1.0, "a": 0.1, "^thei": 0.2, "ass": 1.0}
+    plain = "the said that here there in house is sheep a i an he ea id iot lo ser 455 1,000 well-known (house) éé中".split()
+
+    def messed(word):
+        signs = {"i": "1", "o": "0", "s": "$", "t": "+"}
+        out = [signs.get(ch, ch) if rng.random() < 0.2 else ch * int(rng.integers(1, 4)) if rng.random() < 0.2 else ch for ch in word]
+        return "".join(ch + str(rng.choice(list(" .-_!|"))) if rng.random() < 0.3 else ch for ch in out)
+
+    found = 0
+    for _ in range(600):
+        n = int(rng.integers(1, 25))
+        words = [messed(str(rng.choice(["idiot", "loser", "stupid"]))) if rng.random() < 0.2 else str(rng.choice(plain)) for _ in range(n)]
+        text = " ".join(words) + ("".join(" " + ch for ch in "housethesaid" * 6 + "idiot") if rng.random() < 0.05 else "")
+        scorer = toxicity.Scorer(characters, weights, -1.0)
+        want = toxicity.features(text, characters) & weights.keys()
+        assert scorer.hits(text) == scorer.hits(text) == want, text
+        found += len(want)
+    assert found > 500
+
+
+def test_spaces_between_certain_letters_are_decided_together(characters):
+    tokens = [a + b + mark for a in "theios" for b in "theios" if a != b for mark in ("", ",")]
+    for left in tokens:
+        _, apart = toxicity.kept_apart([t for right in tokens for t in (left, right)], characters)
+        for right, known in zip(tokens, apart[::2].tolist()):
+            if known >= 0:
+                assert bool(known) == toxicity.crossed(f"{left} {right[:2]}", characters)
+
+
+def test_words_that_begin_no_feature_are_not_decoded(characters, monkeypatch):
+    scorer = toxicity.Scorer(characters, {"idiot": 1.0, "^idio": 1.0}, -1.0)
+    monkeypatch.setattr(toxicity, "decode", lambda *_, **__: pytest.fail("decoded"))
+    assert scorer.score("the sheep need 1,000 books; all agree (the house)!") == 1 / (1 + np.exp(1.0))
+
+
 def test_toxicity_is_learnt_from_rows_that_are_not_held_out(spark, tmp_path, documents):
     rng = np.random.default_rng(7)
     rows = []
