@@ -87,8 +87,8 @@ def search_blocks(
         for query_id, (at, scores) in zip(query_ids, find(query_ids, matrix(asked["v"]))):
             keep = best(ids[at], scores, k)
             keep = np.repeat(keep, np.minimum(copies[at][keep], k))[:k]
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[at][keep], "score": scores[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in columns})
+            out.append((np.full(len(keep), query_id), ids[at][keep], scores[keep]))
+        return pd.DataFrame(dict(zip(columns, map(np.concatenate, zip(*out)))) if out else {c: [] for c in columns})
 
     found = left.cogroup(right).applyInPandas(run, f"query_id long, vec_id long, score {score_type}")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

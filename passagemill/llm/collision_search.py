@@ -33,47 +33,57 @@ def collision_searcher(
         values = scaled @ directions[:-1] + np.outer(rest, directions[-1])
         order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
         arrays = np.take_along_axis(values.T, order, axis=1)
+        # Each row's place in every array, in the least unsigned type: differences below zero wrap to large numbers.
+        places = np.empty(order.shape, dtype=np.min_scalar_type(len(ids) + 1))
+        np.put_along_axis(places, order, np.arange(len(ids), dtype=places.dtype)[None, :], axis=1)
+        behind, inside = np.empty_like(places), np.empty(places.shape, dtype=bool)
+        tally = np.min_scalar_type(projections)
         enough, goal = int(np.ceil(share * projections)), min(len(ids), 1 + int(max(LEAST_VERIFIED * k, verified * len(ids))))
 
         def find(query_ids: np.ndarray, queries: np.ndarray):
             unit = queries / np.abs(queries).max(axis=1, keepdims=True)
             centres = (unit * (longest / np.sqrt((unit**2).sum(axis=1, keepdims=True)))) @ directions[:-1]
-            half, windows = longest / 16, []
+            halves, windows = [longest / 16], {}
 
             def window(level: int):
                 """Where the windows of a radius begin and end in each sorted array, for every query."""
-                nonlocal half
-                while len(windows) <= level:
+                while len(halves) <= level:
+                    halves.append(halves[-1] * growth)
+                if level not in windows:
+                    half = halves[level]
                     first = np.stack([np.searchsorted(a, c - half) for a, c in zip(arrays, centres.T)], axis=1)
                     last = np.stack([np.searchsorted(a, c + half, side="right") for a, c in zip(arrays, centres.T)], axis=1)
-                    windows.append((first, last))
-                    half *= growth
+                    windows[level] = (first, last)
                 return windows[level]
 
-            def widened(i: int, counts: np.ndarray, level: int, before: int | None) -> np.ndarray:
-                """Collisions after the windows have grown: only rows that enter them are counted."""
-                first, last = (edge[i].tolist() for edge in window(level))
-                if before is None:
-                    entering = [o[f:l] for o, f, l in zip(order, first, last)]
-                else:
-                    first_before, last_before = (edge[i].tolist() for edge in window(before))
-                    entering = [o[f:g] for o, f, g in zip(order, first, first_before)]
-                    entering += [o[m:l] for o, m, l in zip(order, last_before, last)]
-                return counts + np.bincount(np.concatenate(entering), minlength=len(ids))
+            def collisions(i: int, level: int) -> np.ndarray:
+                """In how many windows each row lies: its place in a sorted array, less the window's first, is below the window's length."""
+                first, last = (edge[i].astype(places.dtype)[:, None] for edge in window(level))
+                np.subtract(places, first, out=behind)
+                np.less(behind, last - first, out=inside)
+                return np.add.reduce(inside.view(np.uint8), axis=0, dtype=tally)
+
+            def enter(i: int, level: int) -> np.ndarray | None:
+                """The rows that collide often enough, if they are as many as asked for."""
+                close = collisions(i, level) >= enough
+                return close if np.count_nonzero(close) >= goal else None
 
             start = 0
             for i, query_id in enumerate(query_ids):
                 # Virtual rehashing: the same arrays serve every radius. The smallest one that meets the
-                # goal is near the one of the query before, so windows open a little below that.
-                none = np.zeros(len(ids), dtype=np.int64)
-                level, counts = start, widened(i, none, start, None)
-                while level and np.count_nonzero(counts >= enough) >= goal:
-                    level = max(0, level - 4)
-                    counts = widened(i, none, level, None)
-                while np.count_nonzero(counts >= enough) < goal:
-                    level, counts = level + 1, widened(i, counts, level + 1, level)
-                start = max(0, level - 2)
-                close = np.flatnonzero(counts >= enough)
+                # goal is near the one of the query before.
+                step, level, met = 1, start, enter(i, start)
+                low, high = (-1, level) if met is not None else (level, None)
+                while high is None:
+                    level, step = low + step, 2 * step
+                    low, high, met = (low, level, found) if (found := enter(i, level)) is not None else (level, None, None)
+                while high - low > 1:
+                    level = max(high - step, (low + high) // 2)
+                    found = enter(i, level)
+                    low, high, met = (level, high, met) if found is None else (low, level, found)
+                    step *= 2
+                start = high
+                close = np.flatnonzero(met)
                 close = close[ids[close] != query_id]
                 yield close, np.einsum("ij,j->i", rows[close], queries[i])
 

@@ -240,6 +240,34 @@ def test_collisions_find_most_neighbours(vectors):
     assert set(got) == set(range(0, 400, 20)) and hits >= 0.9 * 20 * 20
 
 
+def test_collisions_are_counted_at_the_smallest_radius_and_few_others(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((600, 32))
+    scale, k = float(np.abs(rows).max()), 20
+    longest = float(np.sqrt(((rows / scale) ** 2).sum(axis=1)).max())
+    calls, known = [0], np.searchsorted
+
+    def counted(*args, **kwargs):
+        calls[0] += 1
+        return known(*args, **kwargs)
+
+    monkeypatch.setattr(collision_search.np, "searchsorted", counted)
+    found = dict(enumerate(collision_search.collision_searcher(scale, longest, k)(np.arange(600), rows)(np.arange(80), rows[:80])))
+    assert 0 < calls[0] <= 16 * 2 * collision_search.PROJECTIONS
+
+    directions = np.random.default_rng(collision_search.SEED).standard_normal((33, collision_search.PROJECTIONS))
+    scaled = rows / scale
+    values = scaled @ directions[:-1] + np.outer(np.sqrt(np.maximum(0.0, longest**2 - (scaled**2).sum(axis=1))), directions[-1])
+    enough = int(np.ceil(collision_search.SHARE * collision_search.PROJECTIONS))
+    for i in range(80):
+        centre = rows[i] / np.linalg.norm(rows[i]) * longest @ directions[:-1]
+        half, close = longest / 16, np.zeros(600, dtype=bool)
+        while close.sum() < 1 + collision_search.LEAST_VERIFIED * k:
+            close = (np.abs(values - centre) <= half).sum(axis=1) >= enough
+            half *= collision_search.GROWTH
+        assert found[i][0].tolist() == [at for at in np.flatnonzero(close) if at != i]
+
+
 def test_collision_recall_on_the_table(spark, sf_dir):
     rows = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
     got = collections.defaultdict(set)
