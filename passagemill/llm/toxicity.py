@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 import math
 import re
@@ -34,7 +35,7 @@ MARKS = ".,;:?\"'()[]{}<>«»„“”‘’…¿!_-–—*~/\\|+&=#%^`·、。
 EDGE = "".join(ch for ch in MARKS if ch not in LEET)
 _SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
 _APART = re.compile(f"[{re.escape(MARKS)}]|\\s")
-_PLAIN = re.compile(r"(?:([^\W\d_])(?!\1)){1,4}")
+_PLAIN = re.compile(r"(?:([^\W\d_])(?!\1)){1,8}")
 _START = re.compile(rf"({_PLAIN.pattern.replace('1', '2', 1)})[^{re.escape(MARKS)}\s]*[{re.escape(EDGE)}]*\Z")
 _CHOICE = re.compile(f"{_SIGN.pattern}|[{re.escape(MARKS)}]|(.)\\1", re.S)
 
@@ -560,6 +561,19 @@ class Scorer:
                     return True
         return False
 
+    def ends_nowhere(self, letters: str) -> bool:
+        """Whether a token's first letters, two at least, are neither part of a weighted feature's beginning nor hold one."""
+        whole, open_ = self.spelled
+        if len(letters) < 2 or letters in open_:
+            return False
+        for i in range(1, len(letters) + 1):
+            begun = letters[:i]
+            if begun in whole:
+                return False
+            if begun not in open_:
+                return True
+        return False
+
     def held(self, words) -> list[str]:
         """Those of the words' features that have a weight."""
         return [f for f in _word_features(words) if f in self.weights]
@@ -590,16 +604,14 @@ class Scorer:
         if not tokens or not self.weights:
             return set()
         here = {}
-        whole, open_ = self.spelled
         for token in set(tokens) - self.dull:
             known = self.noted.get(token)
             if known is None:
                 start = _START.match(token)
-                if start and 1 < len(letters := start[1]) and len(token) < LONG and letters not in open_:
-                    # Mostly the first letters begin nothing and no mark begins another word.
-                    if not any(letters[:i] in whole for i in range(1, len(letters) + 1)):
-                        self.forget(token)
-                        continue
+                # Mostly the first letters begin nothing and no mark begins another word.
+                if start and len(token) < LONG and self.ends_nowhere(start[1]):
+                    self.forget(token)
+                    continue
                 known = self.note(token)
             if known:
                 here[token] = known
@@ -710,6 +722,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = scorer.value
+        # The caches are many small tuples without cycles; looking through them for cycles is a tenth of the work.
+        gc.set_threshold(200_000, 50, 50)
         for batch in batches:
             yield pd.Series([model.score(text) for text in batch], dtype="float64")
 
