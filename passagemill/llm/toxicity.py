@@ -22,6 +22,10 @@ SYMBOLS = 64
 SAMPLE = 12_000
 MAX_FEATURES = 20_000
 CACHE = 400_000
+#: Tokens that add nothing are kept by name alone, so more of them.
+DULL = 800_000
+#: The caches are many small tuples without cycles; looking through them for cycles is a tenth of the work.
+COLLECT = (200_000, 50, 50)
 #: Words of so many letters are taken for text without spaces.
 LONG = 64
 
@@ -579,7 +583,7 @@ class Scorer:
         return [f for f in _word_features(words) if f in self.weights]
 
     def forget(self, token: str) -> None:
-        if len(self.dull) >= CACHE:
+        if len(self.dull) >= DULL:
             self.dull.clear()
         self.dull.add(token)
 
@@ -669,6 +673,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_features:
     chosen = cut_lineage(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
     def run(batches):
+        gc.set_threshold(*COLLECT)
         for batch in batches:
             yield pd.DataFrame(
                 {
@@ -722,8 +727,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = scorer.value
-        # The caches are many small tuples without cycles; looking through them for cycles is a tenth of the work.
-        gc.set_threshold(200_000, 50, 50)
+        gc.set_threshold(*COLLECT)
         for batch in batches:
             yield pd.Series([model.score(text) for text in batch], dtype="float64")
 
