@@ -21,9 +21,9 @@ from passagemill.session import cut_lineage
 SYMBOLS = 64
 SAMPLE = 12_000
 MAX_FEATURES = 20_000
-CACHE = 400_000
+CACHE = 200_000
 #: Tokens that add nothing are kept by name alone, so more of them.
-DULL = 800_000
+DULL = 300_000
 #: The caches are many small tuples without cycles; looking through them for cycles is a tenth of the work.
 COLLECT = (200_000, 50, 50)
 #: Words of so many letters are taken for text without spaces.
@@ -41,6 +41,7 @@ _SIGN = re.compile("[" + re.escape("".join(LEET)) + "]")
 _APART = re.compile(f"[{re.escape(MARKS)}]|\\s")
 _PLAIN = re.compile(r"(?:([^\W\d_])(?!\1)){1,8}")
 _START = re.compile(rf"({_PLAIN.pattern.replace('1', '2', 1)})[^{re.escape(MARKS)}\s]*[{re.escape(EDGE)}]*\Z")
+_PARTED = re.compile(rf"([^\W\d_]{{2}})([{re.escape(EDGE)}\s]+)([^\W\d_]{{2,}})")
 _CHOICE = re.compile(f"{_SIGN.pattern}|[{re.escape(MARKS)}]|(.)\\1", re.S)
 
 
@@ -192,26 +193,29 @@ def decode(token: str, model: CharacterModel, disguised: bool = False) -> str:
     Borders come out as spaces and tabs; one after another counts once.
     """
     edges = lattice(token, disguised)
+    # A state is one number: the class before the last times ``SYMBOLS``, plus the last.
     states: list[dict] = [{} for _ in range(len(token) + 1)]
-    states[0][(0, 0)] = (0.0, None, "")
+    states[0][0] = (0.0, None, "")
     logp = model.listed
     for i, here in enumerate(edges):
         if not here or not states[i]:
             continue
-        for (a, b), node in states[i].items():
-            for end, out, cost in here:
-                total, x, y = node[0] + cost, a, b
-                for ch in out:
-                    z = symbol(ch)
+        steps = [(states[end], out, cost, [symbol(ch) for ch in out]) for end, out, cost in here]
+        for state, node in states[i].items():
+            before = node[0]
+            for reached, out, cost, classes in steps:
+                total, at = before + cost, state
+                for z in classes:
+                    y = at % SYMBOLS
                     if z or y:
-                        total -= logp[(x * SYMBOLS + y) * SYMBOLS + z]
-                        x, y = y, z
-                known = states[end].get((x, y))
+                        total -= logp[at * SYMBOLS + z]
+                        at = y * SYMBOLS + z
+                known = reached.get(at)
                 if known is None or total < known[0]:
-                    states[end][(x, y)] = (total, node, out)
+                    reached[at] = (total, node, out)
     if not states[-1]:
         return token
-    ends = ((node[0] - (logp[(a * SYMBOLS + b) * SYMBOLS] if b else 0.0), node) for (a, b), node in states[-1].items())
+    ends = ((node[0] - (logp[at * SYMBOLS] if at % SYMBOLS else 0.0), node) for at, node in states[-1].items())
     _, node = min(ends, key=lambda e: e[0])
     parts = []
     while node is not None:
@@ -257,17 +261,45 @@ def borders(token: str) -> tuple[str, str] | None:
     Two different letters that are no part of a run have one reading, so the two classes after them are known
     and the path before them does not change the path behind them.
     """
-    certain = [
-        i
-        for i in range(len(token) - 1)
-        if token[i].isalpha() and token[i + 1].isalpha() and len(set(token[i : i + 2])) == 2
-        and token[i - 1 : i] != token[i] and token[i + 2 : i + 3] != token[i + 1]
-    ]
-    return (token[certain[-1] :], token[: certain[0] + 2]) if certain else None
+
+    def certain(i: int) -> bool:
+        a, b = token[i], token[i + 1]
+        return a != b and a.isalpha() and b.isalpha() and token[i - 1 : i] != a and token[i + 2 : i + 3] != b
+
+    first = next(filter(certain, range(len(token) - 1)), None)
+    if first is None:
+        return None
+    last = next(filter(certain, range(len(token) - 2, first, -1)), first)
+    return token[last:], token[: first + 2]
+
+
+def letters_from(letters: str, at: int, model: CharacterModel) -> float:
+    """Log probability of the best reading of letters behind a state of :func:`decode`, up to the border after them."""
+    known = model.cache.get((letters, at))
+    if known is not None:
+        return known
+    states, logp = {at: 0.0}, model.listed
+    for ch, run in itertools.groupby(letters):
+        z, n = symbol(ch), sum(1 for _ in run)
+        reached: dict[int, float] = {}
+        for state, total in states.items():
+            for times in range(1, n + 1):
+                total += logp[state * SYMBOLS + z]
+                state = state % SYMBOLS * SYMBOLS + z
+                if times < 3 or times == n:
+                    reached[state] = max(reached.get(state, -math.inf), total - (times < n))
+        states = reached
+    return remembered(model, (letters, at), max(total + logp[state * SYMBOLS] for state, total in states.items()))
 
 
 def crossed(text: str, model: CharacterModel) -> bool:
     """Whether the Viterbi path of a text leaves out a space."""
+    parted = _PARTED.fullmatch(text)
+    if parted and " " in parted[2] and parted[1][0] != parted[1][1] != parted[3][0]:
+        # Two certain letters before the separators and letters alone behind them: the path leaves out all or none.
+        a, b = map(symbol, parted[1])
+        through = letters_from(parted[3], a * SYMBOLS + b, model) - sum(map(omission, parted[2]))
+        return through > model.listed[(a * SYMBOLS + b) * SYMBOLS] + letters_from(parted[3], b * SYMBOLS, model)
     a, b, c, d = text[0], text[1:2], text[-2:-1], text[-1]
     if len(text) > 4 and (a + b + c + d).isalpha() and a != b and b != c and c != d and all(map(separates, text[2:-2])):
         # Two certain letters on both sides: the path has one choice, all separators or none.
@@ -279,43 +311,11 @@ def crossed(text: str, model: CharacterModel) -> bool:
     return decode(text, model).count(" ") < text.count(" ")
 
 
-def joined(tokens: list[str], model: CharacterModel) -> Iterator[str]:
-    """Stretches of tokens in which the Viterbi path of the whole text leaves out a space.
-
-    A space is decided between the certain letters on both sides of it.
-    """
-    cache, begin, until, since, tail, stretch = model.cache, 0, -1, 0, "", []
-    for i, token in enumerate(tokens):
-        ends = cache.get((0, token), 0)
-        if ends == 0:
-            ends = remembered(model, (0, token), borders(token))
-        if ends is None and i + 1 < len(tokens):
-            stretch.append(token)
-            continue
-        if i:
-            key = (tail, *stretch, ends[1] if ends else token) if stretch else (tail, ends[1] if ends else token)
-            drops = cache.get(key)
-            if drops is None:
-                text = " ".join(key).strip()
-                drops = crossed(text, model)
-                if len(text) < 100:
-                    remembered(model, key, drops)
-            if drops:
-                if until < since:
-                    if until >= 0:
-                        yield " ".join(tokens[begin : until + 1])
-                    begin = since
-                until = i
-        tail, since, stretch = (ends[0] if ends else token), i, []
-    if until >= 0:
-        yield " ".join(tokens[begin : until + 1])
-
-
 def restored_words(text: str, model: CharacterModel) -> set[str]:
     """Distinct words of the restored text; letters and pieces set apart by spaces are read as words too."""
     tokens = text.lower().split()
     words = {word for token in set(tokens) for word in readings(token, model)[1]}
-    for stretch in joined(tokens, model):
+    for stretch in Stretches(tokens, model).all() if tokens else ():
         words.update(decode(stretch, model).split())
     single = [len(token.strip(EDGE)) == 1 for token in tokens]
     for alone, run in itertools.groupby(zip(single, tokens), key=lambda s: s[0]):
@@ -397,7 +397,10 @@ def kept_apart(tokens: list[str], model: CharacterModel) -> tuple[np.ndarray, np
 
 
 class Stretches:
-    """The stretches of :func:`joined`, found one by one from the tokens inside them."""
+    """Stretches of tokens in which the Viterbi path of the whole text leaves out a space.
+
+    A space is decided between the certain letters on both sides of it.
+    """
 
     def __init__(self, tokens: list[str], model: CharacterModel):
         self.tokens, self.model = tokens, model
@@ -449,6 +452,13 @@ class Stretches:
             low, high = a, max(high, b)
         return low, high
 
+    def all(self) -> Iterator[str]:
+        behind = 0
+        for i in np.flatnonzero(self.apart).tolist():
+            if i >= behind and self.segment(i)[2]:
+                low, behind = self.around(i)
+                yield " ".join(self.tokens[low : behind + 1])
+
     def long(self) -> Iterator[int]:
         """A token of each stretch of at least ``LONG`` characters, and of some others."""
         places = self.places
@@ -479,10 +489,12 @@ class Scorer:
     weights: dict[str, float]
     intercept: float
     dull: set = field(default_factory=set, repr=False)
+    #: The names that ``dull`` held before it was full last, so that frequent ones are not looked at again at once.
+    older: set = field(default_factory=set, repr=False)
     noted: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return {"characters": self.characters, "weights": self.weights, "intercept": self.intercept, "dull": set(), "noted": {}}
+        return {"characters": self.characters, "weights": self.weights, "intercept": self.intercept, "dull": set(), "older": set(), "noted": {}}
 
     @functools.cached_property
     def spelled(self) -> tuple[set[str], set[str]]:
@@ -507,6 +519,13 @@ class Scorer:
                     return False, set()
             if not choice:
                 return False, {core} - {""}
+            if core.isalpha():
+                begun = {""}
+                for ch, run in itertools.groupby(core):
+                    begun = self.run(begun, ch, sum(1 for _ in run))
+                    if not begun:
+                        return begun is None, set()
+                return False, begun
         n = len(text)
         todo = [(0, "")] + [(found.end(), "") for found in _APART.finditer(text)]
         seen, pending = set(todo), set()
@@ -545,25 +564,40 @@ class Scorer:
                         todo.append((end, now))
         return False, pending - {""}
 
-    def goes_on(self, token: str, pending: set[str], behind: str) -> bool:
-        """Whether what a token begins may go on in the one behind it, by the first letters of that."""
-        plain = _PLAIN.match(behind)
-        if not plain:
-            return True
+    def run(self, begun: set[str], ch: str, times: int) -> set[str] | None:
+        """What the beginnings become with a run of a letter, read as one, as two or as it is; None if that spells a weighted feature."""
         whole, open_ = self.spelled
-        letters = plain[0]
-        # A letter that stands on both sides of a space may be one run.
-        for rest in (letters, letters[1:]) if letters[0] == token.rstrip(MARKS)[-1:] else (letters,):
-            for said in pending:
-                for letter in rest:
-                    said += letter
-                    if said in whole:
-                        return True
-                    if said not in open_:
-                        break
-                else:
-                    return True
-        return False
+        after = set()
+        for said in begun:
+            for i in range(1, times + 1):
+                said += ch
+                if said in whole:
+                    return None
+                if said not in open_:
+                    break
+                if i < 3 or i == times:
+                    after.add(said)
+        return after
+
+    def goes_on(self, token: str, pending: set[str], behind: str) -> bool:
+        """Whether what a token begins may go on in the one behind it, by the letters that this begins with."""
+        begun, i, n = pending, 0, len(behind)
+        while i < n:
+            ch, j = behind[i], i + 1
+            if not ch.isalpha():
+                return True
+            while j < n and behind[j] == ch:
+                j += 1
+            after = self.run(begun, ch, j - i)
+            if after is None:
+                return True
+            if i == 0 and ch == token.rstrip(MARKS)[-1:]:
+                # A letter that stands on both sides of a space may be one run.
+                after |= begun
+            if not after:
+                return False
+            begun, i = after, j
+        return True
 
     def ends_nowhere(self, letters: str) -> bool:
         """Whether a token's first letters, two at least, are neither part of a weighted feature's beginning nor hold one."""
@@ -584,7 +618,7 @@ class Scorer:
 
     def forget(self, token: str) -> None:
         if len(self.dull) >= DULL:
-            self.dull.clear()
+            self.dull, self.older = set(), self.dull
         self.dull.add(token)
 
     def note(self, token: str) -> tuple | None:
@@ -608,7 +642,11 @@ class Scorer:
         if not tokens or not self.weights:
             return set()
         here = {}
-        for token in set(tokens) - self.dull:
+        new = set(tokens) - self.dull
+        again = new & self.older
+        for token in again:
+            self.forget(token)
+        for token in new - again:
             known = self.noted.get(token)
             if known is None:
                 start = _START.match(token)
@@ -621,16 +659,13 @@ class Scorer:
                 here[token] = known
         found = {f for known in here.values() for f in known[0]}
         stretches, behind = Stretches(tokens, self.characters), -1
-        marked = [i for i, token in enumerate(tokens) if token in here]
-        apart, last = stretches.apart.tolist(), len(tokens) - 1
         asked = set(stretches.long())
-        for i in marked:
-            _, spells, pending, _ = here[tokens[i]]
-            # What a token begins goes on behind it only where the space is left out.
-            if spells:
-                if i < last and apart[i] or i and apart[i - 1]:
-                    asked.add(i)
-            elif pending and i < last and apart[i] and self.goes_on(tokens[i], pending, tokens[i + 1]) and stretches.segment(i)[2]:
+        # What a token begins goes on behind it only where the space is left out.
+        for i in np.flatnonzero(stretches.apart).tolist() if here else ():
+            left, right = here.get(tokens[i]), here.get(tokens[i + 1])
+            if right and right[1]:
+                asked.add(i + 1)
+            if left and (left[1] or left[2] and self.goes_on(tokens[i], left[2], tokens[i + 1]) and stretches.segment(i)[2]):
                 asked.add(i)
         for i in sorted(asked):
             if i < behind:
@@ -641,7 +676,8 @@ class Scorer:
                 stretch = " ".join(tokens[low : high + 1])
                 if len(stretch) >= LONG or self.walk(stretch)[0]:
                     found.update(self.held(decode(stretch, self.characters).split()))
-        single = [i for i in marked if here[tokens[i]][3]]
+        letters = {token for token, known in here.items() if known[3]}
+        single = [i for i, token in enumerate(tokens) if token in letters] if letters else []
         for _, run in itertools.groupby(enumerate(single), key=lambda s: s[1] - s[0]):
             run = [tokens[i] for _, i in run]
             if len(run) > 2 and (sum(map(len, run)) >= LONG or any(any(here[token][1:3]) for token in run)):

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 from fractions import Fraction
@@ -471,3 +472,29 @@ def test_pipeline_stages(spark, sf_dir):
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().filter("count > 3").count() == 0
     rows = [(r.doc_id, r.text) for r in mixed.collect()]
     check_packing(stages[4](spark, mixed, sf_dir).collect(), rows)
+
+
+def test_toxicity_letters_are_decided_without_decoding(monkeypatch):
+    rng = random.Random(7)
+    texts = ["the and annd elle on thhe reeding of hate and hater", "a tall llama ate ee el"] * 5
+    counted = collections.Counter(int(c) for t in texts for c in toxicity.codes(t))
+    model = toxicity.CharacterModel.fit(np.array(list(counted)), np.array(list(counted.values()), dtype=float))
+    letters = "aabehlnot"
+    keys = [
+        rng.choice(["th", "an", "el"]) + rng.choice([" ", ", ", "# ", "  ", ". ; "]) + "".join(rng.choices(letters, k=rng.randint(2, 6)))
+        for _ in range(2_000)
+    ]
+    decoded = []
+    real = toxicity.decode
+    monkeypatch.setattr(toxicity, "decode", lambda *a, **k: decoded.append(a[0]) or real(*a, **k))
+    for key in keys + ["th.e", "in-ble"]:
+        assert toxicity.crossed(key, model) == (real(key, model).count(" ") < key.count(" ")), key
+    # Only a letter on both sides of a space, and marks alone, need the whole lattice.
+    assert all(key.split()[0].strip(toxicity.EDGE)[1:2] == key.split()[-1][0] or " " not in key for key in decoded)
+
+
+def test_toxicity_doubled_letters_that_go_on_in_no_feature_are_dismissed():
+    scorer = toxicity.Scorer(toxicity.CharacterModel(np.zeros((toxicity.SYMBOLS**2, toxicity.SYMBOLS))), {"enemy": 1.0}, 0.0)
+    assert not scorer.goes_on("en", {"en"}, "laanoion") and not scorer.goes_on("en", {"en"}, "aannd")
+    assert scorer.goes_on("en", {"en"}, "eemy") and scorer.goes_on("ene", {"ene"}, "emmy") and scorer.goes_on("en", {"en"}, "3my")
+    assert scorer.walk("eneemmy") == (True, set()) and scorer.walk("enneemm.") == (False, {"enem"}) and scorer.walk("ennoo") == (False, set())
