@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.operators import retrieve
-from passagemill.session import cut_lineage
+from passagemill.session import cut_lineage, settings
 from passagemill.sources.blocks import read_blocks, write_blocks
 
 # BM25's saturation and length norm, and the constant of rank fusion.
@@ -30,6 +30,9 @@ _UNIT = 1_000_000_000
 #: Chunks and words of a segment, at most (one chunk may have more words), queries read and postings scored at a time.
 SEGMENT_CHUNKS, SEGMENT_WORDS = 2048, 1 << 20
 QUERIES_PER_BLOCK = 512
+#: Segments of a file, at most: they may be megabytes each, and a scan decodes thousands of rows of a file at once.
+SEGMENTS_PER_FILE = 16
+_FILES = {"maxRecordsPerFile": SEGMENTS_PER_FILE}
 _POSTINGS_PER_STEP = 1 << 20
 
 
@@ -89,7 +92,7 @@ class KeywordIndex:
 
     def write(self, path: str) -> None:
         folder = path.rstrip("/")
-        self.segments.write.mode("overwrite").parquet(f"{folder}/segments")
+        self.segments.write.options(**_FILES).mode("overwrite").parquet(f"{folder}/segments")
         self.terms.write.mode("overwrite").parquet(f"{folder}/terms")
 
 
@@ -103,7 +106,7 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
 
     Words are counted where the chunks lie, so making postings shuffles nothing but the chunks' ids, of which
     those are looked for that several chunks have. The segments are written once, to ``path`` where it is given,
-    else to the checkpoint folder.
+    else to the checkpoint folder, in files of a few, so that a task that reads them holds a few at a time.
     """
     spark = chunks.sparkSession
     repeated = cut_lineage(chunks.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_id", F.lit(True).alias("_many")))
@@ -117,9 +120,9 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "co
     )
     made = read.mapInArrow(_segments, schema)
     if path is None:
-        segments = cut_lineage(made)
+        segments = cut_lineage(made, **_FILES)
     else:
-        made.write.mode("overwrite").parquet(f"{path.rstrip('/')}/segments")
+        made.write.options(**_FILES).mode("overwrite").parquet(f"{path.rstrip('/')}/segments")
         segments = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/segments")
     words = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda n, x: n + x)
     sized = segments.agg(F.sum(F.size("lengths")).alias("total"), (F.sum(words) / F.sum(F.size("lengths"))).alias("mean"))
@@ -205,7 +208,9 @@ def keyword_search(
                         found = [ids.take(pa.array(first + q)), scorer.ids.take(pa.array(place)), pa.array(worth.astype(np.int64)), pa.array(scorer.many[place])]
                         yield pa.RecordBatch.from_arrays(found, names=schema.names)
 
-    found = cut_lineage(index.segments.mapInArrow(scan, schema))
+    # A segment may take megabytes: tasks are handed one at a time.
+    with settings(queries.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1"):
+        found = cut_lineage(index.segments.mapInArrow(scan, schema))
     summed = found.filter("many").groupBy("q", "id").agg(F.sum("worth").alias("worth"))
     total = found.filter("not many").select("q", "id", "worth").unionByName(summed)
     order = Window.partitionBy("q").orderBy(F.desc("worth"), F.asc("id"))

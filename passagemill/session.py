@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,13 +60,30 @@ def drop_intermediates(spark: SparkSession) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def cut_lineage(df: DataFrame, **options) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder, with options of the writer, and read it back.
 
     Unlike executor-local copies the table outlives lost executors, and unlike an
     RDD checkpoint its rows are computed once. :func:`drop_intermediates` removes it.
     """
     spark = df.sparkSession
     path = f"{intermediate_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Settings of the session while a block runs its actions, dots written as ``__``; put back afterwards.
+
+    Only for those that change how rows are handed on, never what comes out: other actions of the session may meet them.
+    """
+    wanted = {name.replace("__", "."): value for name, value in conf.items()}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

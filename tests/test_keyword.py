@@ -128,3 +128,37 @@ def test_chunks_of_one_id_and_rows_of_one_query_add_up(spark):
             want[rows[n][0]] += worth
     assert {r.chunk_id: round(r.score * 1e9) for r in found.collect()} == want
     assert {r.query_id for r in found.collect()} == {"p"}
+
+
+def test_files_hold_few_segments_and_tasks_are_handed_one(spark, corpus, tmp_path, monkeypatch):
+    """A scan decodes a file's rows together, and segments are large rows: neither may grow with the table."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows, chunks = corpus
+    spark.conf.set(name, "5")
+    try:
+        index = keyword.build_index(chunks.coalesce(1), path=f"{tmp_path}/a")
+        unnamed = keyword.build_index(chunks.coalesce(1))
+    finally:
+        spark.conf.set(name, before)
+    index.write(f"{tmp_path}/b")
+    files = [f.removeprefix("file:") for f in unnamed.segments.inputFiles()]
+    files += [str(f) for folder in "ab" for f in (tmp_path / folder / "segments").glob("*.parquet")]
+    held = [pq.ParquetFile(f).metadata.num_rows for f in files]
+    assert max(held) <= keyword.SEGMENTS_PER_FILE and sum(held) == 3 * index.segments.count() >= 3 * len(rows) / 5
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    seen = []
+    monkeypatch.setattr(keyword, "cut_lineage", lambda df: seen.append(index.segments.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]) or cut_lineage(df))
+    found = keyword.keyword_search(index, spark.createDataFrame(QUERIES, "query_id string, question string"), 5)
+    assert seen == [1] and spark.conf.get(name) == before
+    got = collections.defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.chunk_id, round(r.score * 1e9)))
+    assert got == {q: hits for q, hits in bm25(rows, QUERIES, 5).items() if hits}
