@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 from passagemill.functions import text as tx
 from passagemill.llm.rows import packed, spans, unpacked
+from passagemill.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 40
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 # Matches of the contract's patterns; possessive, and tried only where a run begins, so long runs stay linear.
+# Runs of fewer than twelve digits are no candidates for a card: numbers are frequent, and each match has its price.
 BASE = {
     "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # Spans beyond the base patterns that labelers may vote for.
@@ -28,7 +30,7 @@ LOOSE = {
     r"[A-Za-z0-9-]{2,63}+(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20)(?:com|org|net|edu|info|de|fr|es|io)(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
 }
-GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]"}
+GUARD = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){11}", "phone": r"\+[0-9]"}
 LOOSE_GUARD = {"email": r"[\[( ]at[\]) ][^\n]{1,70}[\[( ]dot[\]) ]", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
 
 # Gazetteers of labelers.
@@ -112,19 +114,16 @@ def _candidates(text: Column) -> Column:
 
     def of(kind: str, pattern: str, guard: str, loose: bool) -> Column:
         def entry(s: Column) -> Column:
-            start, end = s["start"].cast("int"), s["end"].cast("int")
-            left = F.greatest(start - CONTEXT, F.lit(0))
-            before, after = F.substring(text, left + 1, start - left), F.substring(text, end + 1, F.lit(1))
             ok = F.lit(False) if loose else valid(kind, s["hit"])
             return F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"),
                 s["start"].alias("start"),
                 s["end"].alias("end"),
                 ok.alias("base"),
-                _votes(kind, loose, s["hit"], before, after, ok).alias("votes"),
+                _votes(kind, loose, s["hit"], s["before"], s["after"], ok).alias("votes"),
             )
 
-        found = F.transform(F.filter(spans(text, pattern), lambda s: _worth(kind, loose, s["hit"])), entry)
+        found = F.transform(F.filter(spans(text, pattern, CONTEXT), lambda s: _worth(kind, loose, s["hit"])), entry)
         return F.when(text.rlike(guard), found).otherwise(F.array().cast(CANDIDATES))
 
     parts = [of(k, BASE[k], GUARD[k], False) for k in KINDS] + [of(k, LOOSE[k], LOOSE_GUARD[k], True) for k in LOOSE]
@@ -136,9 +135,7 @@ CANDIDATES = "array<struct<kind:int,start:bigint,end:bigint,base:boolean,votes:a
 
 def _worth(kind: str, loose: bool, hit: Column) -> Column:
     """Matches too short to be of their kind are no candidates; none of them could be a base span."""
-    if loose or kind in ("email", "ip"):
-        return F.lit(True)
-    return F.length(_digits(hit)) >= (12 if kind == "card" else 7)
+    return F.length(_digits(hit)) >= 7 if kind == "phone" and not loose else F.lit(True)
 
 
 @dataclass(frozen=True)
@@ -148,12 +145,19 @@ class VoteCounts:
     count: int
 
 
-def vote_counts(docs: DataFrame) -> list[VoteCounts]:
-    """How often each combination of kind and votes occurs over all texts.
+def candidates(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """``row``, the columns ``kept`` of ``docs``, and ``found``, the spans that labelers vote on; written once to the shared folder."""
+    row = F.struct(*[F.col("row").getField(c).alias(c) for c in kept])
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return cut_lineage(packed(docs).select("row", _candidates(text).alias("found")).select(row.alias("row"), "found"))
+
+
+def vote_counts(found: DataFrame) -> list[VoteCounts]:
+    """How often each combination of kind and votes occurs among the ``found`` of all texts.
 
     At most 4 kinds times 3**5 combinations exist, so the table is small at any input size.
     """
-    seen = packed(docs).select(F.explode(_candidates(F.coalesce(F.col("row.text"), F.lit("")))).alias("c"))
+    seen = found.select(F.explode("found").alias("c"))
     grouped = seen.groupBy("c.kind", "c.votes").count().orderBy("kind", "votes")
     return [VoteCounts(r["kind"], tuple(r["votes"]), r["count"]) for r in grouped.collect()]
 
@@ -233,19 +237,22 @@ def _probability(candidate: Column, weights: list[float]) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
-def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``pii``, the spans of personal data of every whole text, in kind order, then by start.
+def find_pii(docs: DataFrame, threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``carry`` (one at least), with ``pii``, the spans of personal data of every whole text, in kind order, then by start.
 
     An entry is ``kind, start, end, base, probability``; positions are code points, the end is
     exclusive. Base spans always stay; others stay where the classifier gives ``threshold`` or more
     and no base span of their kind overlaps them. Null and empty texts have none. Rows are read on their
-    own, so repeated rows get the same spans; long texts are read whole, in time that grows faster than their length; an empty table stays empty; a column of
+    own, so repeated rows get the same spans; long texts are read whole; an empty table stays empty; a column of
     the table named ``pii`` gives way to the result.
 
-    Votes are counted over all texts (one small aggregate), their reliabilities and the classifier
-    come from those counts, and the second pass is narrow.
+    Texts are read once: what labelers vote on is written to the shared folder beside the columns that are kept, so name
+    those that are needed. Votes are counted over all texts (one small aggregate), their reliabilities and the classifier
+    come from those counts, and the decision is narrow.
     """
-    counts = vote_counts(docs)
+    kept = list(docs.columns if carry is None else carry)
+    found = candidates(docs, kept)
+    counts = vote_counts(found)
     weights = train(counts, estimate(counts)) if counts else [0.0] * (len(KINDS) + 2 * len(LABELERS))
     named = F.array(*[F.lit(k) for k in KINDS])
 
@@ -261,16 +268,18 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 _probability(c, weights).alias("probability"),
             ),
         )
-        sure = F.filter(scored, lambda c: c["base"])
-        more = F.filter(
-            F.filter(scored, lambda c: ~c["base"] & (c["probability"] >= threshold)),
-            lambda c: ~F.exists(sure, lambda b: (b["order"] == c["order"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])),
-        )
-        return F.array_sort(F.concat(sure, more))
 
-    text = F.coalesce(F.col("row.text"), F.lit(""))
-    out = packed(docs).select("row", tx.let(_candidates(text), decided).alias("pii"))
-    return out.select(*unpacked(docs.columns, ["pii"]))
+        def apart(scored: Column, sure: Column) -> Column:
+            more = F.filter(
+                F.filter(scored, lambda c: ~c["base"] & (c["probability"] >= threshold)),
+                lambda c: ~F.exists(sure, lambda b: (b["order"] == c["order"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])),
+            )
+            return F.array_sort(F.concat(sure, more))
+
+        return tx.let(scored, lambda all_spans: tx.let(F.filter(all_spans, lambda c: c["base"]), lambda sure: apart(all_spans, sure)))
+
+    out = found.select("row", decided(F.col("found")).alias("pii"))
+    return out.select(*unpacked(kept, ["pii"]))
 
 
 def listed(found: Column) -> Column:

@@ -39,7 +39,7 @@ add("op1_harmonic_packing", op1)
 
 
 def op2(spark, sf_dir):
-    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    found = pii.find_pii(table(spark, sf_dir, "documents"), carry=["doc_id"])
     base = F.filter("pii", lambda s: s["base"])
 
     def counted(kind):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagemill.functions import text as tx
+
 LONGS = "array<bigint>"
 BLOCK = 128
 
@@ -32,41 +34,59 @@ def running_sums(values: Column) -> Column:
         )
 
     def joined(sums: Column) -> Column:
-        totals = within(F.transform(sums, lambda s: F.get(s, F.size(s) - 1)))
-        return F.flatten(
-            F.transform(
-                sums,
-                lambda s, b: F.transform(s, lambda v: v + F.coalesce(F.get(totals, b - 1), F.lit(0).cast("bigint"))),
-            )
+        def moved(totals: Column) -> Column:
+            def by(s: Column, b: Column) -> Column:
+                before = F.coalesce(F.get(totals, b - 1), F.lit(0).cast("bigint"))
+                return tx.let(before, lambda base: F.transform(s, lambda v: v + base))
+
+            return F.flatten(F.transform(sums, by))
+
+        return tx.let(within(F.transform(sums, lambda s: F.get(s, F.size(s) - 1))), moved)
+
+    def summed(numbers: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")),
+            lambda b: F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK)),
         )
+        return F.when(F.size(numbers) > 0, tx.let(F.transform(blocks, within), joined)).otherwise(F.array().cast(LONGS))
+
+    return tx.let(values.cast(LONGS), summed)
+
 
-    numbers = values.cast(LONGS)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")),
-        lambda b: F.slice(numbers, b * BLOCK + 1, F.lit(BLOCK)),
-    )
-    sums = F.transform(blocks, within)
-    return F.when(F.size(numbers) > 0, joined(sums)).otherwise(F.array().cast(LONGS))
+SPANS = "array<struct<start:bigint,end:bigint,hit:string,before:string,after:string>>"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """``array<struct<start,end,hit>>`` of a pattern's leftmost matches, in code points.
+def spans(text: Column, pattern: str, context: int) -> Column:
+    """A pattern's leftmost matches as :data:`SPANS`, in code points, with up to ``context`` characters before and one after.
 
     The gaps that a split leaves and the matches themselves alternate, so running sums
-    of their lengths are the positions.
+    of their lengths are the positions. Each is made once per text: inside a lambda it would be made again for every match.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
 
-    def placed(found: Column) -> Column:
+    def tail(piece: Column) -> Column:
+        return F.substring(piece, -context, context)
+
+    def placed(hits: Column, gaps: Column, tails: Column) -> Column:
         steps = F.transform(
-            found, lambda hit, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0)
-        )
-        return F.zip_with(
-            found,
-            running_sums(steps),
-            lambda hit, at: F.struct(at.alias("start"), (at + F.length(hit)).alias("end"), hit.alias("hit")),
+            hits, lambda hit, i: F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(hits, i - 1))).otherwise(0)
         )
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>")
-    return F.when(F.size(hits) > 0, placed(hits)).otherwise(none)
+        def entry(at: Column, i: Column) -> Column:
+            hit, gap = F.get(hits, i), F.get(tails, i)
+            earlier = F.transform(
+                F.sequence(F.greatest(i - context, F.lit(0)), i - 1), lambda j: F.concat(F.get(tails, j), tail(F.get(hits, j)))
+            )
+            near = (i == 0) | (F.length(gap) == context)
+            before = F.when(near, gap).otherwise(tail(F.concat(F.array_join(earlier, ""), gap)))
+            after = F.substring(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(hits, i + 1), F.lit(""))), 1, 1)
+            return F.struct(
+                at.alias("start"), (at + F.length(hit)).alias("end"), hit.alias("hit"), before.alias("before"), after.alias("after")
+            )
+
+        return F.transform(running_sums(steps), entry)
+
+    def split(hits: Column) -> Column:
+        cut = tx.let(F.split(text, pattern, -1), lambda gaps: tx.let(F.transform(gaps, tail), lambda tails: placed(hits, gaps, tails)))
+        return F.when(F.size(hits) > 0, cut).otherwise(F.array().cast(SPANS))
+
+    return tx.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), split)

@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from passagemill.llm import license_scan, line_dedup, mixing, pii, queries
+from passagemill.llm.rows import spans
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -81,6 +83,31 @@ def test_pii_is_native_and_takes_empty_tables(spark, tmp_path, documents):
     assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pii_reads_texts_once_in_time_near_their_length(spark, documents):
+    """Candidates are stored, and what is made once per text is not made again for every match of it."""
+    found = pii.find_pii(documents([(1, "mail a@b.example.com")]), carry=["doc_id"])
+    assert found.columns == ["doc_id", "pii"] and "RLIKE" not in found._jdf.queryExecution().executedPlan().toString()
+
+    def seconds(n):
+        docs = documents([(i, "call +1 (988) 555-2485, 12 34 56, a@b.example.com or 10.0.0.1; " * n) for i in range(4)])
+        began = time.perf_counter()
+        assert [len(r.pii) for r in pii.find_pii(docs, carry=["doc_id"]).collect()] == [3 * n] * 4
+        return time.perf_counter() - began
+
+    seconds(50)
+    assert seconds(4000) < 6 * max(seconds(1000), 1.0)
+
+
+def test_span_contexts_reach_over_earlier_matches(spark):
+    text = "é😀 ab1c22ddd333" + "x" * 9 + "4444 5" + "6" * 7
+    row = spark.createDataFrame([(text,)], "t string").select(spans(F.col("t"), "[0-9]+", 5).alias("s")).first()
+    want = [(m.start(), m.end(), m[0], text[max(0, m.start() - 5) : m.start()], text[m.end() : m.end() + 1]) for m in re.finditer("[0-9]+", text)]
+    assert [tuple(s) for s in row.s] == want
+    many = "7," * 1000 + "8"
+    row = spark.createDataFrame([(many,)], "t string").select(spans(F.col("t"), "[0-9]", 40).alias("s")).first()
+    assert [s.start for s in row.s] == list(range(0, 2001, 2)) and all(s.before == many[max(0, s.start - 40) : s.start] for s in row.s)
+
+
 def test_reliabilities_follow_the_votes():
     counts = [pii.VoteCounts(0, (1, 1, 0, 1, 1), 90), pii.VoteCounts(0, (-1, 0, 0, -1, -1), 60), pii.VoteCounts(0, (0, 1, 0, 1, 1), 5)]
     model = pii.estimate(counts)
