@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from passagemill.operators import embed
 from passagemill.operators import vector_table as vt
-from passagemill.plans.index_job import plan_index
+from passagemill.plans.index_job import NUMBERING, plan_index
 from passagemill.session import cut_lineage
 from passagemill.sources.tables import read_points, write_points
 
@@ -65,7 +65,7 @@ def index_stream(
 
 def _unique(docs: DataFrame, chunker: str) -> bool:
     """Whether all chunks get ids of their own: paths do not repeat, and the chunker numbers a path's chunks."""
-    return chunker in ("fixed", "recursive") and docs.groupBy("path").count().filter("count > 1").isEmpty()
+    return chunker in NUMBERING and docs.groupBy("path").count().filter("count > 1").isEmpty()
 
 
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:

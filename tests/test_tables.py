@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from passagemill.operators import embed, evaluate
 from passagemill.plans.eval_job import plan_evaluation
 from passagemill.plans.index_job import plan_index
+from passagemill.session import cut_lineage
 from passagemill.sources import corpus, questions, tables
 
 
@@ -85,6 +86,33 @@ def test_index_plan(spark):
     assert tuple(plan.summary().first()) == (3, 3, 1)
 
 
+def test_distinct_points_stay_where_they_are_made(spark, tmp_path):
+    """Only the points of repeated paths are shuffled; what is stored is what an upsert of all of them keeps."""
+    import pyarrow.parquet as pq
+
+    def plan(rows, **options):
+        docs = spark.createDataFrame(rows, "path string, content string").repartition(4)
+        return plan_index(cut_lineage(docs), embed.md5_bag_of_words(8), "m", "markdown", "recursive", {"max_size": 4, "overlap": 2}, **options)
+
+    text = "# T\n\n" + " ".join(f"w{i % 5}" for i in range(40))
+    single = [(f"a/{n}.md", f"{text} {n}") for n in range(20)] + [("a/none.txt", "x"), (None, text), (None, text)]
+    points = plan(single, distinct=True).points
+    shown = points._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in shown and "Window" not in shown and "Join" not in shown
+    again = [("a/3.md", f"{text} 3"), ("b/twice.md", text), ("b/twice.md", text)]
+    for n, rows in enumerate((single, single + again)):
+        made, plain = plan(rows, distinct=True).points, plan(rows).points
+        path = f"{tmp_path}/{n}"
+        tables.write_points(made, path, "new", declared_size=8, unique=True)
+        tables.write_points(plain, path, "old", declared_size=8)
+        new, old = (sorted(map(str, tables.read_points(spark, path, c).drop("metadata").collect())) for c in ("new", "old"))
+        assert new == old and len(new) == plain.select("point_id").distinct().count() > 100
+    stored = next((tmp_path / "0").rglob("collection=new/**/*.parquet"))
+    assert pq.ParquetFile(stored).metadata.row_group(0).column(0).compression == "ZSTD"
+    one = plan_index(spark.createDataFrame(single + again, "path string, content string"), embed.md5_bag_of_words(8), "m", "markdown", "fixed", distinct=True, only=lambda c: c.filter("chunk_index = 0"))
+    assert one.points.count() == 21
+
+
 def test_run_tables_and_evaluation(spark, tmp_path):
     results, metrics = str(tmp_path / "results"), str(tmp_path / "metrics")
     asked = spark.createDataFrame(
